@@ -1 +1,217 @@
-"""Registered queries (see registry)."""
+"""Registered join and commission queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rinse.functions import periods as P
+from rinse.operators import commissions as CM
+from rinse.operators import joins as J
+from rinse.operators import reports as R
+from rinse.plans.bindings_sql import with_bindings as W
+from rinse.plans.q_reports import FULL, _rng, _sum
+from rinse.plans.registry import register
+from rinse.sources import bindings as B
+
+AS_OF = "1998-07-01T09:30:00"          # commissions: last 30 x 24 h, no upper bound
+AS_OF_SQL = "TIMESTAMP '1998-07-01 09:30:00' - INTERVAL 30 DAY"
+SEED = "rinse"
+
+
+@register("j1_wash_detail", W(["b_washes", "b_services", "b_car_types", "b_staff"], """
+SELECT w.*, s.name AS service_name, ct.label AS car_type_label, st.name AS staff_name
+FROM b_washes w JOIN b_services s ON s.id = w.service_id JOIN b_car_types ct ON ct.id = w.car_type_id
+LEFT JOIN b_staff st ON st.id = w.staff_id
+WHERE w.washed_at >= TIMESTAMP '1997-01-01' AND w.washed_at < TIMESTAMP '2000-01-01'"""))
+def q_j1(spark, d):
+    w = P.open_range_filter(B.washes(spark, d), "washed_at", from_="1997-01-01", to="1999-12-31")
+    return J.wash_detail(w, B.services(spark, d), B.car_types(spark, d), B.staff(spark, d)) \
+        .orderBy(F.col("washed_at").desc())
+
+
+@register("j2_receipts", W(["b_washes", "b_services", "b_car_types", "b_staff", "b_promos"], """
+SELECT w.id, w.unit_price, w.commission_pct, w.commission_amount, w.profit_amount, w.is_free, w.vehicle_reg,
+       p.name AS promo_name, strftime(w.washed_at, '%Y-%m-%d %H:%M') AS washed_at,
+       s.name AS service_name, ct.label AS car_type_label, st.name AS staff_name
+FROM b_washes w JOIN b_services s ON s.id = w.service_id JOIN b_car_types ct ON ct.id = w.car_type_id
+LEFT JOIN b_staff st ON st.id = w.staff_id LEFT JOIN b_promos p ON p.id = w.promo_id"""))
+def q_j2(spark, d):
+    return J.receipts(B.washes(spark, d), B.services(spark, d), B.car_types(spark, d),
+                      B.staff(spark, d), B.promotions(spark))
+
+
+@register("j5_outer_filtered", W(["b_staff", "b_sales"], f"""
+SELECT s.id, s.name, s.role_label, w.service_id, w.unit_price, w.washed_at
+FROM b_staff s LEFT JOIN b_sales w ON w.staff_id = s.id AND w.washed_at >= {AS_OF_SQL}"""))
+def q_j5(spark, d):
+    w = P.rolling_filter(B.sales(spark, d), "washed_at", "month", AS_OF)
+    return J.left_join_in_period(B.staff(spark, d), w.select("staff_id", "service_id", "unit_price", "washed_at")) \
+        .select("id", "name", "role_label", "service_id", "unit_price", "washed_at")
+
+
+@register("j6_rate_default", W(["b_staff", "b_rates"], """
+SELECT s.*, CAST(COALESCE(r.percentage, 30) AS DECIMAL(5,2)) AS rate_pct
+FROM b_staff s LEFT JOIN b_rates r ON r.role = s.role_label"""))
+def q_j6(spark, d):
+    return J.with_rate(B.staff(spark, d), B.rates(spark, d))
+
+
+@register("j7_full_outer_series", W(["b_sales", "b_expenses"], f"""
+, ws AS (SELECT CAST(washed_at AS DATE) AS day, {_sum('unit_price', 'revenue')} FROM b_sales GROUP BY 1),
+  es AS (SELECT CAST(spent_at AS DATE) AS day, {_sum('amount', 'expenses')} FROM b_expenses GROUP BY 1)
+SELECT COALESCE(ws.day, es.day) AS day, CAST(COALESCE(ws.revenue, 0) AS DECIMAL(22,2)) AS revenue,
+       CAST(COALESCE(es.expenses, 0) AS DECIMAL(22,2)) AS expenses
+FROM ws FULL OUTER JOIN es ON ws.day = es.day"""))
+def q_j7(spark, d):
+    from rinse.functions import expr as X
+    from rinse.sources.schemas import TOTAL
+    ws = B.sales(spark, d).groupBy(X.day("washed_at").alias("day")).agg(
+        F.coalesce(F.sum("unit_price"), F.lit(0)).cast(TOTAL).alias("revenue"))
+    es = R.expense_daily(B.expenses(spark, d))
+    return J.align_daily(ws, es, "day")
+
+
+@register("j8_totals_cross", W(["b_sales", "b_expenses"], f"""
+SELECT * FROM (SELECT COUNT(*) AS wash_count, {_sum('unit_price', 'revenue')} FROM b_sales) w
+CROSS JOIN (SELECT {_sum('amount', 'expenses')} FROM b_expenses) e"""))
+def q_j8(spark, d):
+    from rinse.sources.schemas import TOTAL
+    w = B.sales(spark, d).agg(F.count(F.lit(1)).alias("wash_count"),
+                              F.coalesce(F.sum("unit_price"), F.lit(0)).cast(TOTAL).alias("revenue"))
+    e = B.expenses(spark, d).agg(F.coalesce(F.sum("amount"), F.lit(0)).cast(TOTAL).alias("expenses"))
+    return J.cross_totals(w, e)
+
+
+@register("j9_candidate_flag", W(["b_candidates", "b_winners"], """
+SELECT c.*, w.id AS winner_id, (w.draw_date IS NOT NULL) AS is_approved_winner
+FROM b_candidates c LEFT JOIN b_winners w
+  ON w.draw_date = c.draw_date AND w.customer_id IS NOT DISTINCT FROM c.customer_id
+ AND COALESCE(NULLIF(UPPER(w.vehicle_reg), ''), '') = COALESCE(NULLIF(UPPER(c.vehicle_reg), ''), '')"""))
+def q_j9(spark, d):
+    return J.candidates_with_winner(B.candidates(spark, d), B.winners(spark, d))
+
+
+@register("j11_price_matrix", W(["b_price_services", "b_price_car_types", "b_prices"], """
+SELECT s.id AS service_id, s.name AS service_name, ct.id AS car_type_id, ct.label AS car_type_label,
+       ct.sort_order, CAST(COALESCE(p.price, 0) AS DECIMAL(12,2)) AS price
+FROM b_price_services s CROSS JOIN b_price_car_types ct
+LEFT JOIN b_prices p ON p.service_id = s.id AND p.car_type_id = ct.id"""))
+def q_j11(spark, d):
+    return J.price_matrix(B.price_services(spark, d), B.price_car_types(spark, d), B.prices(spark, d))
+
+
+@register("j11b_catalog", W(["b_price_services", "b_prices"], """
+SELECT s.id AS service_id, s.name, COALESCE(s.description, '') AS description, p.car_type_id, p.price
+FROM b_price_services s LEFT JOIN b_prices p ON p.service_id = s.id"""))
+def q_j11b(spark, d):
+    return J.catalog_flat(B.price_services(spark, d), B.prices(spark, d))
+
+
+_J12 = """
+SELECT u.id, u.service_id, u.car_type_id, CAST(COALESCE(u.unit_price, p.price) AS DECIMAL(12,2)) AS unit_price,
+       u.washed_at
+FROM b_unpriced u LEFT JOIN b_prices p ON p.service_id = u.service_id AND p.car_type_id = u.car_type_id"""
+
+
+@register("j12_price_lookup", W(["b_unpriced", "b_prices"], f", f AS ({_J12}) SELECT * FROM f WHERE unit_price IS NOT NULL"))
+def q_j12(spark, d):
+    ok, _ = J.fill_prices(B.unpriced_sales(spark, d), B.prices(spark, d))
+    return ok.select("id", "service_id", "car_type_id", "unit_price", "washed_at")
+
+
+@register("j12_price_rejects", W(["b_unpriced", "b_prices"], f""", f AS ({_J12})
+SELECT id, service_id, car_type_id, washed_at, 'Price not configured for service & car type.' AS reason
+FROM f WHERE unit_price IS NULL"""))
+def q_j12r(spark, d):
+    _, rej = J.fill_prices(B.unpriced_sales(spark, d), B.prices(spark, d))
+    return rej.select("id", "service_id", "car_type_id", "washed_at", "reason")
+
+
+@register("j13_series_lookup", W(["b_sales", "b_expenses"], f"""
+, ws AS (SELECT CAST(washed_at AS DATE) AS day, {_sum('profit_amount', 'profit')} FROM b_sales GROUP BY 1),
+  es AS (SELECT CAST(spent_at AS DATE) AS day, {_sum('amount', 'expenses')} FROM b_expenses GROUP BY 1)
+SELECT ws.day, ws.profit, CAST(COALESCE(es.expenses, 0) AS DECIMAL(22,2)) AS expenses
+FROM ws LEFT JOIN es ON ws.day = es.day"""))
+def q_j13(spark, d):
+    from rinse.functions import expr as X
+    from rinse.sources.schemas import TOTAL
+    ws = B.sales(spark, d).groupBy(X.day("washed_at").alias("day")).agg(
+        F.coalesce(F.sum("profit_amount"), F.lit(0)).cast(TOTAL).alias("profit"))
+    return J.left_series(ws, R.expense_daily(B.expenses(spark, d)))
+
+
+_STAFF_STATS = W(["b_staff", "b_sales"], f"""
+, st AS (SELECT s.id AS staff_id, COUNT(w.staff_id) AS washes,
+                COALESCE(SUM(w.unit_price * COALESCE(w.commission_pct, 30) * 0.01), 0) AS commission
+         FROM b_staff s LEFT JOIN b_sales w ON w.staff_id = s.id AND w.washed_at >= {AS_OF_SQL}
+         GROUP BY s.id)
+SELECT s.*, CAST(COALESCE(st.washes, 0) AS BIGINT) AS washes_today,
+       CAST(COALESCE(st.commission, 0) AS DECIMAL(24,6)) AS commission_today
+FROM b_staff s LEFT JOIN st ON st.staff_id = s.id""")
+
+
+@register("j14_staff_merge", _STAFF_STATS)
+def q_j14(spark, d):
+    w = P.rolling_filter(B.sales(spark, d), "washed_at", "month", AS_OF)
+    return CM.staff_stats(B.staff(spark, d), w)
+
+
+@register("a13_staff_stats", _STAFF_STATS)
+def q_a13(spark, d):
+    w = P.rolling_filter(B.sales(spark, d), "washed_at", "month", AS_OF)
+    return CM.staff_stats(B.staff(spark, d), w)
+
+
+@register("j15_winner_match", W(["b_visits", "b_winners"], """
+, dw AS (SELECT draw_date, arg_min(id, id) AS winner_id, arg_min(customer_id, id) AS wc,
+                arg_min(customer_phone, id) AS wp, arg_min(vehicle_reg, id) AS wr
+         FROM b_winners WHERE status = 'APPROVED' GROUP BY draw_date)
+SELECT v.*, dw.winner_id,
+       COALESCE((v.customer_id IS NOT NULL AND dw.wc IS NOT NULL AND v.customer_id = dw.wc)
+         OR (coalesce(regexp_replace(v.customer_phone, '\\D+', '', 'g'), '') <> ''
+             AND coalesce(regexp_replace(v.customer_phone, '\\D+', '', 'g'), '') = coalesce(regexp_replace(dw.wp, '\\D+', '', 'g'), ''))
+         OR (coalesce(regexp_replace(upper(v.vehicle_reg), '[\\s-]', '', 'g'), '') <> ''
+             AND coalesce(regexp_replace(upper(v.vehicle_reg), '[\\s-]', '', 'g'), '') = coalesce(regexp_replace(upper(dw.wr), '[\\s-]', '', 'g'), '')),
+         FALSE) AS matches_winner
+FROM b_visits v LEFT JOIN dw ON CAST(v.washed_at AS DATE) = dw.draw_date"""))
+def q_j15(spark, d):
+    return J.match_winner(B.visits(spark, d), B.winners(spark, d))
+
+
+@register("a11_commission_by_role", W(["b_staff", "b_sales", "b_rates"], f"""
+SELECT s.id, s.name, s.role_label, COUNT(w.staff_id) AS washes,
+       CAST(COALESCE(SUM(w.unit_price), 0) AS DECIMAL(22,2)) AS revenue,
+       CAST(ROUND(COALESCE(SUM(w.unit_price * COALESCE(cr.percentage, 30) * 0.01), 0), 2) AS DECIMAL(22,2)) AS commission
+FROM b_staff s LEFT JOIN b_sales w ON w.staff_id = s.id AND w.washed_at >= {AS_OF_SQL}
+LEFT JOIN b_rates cr ON cr.role = s.role_label
+GROUP BY s.id, s.name, s.role_label"""))
+def q_a11(spark, d):
+    w = P.rolling_filter(B.sales(spark, d), "washed_at", "month", AS_OF)
+    return CM.commission_by_role(B.staff(spark, d), w, B.rates(spark, d))
+
+
+@register("a12_commission_totals", W(["b_staff", "b_sales", "b_rates"], f"""
+, a AS (SELECT s.id, COUNT(w.staff_id) AS washes, COALESCE(SUM(w.unit_price), 0) AS revenue,
+               ROUND(COALESCE(SUM(w.unit_price * COALESCE(cr.percentage, 30) * 0.01), 0), 2) AS commission
+        FROM b_staff s LEFT JOIN b_sales w ON w.staff_id = s.id AND w.washed_at >= {AS_OF_SQL}
+        LEFT JOIN b_rates cr ON cr.role = s.role_label GROUP BY s.id),
+  t AS (SELECT CAST(COALESCE(SUM(washes), 0) AS BIGINT) AS total_washes,
+               CAST(COALESCE(SUM(revenue), 0) AS DECIMAL(22,2)) AS total_revenue,
+               CAST(COALESCE(SUM(commission), 0) AS DECIMAL(22,2)) AS total_commission FROM a)
+SELECT *, CAST(total_revenue - total_commission AS DECIMAL(22,2)) AS business_profit,
+       CASE WHEN total_revenue <> 0 THEN ROUND(CAST(total_commission AS DOUBLE) / CAST(total_revenue AS DOUBLE) * 100, 1) ELSE 0.0 END AS commission_percent,
+       CASE WHEN total_revenue <> 0 THEN ROUND(CAST(total_revenue - total_commission AS DOUBLE) / CAST(total_revenue AS DOUBLE) * 100, 1) ELSE 0.0 END AS profit_percent
+FROM t"""))
+def q_a12(spark, d):
+    w = P.rolling_filter(B.sales(spark, d), "washed_at", "month", AS_OF)
+    return CM.commission_totals(CM.commission_by_role(B.staff(spark, d), w, B.rates(spark, d)))
+
+
+@register("w7_commission", W(["b_visits"], """
+SELECT id, unit_price, CAST(COALESCE(commission_pct, 30) AS DECIMAL(5,2)) AS commission_pct,
+       CAST(ROUND(unit_price * COALESCE(commission_pct, 30) * 0.01, 2) AS DECIMAL(12,2)) AS commission_amount,
+       CAST(unit_price - CAST(ROUND(unit_price * COALESCE(commission_pct, 30) * 0.01, 2) AS DECIMAL(12,2)) AS DECIMAL(12,2)) AS profit_amount
+FROM b_visits"""))
+def q_w7(spark, d):
+    return CM.book_commission(B.visits(spark, d).select("id", "unit_price", "commission_pct")) \
+        .select("id", "unit_price", "commission_pct", "commission_amount", "profit_amount")
