@@ -163,9 +163,9 @@ def q_a13(spark, d):
 
 
 @register("j15_winner_match", W(["b_visits", "b_winners"], """
-, dw AS (SELECT draw_date, arg_min(id, id) AS winner_id, arg_min(customer_id, id) AS wc,
-                arg_min(customer_phone, id) AS wp, arg_min(vehicle_reg, id) AS wr
-         FROM b_winners WHERE status = 'APPROVED' GROUP BY draw_date)
+, dw AS (SELECT draw_date, id AS winner_id, customer_id AS wc, customer_phone AS wp, vehicle_reg AS wr
+         FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY draw_date ORDER BY id) AS rn
+               FROM b_winners WHERE status = 'APPROVED') x WHERE rn = 1)
 SELECT v.*, dw.winner_id,
        COALESCE((v.customer_id IS NOT NULL AND dw.wc IS NOT NULL AND v.customer_id = dw.wc)
          OR (coalesce(regexp_replace(v.customer_phone, '\\D+', '', 'g'), '') <> ''
