@@ -33,9 +33,14 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list, value: C
     n = partitions or _n_partitions(df)
     sort_keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     v = F.lit(1).cast("bigint") if value is None else value
+    # The slice of a row is its range partition.  Range bounds are sampled from
+    # the input, so two evaluations of an upstream plan could cut differently;
+    # a reliable checkpoint (shared storage, survives executor loss) fixes
+    # the assignment once for both the local sums and the slice totals.
     sliced = (df.withColumn("_v", v)
                 .repartitionByRange(n, *[F.col(g) for g in group_cols], *sort_keys)
-                .withColumn("_slice", F.spark_partition_id()))
+                .withColumn("_slice", F.spark_partition_id())
+                .checkpoint(eager=True))
     w_local = (Window.partitionBy("_slice", *group_cols).orderBy(*sort_keys)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     w_total = Window.partitionBy("_slice", *group_cols)
