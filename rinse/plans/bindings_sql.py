@@ -133,6 +133,36 @@ SELECT * FROM (VALUES ('DAILY_DRAW', 'DAILY_DRAW', 'Daily draw', TRUE),
                       ('FEATURED_VEHICLE', 'FEATURED_VEHICLE', 'Featured vehicle', TRUE),
                       ('LOYALTY_13TH', 'LOYALTY_13TH', 'Loyalty 13th', TRUE),
                       ('FREE_WASH', 'FREE_WASH', 'Free wash', TRUE)) t(id, code, name, is_active)""",
+    "b_price_changes": """
+SELECT p_type AS service_id, p_brand AS car_type_id, CAST(p_retailprice AS DECIMAL(12,2)) AS price, p_partkey AS seq
+FROM part WHERE p_size >= 11 AND p_size <= 20""",
+    "b_featured_requests": f"""
+SELECT event_id AS id, {_plate('user_id', '-', False)} AS vehicle_reg, CAST(date_trunc('month', ts) AS DATE) AS month,
+       ts AS created_at
+FROM events WHERE event_type = 'purchase' AND value >= 50""",
+    "b_expense_changes": """
+SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'RECLASSIFIED' END AS category,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(o_totalprice AS DECIMAL(12,2)) + 1 END AS amount,
+       CASE WHEN o_orderstatus = 'F' THEN 'checked' END AS note, o_orderdate AS seq
+FROM orders""",
+    "b_visit_changes": """
+SELECT event_id AS id, CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(12,2)) + 5 END AS unit_price,
+       CAST(CASE WHEN event_type = 'click' THEN 15 END AS DECIMAL(5,2)) AS commission_pct,
+       CAST(CASE WHEN event_type = 'view' THEN 99 END AS BIGINT) AS staff_id, ts AS seq
+FROM events WHERE event_type IN ('purchase', 'click', 'view')""",
+    "b_contacts": """
+SELECT o_orderkey AS contact_id,
+       CASE WHEN o_orderstatus = 'O' THEN NULL ELSE concat('Walk-in ', CAST(o_custkey AS VARCHAR)) END AS name,
+       CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN concat('+254 ', lpad(CAST(o_custkey % 1000 AS VARCHAR), 6, '0'))
+            WHEN o_orderpriority = '3-MEDIUM' THEN concat('+255 ', lpad(CAST(o_custkey % 997 AS VARCHAR), 6, '0')) END AS phone,
+       CASE WHEN o_orderstatus = 'F' THEN
+            CASE WHEN o_custkey % 11 = 0 THEN ''
+                 ELSE concat(' k', chr(CAST(97 + o_custkey % 26 AS INT)), chr(CAST(97 + o_custkey % 23 AS INT)),
+                             CASE WHEN o_custkey % 3 = 0 THEN '-' ELSE ' ' END,
+                             lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0'),
+                             CASE WHEN o_custkey % 13 = 0 THEN '' ELSE 'a' END, ' ') END END AS vehicle_reg,
+       o_orderdate AS seq
+FROM orders""",
 }
 
 DEPENDS = {"b_rates": ["b_staff"], "b_winners": ["b_candidates"]}

@@ -244,3 +244,57 @@ def promotions(spark: SparkSession) -> DataFrame:
             ("LOYALTY_13TH", "Loyalty 13th", True), ("FREE_WASH", "Free wash", True)]
     return spark.createDataFrame(rows, "code string, name string, is_active boolean") \
         .select(F.col("code").alias("id"), "code", "name", "is_active")
+
+
+# --- change batches for the maintenance operators ------------------------------
+
+def price_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Price updates: mid-size parts re-price their (type, brand) pair; later part keys win."""
+    p = read_table(spark, d, "part").filter((F.col("p_size") >= 11) & (F.col("p_size") <= 20))
+    return p.select(F.col("p_type").alias("service_id"), F.col("p_brand").alias("car_type_id"),
+                    F.col("p_retailprice").cast(MONEY).alias("price"), F.col("p_partkey").alias("seq"))
+
+
+def featured_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests to feature a plate for a month: every purchase of 50 or more."""
+    ev = read_table(spark, d, "events").filter((F.col("event_type") == "purchase") & (F.col("value") >= 50))
+    return ev.select(F.col("event_id").alias("id"), E(_plate_sql("user_id", "-", False)).alias("vehicle_reg"),
+                     F.trunc(F.to_date("ts"), "MM").alias("month"), F.col("ts").alias("created_at"))
+
+
+def expense_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Partial expense edits: NULL fields are 'not given'."""
+    o = read_table(spark, d, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        E("case when o_orderstatus = 'O' then 'RECLASSIFIED' end").alias("category"),
+        E("case when o_orderpriority = '1-URGENT' then cast(o_totalprice as decimal(12,2)) + 1 end").alias("amount"),
+        E("case when o_orderstatus = 'F' then 'checked' end").alias("note"),
+        F.col("o_orderdate").alias("seq"))
+
+
+def visit_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Edits of sales: new price on purchases, new percent on clicks, new staff on views."""
+    ev = read_table(spark, d, "events").filter(F.col("event_type").isin("purchase", "click", "view"))
+    return ev.select(
+        F.col("event_id").alias("id"),
+        E("case when event_type = 'purchase' then cast(value as decimal(12,2)) + 5 end").alias("unit_price"),
+        E("cast(case when event_type = 'click' then 15 end as decimal(5,2))").alias("commission_pct"),
+        E("case when event_type = 'view' then 99 end").cast("bigint").alias("staff_id"),
+        F.col("ts").alias("seq"))
+
+
+def contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Incoming customer contacts (one per order): known or new phones, known plates, or nothing."""
+    o = read_table(spark, d, "orders")
+    plate = ("case when o_custkey % 11 = 0 then '' else concat(' k', chr(cast(97 + o_custkey % 26 as int)), "
+             "chr(cast(97 + o_custkey % 23 as int)), case when o_custkey % 3 = 0 then '-' else ' ' end, "
+             "lpad(cast(o_custkey % 1000 as string), 3, '0'), case when o_custkey % 13 = 0 then '' else 'a' end, ' ') end")
+    return o.select(
+        F.col("o_orderkey").alias("contact_id"),
+        E("case when o_orderstatus = 'O' then null else concat('Walk-in ', cast(o_custkey as string)) end").alias("name"),
+        E("case when o_orderpriority in ('1-URGENT', '2-HIGH') then concat('+254 ', lpad(cast(o_custkey % 1000 as string), 6, '0')) "
+          "when o_orderpriority = '3-MEDIUM' then concat('+255 ', lpad(cast(o_custkey % 997 as string), 6, '0')) end")
+        .alias("phone"),
+        E(f"case when o_orderstatus = 'F' then {plate} end").alias("vehicle_reg"),
+        F.col("o_orderdate").alias("seq"))
