@@ -1 +1,36 @@
-"""Registered queries (see registry)."""
+"""Registered streaming queries: the sales are replayed as a file stream in
+arrival order (one time slice per micro-batch) and the stream's final result
+is returned.  Both results are SQL-expressible, so both have an oracle."""
+
+from __future__ import annotations
+
+from rinse.plans.bindings_sql import with_bindings as W
+from rinse.plans.registry import register
+from rinse.sources import bindings as B
+from rinse.streaming import counters as S
+from rinse.streaming import replay as RP
+
+
+@register("st1_counters_stream", W(["b_washes"], """
+SELECT customer_id, COUNT(*) AS visits_count, MAX(washed_at) AS last_visit FROM b_washes
+WHERE customer_id IS NOT NULL GROUP BY customer_id"""))
+def q_st1(spark, d):
+    src = B.washes(spark, d).select("id", "customer_id", "washed_at")
+    path = RP.stage_files(src, "washed_at", 6, "st1")
+    stream = RP.read_stream_source(spark, path, src.schema)
+    out = RP.run_available(spark, S.counters_stream(stream), "complete", "st1")
+    return spark.read.parquet(out)
+
+
+@register("st2_loyalty_stream", W(["b_visits"], """
+SELECT id, customer_id, CAST(date_trunc('month', washed_at) AS DATE) AS month,
+       ROW_NUMBER() OVER (PARTITION BY customer_id, date_trunc('month', washed_at) ORDER BY washed_at, id) AS ordinal,
+       ROW_NUMBER() OVER (PARTITION BY customer_id, date_trunc('month', washed_at) ORDER BY washed_at, id) % 13 = 0 AS loyalty_hit
+FROM b_visits WHERE customer_id IS NOT NULL"""))
+def q_st2(spark, d):
+    S.use_rocksdb(spark)
+    src = B.visits(spark, d).select("id", "customer_id", "washed_at")
+    path = RP.stage_files(src, "washed_at", 5, "st2")
+    stream = RP.read_stream_source(spark, path, src.schema)
+    out = RP.run_available(spark, S.loyalty_stream(stream), "append", "st2")
+    return spark.read.schema(S.LOYALTY_OUT).parquet(out)
