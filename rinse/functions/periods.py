@@ -41,7 +41,7 @@ def _as_dt(value) -> dt.datetime:
 
 def resolve_range(date=None, from_=None, to=None, month=None, as_of=None):
     """Bounds of a report period: month wins, then from/to, then date, else the day of as_of."""
-    as_of = _as_dt(as_of or dt.datetime.utcnow())
+    as_of = _as_dt(as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
     if month and _MONTH.match(str(month)):
         y, m = map(int, str(month).split("-"))
         return _month_bounds(y, m)

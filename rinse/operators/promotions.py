@@ -84,15 +84,25 @@ def _with_ordinal(df: DataFrame, group: list[str], out: str) -> DataFrame:
 
 def visits_before(df: DataFrame) -> DataFrame:
     """w4: lifetime sales of the customer before this one (NULL for anonymous sales)."""
-    return _with_ordinal(df, ["customer_id"], "_life").withColumn(
-        "visits_before", F.col("_life") - 1).drop("_life")
+    if "_life" not in df.columns:
+        df = _with_ordinal(df, ["customer_id"], "_life")
+    return df.withColumn("visits_before", F.col("_life") - 1).drop("_life")
 
 
 def loyalty_award(df: DataFrame, n: int = C.LOYALTY_EVERY_N) -> DataFrame:
-    """w3: ``loyalty_free`` for every n-th sale of a customer in a month, unless already free."""
+    """w3: ``loyalty_free`` for every n-th sale of a customer in a month, unless already free.
+
+    A customer's sales of one month are a contiguous block of the customer's
+    lifetime arrival order, so the month ordinal is the lifetime ordinal minus
+    the month's first lifetime ordinal, plus one: one ranking pass serves both
+    this step and ``visits_before`` (the lifetime ordinal is kept as ``_life``)."""
     if "_month" not in df.columns:
         df = df.withColumn("_month", X.month_start("washed_at"))
-    o = _with_ordinal(df, ["customer_id", "_month"], "month_ordinal")
+    o = _with_ordinal(df, ["customer_id"], "_life")
+    first = (o.filter(F.col("_life").isNotNull()).groupBy("customer_id", "_month")
+             .agg(F.min("_life").alias("_first")))
+    o = o.join(first, ["customer_id", "_month"], "left")
+    o = o.withColumn("month_ordinal", F.col("_life") - F.col("_first") + 1).drop("_first")
     already = F.coalesce(F.col("draw_free"), F.lit(False)) | F.coalesce(F.col("featured_free"), F.lit(False))
     hit = F.col("month_ordinal").isNotNull() & (F.col("month_ordinal") % n == 0)
     return o.withColumn("loyalty_free", hit & ~already)

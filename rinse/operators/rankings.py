@@ -46,7 +46,8 @@ def _vehicle_counts(washes: DataFrame, customers: DataFrame, group_cols: list[st
                  F.sum("_n").cast("bigint").alias("washes"), F.max("_last").alias("last_wash")))
 
 
-VEHICLE_ORDER = [F.col("washes").desc(), F.col("last_wash").desc(), F.col("vehicle_reg").asc()]
+def vehicle_order() -> list[Column]:
+    return [F.col("washes").desc(), F.col("last_wash").desc(), F.col("vehicle_reg").asc()]
 
 
 def top_vehicles(washes: DataFrame, customers: DataFrame, month=None, limit=5, as_of=None) -> DataFrame:
@@ -54,7 +55,7 @@ def top_vehicles(washes: DataFrame, customers: DataFrame, month=None, limit=5, a
     independent maxima of name and phone over the plate's customers."""
     d, lo, hi = C.TOP_VEHICLES_LIMIT
     w = P.month_filter(washes, "washed_at", month, as_of)
-    return top_k(_vehicle_counts(w, customers, []), VEHICLE_ORDER, limit, d, lo, hi)
+    return top_k(_vehicle_counts(w, customers, []), vehicle_order(), limit, d, lo, hi)
 
 
 def top_vehicles_by_month(washes: DataFrame, customers: DataFrame, limit=5, salts: int = 64) -> DataFrame:
@@ -62,7 +63,7 @@ def top_vehicles_by_month(washes: DataFrame, customers: DataFrame, limit=5, salt
     d, lo, hi = C.TOP_VEHICLES_LIMIT
     k = clamp(limit, d, lo, hi)
     counts = _vehicle_counts(washes.withColumn("month", X.month_start("washed_at")), customers, ["month"])
-    return top_k_per_group(counts, ["month"], VEHICLE_ORDER, k, F.col("vehicle_reg"), salts)
+    return top_k_per_group(counts, ["month"], vehicle_order(), k, F.col("vehicle_reg"), salts)
 
 
 def _eligible_counts(washes: DataFrame, customers: DataFrame, services: DataFrame,
@@ -89,8 +90,8 @@ def _eligible_counts(washes: DataFrame, customers: DataFrame, services: DataFram
                     F.col("wash_count").cast("bigint").alias("wash_count"), "last_wash")
 
 
-ELIGIBLE_ORDER = [F.col("wash_count").desc(), F.col("last_wash").desc(),
-                  F.col("customer_id").asc_nulls_last()]
+def eligible_order() -> list[Column]:
+    return [F.col("wash_count").desc(), F.col("last_wash").desc(), F.col("customer_id").asc_nulls_last()]
 
 
 def eligible_customers(washes: DataFrame, customers: DataFrame, services: DataFrame, date=None,
@@ -103,7 +104,7 @@ def eligible_customers(washes: DataFrame, customers: DataFrame, services: DataFr
     w = washes.filter(P.in_range("washed_at", lo_ts, hi_ts))
     mw = clamp(min_washes, C.ELIGIBLES_MIN_WASHES, -2**31, 2**31 - 1)
     e = _eligible_counts(w, customers, services, service_id, keyword)
-    return top_k(e.filter(F.col("wash_count") >= mw), ELIGIBLE_ORDER, limit, d, lo, hi)
+    return top_k(e.filter(F.col("wash_count") >= mw), eligible_order(), limit, d, lo, hi)
 
 
 def eligibles_by_month(washes: DataFrame, customers: DataFrame, services: DataFrame,
@@ -115,7 +116,7 @@ def eligibles_by_month(washes: DataFrame, customers: DataFrame, services: DataFr
     e = _eligible_counts(washes.withColumn("month", X.month_start("washed_at")), customers, services,
                          service_id, keyword, ["month"])
     e = e.filter(F.col("wash_count") >= int(min_washes))
-    return top_k_per_group(e, ["month"], ELIGIBLE_ORDER, k,
+    return top_k_per_group(e, ["month"], eligible_order(), k,
                            F.coalesce(F.col("customer_id").cast("string"), F.lit("")), salts)
 
 
