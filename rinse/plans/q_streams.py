@@ -34,3 +34,14 @@ def q_st2(spark, d):
     stream = RP.read_stream_source(spark, path, src.schema)
     out = RP.run_available(spark, S.loyalty_stream(stream), "append", "st2")
     return spark.read.schema(S.LOYALTY_OUT).parquet(out)
+
+
+@register("e2_ingest")
+def q_e2(spark, d):
+    """Rows-only check (cascade over resolved new customers has no compact SQL form);
+    tests/test_ingest.py checks its invariants."""
+    from rinse.config import PromoSettings
+    from rinse.plans.ingest import ingest_sales
+    out, _ = ingest_sales(B.new_sales(spark, d), B.sale_prices(spark, d), B.known_customers(spark, d),
+                          B.winners(spark, d), B.featured(spark, d), PromoSettings())
+    return out

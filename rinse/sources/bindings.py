@@ -298,3 +298,41 @@ def contacts(spark: SparkSession, d: str) -> DataFrame:
         .alias("phone"),
         E(f"case when o_orderstatus = 'F' then {plate} end").alias("vehicle_reg"),
         F.col("o_orderdate").alias("seq"))
+
+
+# --- inputs of the batch write path (E2) -----------------------------------------------
+
+_VISIT_PHONE = "case when user_id % 4 = 0 then null else concat('(0712) ', lpad(cast(user_id as string), 6, '0')) end"
+
+
+def new_sales(spark: SparkSession, d: str) -> DataFrame:
+    """Sales as typed at the counter: views come without a price (list price applies)."""
+    ev = read_table(spark, d, "events")
+    return ev.select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("service_id"),
+        E("case when event_type = 'view' and user_id % 7 = 0 then null else 'STD' end").alias("car_type_id"),
+        E("case when event_type = 'error' then null else user_id % 20 end").alias("staff_id"),
+        E("case when event_type = 'view' then null else cast(value as decimal(12,2)) end").alias("unit_price"),
+        E("cast(case when event_type = 'purchase' then null else (user_id % 4) * 10 end as decimal(5,2))")
+        .alias("commission_pct"),
+        F.col("ts").alias("washed_at"),
+        E("concat('Member ', cast(user_id as string))").alias("customer_name"),
+        E(_VISIT_PHONE).alias("customer_phone"),
+        E(_plate_sql("user_id", " ", False)).alias("vehicle_reg"))
+
+
+def sale_prices(spark: SparkSession, d: str) -> DataFrame:
+    """List price per (service, car type): the lowest price paid for the service."""
+    ev = read_table(spark, d, "events").filter(F.col("event_type") != "view")
+    return (ev.groupBy(F.col("event_type").alias("service_id"))
+            .agg(F.min(F.col("value").cast(MONEY)).alias("price"))
+            .select("service_id", F.lit("STD").alias("car_type_id"), "price"))
+
+
+def known_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers on file: everyone who signed up, with phone and clean plate."""
+    ev = read_table(spark, d, "events").filter(F.col("event_type") == "signup")
+    return ev.select(F.col("user_id").alias("id"), E("concat('Member ', cast(user_id as string))").alias("name"),
+                     E(_VISIT_PHONE).alias("phone"),
+                     F.upper(F.regexp_replace(E(_plate_sql("user_id", " ", False)), r"[\s-]", "")).alias("vehicle_reg")
+                     ).distinct()

@@ -36,7 +36,7 @@ def duck():
 def test_every_query_has_an_oracle_or_is_listed():
     q, o = set(entry.queries()), set(entry.oracle_sql())
     assert o <= q
-    assert q - o == set(), f"queries without oracle: {sorted(q - o)}"
+    assert q - o == {"e2_ingest"}, f"queries without oracle: {sorted(q - o)}"
 
 
 @pytest.mark.parametrize("key", KEYS)
