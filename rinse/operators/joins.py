@@ -22,15 +22,18 @@ class TooLargeToBroadcast(ValueError):
     pass
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int, fallback: bool = True) -> DataFrame:
     """Broadcast ``df`` after proving it has at most ``max_rows`` rows.
 
-    The proof is a count over ``max_rows + 1`` rows at most (a limit, so the
-    check never scans more than it has to).  Callers fall back to a
-    shuffle join when the check fails.
+    The proof is a count over at most ``max_rows + 1`` rows (a limit, so the
+    check never scans more than it has to).  Beyond the bound the frame is
+    returned without the hint and the planner joins it without broadcasting
+    (or, with ``fallback=False``, ``TooLargeToBroadcast`` is raised).
     """
     n = df.limit(max_rows + 1).count()
     if n > max_rows:
+        if fallback:
+            return df
         raise TooLargeToBroadcast(f"{n} rows > {max_rows}")
     return F.broadcast(df)
 

@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 
 
 def write_snapshot(df: DataFrame, path: str, part: str | None = "day", mode: str = "overwrite") -> None:
+    if part:
+        # REBALANCE clusters rows by day (few files per day) while AQE splits an
+        # oversized day across several writer tasks, so a hot day is not one task.
+        df = df.hint("rebalance", part)
     w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if part:
-        # one writer per (task, day): the shuffle by day bounds the number of files
-        w = df.repartition(part).write.mode(mode).option("partitionOverwriteMode", "dynamic") \
-            .partitionBy(part)
+        w = w.partitionBy(part)
     w.parquet(path)
 
 

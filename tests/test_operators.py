@@ -311,3 +311,17 @@ def test_reports_do_not_depend_on_session_time_zone(spark, tz):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert base == other and len(base) > 0
+
+
+def test_bounded_broadcast_checks_size(spark):
+    small = spark.range(5)
+    assert "Broadcast" in J.bounded_broadcast(small, 10).join(spark.range(100), "id")._jdf.queryExecution() \
+        .executedPlan().toString()
+    big = spark.range(50)
+    assert J.bounded_broadcast(big, 10) is big
+    with pytest.raises(J.TooLargeToBroadcast):
+        J.bounded_broadcast(big, 10, fallback=False)
+    svc = spark.createDataFrame([("A", "A")], "id string, name string")
+    ct = spark.createDataFrame([(str(i), str(i), i) for i in range(30)], "id string, label string, sort_order int")
+    pr = spark.createDataFrame([], "service_id string, car_type_id string, price decimal(12,2)")
+    assert J.price_matrix(svc, ct, pr, max_car_types=10).count() == 30
