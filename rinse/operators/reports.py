@@ -134,6 +134,24 @@ def day_over_day(sales: DataFrame, expenses: DataFrame, day) -> DataFrame:
                       X.change_pct("t_net_income", "y_net_income").alias("delta_pct"))
 
 
+def day_over_day_series(sales: DataFrame, expenses: DataFrame, **period) -> DataFrame:
+    """a10 for every day with sales or expenses: that day's KPIs, the previous day's
+    (0 when it had none) and the change of net income in percent.
+
+    The daily series is joined to itself shifted by one day (an equi-join on the
+    day), so no step needs all days in one task."""
+    w = wash_daily(_period(sales, "washed_at", period) if period else sales)
+    e = expense_daily(expenses, **period)
+    daily = J.align_daily(w, e, "day").withColumn("wash_count", F.col("wash_count").cast("bigint"))
+    daily = daily.withColumn("net_income", (F.col("profit") - F.col("expenses")).cast(TOTAL))
+    kpis = ["wash_count", "revenue", "commission", "profit", "expenses", "net_income"]
+    prev = daily.select(F.date_add("day", 1).alias("day"), *[F.col(k).alias(f"y_{k}") for k in kpis])
+    j = daily.select("day", *[F.col(k).alias(f"t_{k}") for k in kpis]).join(prev, "day", "left")
+    j = j.select("day", *[F.col(f"t_{k}") for k in kpis],
+                 *[F.coalesce(F.col(f"y_{k}"), F.lit(0)).cast(daily.schema[k].dataType).alias(f"y_{k}") for k in kpis])
+    return j.withColumn("delta_pct", X.change_pct("t_net_income", "y_net_income"))
+
+
 # --- grouped by dimension name ---------------------------------------------------
 
 def by_service(sales: DataFrame, services: DataFrame, **period) -> DataFrame:
