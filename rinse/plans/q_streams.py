@@ -18,8 +18,8 @@ def q_st1(spark, d):
     src = B.washes(spark, d).select("id", "customer_id", "washed_at")
     path = RP.stage_files(src, "washed_at", 6, "st1")
     stream = RP.read_stream_source(spark, path, src.schema)
-    out = RP.run_available(spark, S.counters_stream(stream), "complete", "st1")
-    return spark.read.parquet(out)
+    out = RP.run_available(spark, S.counters_stream(stream), "update", "st1")
+    return RP.latest(spark, out, ["customer_id"])
 
 
 @register("st2_loyalty_stream", W(["b_visits"], """

@@ -9,8 +9,6 @@ executors into a folder under the shared checkpoint location.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +34,19 @@ def stage_files(df: DataFrame, ts_col: str, slices: int, name: str) -> str:
 def run_available(spark: SparkSession, stream_df: DataFrame, mode: str, name: str) -> str:
     """Run ``stream_df`` over all available input; returns the folder holding the result.
 
-    ``complete`` mode rewrites the whole result each micro-batch (foreachBatch
-    overwrite); ``append`` mode uses the Parquet file sink."""
+    ``update`` mode appends, per micro-batch, only the keys that changed,
+    tagged with the batch id (``_epoch``); ``latest`` turns that change log
+    into the current table.  A retried batch rewrites identical rows, so the
+    log stays correct under replays.  ``complete`` rewrites the whole result
+    every batch (small results only); ``append`` uses the Parquet file sink."""
     out = shared_dir(spark, f"{name}-out")
     ckpt = shared_dir(spark, f"{name}-ckpt")
     w = stream_df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
-    if mode == "complete":
+    if mode == "update":
+        def log(batch: DataFrame, epoch: int) -> None:
+            batch.withColumn("_epoch", F.lit(epoch).cast("bigint")).write.mode("append").parquet(out)
+        q = w.outputMode("update").foreachBatch(log).start()
+    elif mode == "complete":
         def write(batch: DataFrame, _epoch: int) -> None:
             batch.write.mode("overwrite").parquet(out)
         q = w.outputMode("complete").foreachBatch(write).start()
@@ -51,8 +56,14 @@ def run_available(spark: SparkSession, stream_df: DataFrame, mode: str, name: st
     return out
 
 
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The current table from an update-mode change log: the last epoch's row per key."""
+    from rinse.operators.maintenance import latest_per_key
+    log = spark.read.parquet(path)
+    cols = [c for c in log.columns if c not in keys and c != "_epoch"]
+    return latest_per_key(log, keys, ["_epoch"], cols)
+
+
 def read_stream_source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
-
-__all__ = ["stage_files", "run_available", "read_stream_source", "dt"]
