@@ -4,7 +4,7 @@
 Sales are aggregated per customer before the customer table is joined, so
 the join input is one row per customer and month, not one per sale.  Limits
 use ``orderBy().limit()`` (TakeOrderedAndProject: each task keeps its own top
-k, the driver merges at most tasks x k rows).  Every order ends with a unique
+k, and one final task merges at most tasks x k rows).  Every order ends with a unique
 key so that ties at the limit are broken the same way on every run.
 """
 

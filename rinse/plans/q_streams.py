@@ -1,6 +1,9 @@
-"""Registered streaming queries: the sales are replayed as a file stream in
-arrival order (one time slice per micro-batch) and the stream's final result
-is returned.  Both results are SQL-expressible, so both have an oracle."""
+"""Registered streaming queries and the batch write path.
+
+The streams replay the sales as a file stream in arrival order (one time
+slice per micro-batch) and return the stream's final result; both results are
+SQL-expressible, so both have an oracle.  The write path (``e2_ingest``) is
+checked rows-only here and by invariants in ``tests/test_ingest.py``."""
 
 from __future__ import annotations
 

@@ -2,7 +2,7 @@
 
 Each function only reshapes given rows into the schema an operator expects
 (renames, casts, a few derived labels); no operator work happens here.  The
-same definitions exist as DuckDB SQL in ``rinse.plans.oracle`` so that both
+same definitions exist as DuckDB SQL in ``rinse.plans.bindings_sql`` so that both
 sides of the correctness check start from identical inputs.  FIXTURES.md
 documents every binding and why it looks the way it does.
 """
