@@ -80,17 +80,22 @@ def check_refs(child: DataFrame, parent: DataFrame, fk: list[str], pk: list[str]
     return c.join(p, fk, "left_anti")
 
 
-def assign_receipts(washes: DataFrame, existing_col: str = "receipt_no") -> DataFrame:
+def assign_receipts(washes: DataFrame, existing_col: str = "receipt_no",
+                    issued: DataFrame | None = None) -> DataFrame:
     """q5: give every sale without a receipt number a unique one: 'SH' + day + '-' + n,
     n counting that day's new receipts in (washed_at, id) order after the day's
-    highest existing n.  Repeatable, and no single task sees a whole day."""
+    highest existing n (in ``washes`` or in the ``issued`` receipts of earlier
+    batches).  Repeatable, and no single task sees a whole day."""
     d = washes.withColumn("_day", X.day("washed_at"))
     if existing_col not in d.columns:
         d = d.withColumn(existing_col, F.lit(None).cast("string"))
     have = d.filter(F.col(existing_col).isNotNull())
     need = d.filter(F.col(existing_col).isNull())
     pattern = r"^SH(\d{8})-(\d+)$"
-    top = (have.filter(F.col(existing_col).rlike(pattern))
+    seen = have.select(existing_col)
+    if issued is not None:
+        seen = seen.unionByName(issued.select(existing_col))
+    top = (seen.filter(F.col(existing_col).rlike(pattern))
            .groupBy(F.regexp_extract(existing_col, pattern, 1).alias("_dkey"))
            .agg(F.max(F.regexp_extract(existing_col, pattern, 2).cast("bigint")).alias("_base")))
     numbered = ordinal(need, ["_day"], ["washed_at", "id"], "_n")

@@ -35,13 +35,15 @@ def new_customer_id(key_col: str) -> F.Column:
 
 def ingest_sales(new_sales: DataFrame, prices: DataFrame, customers: DataFrame, winners: DataFrame,
                  featured: DataFrame, settings: PromoSettings = PromoSettings(),
-                 snapshot_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+                 snapshot_path: str | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (booked sales, rejected rows with reasons); writes the booked sales
     partitioned by day when ``snapshot_path`` is given.
 
     ``new_sales``: id, service_id, car_type_id, staff_id, unit_price (NULL = list
     price), commission_pct (NULL = default), washed_at, customer_name,
-    customer_phone, vehicle_reg (as typed)."""
+    customer_phone, vehicle_reg (as typed).  ``history``: the sales booked by
+    earlier batches (the output of earlier calls); the cascade counts them and
+    receipt numbers continue after theirs."""
     valid, invalid = Q.validate_washes(new_sales)
     priced, unpriced = J.fill_prices(valid, prices)
     contacts = priced.select(F.col("id").alias("contact_id"), F.col("customer_name").alias("name"),
@@ -52,9 +54,10 @@ def ingest_sales(new_sales: DataFrame, prices: DataFrame, customers: DataFrame,
                                      F.when(F.col("new_customer_key").isNotNull(),
                                             new_customer_id("new_customer_key"))).alias("customer_id"))
     sales = priced.join(ids, "id", "left")
-    promoted = PR.apply_promotions(sales, winners, featured, settings)
+    promoted = PR.apply_promotions(sales, winners, featured, settings, history)
     booked = book_commission(promoted)
-    numbered = Q.assign_receipts(booked.withColumn("receipt_no", F.lit(None).cast("string")))
+    numbered = Q.assign_receipts(booked.withColumn("receipt_no", F.lit(None).cast("string")),
+                                 issued=history.select("receipt_no") if history is not None else None)
     out = numbered.select(*SALE_COLS)
     if snapshot_path:
         sinks.write_snapshot(out.withColumn("day", F.to_date("washed_at")), snapshot_path, part="day")

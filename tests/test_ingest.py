@@ -25,3 +25,20 @@ def test_ingest_invariants(spark):
     known = B.known_customers(spark, SMALL).select("id")
     assert out.filter("customer_id >= 0").join(known, out["customer_id"] == known["id"], "left_anti").count() == 0
     assert spark.read.parquet(path).count() == n_out
+
+
+def test_ingest_second_batch_continues_history(spark):
+    src = B.new_sales(spark, SMALL)
+    first = src.filter("washed_at < TIMESTAMP '2024-01-15'")
+    second = src.filter("washed_at >= TIMESTAMP '2024-01-15'")
+    args = (B.sale_prices(spark, SMALL), B.known_customers(spark, SMALL), B.winners(spark, SMALL),
+            B.featured(spark, SMALL), PromoSettings())
+    h, _ = ingest_sales(first, *args)
+    h = h.checkpoint()
+    out, _ = ingest_sales(second, *args, history=h)
+    both = out.select("receipt_no").unionByName(h.select("receipt_no"))
+    assert both.distinct().count() == both.count() > 0
+    one_pass, _ = ingest_sales(src, *args)
+    want = {r["id"]: r["promo_code"] for r in one_pass.filter("washed_at >= TIMESTAMP '2024-01-15'").collect()}
+    got = {r["id"]: r["promo_code"] for r in out.collect()}
+    assert got == want
