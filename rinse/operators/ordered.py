@@ -16,8 +16,11 @@ The helpers here never need a whole group in one task:
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _n_partitions(df: DataFrame) -> int:
@@ -33,31 +36,47 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list, value: C
     n = partitions or _n_partitions(df)
     sort_keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     v = F.lit(1).cast("bigint") if value is None else value
+    # Group keys as non-null columns (value or type default, plus a null flag),
+    # so NULL groups stay separate and every later window, aggregate and join
+    # uses plain equality on the same columns: the join back to the slice
+    # offsets then reuses the window's partitioning instead of re-shuffling.
+    gk: list[str] = []
+    d = df.withColumn("_v", v)
+    for i, g in enumerate(group_cols):
+        d = (d.withColumn(f"_gk{i}", F.coalesce(F.col(g), _default(df.schema[g].dataType)))
+              .withColumn(f"_gn{i}", F.col(g).isNull()))
+        gk += [f"_gk{i}", f"_gn{i}"]
     # The slice of a row is its range partition.  Range bounds are sampled from
     # the input, so two evaluations of an upstream plan could cut differently;
     # a reliable checkpoint (shared storage, survives executor loss) fixes
     # the assignment once for both the local sums and the slice totals.
-    sliced = (df.withColumn("_v", v)
-                .repartitionByRange(n, *[F.col(g) for g in group_cols], *sort_keys)
-                .withColumn("_slice", F.spark_partition_id())
-                .checkpoint(eager=True))
-    w_local = (Window.partitionBy("_slice", *group_cols).orderBy(*sort_keys)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    w_total = Window.partitionBy("_slice", *group_cols)
-    local = (sliced.withColumn("_local", F.sum("_v").over(w_local))
-                   .withColumn("_slice_total", F.sum("_v").over(w_total)))
-    totals = local.groupBy("_slice", *group_cols).agg(F.max("_slice_total").alias("_t"))
-    w_off = (Window.partitionBy(*group_cols).orderBy("_slice")
-             .rowsBetween(Window.unboundedPreceding, -1))
+    sliced = (d.repartitionByRange(n, *[F.col(g) for g in group_cols], *sort_keys)
+               .withColumn("_slice", F.spark_partition_id())
+               .checkpoint(eager=True))
+    keys = ["_slice", *gk]
+    w_local = Window.partitionBy(*keys).orderBy(*sort_keys).rowsBetween(Window.unboundedPreceding,
+                                                                         Window.currentRow)
+    local = sliced.withColumn("_local", F.sum("_v").over(w_local))
+    # slice totals straight from the slices: map-side partial sums, one row per slice and group
+    totals = sliced.groupBy(*keys).agg(F.sum("_v").alias("_t"))
+    w_off = Window.partitionBy(*gk).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(w_off), F.lit(0))).drop("_t")
-    keys = ["_slice", *group_cols]
-    o = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], "_off")
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & local[k].eqNullSafe(o[f"_o_{k}"])
-    j = local.join(o, cond, "left")
+    j = local.join(offsets, keys, "left")
     return (j.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0)))
-             .drop("_v", "_slice", "_local", "_slice_total", "_off", *[f"_o_{k}" for k in keys]))
+             .drop("_v", "_slice", "_local", "_off", *gk))
+
+
+def _default(dtype: T.DataType) -> Column:
+    """A non-null stand-in value of ``dtype`` (only used together with a null flag)."""
+    if isinstance(dtype, T.StringType):
+        return F.lit("")
+    if isinstance(dtype, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dtype, T.DateType):
+        return F.lit(dt.date(1970, 1, 1))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01 00:00:00").cast(dtype)
+    return F.lit(0).cast(dtype)
 
 
 def ordinal(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "ordinal",
