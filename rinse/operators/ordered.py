@@ -33,6 +33,8 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list, value: C
 
     ``order_cols`` must be a total order inside a group (append a unique key).
     """
+    from rinse.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     n = partitions or _n_partitions(df)
     sort_keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     v = F.lit(1).cast("bigint") if value is None else value
