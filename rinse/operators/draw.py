@@ -120,10 +120,10 @@ def revoke(winners: DataFrame, requests: DataFrame, mode: str = "status") -> tup
     refused = requests.join(known, "winner_id", "left_anti").withColumn("refusal", F.lit("winner not found"))
     tail = F.when(F.col("reason").isNotNull(), F.concat(F.lit(C.REVOCATION_PREFIX), F.col("reason"))) \
         .otherwise(F.lit(""))
-    per = (requests.join(known, "winner_id", "left_semi")
+    # the note gains every given reason, in request order (an ordered string aggregate)
+    per = (requests.join(known, "winner_id", "left_semi").withColumn("_t", tail)
            .groupBy("winner_id")
-           .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", tail.alias("t")))),
-                                         lambda s: s["t"]), "").alias("_tail")))
+           .agg(F.expr("listagg(_t, '') WITHIN GROUP (ORDER BY seq)").alias("_tail")))
     j = winners.join(per, winners["id"] == per["winner_id"], "left")
     hit = F.col("winner_id").isNotNull()
     out = (j.withColumn("status", F.when(hit, F.lit("REVOKED")).otherwise(F.col("status")))
