@@ -325,3 +325,31 @@ def test_bounded_broadcast_checks_size(spark):
     ct = spark.createDataFrame([(str(i), str(i), i) for i in range(30)], "id string, label string, sort_order int")
     pr = spark.createDataFrame([], "service_id string, car_type_id string, price decimal(12,2)")
     assert J.price_matrix(svc, ct, pr, max_car_types=10).count() == 30
+
+
+def test_spaces_only_plate_passes_nonblank_then_trims_to_empty(spark):
+    df = spark.createDataFrame([(1, "   "), (2, ""), (3, None), (4, " kaa 001a ")], "id long, vehicle_reg string")
+    kept = P.nonblank_filter(df, "vehicle_reg")
+    assert sorted(r["id"] for r in kept.collect()) == [1, 4]
+    regs = {r["id"]: r["r"] for r in kept.select("id", X.reg("vehicle_reg").alias("r")).collect()}
+    assert regs == {1: "", 4: "KAA 001A"}
+
+
+def test_to_before_from_is_an_empty_period(spark):
+    s = spark.createDataFrame([_sale(0, 100)], SALES)
+    lo, hi = P.resolve_range(from_="2025-03-12", to="2025-03-09")
+    assert hi < lo
+    assert P.period_filter(s, "washed_at", from_="2025-03-12", to="2025-03-09").count() == 0
+    e = spark.createDataFrame([], EXP)
+    assert R.pnl_daily(s, e, from_="2025-03-12", to="2025-03-09").count() == 0
+
+
+def test_service_keyword_wildcards_and_default_words(spark):
+    svc = spark.createDataFrame([(1, "Full Wash"), (2, "Complete Detail"), (3, "Flash"), (4, "Under_Wash"),
+                                 (5, "Carpet 50% off")], "id long, name string")
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(P.service_filter(svc)) == [1, 2]
+    assert ids(P.service_filter(svc, keyword="r_w")) == [4]          # '_' matches any one character
+    assert ids(P.service_filter(svc, keyword="FULL")) == [1]
+    assert ids(P.service_filter(svc, keyword="%")) == [1, 2, 3, 4, 5]
+    assert ids(P.service_filter(svc, service_id=3)) == [3]
