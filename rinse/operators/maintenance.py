@@ -40,7 +40,7 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str], order: list[s
     last = latest_per_key(changes, keys, order, cols).withColumn("_present", F.lit(True))
     last = last.select(*[F.col(k).alias(f"_n_{k}") for k in keys], *[F.col(c).alias(f"_n_{c}") for c in cols],
                        "_present")
-    j = target.withColumn("_old", F.lit(True)).join(last, _keys_on(target, last, keys, "_n_"), "full_outer")
+    j = target.join(last, _keys_on(target, last, keys, "_n_"), "full_outer")
     new = F.coalesce(F.col("_present"), F.lit(False))
     return j.select(*[F.coalesce(F.col(k), F.col(f"_n_{k}")).alias(k) for k in keys],
                     *[F.when(new, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in cols])

@@ -9,7 +9,7 @@ from rinse.operators import commissions as CM
 from rinse.operators import joins as J
 from rinse.operators import reports as R
 from rinse.plans.bindings_sql import with_bindings as W
-from rinse.plans.q_reports import FULL, _rng, _sum
+from rinse.plans.q_reports import _sum
 from rinse.plans.registry import register
 from rinse.sources import bindings as B
 

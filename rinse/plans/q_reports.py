@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from rinse.functions import periods as P
 from rinse.operators import reports as R
