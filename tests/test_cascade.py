@@ -178,3 +178,23 @@ def test_incremental_batches_equal_one_pass(spark, cut):
     got = PR.apply_promotions(spark.createDataFrame(new, VIS), w, spark.createDataFrame(featured, FEAT), cfg, hist)
     got = {r["id"]: r["promo_code"] for r in got.select("id", "promo_code").collect()}
     assert got == {r[0]: expected[r[0]] for r in new}
+
+
+def test_salted_top_k_per_group_equals_plain_window(spark):
+    from pyspark.sql import Window
+    from rinse.operators.ordered import top_k_per_group
+    rows = [(i, 0 if i % 4 else i % 5, (i * 7919) % 97, i) for i in range(4000)]   # group 0: three quarters
+    df = spark.createDataFrame(rows, "id long, g long, score long, tie long")
+    order = [F.col("score").desc(), F.col("tie").asc()]
+    want = {(r["g"], r["id"], r["rk"]) for r in df.withColumn(
+        "rk", F.row_number().over(Window.partitionBy("g").orderBy(*order))).filter("rk <= 7").collect()}
+    got = {(r["g"], r["id"], r["rank"]) for r in top_k_per_group(df, ["g"], order, 7, F.col("id"), salts=16).collect()}
+    assert got == want
+
+
+def test_first_per_group_carries_nulls(spark):
+    from rinse.operators.ordered import first_per_group
+    df = spark.createDataFrame([(1, 5, None), (1, 3, None), (1, 4, "x"), (2, 9, "y"), (None, 1, "z"), (None, 0, None)],
+                               "g long, o long, v string")
+    got = {r["g"]: (r["o"], r["v"]) for r in first_per_group(df, ["g"], ["o"], ["o", "v"]).collect()}
+    assert got == {1: (3, None), 2: (9, "y"), None: (0, None)}
