@@ -129,7 +129,7 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
     pre = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
     w2 = Window.partitionBy(*group_cols).orderBy(*order)
-    return pre.withColumn(out, F.row_number().over(w2)).filter(F.col(out) <= k)
+    return pre.withColumn(out, F.row_number().over(w2).cast("bigint")).filter(F.col(out) <= k)
 
 
 def clamp(value, default: int, lo: int, hi: int) -> int:
