@@ -14,6 +14,14 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 KEYS = sorted(entry.oracle_sql())
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
+def _duck_type(spark_type: str) -> str:
+    return SPARK_TO_DUCK.get(spark_type, spark_type.upper())
+
+
 def _norm(v):
     if isinstance(v, float):
         return repr(round(v, 9))
@@ -47,6 +55,8 @@ def test_matches_oracle(spark, duck, key):
     d_cols = [c[0] for c in cur.description]
     d_rows = cur.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
+    d_types = {c[0]: str(c[1]) for c in cur.description}
+    assert {n: _duck_type(t) for n, t in df.dtypes} == d_types
     assert len(s_rows) == len(d_rows)
     a, b = _digest(df.columns, s_rows), _digest(d_cols, d_rows)
     assert hashlib.sha256("\n".join(a).encode()).digest() == hashlib.sha256("\n".join(b).encode()).digest(), \
