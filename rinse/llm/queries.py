@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rinse.llm import exact_dedup, license_scan, quality_rules, url_filter
+from rinse.llm import exact_dedup, license_scan, quality_rules, token_counts, url_filter
 from rinse.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file (the same on every machine)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.url_filter(url_filter.captures_of(pages), url_filter.entries_of(pages))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -28,6 +38,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_url_filter, op7_license_scan, op8_exact_dedup, op10_quality_rules)}
+    f.__name__: f for f in (op4_url_filter, op6_token_counts, op7_license_scan, op8_exact_dedup, op10_quality_rules)}
 
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
