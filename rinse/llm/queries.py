@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rinse.llm import exact_dedup, license_scan, quality_rules, token_counts, url_filter
+from rinse.llm import bpe_tree, exact_dedup, license_scan, packing, quality_rules, token_counts, url_filter
 from rinse.llm.common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.url_filter(url_filter.captures_of(pages), url_filter.entries_of(pages))
@@ -33,11 +37,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_url_filter, op6_token_counts, op7_license_scan, op8_exact_dedup, op10_quality_rules)}
+    f.__name__: f for f in (
+        op2_bpe_round_trip, op4_url_filter, op6_token_counts, op7_license_scan, op8_exact_dedup, op9_packing, op10_quality_rules)}
 
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
