@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rinse.llm import bpe_tree, exact_dedup, license_scan, packing, quality_rules, token_counts, url_filter
+from rinse.llm import bpe_tree, exact_dedup, jaccard_join, license_scan, packing, quality_rules, token_counts, url_filter
 from rinse.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(url_filter.captures_of(pages), url_filter.entries_of(pages))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -47,6 +51,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_bpe_round_trip, op4_url_filter, op6_token_counts, op7_license_scan, op8_exact_dedup, op9_packing, op10_quality_rules)}
+        op2_bpe_round_trip, op4_url_filter, op5_jaccard_join, op6_token_counts, op7_license_scan, op8_exact_dedup, op9_packing, op10_quality_rules)}
 
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
