@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinse.session import ensure_checkpoint_dir
+from rinse.session import ensure_checkpoint_dir, shared_dir
 
 #: The white space of the word contracts: U+0020 and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -42,5 +42,26 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` hinted for broadcast if its counted rows fit the session's bound, else ``df`` as it is (a shuffled join)."""
+    bound = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower().removesuffix("b")
+    unit = {"k": 2**10, "m": 2**20, "g": 2**30}.get(bound[-1], 1)
+    limit = int(bound.rstrip("kmg")) * unit
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in the one column of ``ids``; rows with a NULL id stay."""
+    gone = durable(ids.toDF("gone_id").filter("gone_id IS NOT NULL").distinct())
+    return docs.join(small(gone, 16), F.col(id_col) == F.col("gone_id"), "left_anti")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

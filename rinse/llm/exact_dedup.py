@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinse.llm.common import SPACE_CLASS, durable, texts
+from rinse.llm.common import SPACE_CLASS, durable, texts, without_ids
 
 PREFIX_CHARS = 256
 
@@ -62,6 +62,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return grouped.select(*cols).unionByName(single.select(*cols))
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text equals that of a row with a smaller id."""
+    dropped = exact_dedup(docs, id_col, text_col, digest_all=True).filter("NOT kept").select("doc_id")
+    return without_ids(docs, dropped, id_col)
+
+
 ORACLE = r"""
 WITH norm AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinse.llm.common import durable, texts
+from rinse.llm.common import durable, small, texts, without_ids
 from rinse.llm.shingles import set_key, shingle_set
 
 WIDTH = 4
@@ -305,7 +305,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .groupBy("b").applyInArrow(_summed, "cls bigint, shared bigint"))
     survivors = durable(classes.join(shared, "cls").filter(100 * F.col("shared") >= percent * F.col("n")).select("cls", "first"))
 
-    segments = durable(d.join(survivors.withColumnRenamed("first", "doc_id"), "doc_id").select("cls", "text")
+    segments = durable(d.join(small(survivors.withColumnRenamed("first", "doc_id"), 32), "doc_id").select("cls", "text")
                        .mapInArrow(_segments(width), "cls bigint, n bigint, f int, seg binary").dropDuplicates(["cls", "f"]))
     postings = durable(segments.mapInArrow(_pack_segments(fragments), PACKED)
                        .groupBy("f").applyInArrow(_frequencies(fragments), "b int, cls binary, n binary, df binary, grams binary")
@@ -317,3 +317,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of_class = named.join(lowest, "label").select("cls", "component")
     return (sets.join(of_class, "cls", "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row, that of the smallest id, for each group of linked texts."""
+    dropped = jaccard_join(docs, id_col, text_col).filter("doc_id <> component_id").select("doc_id")
+    return without_ids(docs, dropped, id_col)

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rinse.llm.common import SPACE_CHARS, SPACE_CLASS, bind, durable, texts
+from rinse.llm.common import SPACE_CHARS, SPACE_CLASS, bind, durable, written
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
@@ -41,12 +41,14 @@ RULES: dict[str, tuple[str, str, str]] = {
 }
 
 MAX_ITERATIONS = 60
-TOLERANCE = 1e-7
+TOLERANCE = 1e-5
 
 
-def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row of counts per document; words are runs of anything but white space.
 
+    With ``carry`` the input row comes along as the struct ``input``.
+
     ``n_repeat_words`` counts the words inside three-word windows that occur at
     least twice in the text: windows are sorted with their positions, equal
     neighbours mark the repeated positions, and each repeated position covers
@@ -70,16 +72,18 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def without(chars: str) -> Column:
         return F.char_length(F.translate(F.col("text"), chars, ""))
 
-    d = texts(docs, id_col, text_col)
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input")] if carry else []
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *whole)
+    kept = ["doc_id", *(["input"] if carry else [])]
     n = F.char_length("text")
     d = d.select(
-        "doc_id", n.alias("n_chars"), without(space).cast("bigint").alias("word_chars"),
+        *kept, n.alias("n_chars"), without(space).cast("bigint").alias("word_chars"),
         (n - without("#*$%&|<>")).cast("bigint").alias("n_symbols"),
         (n - without("!")).alias("n_exclaim"), (n - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("n_upper"),
         F.expr(word_counts.replace("words", f"split(btrim(text, '{_sql(space)}'), '{_sql(SPACE_CLASS)}')", 1)).alias("w"),
         F.expr(line_counts.replace("lines", "filter(split(text, '\\n'), x -> "
                                    f"translate(x, '{_sql(space)}', '') <> '')", 1)).alias("l"))
-    return d.select("doc_id", F.col("w.n_words").cast("bigint").alias("n_words"), "word_chars", "n_symbols",
+    return d.select(*kept, F.col("w.n_words").cast("bigint").alias("n_words"), "word_chars", "n_symbols",
                     F.col("l.n_dup_lines").cast("bigint").alias("n_dup_lines"),
                     F.col("w.n_repeat_words").cast("bigint").alias("n_repeat_words"),
                     F.col("l.n_lines").alias("n_lines"), "n_exclaim", "n_upper",
@@ -151,6 +155,15 @@ def fit_rules(votes: DataFrame, max_iterations: int = MAX_ITERATIONS, tolerance:
     return model
 
 
+def judged(counts: DataFrame, threshold: float) -> DataFrame:
+    """``counts`` with ``base_failed``, ``kept`` and ``quality_prob``, by a model fitted on all its rows."""
+    voted = counts.select("*", *[vote(r).alias(f"v_{r}") for r in RULES])
+    model = fit_rules(voted)
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (voted.withColumn("quality_prob", model.posterior()).withColumn("base_failed", base)
+            .withColumn("kept", ~F.col("base_failed") & (F.col("quality_prob") >= threshold)))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Counts, votes, posterior and verdict of every input row.
 
@@ -161,10 +174,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (no words, every statistic abstains but length, base failed).  NULL or
     repeated ids keep their rows.  Other columns are ignored.
     """
-    counts = durable(text_counts(docs, id_col, text_col))
-    voted = counts.select("*", *[vote(r).alias(f"v_{r}") for r in RULES])
-    model = fit_rules(voted)
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (voted.withColumn("quality_prob", model.posterior()).withColumn("base_failed", base)
-            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    (~F.col("base_failed") & (F.col("quality_prob") >= threshold)).alias("kept"), "quality_prob"))
+    return judged(durable(text_counts(docs, id_col, text_col)), threshold).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_prob")
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
+
+    The rows are written once with their counts; the model reads the counts
+    only, and no text is shuffled.
+    """
+    counts = written(text_counts(docs, id_col, text_col, carry=True), "quality")
+    return judged(counts, threshold).filter("kept").select("input.*")

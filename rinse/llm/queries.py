@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rinse.llm import bpe_tree, exact_dedup, jaccard_join, license_scan, packing, quality_rules, token_counts, url_filter
+from rinse.llm import (
+    bpe_tree, exact_dedup, html_text, jaccard_join, license_scan, packing, quality_rules, token_counts, url_filter, warc)
 from rinse.llm.common import table
 
 
@@ -16,10 +17,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.url_filter(url_filter.captures_of(pages), url_filter.entries_of(pages))
@@ -51,6 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_bpe_round_trip, op4_url_filter, op5_jaccard_join, op6_token_counts, op7_license_scan, op8_exact_dedup, op9_packing, op10_quality_rules)}
+        op1_html_text, op2_bpe_round_trip, op3_warc_round_trip, op4_url_filter, op5_jaccard_join, op6_token_counts,
+        op7_license_scan, op8_exact_dedup, op9_packing, op10_quality_rules)}
 
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
