@@ -26,3 +26,52 @@ def license_base(text: str | None, phrases: dict[str, str]) -> tuple:
     starts = [i for i, _ in places]
     return (len(words), len(places), min(starts, default=None), max(starts, default=None),
             ",".join(sorted({x for _, x in places})))
+
+
+def jaccard_components(rows: list[tuple[int, str | None]], width: int = 4, percent: int = 85) -> dict[int, tuple[int, int]]:
+    """Set size and smallest linked id of every text, by looking at all pairs that share a shingle."""
+    sets: dict[int, frozenset] = {}
+    for i, t in rows:
+        words = SPACE.split(re.sub("[A-Z]", lambda m: m[0].lower(), (t or "").strip(" \t\n\x0b\x0c\r")))
+        words = words if words != [""] else []
+        grams = [tuple(words[k:k + width]) for k in range(len(words) - width + 1)]
+        sets[i] = frozenset(grams or ([tuple(words)] if words else []))
+    holders: dict = {}
+    for i, s in sets.items():
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in sorted(sets):
+        for j, both in Counter(j for g in sets[i] for j in holders[g] if j > i).items():
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def exact_groups(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, bool, str]]:
+    import hashlib
+
+    norm = {i: SPACE.sub(" ", t or "") for i, t in rows}
+    groups: dict = {}
+    for i, t in norm.items():
+        groups.setdefault(t, []).append(i)
+    return {i: (min(groups[t]), len(groups[t]), i == min(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in norm.items()}
+
+
+def warc(rows: list[tuple[int, str | None]]) -> list[tuple]:
+    import base64
+    import hashlib
+
+    first: dict = {}
+    for i, t in rows:
+        first[t or ""] = min(i, first.get(t or "", i))
+    return sorted((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first[t or ""] == i else "revisit",
+                   None if first[t or ""] == i else first[t or ""]) for i, t in rows for b in [(t or "").encode()])
