@@ -113,24 +113,29 @@ def q_p_rate_list(spark, d):
 
 # --- aggregations -------------------------------------------------------------------
 
-_W_TOT = (f"SELECT COUNT(*) AS wash_count, {_sum('unit_price', 'revenue')}, "
-          f"{_sum('commission_amount', 'commission')}, {_sum('profit_amount', 'profit')} FROM b_sales WHERE ")
+def _moves(lo=None, hi=None):
+    """Sales and expenses as rows of one table; each fills its own amounts."""
+    when = (lambda c: _rng(c, lo, hi)) if lo else _rng
+    return f""", moves AS (
+  SELECT CAST(washed_at AS DATE) AS day, 1 AS sales, unit_price AS revenue, commission_amount AS commission,
+         profit_amount AS profit, NULL AS expenses FROM b_sales WHERE {when('washed_at')}
+  UNION ALL BY NAME SELECT CAST(spent_at AS DATE) AS day, 0 AS sales, amount AS expenses FROM b_expenses WHERE {when('spent_at')})"""
+
+
+_AMOUNTS = ", ".join(_sum(c, c) for c in ("revenue", "commission", "profit", "expenses"))
+_NET = "CAST(COALESCE(SUM(profit), 0) - COALESCE(SUM(expenses), 0) AS DECIMAL(22,2))"
 
 
 @register("a1_daily_report", W(["b_sales", "b_expenses"], f"""
-, w AS ({_W_TOT}{_rng('washed_at', f"TIMESTAMP '{DAY}'", f"TIMESTAMP '{DAY}' + INTERVAL 1 DAY")}),
-  e AS (SELECT {_sum('amount', 'expenses')} FROM b_expenses
-        WHERE {_rng('spent_at', f"TIMESTAMP '{DAY}'", f"TIMESTAMP '{DAY}' + INTERVAL 1 DAY")})
-SELECT DATE '{DAY}' AS day, w.*, e.expenses, CAST(w.profit - e.expenses AS DECIMAL(22,2)) AS net_income
-FROM w CROSS JOIN e"""))
+{_moves(f"TIMESTAMP '{DAY}'", f"TIMESTAMP '{DAY}' + INTERVAL 1 DAY")}
+SELECT DATE '{DAY}' AS day, COUNT(*) FILTER (sales = 1) AS wash_count, {_AMOUNTS}, {_NET} AS net_income FROM moves"""))
 def q_a1(spark, d):
     return R.daily_report(B.sales(spark, d), B.expenses(spark, d), DAY)
 
 
 @register("a2_summary_totals", W(["b_sales", "b_expenses"], f"""
-, w AS ({_W_TOT}{_rng('washed_at')}),
-  e AS (SELECT {_sum('amount', 'expenses')} FROM b_expenses WHERE {_rng('spent_at')})
-SELECT w.*, e.expenses, CAST(w.profit - e.expenses AS DECIMAL(22,2)) AS net_income FROM w CROSS JOIN e"""))
+{_moves()}
+SELECT COUNT(*) FILTER (sales = 1) AS wash_count, {_AMOUNTS}, {_NET} AS net_income FROM moves"""))
 def q_a2(spark, d):
     return R.summary_totals(B.sales(spark, d), B.expenses(spark, d), **FULL)
 
@@ -156,18 +161,20 @@ def q_a4(spark, d):
 
 
 @register("a5_by_service", W(["b_sales", "b_services"], f"""
-SELECT s.name AS service, COUNT(*) AS washes_count, {_sum('w.unit_price', 'revenue')},
-       {_sum('w.commission_amount', 'commission')}, {_sum('w.profit_amount', 'profit')}
-FROM b_sales w JOIN b_services s ON s.id = w.service_id
-WHERE {_rng('w.washed_at')} GROUP BY 1"""))
+, per_id AS (SELECT service_id, COUNT(*) AS n, SUM(unit_price) AS r, SUM(commission_amount) AS c, SUM(profit_amount) AS p
+             FROM b_sales WHERE {_rng('washed_at')} GROUP BY service_id),
+  named AS (SELECT (SELECT name FROM b_services WHERE id = service_id) AS service, * FROM per_id
+            WHERE service_id IN (SELECT id FROM b_services))
+SELECT service, CAST(SUM(n) AS BIGINT) AS washes_count, {_sum('r', 'revenue')}, {_sum('c', 'commission')}, {_sum('p', 'profit')}
+FROM named GROUP BY service"""))
 def q_a5(spark, d):
     return R.by_service(B.sales(spark, d), B.services(spark, d), **FULL)
 
 
 @register("a6_by_staff", W(["b_sales", "b_staff"], f"""
-SELECT st.name AS staff_name, COUNT(*) AS washes_count, {_sum('w.commission_amount', 'commission_to_pay')}
-FROM b_sales w JOIN b_staff st ON st.id = w.staff_id
-WHERE w.staff_id IS NOT NULL AND {_rng('w.washed_at')} GROUP BY 1"""))
+, per_id AS (SELECT staff_id, COUNT(*) AS n, SUM(commission_amount) AS c FROM b_sales WHERE {_rng('washed_at')} GROUP BY staff_id)
+SELECT (SELECT name FROM b_staff WHERE id = staff_id) AS staff_name, CAST(SUM(n) AS BIGINT) AS washes_count, {_sum('c', 'commission_to_pay')}
+FROM per_id WHERE staff_id IN (SELECT id FROM b_staff) GROUP BY 1"""))
 def q_a6(spark, d):
     return R.by_staff(B.sales(spark, d), B.staff(spark, d), **FULL)
 
@@ -179,26 +186,15 @@ def q_a7(spark, d):
 
 
 @register("a8_pnl_totals", W(["b_sales", "b_expenses"], f"""
-, w AS (SELECT {_sum('unit_price', 'revenue')}, {_sum('commission_amount', 'commission')},
-               {_sum('profit_amount', 'profit')} FROM b_sales WHERE {_rng('washed_at')}),
-  e AS (SELECT {_sum('amount', 'expenses')} FROM b_expenses WHERE {_rng('spent_at')})
-SELECT w.*, e.expenses, CAST(w.profit - e.expenses AS DECIMAL(22,2)) AS net_income FROM w CROSS JOIN e"""))
+{_moves()}
+SELECT {_AMOUNTS}, {_NET} AS net_income FROM moves"""))
 def q_a8(spark, d):
     return R.pnl_totals(B.sales(spark, d), B.expenses(spark, d), **FULL)
 
 
 PNL_DAILY_SQL = W(["b_sales", "b_expenses"], f"""
-, ws AS (SELECT CAST(washed_at AS DATE) AS day, {_sum('unit_price', 'revenue')},
-                {_sum('commission_amount', 'commission')}, {_sum('profit_amount', 'profit')}
-         FROM b_sales WHERE {_rng('washed_at')} GROUP BY 1),
-  es AS ({_ES})
-SELECT COALESCE(ws.day, es.day) AS day,
-       CAST(COALESCE(ws.revenue, 0) AS DECIMAL(22,2)) AS revenue,
-       CAST(COALESCE(ws.commission, 0) AS DECIMAL(22,2)) AS commission,
-       CAST(COALESCE(ws.profit, 0) AS DECIMAL(22,2)) AS profit,
-       CAST(COALESCE(es.expenses, 0) AS DECIMAL(22,2)) AS expenses,
-       CAST(COALESCE(ws.profit, 0) - COALESCE(es.expenses, 0) AS DECIMAL(22,2)) AS net
-FROM ws FULL OUTER JOIN es ON ws.day = es.day""")
+{_moves()}
+SELECT day, {_AMOUNTS}, {_NET} AS net FROM moves GROUP BY day""")
 
 
 @register("a9_pnl_daily", PNL_DAILY_SQL)
