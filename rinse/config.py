@@ -36,6 +36,7 @@ VALIDATION_MESSAGES = {
     "staff": "staff_id is required.",
     "car_type": "car_type is required.",
 }
+MSG_NO_PRICE = "Price not configured for service & car type."
 # ---------------------------------------------------------------------------
 
 

@@ -4,8 +4,6 @@ Dimension joins carry no broadcast hint: AQE measures the finished shuffle
 stage of each side and turns a sort-merge join into a broadcast hash join
 only when the side is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 That runtime check is the size bound; above it the join stays sort-merge.
-The only explicit broadcasts are of tables whose row count is checked first
-(``bounded_broadcast``) or that are fixed configuration rows.
 """
 
 from __future__ import annotations
@@ -18,26 +16,6 @@ from rinse.functions import expr as X
 from rinse.sources.schemas import MONEY, TOTAL
 
 
-class TooLargeToBroadcast(ValueError):
-    pass
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int, fallback: bool = True) -> DataFrame:
-    """Broadcast ``df`` after proving it has at most ``max_rows`` rows.
-
-    The proof is a count over at most ``max_rows + 1`` rows (a limit, so the
-    check never scans more than it has to).  Beyond the bound the frame is
-    returned without the hint and the planner joins it without broadcasting
-    (or, with ``fallback=False``, ``TooLargeToBroadcast`` is raised).
-    """
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        if fallback:
-            return df
-        raise TooLargeToBroadcast(f"{n} rows > {max_rows}")
-    return F.broadcast(df)
-
-
 def wash_detail(washes: DataFrame, services: DataFrame, car_types: DataFrame,
                 staff: DataFrame) -> DataFrame:
     """j1: sales with service and car type labels (inner) and staff name (left)."""
@@ -56,7 +34,7 @@ def receipts(washes: DataFrame, services: DataFrame, car_types: DataFrame, staff
     if ids is not None:
         washes = washes.join(ids.select("id"), "id", "left_semi")
     d = wash_detail(washes, services, car_types, staff)
-    p = F.broadcast(promos.select(F.col("id").alias("_pid"), F.col("name").alias("promo_name")))
+    p = promos.select(F.col("id").alias("_pid"), F.col("name").alias("promo_name"))
     d = d.join(p, d["promo_id"] == p["_pid"], "left")
     return d.select("id", "unit_price", "commission_pct", "commission_amount", "profit_amount",
                     "is_free", "vehicle_reg", "promo_name",
@@ -65,9 +43,15 @@ def receipts(washes: DataFrame, services: DataFrame, car_types: DataFrame, staff
 
 
 def left_join_in_period(staff: DataFrame, washes_in_period: DataFrame) -> DataFrame:
-    """j5: every staff member, with the sales of the period (filter applied before the join)."""
+    """j5: every staff member, with the sales of the period (filter applied before the join).
+
+    The sales are the left side of an inner join, where a staff member with very
+    many sales can be split over tasks; staff without sales are added to it."""
     w = washes_in_period.withColumnRenamed("staff_id", "_w_staff")
-    return staff.join(w, staff["id"] == w["_w_staff"], "left")
+    sold = w.join(staff, staff["id"] == w["_w_staff"])
+    active = w.select("_w_staff").distinct()
+    idle = staff.join(active, staff["id"] == active["_w_staff"], "left_anti")
+    return sold.select(*staff.columns, *w.columns).unionByName(idle, allowMissingColumns=True)
 
 
 def with_rate(df: DataFrame, rates: DataFrame, role_col: str = "role_label",
@@ -106,16 +90,13 @@ def candidates_with_winner(cands: DataFrame, winners: DataFrame) -> DataFrame:
             .drop("_wd", "_wc", "_wr", "_cr"))
 
 
-def price_matrix(services: DataFrame, car_types: DataFrame, prices: DataFrame,
-                 max_car_types: int = 10_000) -> DataFrame:
+def price_matrix(services: DataFrame, car_types: DataFrame, prices: DataFrame) -> DataFrame:
     """j11 (flat): every service x car type with its price, missing -> 0.
 
-    The product is the definition of the result; the car-type side is a
-    dimension whose size is checked before it is broadcast to each task.
+    The product of the two dimensions is the definition of the result; no hint
+    is given, so the planner broadcasts a side only if its size allows it.
     """
-    ct = bounded_broadcast(car_types.select(F.col("id").alias("car_type_id"),
-                                            F.col("label").alias("car_type_label"),
-                                            F.col("sort_order")), max_car_types)
+    ct = car_types.select(F.col("id").alias("car_type_id"), F.col("label").alias("car_type_label"), F.col("sort_order"))
     grid = services.select(F.col("id").alias("service_id"), F.col("name").alias("service_name")) \
         .crossJoin(ct)
     p = prices.select("service_id", "car_type_id", "price")
@@ -159,7 +140,7 @@ def fill_prices(washes: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFr
     filled = j.withColumn("unit_price", F.coalesce(F.col("unit_price"), F.col("_list_price")).cast(MONEY))
     ok = filled.filter(F.col("unit_price").isNotNull()).drop("_list_price")
     rejects = filled.filter(F.col("unit_price").isNull()).drop("_list_price", "unit_price") \
-        .withColumn("reason", F.lit("Price not configured for service & car type."))
+        .withColumn("reason", F.lit(C.MSG_NO_PRICE))
     return ok, rejects
 
 

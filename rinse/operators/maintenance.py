@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from rinse import config as C
 from rinse.functions import expr as X
 from rinse.operators.commissions import book_commission
-from rinse.operators.joins import bounded_broadcast
 from rinse.sources.schemas import MONEY, PCT
 
 
@@ -107,7 +106,8 @@ def delete_keys(target: DataFrame, keys: DataFrame, key: str,
     req = keys.select(F.col(key).alias("_del")).distinct()
     refused = req.limit(0)
     for child, fk in restrict or []:
-        refs = child.select(F.col(fk).alias("_del")).filter(F.col("_del").isNotNull())
+        # distinct first: a key with very many children is one row per task from here on
+        refs = child.select(F.col(fk).alias("_del")).filter(F.col("_del").isNotNull()).distinct()
         refused = refused.unionByName(req.join(refs, "_del", "left_semi"))
     refused = refused.distinct()
     deleted = req.join(refused, "_del", "left_anti")
@@ -117,10 +117,10 @@ def delete_keys(target: DataFrame, keys: DataFrame, key: str,
 
 
 def seed_prices(services: DataFrame, car_types: DataFrame, prices: DataFrame,
-                rules: dict | None = None, max_car_types: int = 10_000) -> DataFrame:
+                rules: dict | None = None) -> DataFrame:
     """m5: a price for every (service, car type) pair from a CASE on the car-type label,
     only where no price exists.  Returns the rows to insert."""
-    ct = bounded_broadcast(car_types.select(F.col("id").alias("car_type_id"), "label"), max_car_types)
+    ct = car_types.select(F.col("id").alias("car_type_id"), "label")
     grid = services.select(F.col("id").alias("service_id")).crossJoin(ct)
     grid = grid.withColumn("price", X.price_case("label", rules).cast(MONEY)).drop("label")
     return grid.join(prices.select("service_id", "car_type_id"), ["service_id", "car_type_id"], "left_anti")

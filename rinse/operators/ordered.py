@@ -4,13 +4,10 @@ A plain ``Window.partitionBy(g)`` puts every row of a group into one task.
 If one customer or one day holds a third of all rows, that task is the job.
 The helpers here never need a whole group in one task:
 
-* ``running_sum`` / ``ordinal``: first the largest group is measured (a
-  partial aggregate, one number to the driver).  If every group fits one task
-  (``MAX_GROUP_ROWS``), a plain window partitioned by group does it.  If not,
-  the rows are range-partitioned on (group, order), so a hot group is cut into
-  contiguous slices on many tasks; each slice computes a local running sum,
-  and the totals of earlier slices (a small table with one row per slice and
-  group) are added as an offset.  Both paths give identical results.
+* ``running_sum`` / ``ordinal``: the rows are range-partitioned on (group,
+  order), so a hot group is cut into contiguous slices on many tasks; each
+  slice computes a local running sum, and the totals of earlier slices (a small
+  table with one row per slice and group) are added as an offset.
 * ``first_per_group``: min over a struct, a hash aggregate with map-side
   partial aggregation.
 * ``top_k_per_group``: top-k per (group, salt), then top-k per group over at
@@ -26,23 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# Largest group a single task may rank on its own (rows); above it the sliced path runs.
-MAX_GROUP_ROWS = 5_000_000
-
-
 def _n_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def largest_group(df: DataFrame, group_cols: list[str]) -> int:
-    """Rows in the largest group (NULL keys form a group), by a partial aggregate."""
-    top = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
-    return int(top or 0)
-
-
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list, value: Column | None = None,
-                out: str = "running", partitions: int | None = None,
-                max_group_rows: int | None = None) -> DataFrame:
+                out: str = "running", partitions: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` (1 = running count) within each group.
 
     ``order_cols`` must be a total order inside a group (append a unique key).
@@ -51,15 +37,7 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list, value: C
     ensure_checkpoint_dir(df.sparkSession)
     sort_keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     v = F.lit(1).cast("bigint") if value is None else value
-    # The input is evaluated once and kept on shared storage (a reliable
-    # checkpoint): the size check, the range sampling and the ranking all read
-    # it, and later passes start from it instead of re-running the lineage.
-    src = df.withColumn("_v", v).checkpoint(eager=True)
-    bound = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    if largest_group(src, group_cols) <= bound:
-        w = (Window.partitionBy(*group_cols).orderBy(*sort_keys)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return src.withColumn(out, F.sum("_v").over(w)).drop("_v")
+    src = df.withColumn("_v", v)
     n = partitions or _n_partitions(df)
     # Group keys as non-null columns (value or type default, plus a null flag),
     # so NULL groups stay separate and every later window, aggregate and join
@@ -72,8 +50,8 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list, value: C
               .withColumn(f"_gn{i}", F.col(g).isNull()))
         gk += [f"_gk{i}", f"_gn{i}"]
     # The slice of a row is its range partition.  Range bounds are sampled, so
-    # the assignment is fixed by a second checkpoint: the local sums and the
-    # slice totals then read the very same slices.
+    # the assignment is fixed by a reliable checkpoint: the local sums and the
+    # slice totals then read the very same slices, and later passes start there.
     sliced = (d.repartitionByRange(n, *[F.col(g) for g in group_cols], *sort_keys)
                .withColumn("_slice", F.spark_partition_id())
                .checkpoint(eager=True))
@@ -104,9 +82,9 @@ def _default(dtype: T.DataType) -> Column:
 
 
 def ordinal(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "ordinal",
-            partitions: int | None = None, max_group_rows: int | None = None) -> DataFrame:
+            partitions: int | None = None) -> DataFrame:
     """1-based position of each row inside its group, in ``order_cols`` order."""
-    return running_sum(df, group_cols, order_cols, None, out, partitions, max_group_rows)
+    return running_sum(df, group_cols, order_cols, None, out, partitions)
 
 
 def first_per_group(df: DataFrame, group_cols: list[str], order_cols: list[str],

@@ -193,7 +193,7 @@ def visits_per_month(washes: DataFrame) -> DataFrame:
 def reward_use(washes: DataFrame, promos: DataFrame, code: str = C.PROMO_FEATURED) -> DataFrame:
     """a18: per plate and month, whether (and how often) the reward with ``code`` was used,
     i.e. a free sale carrying that promotion."""
-    p = F.broadcast(promos.select(F.col("id").alias("_pid"), F.col("code").alias("_code")))
+    p = promos.select(F.col("id").alias("_pid"), F.col("code").alias("_code"))
     w = washes.join(p, washes["promo_id"] == p["_pid"], "left")
     used = F.col("is_free") & (F.col("_code") == code)
     return (w.filter(X.plate("vehicle_reg") != "")
@@ -210,7 +210,7 @@ def expense_list(expenses: DataFrame, month=None, as_of=None) -> DataFrame:
     return e.select("id", "category", F.col("note").alias("description"), "amount", "spent_at",
                     F.lit(None).cast("string").alias("receipt_no"),
                     "created_by_user_id") \
-        .orderBy(F.col("spent_at").desc(), F.col("created_by_user_id").asc_nulls_last()) \
+        .orderBy(F.col("spent_at").desc(), F.col("created_by_user_id").asc_nulls_last(), "id") \
         .drop("created_by_user_id")
 
 
@@ -218,7 +218,7 @@ def expenses_in_period(expenses: DataFrame, **period) -> DataFrame:
     """p_expense_period: a period's expenses (intended columns), newest first."""
     e = _period(expenses, "spent_at", period)
     return e.select("id", F.col("note").alias("description"), "amount", "spent_at", "created_at") \
-        .orderBy(F.col("spent_at").desc(), F.col("created_at").desc())
+        .orderBy(F.col("spent_at").desc(), F.col("created_at").desc(), "id")
 
 
 def featured_for_month(featured: DataFrame, month=None, as_of=None) -> DataFrame:
@@ -230,7 +230,7 @@ def featured_for_month(featured: DataFrame, month=None, as_of=None) -> DataFrame
                     (F.col("used_at") if "used_at" in cols else F.lit(None).cast("timestamp_ntz")).alias("used_at"),
                     (F.col("featured_by") if "featured_by" in cols else F.lit(None).cast("string")).alias("created_by"),
                     "created_at") \
-        .orderBy(F.col("created_at").desc())
+        .orderBy(F.col("created_at").desc(), "id")
 
 
 def rate_list(rates: DataFrame) -> DataFrame:

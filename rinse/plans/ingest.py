@@ -36,8 +36,9 @@ def new_customer_id(key_col: str) -> F.Column:
 def ingest_sales(new_sales: DataFrame, prices: DataFrame, customers: DataFrame, winners: DataFrame,
                  featured: DataFrame, settings: PromoSettings = PromoSettings(),
                  snapshot_path: str | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Returns (booked sales, rejected rows with reasons); writes the booked sales
-    partitioned by day when ``snapshot_path`` is given.
+    """Returns (booked sales, rejected rows with reasons); appends the booked sales
+    to the day-partitioned table at ``snapshot_path`` when it is given, beside
+    the sales earlier batches booked on the same days.
 
     ``new_sales``: id, service_id, car_type_id, staff_id, unit_price (NULL = list
     price), commission_pct (NULL = default), washed_at, customer_name,
@@ -60,7 +61,7 @@ def ingest_sales(new_sales: DataFrame, prices: DataFrame, customers: DataFrame,
                                  issued=history.select("receipt_no") if history is not None else None)
     out = numbered.select(*SALE_COLS)
     if snapshot_path:
-        sinks.write_snapshot(out.withColumn("day", F.to_date("washed_at")), snapshot_path, part="day")
+        sinks.write_snapshot(out.withColumn("day", F.to_date("washed_at")), snapshot_path, part="day", mode="append")
     rejects = (invalid.select("id", F.array_join("errors", "; ").alias("reason"))
                .unionByName(unpriced.select("id", "reason")))
     return out, rejects

@@ -18,10 +18,8 @@ from rinse.streaming import replay as RP
 SELECT customer_id, COUNT(*) AS visits_count, MAX(washed_at) AS last_visit FROM b_washes
 WHERE customer_id IS NOT NULL GROUP BY customer_id"""))
 def q_st1(spark, d):
-    src = B.washes(spark, d).select("id", "customer_id", "washed_at")
-    path = RP.stage_files(src, "washed_at", 6, "st1")
-    stream = RP.read_stream_source(spark, path, src.schema)
-    out = RP.run_available(spark, S.counters_stream(stream), "update", "st1")
+    src = B.washes(S.rocksdb_session(spark), d).select("id", "customer_id", "washed_at")
+    out = RP.replay(src, "washed_at", 6, "st1", "update", S.counters_stream)
     return RP.latest(spark, out, ["customer_id"])
 
 
@@ -31,11 +29,8 @@ SELECT id, customer_id, CAST(date_trunc('month', washed_at) AS DATE) AS month,
        ROW_NUMBER() OVER (PARTITION BY customer_id, date_trunc('month', washed_at) ORDER BY washed_at, id) % 13 = 0 AS loyalty_hit
 FROM b_visits WHERE customer_id IS NOT NULL"""))
 def q_st2(spark, d):
-    S.use_rocksdb(spark)
-    src = B.visits(spark, d).select("id", "customer_id", "washed_at")
-    path = RP.stage_files(src, "washed_at", 5, "st2")
-    stream = RP.read_stream_source(spark, path, src.schema)
-    out = RP.run_available(spark, S.loyalty_stream(stream), "append", "st2")
+    src = B.visits(S.rocksdb_session(spark), d).select("id", "customer_id", "washed_at")
+    out = RP.replay(src, "washed_at", 5, "st2", "append", S.loyalty_stream)
     return spark.read.schema(S.LOYALTY_OUT).parquet(out)
 
 

@@ -1,8 +1,9 @@
 """Sinks: write a table snapshot partitioned by day, and read it back typed.
 
-Writes use dynamic partition overwrite, so a batch replaces exactly the days
-it contains and leaves every other day of the table untouched (the batch form
-of inserting or replacing the rows of those days).
+``mode="overwrite"`` uses dynamic partition overwrite: a batch replaces exactly
+the days it contains and leaves every other day untouched.  ``mode="append"``
+adds a batch's rows beside those already there, for new sales of days that
+have some.
 """
 
 from __future__ import annotations

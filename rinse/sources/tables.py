@@ -1,7 +1,8 @@
 """Typed reads of the driver's parquet tables.
 
-Schemas are declared, never inferred, so a drifted file fails fast instead of
-silently changing a type.  Reading with an explicit schema keeps column
+Schemas are declared and compared with the file's own (its footer), so a
+drifted file fails before a job starts: a missing or retyped column raises,
+further columns are ignored.  Reading with an explicit schema keeps column
 pruning and filter pushdown: only the columns a job selects reach the scan.
 """
 
@@ -36,9 +37,22 @@ DRIVER_SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+class SchemaDrift(ValueError):
+    """A file's columns are not the declared ones."""
+
+
+def read_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Read Parquet with a declared schema; raise ``SchemaDrift`` if the file has other columns or types."""
+    found = {f.name: f.dataType for f in spark.read.parquet(path).schema.fields}
+    wrong = [f"{f.name}: {f.dataType.simpleString()} declared, {found[f.name].simpleString() if f.name in found else 'missing'} found"
+             for f in schema.fields if found.get(f.name) != f.dataType]
+    if wrong:
+        raise SchemaDrift(f"{path}: {'; '.join(wrong)}")
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table with its declared schema."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = DRIVER_SCHEMAS.get(name)
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path)
+    return read_typed(spark, path, schema) if schema is not None else spark.read.parquet(path)

@@ -5,7 +5,8 @@ aggregate (Spark keeps the running count and max in its state store).
 
 ``loyalty_stream``: the n-th-visit-of-the-month flag at arrival time.  Each
 (customer, month) key keeps one number, the visits seen so far, in a value
-state with a time-to-live (a month key is not needed two months later).  A
+state (``ttl_ms`` can let month keys expire; by default none does, so a sale
+that arrives late still counts every earlier one).  A
 micro-batch brings the key's new rows; they are ordered by (washed_at, id)
 and numbered after the stored count.  Ordinals follow arrival, as in the
 reference, so a late sale takes the next ordinal and earlier ones are never
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -25,7 +26,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from rinse import config as C
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_TTL_MS = 62 * 24 * 3600 * 1000
 
 LOYALTY_OUT = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("customer_id", T.LongType()),
@@ -43,12 +43,11 @@ def counters_stream(stream: DataFrame) -> DataFrame:
 class LoyaltyCounter(StatefulProcessor):
     """Numbers a key's sales in arrival order, continuing from the stored count."""
 
-    def __init__(self, every_n: int = C.LOYALTY_EVERY_N):
-        self.every_n = every_n
+    def __init__(self, every_n: int = C.LOYALTY_EVERY_N, ttl_ms: int | None = None):
+        self.every_n, self.ttl_ms = every_n, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("n", T.LongType())]),
-                                         STATE_TTL_MS)
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("n", T.LongType())]), self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["washed_at", "id"], kind="mergesort")
@@ -63,22 +62,26 @@ class LoyaltyCounter(StatefulProcessor):
         pass
 
 
-def loyalty_stream(stream: DataFrame, every_n: int = C.LOYALTY_EVERY_N) -> DataFrame:
+def loyalty_stream(stream: DataFrame, every_n: int = C.LOYALTY_EVERY_N, ttl_ms: int | None = None) -> DataFrame:
     """st2: every sale of a known customer with its ordinal in the month and the loyalty flag.
 
-    Needs the RocksDB state store (``use_rocksdb``)."""
+    With ``ttl_ms`` a month's count is dropped that long (processing time) after
+    its last sale, and a later sale of the month would start at 1 again.  Needs
+    the RocksDB state store (``rocksdb_session``)."""
     s = (stream.filter(F.col("customer_id").isNotNull())
          .select("id", "customer_id", "washed_at", F.trunc(F.to_date("washed_at"), "MM").alias("month")))
     return s.groupBy("customer_id", "month").transformWithStateInPandas(
-        statefulProcessor=LoyaltyCounter(every_n), outputStructType=LOYALTY_OUT,
-        outputMode="Append", timeMode="ProcessingTime")
+        statefulProcessor=LoyaltyCounter(every_n, ttl_ms), outputStructType=LOYALTY_OUT,
+        outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
-def use_rocksdb(spark) -> None:
-    """Stateful processors keep their state in RocksDB (spills to disk, checkpointed).
+def rocksdb_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for a stream, with its state in RocksDB (on disk, checkpointed).
 
-    State TTL runs on processing time; expired month keys are dropped while
-    data batches run, so no extra micro-batches without data are needed (with
-    them an ``availableNow`` run would never become idle)."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    The settings stay in that session.  Micro-batches without data are off:
+    with them an ``availableNow`` run over a state that expires by processing
+    time would never become idle."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    return own

@@ -106,17 +106,12 @@ def _fixture(n=1500, seed=7):
     return visits, winners, featured
 
 
-@pytest.mark.parametrize("cfg,max_group_rows", [
-    (PromoSettings(random_prob=0.3, random_min_visits=2, random_daily_cap=4), 50),
-    (PromoSettings(random_prob=0.3, random_min_visits=2, random_daily_cap=4), None),
-    (PromoSettings(random_prob=0.5, random_min_visits=0, random_daily_cap=0, featured_once_per_month=False), 50),
-    (PromoSettings(random_enabled=False), None),
+@pytest.mark.parametrize("cfg", [
+    PromoSettings(random_prob=0.3, random_min_visits=2, random_daily_cap=4),
+    PromoSettings(random_prob=0.5, random_min_visits=0, random_daily_cap=0, featured_once_per_month=False),
+    PromoSettings(random_enabled=False),
 ])
-def test_cascade_equals_sequential_replay(spark, monkeypatch, cfg, max_group_rows):
-    """With a bound of 50 rows the hot customer and every day take the sliced path."""
-    import rinse.operators.ordered as O
-    if max_group_rows is not None:
-        monkeypatch.setattr(O, "MAX_GROUP_ROWS", max_group_rows)
+def test_cascade_equals_sequential_replay(spark, cfg):
     visits, winners, featured = _fixture()
     expected = simulate(visits, winners, featured, cfg)
     v = spark.createDataFrame(visits, VIS)
@@ -143,17 +138,15 @@ def test_skew_safe_ordinal_matches_row_number(spark):
     from pyspark.sql import Window
     ref = {r["id"]: r["rn"] for r in df.withColumn(
         "rn", F.row_number().over(Window.partitionBy("g").orderBy("ts", "id"))).collect()}
-    sliced = {r["id"]: r["o"] for r in ordinal(df, ["g"], ["ts", "id"], "o", partitions=16,
-                                                max_group_rows=100).collect()}
-    plain = {r["id"]: r["o"] for r in ordinal(df, ["g"], ["ts", "id"], "o").collect()}
-    assert sliced == ref and plain == ref
+    sliced = {r["id"]: r["o"] for r in ordinal(df, ["g"], ["ts", "id"], "o", partitions=16).collect()}
+    one = {r["id"]: r["o"] for r in ordinal(df, ["g"], ["ts", "id"], "o", partitions=1).collect()}
+    assert sliced == ref and one == ref
 
 
 def test_running_sum_with_null_group(spark):
     rows = [(i, None if i % 2 else 1, i % 3) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, g long, v long")
-    got = {r["id"]: r["s"] for r in running_sum(df, ["g"], ["id"], F.col("v"), "s", partitions=5,
-                                                max_group_rows=10).collect()}
+    got = {r["id"]: r["s"] for r in running_sum(df, ["g"], ["id"], F.col("v"), "s", partitions=5).collect()}
     acc, exp = {}, {}
     for i, g, v in rows:
         acc[g] = acc.get(g, 0) + v

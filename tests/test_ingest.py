@@ -42,3 +42,16 @@ def test_ingest_second_batch_continues_history(spark):
     want = {r["id"]: r["promo_code"] for r in one_pass.filter("washed_at >= TIMESTAMP '2024-01-15'").collect()}
     got = {r["id"]: r["promo_code"] for r in out.collect()}
     assert got == want
+
+
+def test_a_second_batch_of_a_day_keeps_the_first(spark):
+    src = B.new_sales(spark, SMALL)
+    cut = "TIMESTAMP '2024-01-15 12:00:00'"
+    path = shared_dir(spark, "t-two-batches")
+    args = (B.sale_prices(spark, SMALL), B.known_customers(spark, SMALL), B.winners(spark, SMALL), B.featured(spark, SMALL), PromoSettings())
+    h, _ = ingest_sales(src.filter(f"washed_at < {cut}"), *args, path)
+    first = spark.read.parquet(path).select("id").collect()
+    late, _ = ingest_sales(src.filter(f"washed_at >= {cut}"), *args, path, history=h)
+    ids = [r["id"] for r in spark.read.parquet(path).select("id").collect()]
+    assert len(ids) == len(set(ids)) == len(first) + late.count()
+    assert {r["id"] for r in first} < set(ids)

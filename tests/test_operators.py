@@ -313,18 +313,34 @@ def test_reports_do_not_depend_on_session_time_zone(spark, tz):
     assert base == other and len(base) > 0
 
 
-def test_bounded_broadcast_checks_size(spark):
-    small = spark.range(5)
-    assert "Broadcast" in J.bounded_broadcast(small, 10).join(spark.range(100), "id")._jdf.queryExecution() \
-        .executedPlan().toString()
-    big = spark.range(50)
-    assert J.bounded_broadcast(big, 10) is big
-    with pytest.raises(J.TooLargeToBroadcast):
-        J.bounded_broadcast(big, 10, fallback=False)
+def test_price_matrix_holds_every_pair(spark):
     svc = spark.createDataFrame([("A", "A")], "id string, name string")
     ct = spark.createDataFrame([(str(i), str(i), i) for i in range(30)], "id string, label string, sort_order int")
     pr = spark.createDataFrame([], "service_id string, car_type_id string, price decimal(12,2)")
-    assert J.price_matrix(svc, ct, pr, max_car_types=10).count() == 30
+    assert J.price_matrix(svc, ct, pr).count() == 30
+
+
+def test_typed_read_fails_on_drift(spark):
+    from rinse.session import shared_dir
+    from rinse.sources import tables as TB
+
+    schema = TB.DRIVER_SCHEMAS["supplier"]
+    path = shared_dir(spark, "t-drift")
+    good = TB.read_table(spark, "/root/testdata/sf0.001", "supplier")
+    for i, (df, part) in enumerate([(good.withColumnRenamed("s_name", "s_nom"), "s_name"),
+                                    (good.withColumn("s_suppkey", F.col("s_suppkey").cast("string")), "s_suppkey")]):
+        df.write.parquet(f"{path}/{i}")
+        with pytest.raises(TB.SchemaDrift, match=part):
+            TB.read_typed(spark, f"{path}/{i}", schema)
+    good.withColumn("more", F.lit(1)).write.parquet(f"{path}/more")
+    assert TB.read_typed(spark, f"{path}/more", schema).columns == schema.names
+
+
+def test_left_join_in_period_with_one_hot_member(spark):
+    staff = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
+    sales = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 1), (None, 7), (9, 7)], "staff_id long, amount long")
+    got = J.left_join_in_period(staff, sales).groupBy("id").agg(F.count("amount").alias("n"), F.count("*").alias("rows")).collect()
+    assert sorted(map(tuple, got)) == [(1, 500, 500), (2, 1, 1), (3, 0, 1)]
 
 
 def test_spaces_only_plate_passes_nonblank_then_trims_to_empty(spark):

@@ -11,9 +11,8 @@ from tests.conftest import SMALL
 
 
 def test_counters_stream_equals_batch(spark):
-    src = B.washes(spark, SMALL).select("id", "customer_id", "washed_at")
-    path = RP.stage_files(src, "washed_at", 4, "t-st1")
-    out = RP.run_available(spark, S.counters_stream(RP.read_stream_source(spark, path, src.schema)), "update", "t-st1")
+    src = B.washes(S.rocksdb_session(spark), SMALL).select("id", "customer_id", "washed_at")
+    out = RP.replay(src, "washed_at", 4, "t-st1", "update", S.counters_stream)
     got = sorted(map(tuple, RP.latest(spark, out, ["customer_id"]).select("customer_id", "visits_count", "last_visit")
                      .collect()))
     want = sorted(map(tuple, M.customer_counters(src).select("customer_id", "visits_count", "last_visit").collect()))
@@ -21,10 +20,8 @@ def test_counters_stream_equals_batch(spark):
 
 
 def test_loyalty_stream_equals_batch_ordinals(spark):
-    S.use_rocksdb(spark)
-    src = B.visits(spark, SMALL).select("id", "customer_id", "washed_at")
-    path = RP.stage_files(src, "washed_at", 3, "t-st2")
-    out = RP.run_available(spark, S.loyalty_stream(RP.read_stream_source(spark, path, src.schema)), "append", "t-st2")
+    src = B.visits(S.rocksdb_session(spark), SMALL).select("id", "customer_id", "washed_at")
+    out = RP.replay(src, "washed_at", 3, "t-st2", "append", S.loyalty_stream)
     got = {r["id"]: r["ordinal"] for r in spark.read.schema(S.LOYALTY_OUT).parquet(out).collect()}
     batch = PR.loyalty_award(B.visits(spark, SMALL).selectExpr("*", "false AS draw_free", "false AS featured_free"))
     want = {r["id"]: r["month_ordinal"] for r in batch.filter("customer_id IS NOT NULL").collect()}
