@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rinse import config as C
 from rinse.functions import expr as X
 from rinse.operators.commissions import book_commission
+from rinse.sources import sinks
 from rinse.sources.schemas import MONEY, PCT
 
 
@@ -131,8 +132,10 @@ def resolve_customers(customers: DataFrame, contacts: DataFrame) -> DataFrame:
 
     Lookups are exact, as in the reference; several customers with the same
     phone or plate resolve to the lowest id.  Contacts are resolved against
-    the table as it stood; new contacts sharing a phone (else a plate) form one
-    new customer, keyed by that value.  A contact with neither gets none."""
+    the table as it stood.  New contacts that share a phone or a plate, directly
+    or through others, are one new customer; ``new_customer_key`` is the smallest
+    of the group's phones (``phone ...``), else plates (``plate ...``).  A contact
+    with neither gets none."""
     def blank_to_null(c):
         return F.when(F.col(c) != "", F.col(c))
 
@@ -147,10 +150,33 @@ def resolve_customers(customers: DataFrame, contacts: DataFrame) -> DataFrame:
               .when(F.col("_by_plate").isNotNull(), F.lit("plate"))
               .when(F.col("_phone").isNotNull() | F.col("_plate").isNotNull(), F.lit("new"))
               .otherwise(F.lit("none")))
-    return j.select("contact_id",
-                    F.coalesce(F.col("_by_phone"), F.col("_by_plate")).alias("customer_id"),
-                    match.alias("match"),
-                    F.when(match == "new", F.coalesce(F.col("_phone"), F.col("_plate"))).alias("new_customer_key"))
+    seen = j.select("contact_id", F.coalesce(F.col("_by_phone"), F.col("_by_plate")).alias("customer_id"), match.alias("match"),
+                    F.when(match == "new", F.concat(F.lit("phone "), "_phone")).alias("_p"),
+                    F.when(match == "new", F.concat(F.lit("plate "), "_plate")).alias("_v"))
+    root = same_person(seen.select("_p", "_v"))
+    own = F.coalesce("_p", "_v")
+    return (seen.withColumn("_own", own).join(root, F.col("_own") == root["node"], "left")
+            .select("contact_id", "customer_id", "match", F.col("root").alias("new_customer_key")))
+
+
+def same_person(marks: DataFrame) -> DataFrame:
+    """``node, root`` for the phones and plates in the two columns of ``marks``: nodes on one row are one person.
+
+    The root is the smallest node of the person.  Labels spread over the rows and
+    then jump to the label of their label, until none changes; the number of
+    rounds grows with the logarithm of a chain's length, and there is no bound on it."""
+    pairs = marks.toDF("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct()
+    both = sinks.materialise(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "person-pairs")
+    nodes = marks.select(F.explode(F.array(*[F.col(c) for c in marks.columns])).alias("node")).filter("node IS NOT NULL").distinct()
+    labels = sinks.materialise(nodes.withColumn("root", F.col("node")), "person")
+    while True:
+        near = both.join(labels, both["a"] == labels["node"]).groupBy(F.col("b").alias("node")).agg(F.min("root").alias("near"))
+        step = labels.join(near, "node", "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
+        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        now = sinks.materialise(step.join(jump, "next").select("node", "root", F.least("next", "far").alias("next")), "person")
+        labels = now.select("node", F.col("next").alias("root"))
+        if now.filter("root <> next").isEmpty():
+            return labels
 
 
 def patch_matched_customers(customers: DataFrame, contacts: DataFrame, resolved: DataFrame,

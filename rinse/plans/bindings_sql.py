@@ -168,7 +168,7 @@ FROM orders""",
 DEPENDS = {"b_rates": ["b_staff"], "b_winners": ["b_candidates"]}
 
 
-def with_bindings(names: list[str], body: str) -> str:
+def with_bindings(names: list[str], body: str, recursive: bool = False) -> str:
     """``WITH <bindings>[, <extra ctes>] <select>``.
 
     ``body`` is either a SELECT, or extra CTEs followed by the SELECT and
@@ -186,6 +186,7 @@ def with_bindings(names: list[str], body: str) -> str:
         add(n)
     ctes = ",\n".join(f"{n} AS ({BINDINGS[n]})" for n in order)
     body = body.strip()
+    start = "WITH RECURSIVE" if recursive else "WITH"
     if body.startswith(","):
-        return f"WITH {ctes}{body}"
-    return f"WITH {ctes}\n{body}"
+        return f"{start} {ctes}{body}"
+    return f"{start} {ctes}\n{body}"

@@ -280,15 +280,22 @@ _RESOLVE_SQL = """
   pl AS (SELECT vehicle_reg AS rk, MIN(id) AS by_plate FROM b_customers WHERE vehicle_reg IS NOT NULL AND vehicle_reg <> ''
          GROUP BY vehicle_reg),
   c AS (SELECT *, NULLIF(phone, '') AS _phone, NULLIF(vehicle_reg, '') AS _plate FROM b_contacts),
-  res AS (SELECT c.contact_id, COALESCE(ph.by_phone, pl.by_plate) AS customer_id,
-                 CASE WHEN ph.by_phone IS NOT NULL THEN 'phone' WHEN pl.by_plate IS NOT NULL THEN 'plate'
-                      WHEN c._phone IS NOT NULL OR c._plate IS NOT NULL THEN 'new' ELSE 'none' END AS match,
-                 CASE WHEN ph.by_phone IS NULL AND pl.by_plate IS NULL THEN COALESCE(c._phone, c._plate) END AS new_customer_key
-          FROM c LEFT JOIN ph ON c._phone = ph.pk LEFT JOIN pl ON c._plate = pl.rk)
+  found AS (SELECT c.contact_id, COALESCE(ph.by_phone, pl.by_plate) AS customer_id,
+                   CASE WHEN ph.by_phone IS NOT NULL THEN 'phone' WHEN pl.by_plate IS NOT NULL THEN 'plate'
+                        WHEN c._phone IS NOT NULL OR c._plate IS NOT NULL THEN 'new' ELSE 'none' END AS match,
+                   'phone ' || c._phone AS p, 'plate ' || c._plate AS v
+            FROM c LEFT JOIN ph ON c._phone = ph.pk LEFT JOIN pl ON c._plate = pl.rk),
+  marks AS (SELECT DISTINCT p, v FROM found WHERE match = 'new'),
+  reach(node, root) AS (SELECT coalesce(p, v), coalesce(p, v) FROM marks UNION SELECT v, v FROM marks WHERE v IS NOT NULL
+          UNION SELECT CASE WHEN m.p = r.node THEN m.v ELSE m.p END, r.root FROM reach r JOIN marks m ON r.node IN (m.p, m.v)
+                WHERE m.p IS NOT NULL AND m.v IS NOT NULL),
+  persons AS (SELECT node, MIN(root) AS root FROM reach GROUP BY node),
+  res AS (SELECT contact_id, customer_id, match, root AS new_customer_key
+          FROM found LEFT JOIN persons ON match = 'new' AND node = coalesce(p, v))
 """
 
 
-@register("m11_resolve_customers", W(["b_customers", "b_contacts"], _RESOLVE_SQL + "SELECT * FROM res"))
+@register("m11_resolve_customers", W(["b_customers", "b_contacts"], _RESOLVE_SQL + "SELECT * FROM res", recursive=True))
 def q_m11(spark, d):
     return M.resolve_customers(B.customers(spark, d), B.contacts(spark, d))
 
@@ -300,7 +307,7 @@ def q_m11(spark, d):
                   arg_max(vehicle_reg, (seq, contact_id)) FILTER (WHERE vehicle_reg IS NOT NULL) AS vehicle_reg
            FROM ch GROUP BY id)
 SELECT t.id, COALESCE(l.name, t.name) AS name, t.phone, COALESCE(l.vehicle_reg, t.vehicle_reg) AS vehicle_reg
-FROM b_customers t LEFT JOIN last l ON l.id = t.id"""))
+FROM b_customers t LEFT JOIN last l ON l.id = t.id""", recursive=True))
 def q_m11p(spark, d):
     cu, co = B.customers(spark, d), B.contacts(spark, d)
     return M.patch_matched_customers(cu, co, M.resolve_customers(cu, co), ["seq", "contact_id"])

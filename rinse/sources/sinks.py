@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from rinse.session import shared_dir
+
 
 def write_snapshot(df: DataFrame, path: str, part: str | None = "day", mode: str = "overwrite") -> None:
     if part:
@@ -23,6 +25,13 @@ def write_snapshot(df: DataFrame, path: str, part: str | None = "day", mode: str
     w.parquet(path)
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage of a loop's table."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     r = spark.read
     if schema is not None:

@@ -200,8 +200,12 @@ def test_resolve_customers_rules(spark):
                                 "contact_id long, name string, phone string, vehicle_reg string, seq long")
     res = {r["contact_id"]: (r["customer_id"], r["match"], r["new_customer_key"])
            for r in M.resolve_customers(cust, con).collect()}
-    assert res == {1: (2, "phone", None), 2: (5, "plate", None), 3: (None, "new", "NEW"),
-                   4: (None, "none", None), 5: (None, "new", "088")}
+    assert res == {1: (2, "phone", None), 2: (5, "plate", None), 3: (None, "new", "plate NEW"),
+                   4: (None, "none", None), 5: (None, "new", "phone 088")}
+    chain = spark.createDataFrame([(1, "p9", "KBB111B"), (2, None, "KBB111B"), (3, "p9", "KCC222C"), (4, None, "KCC222C"), (5, "p8", None)],
+                                  "contact_id long, phone string, vehicle_reg string").withColumn("name", F.lit(None).cast("string"))
+    keys = {r["contact_id"]: r["new_customer_key"] for r in M.resolve_customers(cust, chain).collect()}
+    assert keys == {1: "phone p9", 2: "phone p9", 3: "phone p9", 4: "phone p9", 5: "phone p8"}
     patched = {r["id"]: r for r in M.patch_matched_customers(cust, con, M.resolve_customers(cust, con),
                                                              ["seq", "contact_id"]).collect()}
     assert patched[2]["name"] == "x" and patched[2]["phone"] == "071" and patched[5]["name"] == "y"

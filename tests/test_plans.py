@@ -9,8 +9,10 @@ from tests.conftest import SMALL
 
 
 def _final_plan(df) -> str:
-    df.write.format("noop").mode("overwrite").save()        # AQE fixes the final plan on execution
-    return df._jdf.queryExecution().executedPlan().toString()
+    df._jdf.queryExecution().toRdd().count()  # runs this very plan: AQE makes it final
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    return plan
 
 
 def test_flagship_join_reuses_the_aggregate_partitioning(spark):
