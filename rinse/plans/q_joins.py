@@ -165,7 +165,7 @@ def q_j14(spark, d):
 @register("a13_staff_stats", _STAFF_STATS)
 def q_a13(spark, d):
     w = P.rolling_filter(B.sales(spark, d), "washed_at", "month", AS_OF)
-    return CM.staff_stats(B.staff(spark, d), w)
+    return CM.staff_stats(B.staff(spark, d), w).orderBy("name", "id")
 
 
 @register("j15_winner_match", W(["b_visits", "b_winners"], """
@@ -197,7 +197,7 @@ _PAID = f"""
 SELECT id, name, role_label, washes, CAST(revenue AS DECIMAL(22,2)) AS revenue, CAST(commission AS DECIMAL(22,2)) AS commission FROM paid"""))
 def q_a11(spark, d):
     w = P.rolling_filter(B.sales(spark, d), "washed_at", "month", AS_OF)
-    return CM.commission_by_role(B.staff(spark, d), w, B.rates(spark, d))
+    return CM.commission_by_role(B.staff(spark, d), w, B.rates(spark, d)).orderBy("name", "id")
 
 
 @register("a12_commission_totals", W(["b_staff", "b_sales", "b_rates"], f"""

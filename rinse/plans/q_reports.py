@@ -152,12 +152,12 @@ SELECT ws.*, CAST(COALESCE(es.expenses, 0) AS DECIMAL(22,2)) AS expenses,
        CAST(ws.profit - COALESCE(es.expenses, 0) AS DECIMAL(22,2)) AS net
 FROM ws LEFT JOIN es ON ws.day = es.day"""))
 def q_a3(spark, d):
-    return R.summary_daily(B.sales(spark, d), B.expenses(spark, d), **FULL)
+    return R.summary_daily(B.sales(spark, d), B.expenses(spark, d), **FULL).orderBy("day")
 
 
 @register("a4_expense_daily", W(["b_expenses"], _ES))
 def q_a4(spark, d):
-    return R.expense_daily(B.expenses(spark, d), **FULL)
+    return R.expense_daily(B.expenses(spark, d), **FULL).orderBy("day")
 
 
 @register("a5_by_service", W(["b_sales", "b_services"], f"""
@@ -168,7 +168,7 @@ def q_a4(spark, d):
 SELECT service, CAST(SUM(n) AS BIGINT) AS washes_count, {_sum('r', 'revenue')}, {_sum('c', 'commission')}, {_sum('p', 'profit')}
 FROM named GROUP BY service"""))
 def q_a5(spark, d):
-    return R.by_service(B.sales(spark, d), B.services(spark, d), **FULL)
+    return R.by_service(B.sales(spark, d), B.services(spark, d), **FULL).orderBy("service")
 
 
 @register("a6_by_staff", W(["b_sales", "b_staff"], f"""
@@ -176,7 +176,7 @@ def q_a5(spark, d):
 SELECT (SELECT name FROM b_staff WHERE id = staff_id) AS staff_name, CAST(SUM(n) AS BIGINT) AS washes_count, {_sum('c', 'commission_to_pay')}
 FROM per_id WHERE staff_id IN (SELECT id FROM b_staff) GROUP BY 1"""))
 def q_a6(spark, d):
-    return R.by_staff(B.sales(spark, d), B.staff(spark, d), **FULL)
+    return R.by_staff(B.sales(spark, d), B.staff(spark, d), **FULL).orderBy("staff_name")
 
 
 @register("a7_expense_total", W(["b_expenses"], f"SELECT {_sum('amount', 'total_expenses')} FROM b_expenses "
@@ -199,7 +199,7 @@ SELECT day, {_AMOUNTS}, {_NET} AS net FROM moves GROUP BY day""")
 
 @register("a9_pnl_daily", PNL_DAILY_SQL)
 def q_a9(spark, d):
-    return R.pnl_daily(B.sales(spark, d), B.expenses(spark, d), **FULL)
+    return R.pnl_daily(B.sales(spark, d), B.expenses(spark, d), **FULL).orderBy("day")
 
 
 def _dod_sql():

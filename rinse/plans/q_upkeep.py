@@ -248,8 +248,7 @@ def q_m9_delete(spark, d):
 @register("m10_autodraw", W(["b_washes", "b_customers", "b_services", "b_winners", "b_candidates"],
                             ELIGIBLES_BY_MONTH_SQL + f"""
 , elig AS (SELECT * FROM ranked WHERE rank <= 200),
-  dates AS (SELECT DISTINCT CAST(washed_at AS DATE) AS draw_date FROM b_washes
-            WHERE washed_at >= TIMESTAMP '1998-01-01' AND washed_at < TIMESTAMP '1999-01-01'),
+  dates AS (SELECT DISTINCT CAST(washed_at AS DATE) AS draw_date FROM b_washes),
   open AS (SELECT draw_date, CAST(date_trunc('month', draw_date) AS DATE) AS month FROM dates
            WHERE draw_date NOT IN (SELECT draw_date FROM b_winners)),
   pool AS (SELECT o.draw_date, e.*, md5(concat(COALESCE(CAST(e.customer_id AS VARCHAR), ''), '|',
@@ -265,9 +264,7 @@ SELECT -CAST(draw_date - DATE '1970-01-01' AS BIGINT), draw_date, customer_id, v
 FROM picked"""))
 def q_m10(spark, d):
     w = B.washes(spark, d)
-    dates = (w.filter((F.col("washed_at") >= F.lit("1998-01-01").cast("timestamp_ntz"))
-                      & (F.col("washed_at") < F.lit("1999-01-01").cast("timestamp_ntz")))
-             .select(X.day("washed_at").alias("draw_date")).distinct())
+    dates = w.select(X.day("washed_at").alias("draw_date")).distinct()
     elig = K.eligibles_by_month(w, B.customers(spark, d), B.services(spark, d),
                                 min_washes=MIN_WASHES, limit=200, keyword=KEYWORD)
     return D.auto_draw(dates, elig, B.winners(spark, d), SEED, as_of=AS_OF)
