@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rinse.llm import exact_dedup, jaccard_join, packing, quality_rules
-from rinse.llm.common import table, written
+from rinse.llm.common import durable, table
 from rinse.llm.queries import tokenizer
 
 
@@ -44,7 +44,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the documents that every stage kept."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
 
 

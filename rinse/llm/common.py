@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinse.session import ensure_checkpoint_dir, shared_dir
+from rinse.session import shared_dir
 
 #: The white space of the word contracts: U+0020 and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -17,14 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there.
+def durable(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it from there.
 
-    Used for narrow intermediate tables that several later jobs read; it also
-    cuts the lineage, so a lost executor never re-runs the text scan.
+    Used for intermediate tables that several later jobs read; it cuts the
+    lineage, so a lost executor never re-runs the text scan.  Unlike a
+    checkpoint, the table read back brings no constraints of its old plan
+    along, which in loops would make planning ever slower.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,25 +45,13 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` hinted for broadcast if its counted rows fit the session's bound, else ``df`` as it is (a shuffled join)."""
-    bound = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower().removesuffix("b")
-    unit = {"k": 2**10, "m": 2**20, "g": 2**30}.get(bound[-1], 1)
-    limit = int(bound.rstrip("kmg")) * unit
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
-
-
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not in the one column of ``ids``; rows with a NULL id stay."""
-    gone = durable(ids.toDF("gone_id").filter("gone_id IS NOT NULL").distinct())
-    return docs.join(small(gone, 16), F.col(id_col) == F.col("gone_id"), "left_anti")
+    """The rows of ``docs`` whose id is not in the one column of ``ids``; rows with a NULL id stay.
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    The ids are written first, so the planner knows their size: it broadcasts
+    them if they are small, and joins by a shuffle if not."""
+    gone = durable(ids.toDF("gone_id").filter("gone_id IS NOT NULL").distinct())
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
 
 
 def shuffle_parts(spark: SparkSession) -> int:

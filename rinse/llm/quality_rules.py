@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rinse.llm.common import SPACE_CHARS, SPACE_CLASS, bind, durable, written
+from rinse.llm.common import SPACE_CHARS, SPACE_CLASS, bind, durable
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
@@ -184,5 +184,5 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     The rows are written once with their counts; the model reads the counts
     only, and no text is shuffled.
     """
-    counts = written(text_counts(docs, id_col, text_col, carry=True), "quality")
+    counts = durable(text_counts(docs, id_col, text_col, carry=True), "quality")
     return judged(counts, threshold).filter("kept").select("input.*")
