@@ -19,7 +19,3 @@ def odd(spark):
             (10, "mit license mit license"), (11, "Licensed under CC BY-NC 4.0."), (12, "same line\nsame line\n\nsame line")]
     return spark.createDataFrame([(i, t, None, 0, "x") for i, t in rows],
                                  "doc_id bigint, text string, n_words string, row int, cls string")
-
-
-def rows_of(df, *cols):
-    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)

@@ -6,7 +6,7 @@ import brute
 import duckdb
 import numpy as np
 import pytest
-from conftest import rows_of
+from brute import rows_of
 
 from rinse.llm import html_text, url_filter, warc
 from rinse.llm.queries import ORACLE, QUERIES

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import brute
 import public_tokenizers as P
-from conftest import rows_of
+from brute import rows_of
 from test_tokens import COLS, check_packing
 
 import corpus_pipeline

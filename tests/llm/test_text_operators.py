@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import brute
 import pytest
-from conftest import rows_of
+from brute import rows_of
 
 from rinse.llm import exact_dedup, jaccard_join, license_scan, quality_rules
 

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
-from conftest import rows_of
+from brute import rows_of
 from tokenizers import Tokenizer
 
 from rinse.llm import bpe_tree, packing, token_counts
