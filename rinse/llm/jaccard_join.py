@@ -15,10 +15,13 @@ whole set, and whatever is counted is counted per fragment and then summed:
    summed per pair, which decides the link exactly.
 
 Step 4 does not list all pairs of a large group of near copies.  Links matter
-only for the groups they connect, so first each class is tried against a few
-representatives of the n-grams it shares (``STAR_ROUNDS``), and groups are
-formed; then every remaining candidate pair whose classes are still in
-different groups is tried.  That leaves out no link between two groups.
+only for the groups they connect, so first each class is tried against the
+representatives of n-grams it shares and groups are formed, up to
+``STAR_ROUNDS`` times while that joins groups; then every remaining candidate pair whose classes are still in
+different groups is tried.  That leaves out no link between two groups.  Most
+candidates are settled before their sets are fetched: a set's parity sketch
+has one bit per hash value, the parity of its n-grams there, so two sketches
+differ in no more bits than the sets differ in n-grams.
 
 Narrow rows travel packed (many n-grams of one fragment in one row), and
 n-gram rows exist for the survivors' prefixes only.
@@ -31,15 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinse.llm.common import durable, small, texts, without_ids
+from rinse.llm.common import durable, texts, without_ids
 from rinse.llm.shingles import set_key, shingle_set
 
 WIDTH = 4
 PERCENT = 85
-STAR_ROUNDS = 2
-PARTNERS = 2
-FRAGMENTS_PER_TASK = 2
+STAR_ROUNDS = 5
+STAR_LISTS = 4
+FRAGMENTS_PER_TASK = 1
 PAIR_FRAGMENTS = 4
+SKETCH_WORDS = 16
 
 
 def _sets(width: int):
@@ -98,9 +102,9 @@ def _pack(width: int, fragments: int):
                     held.append(s)
                     size += len(s)
                 if size > GROUP_SHINGLES:
-                    yield _batch(packed(list(map(set_key, held)), list(map(len, held)), held, fragments, False))
+                    yield _batch(packed(list(map(set_key, held)), [0] * len(held), held, fragments, False))
                     held, size = [], 0
-        yield _batch(packed(list(map(set_key, held)), list(map(len, held)), held, fragments, False))
+        yield _batch(packed(list(map(set_key, held)), [0] * len(held), held, fragments, False))
     return run
 
 
@@ -150,17 +154,21 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def _segments(width: int):
-    """A survivor's set cut into the fragments of the pair count, in full width."""
+    """A survivor's set cut into the fragments of the pair count, in full width; its sketch goes with the first."""
     def run(batches):
         for b in batches:
             out = []
-            for cls, t in zip(b.column("cls").to_pylist(), b.column("text").to_pylist()):
+            for t in b.column("text").to_pylist():
                 s = shingle_set(t, width)
+                cls = set_key(s)
+                parity = (np.bincount((s % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+                sketch = np.packbits(parity).view(np.int64).tolist()
                 cuts = np.searchsorted(s, np.array([(i << 64) // PAIR_FRAGMENTS for i in range(1, PAIR_FRAGMENTS)], np.uint64))
-                out += [(cls, len(s), f, part.tobytes()) for f, part in enumerate(np.split(s, cuts))]
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                                              pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["cls", "n", "f", "seg"])
+                out += [(cls, len(s), f, part.tobytes(), None if f else sketch) for f, part in enumerate(np.split(s, cuts))]
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
+                                              pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))],
+                                             ["cls", "n", "f", "seg", "sketch"])
     return run
 
 
@@ -197,8 +205,11 @@ def _prefixes(percent: int):
         length = np.repeat(stop - start, stop - start)
         pos = np.arange(len(cls)) - np.repeat(start, stop - start) + (n - length)
         keep = pos <= n - -(-n * percent // 100)
-        return pa.table([pa.array(grams[keep].view(np.int64)), pa.array(cls[keep]), pa.array(n[keep]), pa.array(pos[keep])],
-                        names=["gram", "cls", "n", "pos"])
+        grams, cls, n, pos = grams[keep], cls[keep], n[keep], pos[keep]
+        _, start, stop = runs(cls)
+        ahead, behind = np.arange(len(cls)) - np.repeat(start, stop - start), np.repeat(stop, stop - start) - np.arange(len(cls))
+        return pa.table([pa.array(grams.view(np.int64)), pa.array(cls), pa.array(n), pa.array(pos),
+                         pa.array((ahead < STAR_LISTS) | (behind <= STAR_LISTS))], names=["gram", "cls", "n", "pos", "edge"])
     return run
 
 
@@ -226,8 +237,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node each one is connected with (labels spread, then jump)."""
     both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = durable(nodes.select("node", F.col("node").alias("label")))
-    if both.isEmpty():
-        return labels
     while True:
         near = (both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near")))
         step = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
@@ -240,49 +249,74 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _can_link(percent: int):
-    """The length filter and the place filter on the members x and y of one n-gram's list."""
+    """Length, place and sketch filters on the members x and y of one n-gram's list; none drops a link."""
+    both = F.col("xn") + F.col("yn")
     most = F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos"))
-    return ((100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
-            & ((100 + percent) * most >= percent * (F.col("xn") + F.col("yn"))))
+    differ = sum((F.bit_count(F.col("xsketch")[i].bitwiseXOR(F.col("ysketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    return ((F.col("xlabel") != F.col("ylabel")) & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
+            & ((100 + percent) * most >= percent * both) & ((100 + percent) * differ <= (100 - percent) * both))
+
+
+MEMBER = ("cls", "n", "pos", "label", "sketch")
 
 
 def _side(p: DataFrame, name: str) -> DataFrame:
-    return p.select("gram", *[F.col(c).alias(name + c) for c in ("cls", "n", "pos", "label")])
+    return p.select("gram", *[F.col(c).alias(name + c) for c in MEMBER])
+
+
+def _members(postings: DataFrame, labels: DataFrame, sketches: DataFrame, r: int) -> DataFrame:
+    """The members of lists that hold several groups, each with its list's representative and its own sketch."""
+    p = postings.join(labels, F.col("cls") == F.col("node")).drop("node")
+    split = p.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                  F.min(F.struct(F.xxhash64("cls", F.lit(r)).alias("k"), "cls")).alias("rep")).filter("lo <> hi")
+    split = split.select("gram", F.col("rep.cls").alias("rep"))
+    return durable(p.join(split, "gram").join(sketches, "cls"))
+
+
+def star_pairs(postings: DataFrame, labels: DataFrame, sketches: DataFrame, r: int, percent: int) -> DataFrame:
+    """Each class with at most two representatives of its lists it could be linked with."""
+    p = _members(postings if r else postings.filter("edge"), labels, sketches, r)
+    reps = _side(p.filter("cls = rep"), "y")
+    tried = _side(p, "x").join(reps, "gram").filter(_can_link(percent))
+    key = F.struct(F.xxhash64("xcls", "ycls").alias("k"), "ycls")
+    best = tried.groupBy("xcls").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    return best.select("xcls", F.explode(F.array("lo.ycls", "hi.ycls")).alias("ycls"))
+
+
+def other_pairs(postings: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """All pairs that could still join two groups: members outside their list's main group, with all others."""
+    p = _members(postings, labels, sketches, 0)
+    main = (p.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("gram")
+            .agg(F.max(F.struct("m", "label")).alias("top")).select("gram", F.col("top.label").alias("main")))
+    x = _side(p.join(main, "gram").filter("label <> main"), "x")
+    return x.join(_side(p, "y"), "gram").filter(_can_link(percent)).select("xcls", "ycls")
 
 
-def connect(postings: DataFrame, segments: DataFrame, percent: int, star_rounds: int, partners: int) -> DataFrame:
+def connect(postings: DataFrame, segments: DataFrame, percent: int, star_rounds: int) -> DataFrame:
     """``node, label`` for the classes in ``postings``: groups formed by all links."""
     labels = durable(postings.select(F.col("cls").alias("node")).distinct().withColumn("label", F.col("node")))
-    for r in range(star_rounds + 1):
-        p = postings.join(labels, F.col("cls") == F.col("node")).drop("node")
-        split = p.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                      F.min(F.struct(F.xxhash64("cls", F.lit(r)).alias("k"), "cls", "n", "pos", "label")).alias("rep")) \
-                 .filter("lo <> hi")
-        if r < star_rounds:  # each class with a few representatives of its n-grams
-            reps = split.select("gram", F.col("rep.cls").alias("ycls"), F.col("rep.n").alias("yn"),
-                                F.col("rep.pos").alias("ypos"), F.col("rep.label").alias("ylabel"))
-            tried = _side(p, "x").join(reps, "gram").filter((F.col("xlabel") != F.col("ylabel")) & _can_link(percent))
-            best = tried.groupBy("xcls").agg(F.min(F.struct(F.xxhash64("xcls", "ycls").alias("k"), "ycls")).alias("lo"),
-                                             F.max(F.struct(F.xxhash64("xcls", "ycls").alias("k"), "ycls")).alias("hi"))
-            pairs = best.select("xcls", F.explode(F.array("lo.ycls", "hi.ycls")).alias("ycls")) if partners > 1 \
-                else best.select("xcls", F.col("lo.ycls").alias("ycls"))
-        else:  # all pairs left that could still join two groups: members outside their list's main group, with all others
-            main = (p.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("gram")
-                    .agg(F.max(F.struct("m", "label")).alias("top")).select("gram", F.col("top.label").alias("main")))
-            x = _side(p.join(split.select("gram"), "gram", "left_semi").join(main, "gram").filter("label <> main"), "x")
-            pairs = x.join(_side(p, "y"), "gram").filter((F.col("xlabel") != F.col("ylabel")) & _can_link(percent))
+    sketches = segments.filter("f = 0").select("cls", "sketch")
+    r, last = 0, False
+    while not last:
+        last = r >= star_rounds
+        pairs = other_pairs(postings, labels, sketches, percent) if last else star_pairs(postings, labels, sketches, r, percent)
         pairs = durable(pairs.select(F.least("xcls", "ycls").alias("a"), F.greatest("xcls", "ycls").alias("b")).distinct())
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(c + "l"))
-        edges = (verified(pairs, segments, percent).join(of("a"), "a").join(of("b"), "b")
-                 .select(F.col("al").alias("a"), F.col("bl").alias("b")).filter("a <> b").distinct())
-        merged = components(labels.select(F.col("label").alias("node")).distinct(), edges)
-        labels = durable(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label")
-                         .select("node", F.col("root").alias("label")))
+        edges = durable(verified(pairs, segments, percent).join(of("a"), "a").join(of("b"), "b")
+                        .select(F.col("al").alias("a"), F.col("bl").alias("b")).filter("a <> b").distinct())
+        r += 1
+        if edges.isEmpty():
+            star_rounds = 0  # stars join nothing more
+            continue
+        touched = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        merged = components(touched, edges)
+        labels = durable(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+                         .select("node", F.coalesce("root", "label").alias("label")))
     return labels
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
-                 star_rounds: int = STAR_ROUNDS, partners: int = PARTNERS) -> DataFrame:
+                 star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every input row.
 
     Two texts are linked when 100 x intersection >= ``percent`` x union of
@@ -303,15 +337,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = (d.filter("doc_id IS NOT NULL").select("text").mapInArrow(_pack(width, fragments), PACKED)
               .groupBy("f").applyInArrow(_shared(fragments), "b int, cls binary, cnt binary")
               .groupBy("b").applyInArrow(_summed, "cls bigint, shared bigint"))
-    survivors = durable(classes.join(shared, "cls").filter(100 * F.col("shared") >= percent * F.col("n")).select("cls", "first"))
+    survivors = durable(classes.join(shared, "cls").filter(100 * F.col("shared") >= percent * F.col("n")).select("first"))
 
-    segments = durable(d.join(small(survivors.withColumnRenamed("first", "doc_id"), 32), "doc_id").select("cls", "text")
-                       .mapInArrow(_segments(width), "cls bigint, n bigint, f int, seg binary").dropDuplicates(["cls", "f"]))
+    # only ids travel to the texts
+    segments = durable(d.join(survivors, d["doc_id"] == survivors["first"], "left_semi").select("text")
+                       .mapInArrow(_segments(width), "cls bigint, n bigint, f int, seg binary, sketch array<bigint>").dropDuplicates(["cls", "f"]))
     postings = durable(segments.mapInArrow(_pack_segments(fragments), PACKED)
                        .groupBy("f").applyInArrow(_frequencies(fragments), "b int, cls binary, n binary, df binary, grams binary")
-                       .groupBy("b").applyInArrow(_prefixes(percent), "gram bigint, cls bigint, n bigint, pos bigint"))
+                       .groupBy("b").applyInArrow(_prefixes(percent), "gram bigint, cls bigint, n bigint, pos bigint, edge boolean"))
 
-    groups = connect(postings, segments, percent, star_rounds, partners)
+    groups = connect(postings, segments, percent, star_rounds)
     named = classes.join(groups, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = named.groupBy("label").agg(F.min("first").alias("component"))
     of_class = named.join(lowest, "label").select("cls", "component")
