@@ -40,10 +40,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = base.select("doc_id", "norm", F.octet_length("norm").alias("len"),
                         F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"))
 
-    seen = durable(keyed.select("len", "prefix"))
-    lengths = seen.groupBy("len").count().filter("count > 1").select("len")
-    survivors = (seen.join(lengths, "len", "left_semi")
-                     .groupBy("len", "prefix").count().filter("count > 1")
+    # counted per task first, so that copies of one text are one row here
+    seen = durable(keyed.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")))
+    lengths = seen.groupBy("len").agg(F.sum("n").alias("n")).filter("n > 1").select("len")
+    survivors = (seen.join(lengths, "len", "left_semi").filter("n > 1")
                      .select("len", "prefix", F.lit(True).alias("open")))
 
     flagged = keyed.select("doc_id", "len", "prefix", F.sha2("norm", 256).alias("sha")) if digest_all else (
