@@ -42,7 +42,7 @@ PERCENT = 85
 STAR_ROUNDS = 5
 STAR_LISTS = 4
 FRAGMENTS_PER_TASK = 1
-PAIR_FRAGMENTS = 4
+PAIR_FRAGMENTS = 2
 SKETCH_WORDS = 16
 
 
