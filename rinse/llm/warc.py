@@ -86,10 +86,10 @@ def _locate(batches):
         for file, block, raw in zip(b.column("file").to_pylist(), b.column("block").to_pylist(), b.column("raw").to_pylist()):
             at = base.get((file, block), 0)
             base[file, block] = at + len(raw) + len(MAGIC)
-            out.append((file, block, at, *_header(raw), raw))
-        cols = list(zip(*out)) or [()] * 6
-        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["file", "block", "at", "head", "body", "raw"])
+            out.append((file, block, at, len(raw), *_header(raw), raw))
+        cols = list(zip(*out)) or [()] * 7
+        types = (*[pa.int64()] * 6, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["file", "block", "at", "size", "head", "body", "raw"])
 
 
 def _header(raw: bytes) -> tuple[int | None, int | None]:
@@ -105,42 +105,56 @@ def _header(raw: bytes) -> tuple[int | None, int | None]:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """``file, off, nxt, head, body, raw``: every magic string's piece, where its record would start and end."""
+    """``file, block, at, size, head, body, raw``: every magic string's piece and where its record would end.
+
+    ``file`` is the hash of the file's path, ``block`` the start of the input
+    split, ``at`` the piece's place within it.
+    """
     # Spark's text reader drops nothing but the separator, here the magic string
     pieces = (spark.read.option("lineSep", MAGIC).text(path)
-              .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+              .select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                       F.col("value").cast("binary").alias("raw")))
-    return pieces.mapInArrow(_locate, "file string, block bigint, at bigint, head bigint, body bigint, raw binary")
+    return pieces.mapInArrow(_locate, "file bigint, block bigint, at bigint, size bigint, head bigint, body bigint, raw binary")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """``file, off, header, payload`` (both binary) of every record of the archives under ``path``.
 
     A file that does not start with a record gives none; a chain that meets an
-    offset without a record ends there.
+    offset without a record ends there.  Chains are followed on a table of
+    offsets only.  The archives are then read a second time: a piece that is a
+    whole reachable record is one already, and only the pieces of records with
+    magic strings inside are brought together.
     """
-    pieces = durable(candidates(spark, path))
+    pieces = candidates(spark, path)
+    places = durable(pieces.drop("raw"))
     # a split starts after the separator that ends the pieces before it, so its place is the sum of what they hold
-    size = F.octet_length("raw") + len(MAGIC)
-    splits = pieces.groupBy("file", "block").agg(F.sum(size).alias("bytes"))
+    splits = places.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = pieces.join(splits.select("file", "block", before.alias("base")), ["file", "block"])
-    # a piece begins right after a magic string, a record at the magic string
-    off = F.col("base") + F.col("at") - len(MAGIC)
-    located = placed.select("file", off.alias("off"), "head", "body", "raw")
+    bases = durable(splits.select("file", "block", before.alias("base")))
+
+    def located(df: DataFrame) -> DataFrame:
+        # a piece begins right after a magic string, a record at the magic string
+        return df.join(bases, ["file", "block"]).withColumn("off", F.col("base") + F.col("at") - len(MAGIC)).drop("block", "at", "base")
+
+    known = durable(located(places))
     nxt = F.col("off") + len(MAGIC) + F.col("head") + F.col("body") + len(RECORD_END)
-    chain = durable(located.filter("head IS NOT NULL AND off >= 0").select("file", "off", nxt.alias("nxt")))
-    real = reachable(chain)
+    chain = durable(known.filter("head IS NOT NULL AND off >= 0").select("file", "off", nxt.alias("nxt")))
+    real = reachable(chain).join(chain, ["file", "off"])
 
-    # the pieces of a record: its own and those of magic strings inside its payload
-    parts = F.struct("off", "raw")
     owner = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = real.join(chain, ["file", "off"]).select("file", F.col("off").alias("start"), "nxt")
-    inside = located.select("file", "off").join(real.withColumn("own", F.col("off")), ["file", "off"], "left")
-    inside = inside.withColumn("start", F.last("own", ignorenulls=True).over(owner)).filter("start IS NOT NULL").select("file", "off", "start")
-    joined = (located.join(inside, ["file", "off"]).groupBy("file", "start").agg(F.sort_array(F.collect_list(parts)).alias("parts"))
-              .join(spans, ["file", "start"]))
-    return joined.mapInArrow(_assemble, "file string, off bigint, header binary, payload binary")
+    mine = F.when(F.col("nxt").isNotNull(), F.struct(F.col("off").alias("start"), F.col("nxt").alias("end")))
+    owned = (known.join(real, ["file", "off"], "left").withColumn("own", F.last(mine, ignorenulls=True).over(owner))
+             .select("file", "off", "nxt", "size", F.col("own.start").alias("start"), F.col("own.end").alias("end")))
+    whole = F.col("nxt").isNotNull() & (F.col("off") + len(MAGIC) + F.col("size") >= F.col("nxt"))
+    parted = durable(owned.filter(~whole).select("file", "off", "start", "end"))
+    # an open record's own piece is parted too, so all its pieces meet here
+    apart = located(pieces).join(parted, ["file", "off"])
+    joined = (apart.filter("start IS NOT NULL").groupBy("file", "start", "end")
+              .agg(F.sort_array(F.collect_list(F.struct("off", "raw"))).alias("parts")).select("file", "start", "end", "parts"))
+    one = (located(pieces).join(parted.select("file", "off"), ["file", "off"], "left_anti")
+           .select("file", F.col("off").alias("start"), nxt.alias("end"), F.array(F.struct("off", "raw")).alias("parts")))
+    return one.unionByName(joined).mapInArrow(_assemble, "file bigint, off bigint, header binary, payload binary")
 
 
 def reachable(chain: DataFrame) -> DataFrame:
@@ -165,12 +179,14 @@ def reachable(chain: DataFrame) -> DataFrame:
 def _assemble(batches):
     for b in batches:
         out = []
-        for file, start, nxt, parts in zip(*(b.column(c).to_pylist() for c in ("file", "start", "nxt", "parts"))):
+        for file, start, nxt, parts in zip(*(b.column(c).to_pylist() for c in ("file", "start", "end", "parts"))):
+            if nxt <= start + len(MAGIC) or parts[0]["off"] != start:
+                continue
             raw = MAGIC.encode().join(p["raw"] for p in parts)
             end = raw.find(HEAD_END.encode()) + len(HEAD_END)
             out.append((file, start, raw[:end], raw[end:nxt - start - len(MAGIC) - len(RECORD_END)]))
         cols = list(zip(*out)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()),
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()),
                                           pa.array(cols[3], pa.binary())], ["file", "off", "header", "payload"])
 
 
