@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it from there.
+def durable(df: DataFrame, name: str = "step", spark: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it from there, in the session ``spark`` if given.
 
     Used for intermediate tables that several later jobs read; it cuts the
     lineage, so a lost executor never re-runs the text scan.  Unlike a
@@ -27,7 +27,7 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (spark or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -104,40 +104,65 @@ def _header(raw: bytes) -> tuple[int | None, int | None]:
     return None, None
 
 
+def pinned_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` whose input splits stay as they are now.
+
+    Spark computes the splits of a scan anew for each execution, from settings
+    of the session that opened the files and the number of cores registered at
+    that moment.  Here that number is fixed, and nobody else changes the settings."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if spark.conf.isModifiable(k) or not k.startswith("spark."):
+            own.conf.set(k, v)
+    cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+    own.conf.set("spark.sql.files.minPartitionNum", str(spark.conf.get("spark.sql.files.minPartitionNum", None) or cores))
+    return own
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """``file, block, at, size, head, body, raw``: every magic string's piece and where its record would end.
 
     ``file`` is the hash of the file's path, ``block`` the start of the input
-    split, ``at`` the piece's place within it.
+    split, ``at`` the piece's place within it.  Every execution has the same
+    splits.
     """
     # Spark's text reader drops nothing but the separator, here the magic string
-    pieces = (spark.read.option("lineSep", MAGIC).text(path)
+    pieces = (pinned_session(spark).read.option("lineSep", MAGIC).text(path)
               .select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                       F.col("value").cast("binary").alias("raw")))
     return pieces.mapInArrow(_locate, "file bigint, block bigint, at bigint, size bigint, head bigint, body bigint, raw binary")
 
 
+def placed(pieces: DataFrame, bases: DataFrame) -> DataFrame:
+    """``pieces`` with their offset in the file; a piece of a split that ``bases (file, block, base)`` lacks is an error.
+
+    A piece begins right after a magic string, a record at the magic string.
+    """
+    # the random part keeps the optimizer from evaluating the error, or from taking the outer join for an inner one
+    lost = F.raise_error(F.concat(F.lit("an input split of the archives was not there when offsets were counted: "), F.col("block").cast("string"),
+                                  F.substring(F.uuid(), 1, 0))).cast("bigint")
+    return (bases.join(pieces, ["file", "block"], "right").withColumn("off", F.coalesce("base", lost) + F.col("at") - len(MAGIC))
+            .drop("block", "at", "base"))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """``file, off, header, payload`` (both binary) of every record of the archives under ``path``.
 
     A file that does not start with a record gives none; a chain that meets an
     offset without a record ends there.  Chains are followed on a table of
-    offsets only.  The archives are then read a second time: a piece that is a
+    offsets only.  The archives are then read a second time, in the same input
+    splits: a piece that is a
     whole reachable record is one already, and only the pieces of records with
     magic strings inside are brought together.
     """
     pieces = candidates(spark, path)
-    places = durable(pieces.drop("raw"))
+    places = durable(pieces.drop("raw"), spark=spark)
     # a split starts after the separator that ends the pieces before it, so its place is the sum of what they hold
     splits = places.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = durable(splits.select("file", "block", before.alias("base")))
 
-    def located(df: DataFrame) -> DataFrame:
-        # a piece begins right after a magic string, a record at the magic string
-        return df.join(bases, ["file", "block"]).withColumn("off", F.col("base") + F.col("at") - len(MAGIC)).drop("block", "at", "base")
-
-    known = durable(located(places))
+    known = durable(placed(places, bases))
     nxt = F.col("off") + len(MAGIC) + F.col("head") + F.col("body") + len(RECORD_END)
     chain = durable(known.filter("head IS NOT NULL AND off >= 0").select("file", "off", nxt.alias("nxt")))
     real = reachable(chain).join(chain, ["file", "off"])
@@ -149,10 +174,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     whole = F.col("nxt").isNotNull() & (F.col("off") + len(MAGIC) + F.col("size") >= F.col("nxt"))
     parted = durable(owned.filter(~whole).select("file", "off", "start", "end"))
     # an open record's own piece is parted too, so all its pieces meet here
-    apart = located(pieces).join(parted, ["file", "off"])
+    apart = placed(pieces, bases).join(parted, ["file", "off"])
     joined = (apart.filter("start IS NOT NULL").groupBy("file", "start", "end")
               .agg(F.sort_array(F.collect_list(F.struct("off", "raw"))).alias("parts")).select("file", "start", "end", "parts"))
-    one = (located(pieces).join(parted.select("file", "off"), ["file", "off"], "left_anti")
+    one = (placed(pieces, bases).join(parted.select("file", "off"), ["file", "off"], "left_anti")
            .select("file", F.col("off").alias("start"), nxt.alias("end"), F.array(F.struct("off", "raw")).alias("parts")))
     return one.unionByName(joined).mapInArrow(_assemble, "file bigint, off bigint, header binary, payload binary")
 

@@ -72,6 +72,31 @@ def test_warc_null_and_repeated_ids(spark):
     assert got == sorted([(None, "revisit", 3), (3, "response", None), (3, "response", None), (4, "response", None)], key=repr)
 
 
+@pytest.mark.parametrize("key, value", [("spark.sql.files.maxPartitionBytes", "900"), ("spark.sql.files.minPartitionNum", "64")])
+def test_warc_splits_stay_when_settings_change_between_the_scans(spark, key, value):
+    rows = [(i, f"p{i} " * 60 + ("WARC/1.1\r\n" if i % 7 == 0 else "")) for i in range(120)]
+    df = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id bigint, url string, html string").coalesce(1)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum")}
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.minPartitionNum", "3")  # as if three cores were registered
+    try:
+        read = warc.warc_round_trip(df)
+        spark.conf.set(key, value)
+        got = rows_of(read, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(got) == brute.warc(rows)
+
+
+def test_warc_piece_of_an_unknown_split_is_an_error(spark):
+    pieces = spark.createDataFrame([(1, 0, 10, 5), (1, 64, 10, 5)], "file bigint, block bigint, at bigint, size bigint")
+    bases = spark.createDataFrame([(1, 0, 0)], "file bigint, block bigint, base bigint")
+    assert rows_of(warc.placed(pieces.limit(1), bases), "off") == [(0,)]
+    with pytest.raises(Exception, match="was not there"):
+        warc.placed(pieces, bases).join(pieces.selectExpr("file", "at AS off"), ["file", "off"], "left_anti").collect()
+
+
 def test_pointer_jumping_stops_at_a_broken_chain(spark):
     chain = spark.createDataFrame([("f", 0, 10), ("f", 10, 25), ("f", 12, 25), ("f", 25, 99), ("g", 3, 9), ("f", 50, 60)], "file string, off bigint, nxt bigint")
     assert rows_of(warc.reachable(chain), "file", "off") == [("f", 0), ("f", 10), ("f", 25)]
