@@ -80,8 +80,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     Counts equal those of the sentencepiece model at ``tokenizer_path`` without
     begin or end tokens.  A NULL or empty text has 0 bytes and 0 tokens.  NULL
-    or repeated ids keep their rows (rows are numbered); other columns are
-    ignored; an empty table gives an empty result.
+    or repeated ids keep their rows (long texts are numbered once and written
+    with their numbers); other columns are ignored; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     d = texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text",
@@ -90,7 +91,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     length = F.char_length("text")
     short = d.filter(length <= chunk).mapInArrow(_counts(tokenizer_path), count_schema)
 
-    long = d.filter(length > chunk)
+    # written with their numbers: another run over docs might number the rows otherwise
+    long = durable(d.filter(length > chunk))
     at = F.col("idx") * chunk
     chunks = (long.withColumn("idx", F.explode(F.expr(f"sequence(0, (char_length(text) - 1) div {chunk})")))
               .select("row", "idx", (F.col("idx") == 0).alias("first"),

@@ -101,6 +101,25 @@ def test_a_chunk_entered_in_an_unforeseen_state_is_read_from_the_start(spark, mo
     assert got == [(i, len(model.encode(t))) for i, t in rows]
 
 
+def test_rows_read_again_are_the_same_when_the_input_is_split_otherwise(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_counts, "CONTEXT", 1)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    rows = [(i, "international" * (30 + i)) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    keys = ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    spark.conf.set(keys[0], "1")
+    spark.conf.set(keys[1], "1")  # all files in one task
+    try:
+        counted = token_counts.token_counts(spark.read.parquet(f"{tmp_path}/docs"), PIECE, chunk=7)
+        spark.conf.set(keys[2], "2000")  # now in several
+        got = rows_of(counted, "doc_id", "n_tokens")
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == sorted(((i, len(model.encode(t))) for i, t in rows), key=repr)
+
+
 def check_packing(rows, got, capacity=1024):
     t, pieces, sequences = Tokenizer.from_file(BYTE), {}, {}
     for doc, piece, start, length, crc, seq, offset in got:
