@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +47,27 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not in the one column of ``ids``; rows with a NULL id stay.
-
-    The ids are written first, so the planner knows their size: it broadcasts
-    them if they are small, and joins by a shuffle if not."""
-    gone = durable(ids.toDF("gone_id").filter("gone_id IS NOT NULL").distinct())
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+def without_copies(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """``docs`` with those rows of ``verdict (doc_id, digest, kept)`` that it keeps, once each, and all rows that are not in it.
+
+    ``verdict`` has a row for each row that belongs to a group of several; a row
+    is known by its id, NULL included, and the ``digest`` of its text.  Of rows
+    that repeat both, the one with the smallest text stays.
+
+    The keys that need action are written first, so the planner knows their
+    size: it broadcasts them if they are small, and joins by a shuffle if not."""
+    keys = durable(verdict.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+                   .filter("NOT kept OR n > 1"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    same = lambda k: docs[id_col].eqNullSafe(k["doc_id"]) & (digest(text) == k["digest"])
+    others = docs.join(keys, same(keys), "left_anti")
+    repeated = keys.filter("kept")
+    if repeated.isEmpty():
+        return others
+    first = (docs.join(repeated, same(repeated)).select(repeated["doc_id"].alias("i"), repeated["digest"].alias("d"), text.alias("t"),
+                                                       F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+             .groupBy("i", "d").agg(F.min_by("row", "t").alias("row")))
+    return others.unionByName(first.select("row.*"))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -16,14 +16,18 @@ rows only makes a skewed left side, which adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rinse.llm.common import SPACE_CLASS, durable, texts, without_ids
+from rinse.llm.common import SPACE_CLASS, durable, texts, without_copies
 
 PREFIX_CHARS = 256
 
 
+def single_spaced(text: Column) -> Column:
+    return F.regexp_replace(text, SPACE_CLASS, " ")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 prefix_chars: int = PREFIX_CHARS, digest_all: bool = False) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every input row.
@@ -35,8 +39,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     filled for members of surviving groups, and for every row with
     ``digest_all``.
     """
-    norm = F.regexp_replace(F.col("text"), SPACE_CLASS, " ")
-    base = texts(docs, id_col, text_col).select("doc_id", norm.alias("norm"))
+    base = texts(docs, id_col, text_col).select("doc_id", single_spaced(F.col("text")).alias("norm"))
     keyed = base.select("doc_id", "norm", F.octet_length("norm").alias("len"),
                         F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"))
 
@@ -63,9 +66,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text equals that of a row with a smaller id."""
-    dropped = exact_dedup(docs, id_col, text_col, digest_all=True).filter("NOT kept").select("doc_id")
-    return without_ids(docs, dropped, id_col)
+    """``docs`` with one row, that of the smallest id, for each group of equal texts.
+
+    Rows are told apart by id and text: a row that shares only its id with a
+    dropped one stays.  Of rows that repeat the smallest id one stays, and of a
+    group without ids one.
+    """
+    copies = exact_dedup(docs, id_col, text_col, digest_all=True).filter("group_size > 1")
+    return without_copies(docs, copies.select("doc_id", F.col("text_sha256").alias("digest"), "kept"), id_col, text_col,
+                          lambda text: F.sha2(single_spaced(text), 256))
 
 
 ORACLE = r"""

@@ -31,10 +31,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinse.llm.common import durable, texts, without_ids
+from rinse.llm.common import durable, texts, without_copies
 from rinse.llm.shingles import set_key, shingle_set
 
 WIDTH = 4
@@ -47,13 +47,14 @@ SKETCH_WORDS = 16
 
 
 def _sets(width: int):
-    """``doc_id, n_shingles, cls`` of each text."""
+    """Each text's other columns, ``n_shingles`` and ``cls``."""
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
+            names = [c for c in b.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "cls"])
+                [*(b.column(c) for c in names), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], [*names, "n_shingles", "cls"])
     return run
 
 
@@ -326,35 +327,54 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeat an id keep their rows.  Other columns are ignored; an empty table
     gives an empty result.
     """
-    spark: SparkSession = docs.sparkSession
     d = texts(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets = durable(d.mapInArrow(_sets(width), "doc_id bigint, n_shingles bigint, cls bigint"))
-    known = sets.filter("doc_id IS NOT NULL AND cls IS NOT NULL")
-    classes = durable(known.groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")))
+    named = labelled(d.filter("doc_id IS NOT NULL"), sets.filter("doc_id IS NOT NULL"), width, percent, star_rounds)
+    lowest = named.groupBy("label").agg(F.min("first").alias("component"))
+    of_class = named.join(lowest, "label").select("cls", "component")
+    return (sets.join(of_class, "cls", "left")
+            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+
+
+def labelled(d: DataFrame, sets: DataFrame, width: int, percent: int, star_rounds: int) -> DataFrame:
+    """``cls, first, n, label`` of the classes of ``d (doc_id, text)`` with their ``sets``: smallest id, set size, group formed by all links.
+
+    Rows with a NULL id take part like all others; a class of such rows only has a NULL ``first``."""
+    classes = durable(sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")))
 
     # a multiple, so that each of these fragments lies within one fragment of the pair count
     fragments = PAIR_FRAGMENTS * max(1, -(-FRAGMENTS_PER_TASK * d.rdd.getNumPartitions() // PAIR_FRAGMENTS))
-    shared = (d.filter("doc_id IS NOT NULL").select("text").mapInArrow(_pack(width, fragments), PACKED)
+    shared = (d.select("text").mapInArrow(_pack(width, fragments), PACKED)
               .groupBy("f").applyInArrow(_shared(fragments), "b int, cls binary, cnt binary")
               .groupBy("b").applyInArrow(_summed, "cls bigint, shared bigint"))
     survivors = durable(classes.join(shared, "cls").filter(100 * F.col("shared") >= percent * F.col("n")).select("first"))
 
     # only ids travel to the texts
-    segments = durable(d.join(survivors, d["doc_id"] == survivors["first"], "left_semi").select("text")
+    segments = durable(d.join(survivors, d["doc_id"].eqNullSafe(survivors["first"]), "left_semi").select("text")
                        .mapInArrow(_segments(width), "cls bigint, n bigint, f int, seg binary, sketch array<bigint>").dropDuplicates(["cls", "f"]))
     postings = durable(segments.mapInArrow(_pack_segments(fragments), PACKED)
                        .groupBy("f").applyInArrow(_frequencies(fragments), "b int, cls binary, n binary, df binary, grams binary")
                        .groupBy("b").applyInArrow(_prefixes(percent), "gram bigint, cls bigint, n bigint, pos bigint, edge boolean"))
 
     groups = connect(postings, segments, percent, star_rounds)
-    named = classes.join(groups, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cls"))
-    lowest = named.groupBy("label").agg(F.min("first").alias("component"))
-    of_class = named.join(lowest, "label").select("cls", "component")
-    return (sets.join(of_class, "cls", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+    return classes.join(groups, F.col("cls") == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "cls"))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row, that of the smallest id, for each group of linked texts."""
-    dropped = jaccard_join(docs, id_col, text_col).filter("doc_id <> component_id").select("doc_id")
-    return without_ids(docs, dropped, id_col)
+    """``docs`` with one row, that of the smallest id, for each group of linked texts.
+
+    Rows are told apart by id and text: a row that shares only its id with a
+    dropped one stays.  Rows with a NULL id take part here; they sort after
+    every other.  Of rows that repeat the smallest id within a group one stays,
+    and of a group without ids one.  Texts without words are linked with none
+    and stay.
+    """
+    digest = lambda text: F.sha2(text, 256)
+    d = texts(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sets = durable(d.withColumn("digest", digest(F.col("text")))
+                   .mapInArrow(_sets(WIDTH), "doc_id bigint, digest string, n_shingles bigint, cls bigint"))
+    named = durable(labelled(d, sets, WIDTH, PERCENT, STAR_ROUNDS).select("cls", "label"))
+    rows = sets.join(named, "cls").select("label", "doc_id", "digest")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    groups = rows.groupBy("label").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("label", "best")
+    return without_copies(docs, rows.join(groups, "label").select("doc_id", "digest", (order == F.col("best")).alias("kept")), id_col, text_col, digest)

@@ -8,7 +8,7 @@ from brute import rows_of
 from test_tokens import COLS, check_packing
 
 import corpus_pipeline
-from rinse.llm import quality_rules
+from rinse.llm import exact_dedup, jaccard_join, quality_rules
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,3 +32,29 @@ def test_stages_keep_the_columns(spark, odd):
         assert stage(spark, extra, SMALL).columns == extra.columns, name
     assert P.path("byte_bpe_50k.json")
     assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), SMALL).count() == 0
+
+
+A, B, C = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+NEAR_A = A + " tail"
+
+
+def kept(stage, spark, rows):
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, gone_id string").repartition(3)
+    out = stage(df)
+    assert out.columns == df.columns
+    return rows_of(out, "doc_id", "text")
+
+
+def test_dedup_stages_decide_by_row_not_by_id(spark):
+    rows = [(3, A), (7, A), (7, B), (5, C), (5, C), (5, C), (None, C), (None, B), (None, "only here"), (None, "only here")]
+    want = sorted([(3, A), (7, B), (5, C), (None, "only here")], key=repr)
+    assert kept(exact_dedup.keep_first, spark, rows) == want
+    assert kept(jaccard_join.keep_one_each, spark, rows) == want
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    rows = [(4, NEAR_A), (4, A), (4, A), (9, A), (9, C), (None, NEAR_A), (None, B + " x"), (None, B), (2, ""), (None, "")]
+    got = kept(jaccard_join.keep_one_each, spark, rows)
+    assert [r for r in got if not r[1] or r[1] == C] == sorted([(2, ""), (9, C), (None, "")], key=repr)
+    rest = [r for r in got if r[1] and r[1] != C]
+    assert len(rest) == 2 and rest[0][0] == 4 and rest[0][1] in (A, NEAR_A) and rest[1][0] is None and rest[1][1] in (B, B + " x")
