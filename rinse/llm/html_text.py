@@ -34,6 +34,14 @@ ASIDE_WORDS = frozenset(
     "cookies consent gdpr popup modal overlay newsletter subscribe signup login search form comment comments commentlist reply replies disqus "
     "respond feedback pagination pager tags toc copyright legal disclaimer toolbar skip".split())
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus respond".split())
+#: Of ASIDE_WORDS those that also name the layout of what is around such a part; MAIN_WORDS lead out of these.
+LAYOUT_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar sidebar side rail widget widgets toc toolbar "
+                         "footer foot pagination pager share sharing social related".split())
+#: A name that starts or ends so tells a state (has-sidebar, comments-open), not what the element is.
+STATE_FIRST = frozenset("has no with without".split())
+STATE_LAST = frozenset("open opened closed count enabled disabled".split())
+#: Elements whose names say nothing about the zone being an aside or comments.
+WHOLE_TAGS = frozenset(["html", "body", "article", "main"])
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{HIDDEN})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>?"
@@ -41,7 +49,8 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN_ATTR = re.compile(r"""\shidden(?=[\s=/>]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
-ASIDE, NEUTRAL, MAIN, COMMENT = -1, 0, 1, -2
+#: LAYOUT is an aside that a layout word opened.
+ASIDE, NEUTRAL, MAIN, COMMENT, LAYOUT = -1, 0, 1, -2, -3
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "zone")
 
 
@@ -53,15 +62,27 @@ class Block(NamedTuple):
     zone: int
 
 
+def words_of(name: str) -> list[str]:
+    """The words of one class, id or role name, in lower case."""
+    return [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+
+
 def zone_of(tag: str, attrs: str, around: int) -> int:
-    """Zone inside an element; an aside stays one unless an article starts in it, a comment always."""
+    """Zone inside an element; an aside stays one unless an article starts in it, a comment always.
+
+    An aside that only layout words opened also ends where a name has one of ``MAIN_WORDS``."""
     if around == COMMENT:
         return COMMENT
-    names = frozenset(w for m in _NAMES.finditer(attrs) for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower()))
-    if names & COMMENT_WORDS:
+    listed = [words_of(n) for m in _NAMES.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").split()]
+    names = frozenset(w for ws in listed for w in ws)
+    parts = frozenset() if tag in WHOLE_TAGS else frozenset(
+        w for ws in listed if ws and not (len(ws) > 1 and (ws[0] in STATE_FIRST or ws[-1] in STATE_LAST)) for w in ws)
+    if parts & COMMENT_WORDS:
         return COMMENT
-    if names & ASIDE_WORDS or tag in ASIDE_TAGS or (tag == "header" and around != MAIN) or _HIDDEN_ATTR.search(attrs):
+    if tag in ASIDE_TAGS or (tag == "header" and around != MAIN) or _HIDDEN_ATTR.search(attrs):
         return ASIDE
+    if parts & ASIDE_WORDS:
+        return LAYOUT if parts & ASIDE_WORDS <= LAYOUT_WORDS and around != ASIDE else ASIDE
     if tag in MAIN_TAGS or (names & MAIN_WORDS and around != ASIDE and tag != "body"):
         return MAIN
     return around
@@ -80,7 +101,7 @@ def blocks(page: str) -> list[Block]:
         words = " ".join(html.unescape("".join(text)).split())
         if words:
             n = len(words.split(" "))
-            out.append(Block(words, n, min(n, len(html.unescape(" ".join(linked)).split())), state["heading"], max(state["zone"], ASIDE)))
+            out.append(Block(words, n, min(n, len(html.unescape(" ".join(linked)).split())), state["heading"], state["zone"] if state["zone"] >= ASIDE else ASIDE))
         text.clear()
         linked.clear()
 
@@ -149,6 +170,13 @@ LABELLED: list[list[tuple[str, int]]] = [
     [("<div class=ad>Sale</div>", 0), (f"<article><p>{_M}</p></article>", 1), ("<footer>Imprint</footer>", 0)],
     [("<td><a href=#>Index</a></td>", 0), ("<td><a href=#>About us</a></td>", 0), ("<h2>On bread</h2>", 1), (f"<td>{_S} {_S}</td>", 1),
      (f"<td>{_M}</td>", 1), ("<td>Page 2</td>", 0), ("<td><a href=#>Top</a></td>", 0)],
+    [("<div id=page class=no-sidebar><div class='container with-comments'><ul><li><a href=#>Home</a></li></ul>", 0),
+     ("<article class='post comments-open'><h1>On wells</h1>", 1), (f"<p>{_S}</p>", 1), (f"<p>{_M}</p></article>", 1),
+     (f"<div class=comments><p>{_M}</p></div></div></div>", 0)],
+    [("<div class=sidebar-right><div class=menu><a href=#>Start</a></div>", 0), ("<div class=content><h2>On roofs</h2>", 1), (f"<p>{_S}</p>", 1),
+     (f"<p>{_M}</p></div>", 1), (f"<div class=widget><p>{_S}</p></div></div>", 0)],
+    [(f"<div class=has-sidebar><article><p>{_M}</p></article>", 1), (f"<div class=sidebar><p>{_S} {_M}</p>", 0), (f"<p>{_S} {_M}</p></div>", 0),
+     (f"<div class=comments><p>{_S} {_S}</p>", 0), (f"<p>{_S} {_M}</p></div></div>", 0)],
     [("<nav><ul><li><a href=#>Alpha</a></li>", 0), ("<li>Beta</li></ul></nav>", 0), ("<article><p>Short.</p>", 1),
      ("<p><a href=#>A linked line</a></p>", 1), ("<pre>x = 1</pre></article>", 1), ("<div class=related><a href=#>More</a></div>", 0)],
 ]

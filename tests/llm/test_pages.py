@@ -37,6 +37,24 @@ def test_main_text(page, want):
     assert text(page) == want
 
 
+_LONG = " ".join(x.removeprefix("<p>") for x in [html_text._S, html_text._M])
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<body class='has-sidebar'><article>", "</article></body>"), ("<div id='page' class='no-sidebar'><article>", "</article></div>"),
+    ("<div id='page' class='no-sidebar'><div class=content>", "</div></div>"), ("<div class='container with-comments'><div class=content>", "</div></div>"),
+    ("<article class='post comments-open'>", "</article>"), ("<body class='comments sidebar'><main id=menu>", "</main></body>"),
+    ("<div class='layout sidebar-left'><div class=content>", "</div></div>"), ("<div class='post comment-count'>", "</div>")])
+def test_wrapper_names_do_not_hide_the_page(before, after):
+    assert text(f"{before}<h1>Title</h1><p>{_LONG}</p><p>Yes.</p>{after}") == f"Title {_LONG} Yes."
+
+
+@pytest.mark.parametrize("markup", ["<div class=sidebar>", "<div class='comments-list'>", "<nav><div class=content>", "<div class=cookie-notice><div class=content>",
+                                    "<div class=comments><div class=content>"])
+def test_asides_and_comments_stay_out(markup):
+    assert text(f"<article><p>Body.</p></article>{markup}<p>{_LONG}</p>") == "Body."
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", "<article>é</article>", 0), (None, None, None, 1), (1, "u", "", 2)]
     got = rows_of(html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string, n_chars int")), "page_id", "url", "text", "n_chars")
