@@ -18,11 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is no text of the page.
-HIDDEN = "script|style|title|noscript|template|svg|math|iframe|object|select|textarea|button|canvas|audio|video"
+#: Elements that hold no markup; their content, up to the next end tag of the name, is no text of the page.
+HIDDEN = "script|style|title|noscript|iframe|textarea"
+#: Elements with markup inside whose content is no text of the page; they end like all others.
+DROPPED_TAGS = frozenset("template svg object select button canvas audio video annotation annotation-xml".split())
+#: A start tag of these ends a dropped element that has no end tag of its own.
+BLOCK_TAGS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header "
+                       "hr main menu nav ol p pre section table ul".split())
 #: Elements that stand inside a line; every other known element ends a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
-                   "strong sub sup time tt u var wbr img ruby rt rp nobr".split())
+                   "strong sub sup time tt u var wbr img ruby rt rp nobr "
+                   "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
+                   "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()) | DROPPED_TAGS
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What elements and words of class and id names say about a zone.
 MAIN_TAGS = frozenset(["article", "main"])
@@ -49,8 +56,8 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN_ATTR = re.compile(r"""\shidden(?=[\s=/>]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
-#: LAYOUT is an aside that a layout word opened.
-ASIDE, NEUTRAL, MAIN, COMMENT, LAYOUT = -1, 0, 1, -2, -3
+#: LAYOUT is an aside that a layout word opened; text in DROPPED is none of the page.
+ASIDE, NEUTRAL, MAIN, COMMENT, LAYOUT, DROPPED = -1, 0, 1, -2, -3, -4
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "zone")
 
 
@@ -71,6 +78,8 @@ def zone_of(tag: str, attrs: str, around: int) -> int:
     """Zone inside an element; an aside stays one unless an article starts in it, a comment always.
 
     An aside that only layout words opened also ends where a name has one of ``MAIN_WORDS``."""
+    if around == DROPPED or tag in DROPPED_TAGS:
+        return DROPPED
     if around == COMMENT:
         return COMMENT
     listed = [words_of(n) for m in _NAMES.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").split()]
@@ -88,6 +97,26 @@ def zone_of(tag: str, attrs: str, around: int) -> int:
     return around
 
 
+def unended(tokens: list[re.Match]) -> frozenset[int]:
+    """Places of the start tags of dropped elements that have no end tag before their parent's."""
+    stack: list[tuple[str, int]] = []
+    out = set()
+    for k, m in enumerate(tokens):
+        if m["tag"] is None:
+            continue
+        tag = m["tag"].lower()
+        if not m["close"]:
+            if tag not in VOID and not m["attrs"].endswith("/"):
+                stack.append((tag, k))
+            continue
+        place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+        if place is not None:
+            out.update(i for t, i in stack[place + 1:] if t in DROPPED_TAGS)
+            del stack[place:]
+    out.update(i for t, i in stack if t in DROPPED_TAGS)
+    return frozenset(out)
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page in order, character references decoded, white space single."""
     out: list[Block] = []
@@ -113,29 +142,43 @@ def blocks(page: str) -> list[Block]:
             linked.append(s)
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    tokens = list(_TOKEN.finditer(page))
+    loose = unended(tokens) if any((m["tag"] or "").lower() in DROPPED_TAGS for m in tokens) else frozenset()
+    ends: list[int] = []  # depths of the open dropped elements without an end tag
+    for k, m in enumerate(tokens):
+        dropped = bool(stack) and stack[-1][1] == DROPPED
+        if m.start() > at and not dropped:
             add(page[at:m.start()])
         at = m.end()
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
-        if tag not in INLINE:
+        if dropped and ends and not m["close"] and tag in BLOCK_TAGS and all(z != DROPPED or i >= ends[0] for i, (_, z) in enumerate(stack)):
+            in_link -= sum(t == "a" for t, _ in stack[ends[0]:])
+            del stack[ends[0]:]
+            ends.clear()
+            dropped = False
+        if tag not in INLINE and not dropped:
             flush()
         if m["close"]:
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if place is not None:
                 in_link -= sum(t == "a" for t, _ in stack[place:])
+                if dropped and stack[place][1] != DROPPED and tag not in INLINE:
+                    flush()  # a parent's end tag ends what was dropped in it
                 del stack[place:]
+                ends = [d for d in ends if d < len(stack)]
         elif tag not in VOID and not m["attrs"].endswith("/"):
             around = stack[-1][1] if stack else NEUTRAL
+            if k in loose:
+                ends.append(len(stack))
             stack.append((tag, zone_of(tag, m["attrs"], around)))
             in_link += tag == "a"
         zone = stack[-1][1] if stack else NEUTRAL
-        if zone != state["zone"]:
+        if zone not in (state["zone"], DROPPED):
             flush()
             state["zone"] = zone
-    if at < len(page):
+    if at < len(page) and not (stack and stack[-1][1] == DROPPED):
         add(page[at:])
     flush()
     return out

@@ -55,6 +55,20 @@ def test_asides_and_comments_stay_out(markup):
     assert text(f"<article><p>Body.</p></article>{markup}<p>{_LONG}</p>") == "Body."
 
 
+@pytest.mark.parametrize("inside, want", [
+    ("<p>One <svg viewBox='0 0 1 1'/> two</p><p>Three</p>", "One two Three"), ("<p>One <math/> two</p><p>Three</p>", "One two Three"),
+    ("<p>One <svg><title>t</title><g><text>x</text></g></svg>two</p>", "One two"),
+    ("<p>With <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> it holds.</p>", "With x=2 it holds."),
+    ("<p>With <math><semantics><mi>x</mi><annotation encoding='application/x-tex'>x</annotation></semantics></math>.</p>", "With x."),
+    ("<div><button>Share</div><p>Body.</p>", "Body."), ("<button>Share<p>Body.</p><p>More.</p>", "Body. More."),
+    ("<object data=a><p>One.</p></article><article><p>Two.</p>", "One. Two."),
+    ("<object>a<object>b</object>c</object><p>Body.</p>", "Body."), ("<button><div>Send</div> it</button><p>Body.</p>", "Body."),
+    ("<select><option>a<option>b</select><p>Body.</p>", "Body."), ("<p>A<video><p>No video.</p></video>B</p>", "AB"),
+    ("<p>One</p><svg><g></article><article><p>Two</p>", "One Two"), ("<p>One</p><textarea><p>x</p></textarea><p>Two</p>", "One Two")])
+def test_dropped_elements_end_like_others(inside, want):
+    assert text(f"<article>{inside}</article>") == want
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", "<article>é</article>", 0), (None, None, None, 1), (1, "u", "", 2)]
     got = rows_of(html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string, n_chars int")), "page_id", "url", "text", "n_chars")
