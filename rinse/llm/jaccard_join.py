@@ -94,18 +94,22 @@ GROUP_SHINGLES = 1_000_000
 
 
 def _pack(width: int, fragments: int):
+    """N-grams of the texts, packed; of texts with equal sets each task packs one."""
     def run(batches):
-        held, size = [], 0
+        seen: set[int] = set()
+        keys, held, size = [], [], 0
         for b in batches:
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, width)
-                if len(s):
+                if len(s) and (key := set_key(s)) not in seen:
+                    seen.add(key)
+                    keys.append(key)
                     held.append(s)
                     size += len(s)
                 if size > GROUP_SHINGLES:
-                    yield _batch(packed(list(map(set_key, held)), [0] * len(held), held, fragments, False))
-                    held, size = [], 0
-        yield _batch(packed(list(map(set_key, held)), [0] * len(held), held, fragments, False))
+                    yield _batch(packed(keys, [0] * len(held), held, fragments, False))
+                    keys, held, size = [], [], 0
+        yield _batch(packed(keys, [0] * len(held), held, fragments, False))
     return run
 
 

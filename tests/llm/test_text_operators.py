@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import brute
+import pyarrow as pa
 import pytest
 from brute import rows_of
 
@@ -114,6 +115,14 @@ def test_jaccard_null_and_repeated_ids(spark):
     assert got == sorted([(None, 5, None), (2, 5, 1), (2, 5, 1), (1, 5, 1), (5, 0, 5)], key=repr)
 
 
+def test_copies_are_packed_once_a_task(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", 3)
+    batches = [pa.RecordBatch.from_pydict({"text": ["a b c d e", "x", "", "A  b c d e", "x"]})] * 4
+    out = pa.Table.from_batches(jaccard_join._pack(4, 2)(iter(batches)))
+    # two shingles of the first text, one of the second
+    assert sum(len(x) // 4 for x in out.column("grams").to_pylist()) == 3
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     for f in (exact_dedup.exact_dedup, quality_rules.quality_rules, license_scan.license_scan, jaccard_join.jaccard_join):
