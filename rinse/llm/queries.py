@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rinse.llm import (
-    bpe_tree, exact_dedup, html_text, jaccard_join, license_scan, packing, quality_rules, token_counts, url_filter, warc)
+    bpe_tree, exact_dedup, html_text, jaccard_join, license_scan, packing, prefix_trie, quality_rules, repeat_bytes, spelling,
+    token_counts, url_filter, warc)
 from rinse.llm.common import table
 
 
@@ -58,9 +59,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_repeat_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_bytes.repeat_bytes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_html_text, op2_bpe_round_trip, op3_warc_round_trip, op4_url_filter, op5_jaccard_join, op6_token_counts,
-        op7_license_scan, op8_exact_dedup, op9_packing, op10_quality_rules)}
+        op7_license_scan, op8_exact_dedup, op9_packing, op10_quality_rules, op11_spelling_groups,
+        op12_prefix_trie, op13_repeat_bytes)}
 
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
