@@ -43,13 +43,13 @@ from rinse.llm.common import durable, texts
 
 WINDOW = 50
 GRAM = 20
-PACK = 16 << 20          # bytes of text in a pack; a longer text is a pack of its own
-BUFFER = 1 << 20         # bytes hashed at a time
-RANGE = 32 << 20         # bytes of text whose anchors one range compares
+PACK = 4 << 20           # bytes of text in a pack; a longer text is a pack of its own
+BUFFER = 1 << 16         # bytes hashed at a time
+RANGE = 8 << 20          # bytes of text whose anchors one range compares
 BUCKET = 16_000          # open strings that one bucket merges
 HOT = 20_000             # different strings of an anchor from which they are cut into windows
 NO_ID = np.iinfo(np.int64).max
-NONE, SETTLED, OPEN, CUT = range(4)
+NONE, SETTLED, HELD, OPEN, CUT = range(5)   # HELD: open, and this pack sends the string
 
 _M = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -107,24 +107,32 @@ class Pack:
         """The anchored strings in order of place: doc (index), pos, count (windows), anchor and key (hash)."""
         width = window - GRAM + 1
         found: list[tuple] = []
-        lo, n = 0, len(self.data)
+        lo, n, begins = 0, len(self.data), self.ends - self.lens
         while lo + window <= n:
             hi = min(n, lo + BUFFER + window - 1)
             piece = self.data[lo:hi]
             whole = window_hashes(piece, window)
             least = _least(window_hashes(piece, GRAM), width)
-            at = np.arange(lo, hi - window + 1)
-            doc = np.searchsorted(self.ends, at, "right")
-            ok = np.flatnonzero(at + window <= self.ends[doc])
-            if len(ok):
-                least, whole, doc, at = least[ok], whole[ok], doc[ok], at[ok]
-                new = np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
-                begin = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-                start = np.flatnonzero((np.arange(len(new)) - begin) % width == 0)
-                count = np.diff(np.append(start, len(new)))
+            last = hi - window + 1
+            new = np.ones(last - lo, bool)
+            new[1:] = least[1:last - lo] != least[:last - lo - 1]
+            a, b = np.searchsorted(begins, [lo, last])
+            new[begins[a:b] - lo] = True
+            start = np.flatnonzero(new)
+            # a string ends where the next begins, or with the windows of its document
+            doc = np.searchsorted(self.ends, lo + start, "right")
+            end = np.minimum(np.append(start[1:], last - lo), self.ends[doc] - window + 1 - lo)
+            some = end > start
+            start, count, doc = start[some], (end - start)[some], doc[some]
+            parts = -(-count // width)
+            if (parts > 1).any():      # equal anchors in a row, as in runs of one byte
+                k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                start, doc = np.repeat(start, parts) + k * width, np.repeat(doc, parts)
+                count = np.minimum(np.repeat(count, parts) - k * width, width)
+            if len(start):
                 key = _mixed(whole[start] * np.uint64(3) + whole[start + count - 1] * np.uint64(5) + count.astype(np.uint64))
-                found.append((doc[start], at[start], count, least[start], key))
-            lo = hi - window + 1
+                found.append((doc, lo + start, count, _mixed(least[start] * np.uint64(_M)), key))   # smallest hashes are small: spread them
+            lo = last
         names = ("doc", "pos", "count", "anchor", "key")
         if not found:
             return dict(zip(names, [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2))
@@ -220,11 +228,11 @@ def _verdicts(hot: int, cut_into: int):
         least = np.minimum.reduceat(low, first)
         shared = (np.maximum.reduceat(low, first) > least) | (np.maximum.reduceat(several, first) > 0)
         strings = np.add.reduceat(string.astype(np.int64), first)
-        status = np.where(~shared, NONE, np.where(strings == 1, SETTLED, np.where(strings > hot, CUT, OPEN))).astype(np.uint8)
+        status = np.where(~shared, NONE, np.where(strings == 1, SETTLED, np.where(strings > hot, CUT, OPEN))).astype(np.uint8)[group]
         out, best = np.empty(len(order), np.uint8), np.empty(len(order), np.int64)
-        out[order], best[order] = status[group], least[group]
+        out[order], best[order] = np.where((status == OPEN) & string, HELD, status), least[group]
         ends = np.cumsum(sizes)
-        work = (out == OPEN) + (out == CUT) * np.int64(cut_into)
+        work = (out == HELD) + (out == CUT) * np.int64(cut_into)
         return pa.table({"pack": table.column("pack"), "range": table.column("range"),
                          "n_open": [int(work[e - n:e].sum()) for e, n in zip(ends, sizes)],
                          "status": pa.array([out[e - n:e].tobytes() for e, n in zip(ends, sizes)], pa.binary()),
@@ -237,6 +245,8 @@ def transform(data: np.ndarray, pos: np.ndarray, lens: np.ndarray) -> tuple[np.n
 
     Terminators are smaller than every byte and ordered like their strings.
     """
+    if not len(lens):
+        return np.zeros(0, np.uint8), np.zeros(0, np.uint32)
     longest = int(lens.max())
     words = -(-longest // 8)
     wide = np.zeros((len(pos), 8 * (words + 1) + longest), np.uint8)
@@ -250,16 +260,32 @@ def transform(data: np.ndarray, pos: np.ndarray, lens: np.ndarray) -> tuple[np.n
         value = (value << np.uint64(8 * step)) | further
     string = np.repeat(np.arange(len(pos)), lens + 1)
     place = np.arange(len(string)) - np.repeat(np.cumsum(lens + 1) - lens - 1, lens + 1)
-    order = np.argsort(lens[string] - place, kind="stable")
-    for w in reversed(range(words)):
-        order = order[np.argsort(value[string[order], place[order] + 8 * w], kind="stable")]
+    # by the first eight bytes; what still ties by the next eight, and so on; in the end the shorter first, then by string
+    first = value[string, place]
+    order = np.argsort(first)
+    first = first[order]
+    new = np.concatenate([[True], first[1:] != first[:-1]])
+    for w in range(1, words + 1):
+        group = np.cumsum(new)
+        tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+        if not len(tied):
+            break
+        rows, group = order[tied], group[tied]
+        if w < words:
+            keys = (value[string[rows], place[rows] + 8 * w],)
+        else:
+            keys = (string[rows], lens[string[rows]] - place[rows])
+        by = np.lexsort((*keys, group))
+        order[tied] = rows[by]
+        if w < words:
+            new[tied[1:]] = new[tied[1:]] | (keys[0][by][1:] != keys[0][by][:-1])
     string, place = string[order], place[order]
     starts = place == 0
     return np.where(starts, 0, wide[string, np.maximum(place, 1) - 1]).astype(np.uint8), np.flatnonzero(starts).astype(np.uint32)
 
 
-SHARD_ARROW = pa.schema([("bucket", pa.int64()), ("pack", pa.int64()), *((c, pa.binary()) for c in ("settled", "lens", "bwt", "starts", "low", "high", "string", "doc", "pos"))])
-SHARD_SCHEMA = "bucket bigint, pack bigint, settled binary, lens binary, bwt binary, starts binary, low binary, high binary, string binary, doc binary, pos binary"
+SHARD_ARROW = pa.schema([("bucket", pa.int64()), ("pack", pa.int64()), *((c, pa.binary()) for c in ("settled", "name", "held", "lens", "bwt", "starts", "low", "high", "string", "doc", "pos"))])
+SHARD_SCHEMA = "bucket bigint, pack bigint, settled binary, name binary, held binary, lens binary, bwt binary, starts binary, low binary, high binary, string binary, doc binary, pos binary"
 
 
 def _shards(window: int, ranges: int, buckets: int):
@@ -278,7 +304,7 @@ def _shards(window: int, ranges: int, buckets: int):
             spans = np.stack([s["pos"][gone], s["pos"][gone] + s["count"][gone] + window - 1], 1)
             out = [{"bucket": -1, "pack": row["pack"], "settled": merged(spans, pack.ends).astype(np.int64).tobytes()}]
 
-            is_open = np.flatnonzero(state == OPEN)
+            is_open = np.flatnonzero((state == OPEN) | (state == HELD))
             cut = np.flatnonzero(state == CUT)
             inner = np.arange(s["count"][cut].sum()) - np.repeat(np.cumsum(s["count"][cut]) - s["count"][cut], s["count"][cut])
             pos = np.concatenate([s["pos"][is_open], np.repeat(s["pos"][cut], s["count"][cut]) + inner])
@@ -288,19 +314,20 @@ def _shards(window: int, ranges: int, buckets: int):
             for i in range(window if len(inner) else 0):
                 own = own * np.uint64(_M) + _BYTE[pack.data[pos[len(is_open):] + i]]
             own = _mixed(own)
-            names = np.concatenate([_mixed(code[entry[is_open]] + np.uint64(1)), own])
-            keys = np.concatenate([s["key"][is_open], own])
-            bucket = (names % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((keys, names, bucket))
-            bucket, names, keys, pos, doc, lens = (x[order] for x in (bucket, names, keys, pos, doc, lens))
+            spread = _mixed(code[entry[is_open]] + np.uint64(1))
+            bucket = (np.concatenate([spread, own]) % np.uint64(buckets)).astype(np.int64)
+            name = np.concatenate([_mixed(spread * np.uint64(3) + s["key"][is_open]), own])
+            held = np.concatenate([state[is_open] == HELD, np.ones(len(own), bool)])
+            order = np.lexsort((name, bucket))
+            bucket, name, held, pos, doc, lens = (x[order] for x in (bucket, name, held, pos, doc, lens))
             bounds = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
             for a, b in zip(bounds, [*bounds[1:], len(bucket)]):
-                new = np.concatenate([[True], (keys[a + 1:b] != keys[a:b - 1]) | (names[a + 1:b] != names[a:b - 1])])
+                new = np.concatenate([[True], name[a + 1:b] != name[a:b - 1]])
                 first, of = np.flatnonzero(new), np.cumsum(new) - 1
-                ids = pack.ids[doc[a:b]]
-                bwt, starts = transform(pack.data, pos[a:b][first], lens[a:b][first])
-                out.append({"bucket": int(bucket[a]), "pack": row["pack"], "lens": lens[a:b][first].astype(np.uint8).tobytes(), "bwt": bwt.tobytes(),
-                            "starts": starts.tobytes(), "low": np.minimum.reduceat(ids, first).tobytes(), "high": np.maximum.reduceat(ids, first).tobytes(),
+                ids, sent = pack.ids[doc[a:b]], a + first[held[a:b][first]]
+                bwt, starts = transform(pack.data, pos[sent], lens[sent])
+                out.append({"bucket": int(bucket[a]), "pack": row["pack"], "name": name[a:b][first].tobytes(), "held": held[a:b][first].tobytes(),
+                            "lens": lens[sent].astype(np.uint8).tobytes(), "bwt": bwt.tobytes(), "starts": starts.tobytes(), "low": np.minimum.reduceat(ids, first).tobytes(), "high": np.maximum.reduceat(ids, first).tobytes(),
                             "string": of.astype(np.uint32).tobytes(), "doc": doc[a:b].astype(np.uint32).tobytes(), "pos": pos[a:b].astype(np.int64).tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema=SHARD_ARROW)
     return run
@@ -309,9 +336,10 @@ def _shards(window: int, ranges: int, buckets: int):
 def merge(bwts: list[np.ndarray], starts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(rows, bound, link, ends)`` of the merged transforms.
 
-    ``rows`` lists the shards' rows (numbered end to end) in order of their first ``depth`` symbols; ``bound`` marks a row
-    whose symbols differ from those of the row before; ``link`` leads each row to that of the suffix one byte longer;
-    ``ends`` are the rows of the bare terminators, string by string.
+    ``rows`` lists, in order, those of the shards' rows (numbered end to end) whose first ``depth`` symbols others share;
+    ``bound`` marks the first row of each interval of equal symbols.  A row alone in its block stays alone, and so does
+    the row it leads to, so blocks that have come down to one row leave the refinement.  ``link`` leads each row to that
+    of the suffix one byte longer; ``ends`` are the rows of the bare terminators, string by string.
     """
     base = np.cumsum([0, *map(len, bwts)])
     symbol = np.concatenate(bwts)
@@ -326,14 +354,16 @@ def merge(bwts: list[np.ndarray], starts: list[np.ndarray], depth: int) -> tuple
     ends = np.concatenate(ends).astype(np.int32)
     rows, bound = np.arange(base[-1], dtype=np.int32), np.zeros(base[-1], bool)
     for _ in range(depth):
-        inner = np.flatnonzero(~terminator[rows])
+        inner = np.flatnonzero(~terminator[rows])      # terminators differ from one another
         sym = symbol[rows[inner]]
         by = np.argsort(sym, kind="stable")
         inner, sym = inner[by], sym[by]
         block = np.cumsum(bound, dtype=np.int32)[inner]
-        bound = np.ones(len(rows), bool)       # terminators differ from one another
-        bound[len(ends) + 1:] = (sym[1:] != sym[:-1]) | (block[1:] != block[:-1])
-        rows = np.concatenate([ends, link[rows[inner]]])
+        bound = np.ones(len(inner), bool)
+        bound[1:] = (sym[1:] != sym[:-1]) | (block[1:] != block[:-1])
+        shared = ~bound
+        shared[:-1] |= ~bound[1:]
+        rows, bound = link[rows[inner[shared]]], bound[shared]
     return rows, bound, link, ends
 
 
@@ -343,27 +373,37 @@ ANSWER_SCHEMA = "pack bigint, bucket bigint, at binary, first binary, last binar
 def _merged_bucket(window: int):
     """For each shard of a bucket: string, first and last window and smallest id of every stretch that a document of the shard must lose."""
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pack")
-        lens = _blobs(table, "lens", np.uint8)
+        names, helds = _blobs(table, "name", np.uint64), _blobs(table, "held", bool)
+        name, held = np.concatenate(names), np.concatenate(helds)
         low, high = np.concatenate(_blobs(table, "low", np.int64)), np.concatenate(_blobs(table, "high", np.int64))
+        length = np.concatenate(_blobs(table, "lens", np.uint8)).astype(np.int64)
         rows, bound, link, ends = merge(_blobs(table, "bwt", np.uint8), _blobs(table, "starts", np.uint32), window)
-        length = np.concatenate(lens).astype(np.int64)
-        width = int(length.max()) - window + 1
+        # what packs say of the same string: its smallest id, and which of the merged strings it is
+        known, which = np.unique(name, return_inverse=True)
+        least_of = np.full(len(known), NO_ID)
+        np.minimum.at(least_of, which, low)
+        merged_as = np.empty(len(known), np.int64)
+        merged_as[which[held]] = np.arange(len(length))
+        own = least_of[which[held]]
         # walk each string from its end: where each window of it stands
-        string, place = np.full(len(rows), -1, np.int32), np.zeros(len(rows), np.int16)
+        width = int(length.max()) - window + 1
+        string, place = np.full(len(link), -1, np.int32), np.zeros(len(link), np.int16)
         at, who = ends, np.arange(len(ends), dtype=np.int32)
         for step in range(1, int(length.max()) + 1):
             going = length[who] >= step
             who, at = who[going], link[at[going]]
             if step >= window:
                 string[at], place[at] = who, length[who] - step
-        string, place = string[rows], place[rows]
-        ids = np.where(string >= 0, low[string], NO_ID)
-        first = np.flatnonzero(bound)
-        least = np.minimum.reduceat(ids, first)[np.cumsum(bound) - 1]
-        held = string >= 0
-        table_of = np.full((len(length), width), NO_ID)
-        table_of[string[held], place[held]] = least[held]
+        least = np.full((len(length), width), NO_ID)
+        for k in range(width):
+            least[length >= window + k, k] = own[length >= window + k]
+        if len(rows):
+            string, place = string[rows], place[rows]
+            first = np.flatnonzero(bound)
+            smallest = np.minimum.reduceat(np.where(string >= 0, own[string], NO_ID), first)[np.cumsum(bound) - 1]
+            seen = string >= 0
+            least[string[seen], place[seen]] = smallest[seen]
+        table_of = least[merged_as[which]]
         lose = table_of < high[:, None]
         same = np.zeros_like(lose)
         same[:, 1:] = lose[:, 1:] & lose[:, :-1] & (table_of[:, 1:] == table_of[:, :-1])
@@ -372,7 +412,7 @@ def _merged_bucket(window: int):
         last[:, :-1] = same[:, 1:]
         stop = np.nonzero(lose & ~last)[1]
         value = table_of[who, begin]
-        edges = np.cumsum([0, *map(len, lens)])
+        edges = np.cumsum([0, *map(len, names)])
         cut = np.searchsorted(who, edges)
         pick = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
         local = who - np.repeat(edges[:-1], np.diff(cut))
@@ -452,7 +492,7 @@ def repeat_bytes(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col:
     per_pack = answers.groupBy("pack").agg(F.collect_list(F.struct("range", "status", "least")).alias("verdicts"))
     shards = durable(packs.join(per_pack, "pack").mapInArrow(_shards(window, ranges, buckets), SHARD_SCHEMA), "shards")
     opened = shards.filter("bucket >= 0")
-    found = opened.select("bucket", "pack", "lens", "bwt", "starts", "low", "high").groupBy("bucket").applyInArrow(_merged_bucket(window), ANSWER_SCHEMA)
+    found = opened.select("bucket", "pack", "name", "held", "lens", "bwt", "starts", "low", "high").groupBy("bucket").applyInArrow(_merged_bucket(window), ANSWER_SCHEMA)
     places = opened.select("pack", "bucket", "string", "doc", "pos").join(found, ["pack", "bucket"])
     spans = places.groupBy("pack").agg(F.collect_list(F.struct("string", "doc", "pos", "at", "first", "last", "least")).alias("answers"))
     settled = shards.filter("bucket < 0").groupBy("pack").agg(F.collect_list("settled").alias("settled"))
