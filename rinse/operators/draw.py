@@ -10,14 +10,16 @@ Every "first per group" is a grouped minimum plus a join on a unique id.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinse import config as C
 from rinse.functions import expr as X
-from rinse.operators.ordered import first_per_group
+from rinse.operators.ordered import first_per_group, ordinal, running_sum
 from rinse.operators.rankings import pick_key
+from rinse.sources.sinks import materialise
 
 
 def backfill_status(winners: DataFrame) -> DataFrame:
@@ -66,41 +68,64 @@ def approve(cands: DataFrame, winners: DataFrame, requests: DataFrame, as_of,
 
 
 def reschedule(cands: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """m8: move candidates to new dates.
-
-    ``requests``: candidate_id, new_date, seq.  Refused: unknown candidate; a
-    second request for the same candidate; another candidate of the same
-    customer (NULL-safe) and plate key already on the new date in the table as
-    it stood; the same person moved to the same date earlier in the batch."""
-    c = cands.select(F.col("id").alias("candidate_id"), "customer_id", X.regkey("vehicle_reg").alias("_rk"))
-    r = requests.join(c, "candidate_id", "left")
-    unknown = r.filter(F.col("_rk").isNull()).select("candidate_id", "new_date",
-                                                     F.lit("candidate not found").alias("reason"))
-    r = r.filter(F.col("_rk").isNotNull())
-    first_req = first_per_group(r, ["candidate_id"], ["seq"], ["seq"]).withColumnRenamed("seq", "_fseq")
-    r = r.join(first_req, "candidate_id")
-    repeated = r.filter(F.col("seq") != F.col("_fseq")).select(
-        "candidate_id", "new_date", F.lit("candidate already moved in this batch").alias("reason"))
-    r = r.filter(F.col("seq") == F.col("_fseq")).drop("_fseq")
-    other = cands.select(F.col("id").alias("_oid"), F.col("draw_date").alias("_odate"),
-                         F.col("customer_id").alias("_ocust"), X.regkey("vehicle_reg").alias("_ork"))
-    clash_cond = ((r["new_date"] == other["_odate"]) & r["customer_id"].eqNullSafe(other["_ocust"])
-                  & (r["_rk"] == other["_ork"]) & (r["candidate_id"] != other["_oid"]))
-    clash = r.join(other, clash_cond, "left_semi").select(
-        "candidate_id", "new_date", F.lit("same candidate already on the new date").alias("reason"))
-    free = r.join(other, clash_cond, "left_anti")
-    # one move per (date, person) inside the batch: the first request wins
-    free = free.withColumn("_cust", F.coalesce(F.col("customer_id").cast("string"), F.lit("\u0000")))
-    winners_ = first_per_group(free, ["new_date", "_cust", "_rk"], ["seq", "candidate_id"], ["candidate_id"]) \
-        .select(F.col("candidate_id").alias("_ok"))
-    moved = free.join(winners_, free["candidate_id"] == winners_["_ok"], "left_semi") \
-        .select("candidate_id", "new_date")
-    lost = free.join(winners_, free["candidate_id"] == winners_["_ok"], "left_anti").select(
-        "candidate_id", "new_date", F.lit("same candidate moved to the date earlier in this batch").alias("reason"))
-    m = moved.select(F.col("candidate_id").alias("_mid"), F.col("new_date").alias("_mdate"))
-    after = cands.join(m, cands["id"] == m["_mid"], "left") \
-        .withColumn("draw_date", F.coalesce(F.col("_mdate"), F.col("draw_date"))).drop("_mid", "_mdate")
-    return after, unknown.unionByName(repeated).unionByName(clash).unionByName(lost)
+    """m8: move candidates to new dates, one request after the other.
+
+    ``requests``: candidate_id, new_date, seq (ties: candidate_id, new_date).
+    Refused: no candidate or date given; unknown candidate; another candidate
+    of the same customer (NULL-safe) and plate key on the new date *at that
+    moment*, so an earlier move of the batch may free a date or take it.
+    Returns (candidates after, refused requests).
+
+    A request depends only on earlier ones of the same person.  All requests
+    are first taken as granted; each round recomputes every decision from the
+    dates the others then hold, until no decision changes.  After k rounds
+    the first k requests of each person are right, so the fixed point is the
+    sequential result.  It is reached after as many rounds as requests hang on
+    one another; persons whose decisions no longer change leave the loop."""
+    person = ["_cust", "_rk"]
+    known = cands.select(F.col("id").alias("candidate_id"), F.col("draw_date").alias("_from"),
+                         F.coalesce(F.col("customer_id").cast("string"), F.lit("\u0000")).alias("_cust"),
+                         X.regkey("vehicle_reg").alias("_rk"))
+    asked = requests.select("candidate_id", "new_date", "seq")
+    given = F.col("candidate_id").isNotNull() & F.col("new_date").isNotNull()
+    blank = asked.filter(~given).select("candidate_id", "new_date", F.lit("candidate_id and new_date are required").alias("reason"))
+    unknown = (asked.filter(given).join(known, "candidate_id", "left_anti")
+               .select("candidate_id", "new_date", F.lit("candidate not found").alias("reason")))
+    valid = asked.filter(given).join(known, "candidate_id")
+    moves = materialise(ordinal(valid, [], ["seq", "candidate_id", "new_date"], out="no")
+                        .select("no", "candidate_id", *person, "new_date", F.lit(True).alias("ok")), "moves")
+    held = materialise(known.join(moves.select(*person).distinct(), person, "left_semi"), "held")
+
+    settled: list[DataFrame] = []
+    while True:
+        judged = materialise(_judge_moves(held, moves, person), "judged")
+        unsure = judged.filter("ok <> was_ok").select(*person).distinct()
+        settled.append(judged.join(unsure, person, "left_anti"))
+        moves = judged.join(unsure, person, "left_semi").drop("was_ok")
+        if unsure.isEmpty():
+            break
+        held = held.join(unsure, person, "left_semi")
+    final = reduce(DataFrame.unionByName, settled)
+    refused = final.filter("NOT ok").select("candidate_id", "new_date", F.lit("same candidate already on the new date").alias("reason"))
+    last = final.filter("ok").groupBy(F.col("candidate_id").alias("_mid")).agg(F.max_by("new_date", "no").alias("_mdate"))
+    after = (cands.join(last, cands["id"] == last["_mid"], "left")
+             .withColumn("draw_date", F.coalesce(F.col("_mdate"), F.col("draw_date"))).drop("_mid", "_mdate"))
+    return after, blank.unionByName(unknown).unionByName(refused)
+
+
+def _judge_moves(held: DataFrame, moves: DataFrame, person: list[str]) -> DataFrame:
+    """``moves`` with ``ok`` decided anew (the old one in ``was_ok``): is the new date free of the person's other candidates, if the old decisions hold?"""
+    stay = held.select("candidate_id", *person, F.col("_from").alias("new_date"), F.lit(0).cast("bigint").alias("no"), F.lit(True).alias("ok"))
+    before = Window.partitionBy("candidate_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = stay.unionByName(moves.select(*stay.columns)).withColumn("_at", F.last(F.when(F.col("ok"), F.col("new_date")), ignorenulls=True).over(before))
+    # who is on a date: arrivals and departures in request order; a request looks before its own take effect
+    step = lambda date, kind, v: F.struct(F.col(date).alias("date"), F.lit(kind).alias("kind"), F.lit(v).cast("bigint").alias("v"))
+    steps = rows.withColumn("_s", F.explode(F.array_compact(F.array(
+        F.when(F.col("no") > 0, step("new_date", 0, 0)), F.when(F.col("ok"), step("new_date", 1, 1)),
+        F.when(F.col("ok") & (F.col("no") > 0), step("_at", 1, -1))))))
+    there = running_sum(steps.select("*", "_s.*").drop("_s"), [*person, "date"], ["no", "kind", "v"], F.col("v"), out="_on")
+    others = F.col("_on") - F.col("_at").eqNullSafe(F.col("new_date")).cast("bigint")
+    return there.filter("kind = 0").select("no", "candidate_id", *person, "new_date", (others == 0).alias("ok"), F.col("ok").alias("was_ok"))
 
 
 def revoke(winners: DataFrame, requests: DataFrame, mode: str = "status") -> tuple[DataFrame, DataFrame]:

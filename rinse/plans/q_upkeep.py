@@ -177,35 +177,66 @@ def _reschedule(spark, d):
     return D.reschedule(c, req)
 
 
-_RESCHED_SQL = """
-, r AS (SELECT id AS candidate_id, draw_date + 1 AS new_date, id AS seq, customer_id,
-               COALESCE(NULLIF(UPPER(vehicle_reg), ''), '') AS rk FROM b_candidates),
-  o AS (SELECT id AS oid, draw_date AS odate, customer_id AS ocust, COALESCE(NULLIF(UPPER(vehicle_reg), ''), '') AS ork
-        FROM b_candidates),
-  clash AS (SELECT * FROM r WHERE EXISTS (SELECT 1 FROM o WHERE o.odate = r.new_date AND o.ocust IS NOT DISTINCT FROM r.customer_id
-                                          AND o.ork = r.rk AND o.oid <> r.candidate_id)),
-  free AS (SELECT * FROM r WHERE candidate_id NOT IN (SELECT candidate_id FROM clash)),
-  ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY new_date, customer_id, rk ORDER BY seq, candidate_id) AS rn FROM free)
+def _resched_sql(requests: str) -> str:
+    """The requests replayed one by one, per person, on the list of the person's candidates and dates."""
+    return f"""
+, asked AS (SELECT id AS candidate_id, new_date, seq, concat(COALESCE(CAST(customer_id AS VARCHAR), '-'), '|', COALESCE(UPPER(vehicle_reg), '')) AS p
+            FROM ({requests})),
+  r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY p ORDER BY seq, candidate_id, new_date) AS k FROM asked),
+  held AS (SELECT concat(COALESCE(CAST(customer_id AS VARCHAR), '-'), '|', COALESCE(UPPER(vehicle_reg), '')) AS p,
+                  list({{'c': id, 'd': draw_date}}) AS pos FROM b_candidates GROUP BY 1),
+  replay(p, k, pos, candidate_id, new_date, ok) AS (
+    SELECT p, CAST(0 AS BIGINT), pos, CAST(NULL AS BIGINT), CAST(NULL AS DATE), CAST(NULL AS BOOLEAN) FROM held
+    UNION ALL
+    SELECT p, k, CASE WHEN ok THEN list_transform(pos, lambda x: CASE WHEN x.c = cand THEN {{'c': x.c, 'd': nd}} ELSE x END) ELSE pos END, cand, nd, ok
+    FROM (SELECT s.p, r.k, s.pos, r.candidate_id AS cand, r.new_date AS nd,
+                 len(list_filter(s.pos, lambda x: x.c <> r.candidate_id AND x.d = r.new_date)) = 0 AS ok
+          FROM replay s JOIN r ON r.p = s.p AND r.k = s.k + 1)),
+  final AS (SELECT candidate_id, arg_max(new_date, k) AS new_date FROM replay WHERE ok GROUP BY candidate_id)
 """
 
 
-@register("m8_reschedule", W(["b_candidates"], _RESCHED_SQL + """
+_NEXT_DAY = "SELECT *, draw_date + 1 AS new_date, id AS seq FROM b_candidates"
+#: three moves each, the latest dates first, so that a move frees the date that the next one wants
+_CHAIN = ("SELECT *, draw_date + CAST(step AS INTEGER) AS new_date, place * 100000 - (draw_date - DATE '1970-01-01') AS seq "
+          "FROM b_candidates, (VALUES (0, 1), (1, 2), (2, -1)) AS m(place, step)")
+_MOVED = """
 SELECT c.id, COALESCE(m.new_date, c.draw_date) AS draw_date, c.customer_id, c.vehicle_reg, c.customer_phone,
        c.customer_name, c.created_at
-FROM b_candidates c LEFT JOIN (SELECT candidate_id, new_date FROM ranked WHERE rn = 1) m ON m.candidate_id = c.id"""))
+FROM b_candidates c LEFT JOIN final m ON m.candidate_id = c.id"""
+_NOT_MOVED = "SELECT candidate_id, new_date, 'same candidate already on the new date' AS reason FROM replay WHERE NOT ok"
+_CAND_COLS = ["id", "draw_date", "customer_id", "vehicle_reg", "customer_phone", "customer_name", "created_at"]
+
+
+@register("m8_reschedule", W(["b_candidates"], _resched_sql(_NEXT_DAY) + _MOVED, recursive=True))
 def q_m8(spark, d):
-    return _reschedule(spark, d)[0].select("id", "draw_date", "customer_id", "vehicle_reg", "customer_phone",
-                                           "customer_name", "created_at")
+    return _reschedule(spark, d)[0].select(*_CAND_COLS)
 
 
-@register("m8_reschedule_refused", W(["b_candidates"], _RESCHED_SQL + """
-SELECT candidate_id, new_date, 'same candidate already on the new date' AS reason FROM clash
-UNION ALL
-SELECT candidate_id, new_date, 'same candidate moved to the date earlier in this batch' FROM ranked WHERE rn > 1"""))
+@register("m8_reschedule_refused", W(["b_candidates"], _resched_sql(_NEXT_DAY) + _NOT_MOVED, recursive=True))
 def q_m8_refused(spark, d):
     return _reschedule(spark, d)[1]
 
 
+def _chained(spark, d):
+    c = B.candidates(spark, d)
+    steps = F.explode(F.array(*[F.struct(F.lit(p).alias("place"), F.lit(s).alias("step")) for p, s in ((0, 1), (1, 2), (2, -1))]))
+    req = c.select(F.col("id").alias("candidate_id"), "draw_date", steps.alias("m")).select(
+        "candidate_id", F.date_add("draw_date", F.col("m.step")).alias("new_date"),
+        (F.col("m.place") * 100000 - F.datediff("draw_date", F.lit("1970-01-01").cast("date"))).alias("seq"))
+    return D.reschedule(c, req)
+
+
+@register("m8_reschedule_chain", W(["b_candidates"], _resched_sql(_CHAIN) + _MOVED, recursive=True))
+def q_m8_chain(spark, d):
+    return _chained(spark, d)[0].select(*_CAND_COLS)
+
+
+@register("m8_reschedule_chain_refused", W(["b_candidates"], _resched_sql(_CHAIN) + _NOT_MOVED, recursive=True))
+def q_m8_chain_refused(spark, d):
+    return _chained(spark, d)[1]
+
+
 def _revoke(spark, d):
     c = B.candidates(spark, d)
     req = c.select(F.col("id").alias("winner_id"),
