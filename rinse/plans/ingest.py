@@ -20,7 +20,7 @@ from rinse.operators import maintenance as M
 from rinse.operators import promotions as PR
 from rinse.operators import quality as Q
 from rinse.operators.commissions import book_commission
-from rinse.sources import sinks
+from rinse.sources import batches
 
 SALE_COLS = ["id", "service_id", "car_type_id", "staff_id", "customer_id", "vehicle_reg", "unit_price",
              "commission_pct", "commission_amount", "profit_amount", "is_free", "promo_code",
@@ -35,10 +35,11 @@ def new_customer_id(key_col: str) -> F.Column:
 
 def ingest_sales(new_sales: DataFrame, prices: DataFrame, customers: DataFrame, winners: DataFrame,
                  featured: DataFrame, settings: PromoSettings = PromoSettings(),
-                 snapshot_path: str | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Returns (booked sales, rejected rows with reasons); appends the booked sales
-    to the day-partitioned table at ``snapshot_path`` when it is given, beside
-    the sales earlier batches booked on the same days.
+                 snapshot_path: str | None = None, history: DataFrame | None = None, batch: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Returns (booked sales, rejected rows with reasons); publishes the booked sales
+    as batch ``batch`` of the day-partitioned table at ``snapshot_path`` when it is
+    given, beside the sales earlier batches booked on the same days.  A batch that
+    is published already is not booked again.
 
     ``new_sales``: id, service_id, car_type_id, staff_id, unit_price (NULL = list
     price), commission_pct (NULL = default), washed_at, customer_name,
@@ -61,7 +62,7 @@ def ingest_sales(new_sales: DataFrame, prices: DataFrame, customers: DataFrame,
                                  issued=history.select("receipt_no") if history is not None else None)
     out = numbered.select(*SALE_COLS)
     if snapshot_path:
-        sinks.write_snapshot(out.withColumn("day", F.to_date("washed_at")), snapshot_path, part="day", mode="append")
+        batches.write_batch(out.withColumn("day", F.to_date("washed_at")), snapshot_path, batch)
     rejects = (invalid.select("id", F.array_join("errors", "; ").alias("reason"))
                .unionByName(unpriced.select("id", "reason")))
     return out, rejects

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from rinse.config import PromoSettings
 from rinse.plans.ingest import ingest_sales
 from rinse.session import shared_dir
+from rinse.sources import batches
 from rinse.sources import bindings as B
 from tests.conftest import SMALL
 
 
+def booked_schema(booked):
+    return booked.withColumn("day", F.to_date("washed_at")).schema
+
+
 def test_ingest_invariants(spark):
     src = B.new_sales(spark, SMALL)
     path = shared_dir(spark, "t-ingest")
@@ -24,7 +29,7 @@ def test_ingest_invariants(spark):
     assert out.filter("customer_id IS NULL").count() == 0
     known = B.known_customers(spark, SMALL).select("id")
     assert out.filter("customer_id >= 0").join(known, out["customer_id"] == known["id"], "left_anti").count() == 0
-    assert spark.read.parquet(path).count() == n_out
+    assert batches.read_batches(spark, path, booked_schema(out)).count() == n_out
 
 
 def test_ingest_second_batch_continues_history(spark):
@@ -49,9 +54,11 @@ def test_a_second_batch_of_a_day_keeps_the_first(spark):
     cut = "TIMESTAMP '2024-01-15 12:00:00'"
     path = shared_dir(spark, "t-two-batches")
     args = (B.sale_prices(spark, SMALL), B.known_customers(spark, SMALL), B.winners(spark, SMALL), B.featured(spark, SMALL), PromoSettings())
-    h, _ = ingest_sales(src.filter(f"washed_at < {cut}"), *args, path)
-    first = spark.read.parquet(path).select("id").collect()
-    late, _ = ingest_sales(src.filter(f"washed_at >= {cut}"), *args, path, history=h)
-    ids = [r["id"] for r in spark.read.parquet(path).select("id").collect()]
+    h, _ = ingest_sales(src.filter(f"washed_at < {cut}"), *args, path, batch=0)
+    schema = booked_schema(h)
+    first = batches.read_batches(spark, path, schema).select("id").collect()
+    late, _ = ingest_sales(src.filter(f"washed_at >= {cut}"), *args, path, history=h, batch=1)
+    ingest_sales(src.filter(f"washed_at >= {cut}"), *args, path, history=h, batch=1)      # a retry books nothing twice
+    ids = [r["id"] for r in batches.read_batches(spark, path, schema).select("id").collect()]
     assert len(ids) == len(set(ids)) == len(first) + late.count()
     assert {r["id"] for r in first} < set(ids)
