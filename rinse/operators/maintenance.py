@@ -10,12 +10,14 @@ and then joined to the target on the key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinse import config as C
 from rinse.functions import expr as X
+from rinse.operators.asof import least_active
 from rinse.operators.commissions import book_commission
+from rinse.operators.ordered import ordinal
 from rinse.sources import sinks
 from rinse.sources.schemas import MONEY, PCT
 
@@ -179,6 +181,87 @@ def same_person(marks: DataFrame) -> DataFrame:
             return labels
 
 
+def resolve_in_order(customers: DataFrame, contacts: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """m11, one contact after the other: ``(resolved, customers after)``.
+
+    ``customers``: id, name, phone, vehicle_reg; ``contacts``: contact_id, name,
+    phone, vehicle_reg and the columns ``order`` (a total order; the last is a
+    unique key).  A contact belongs to the customer with its phone, else to the
+    one who drives its plate *at that moment* (the lowest id, if several), else
+    it becomes a new customer.  Each match patches the name and the plate with
+    what the contact gives, never the phone, so a plate may change hands inside
+    the batch.  Empty strings count as NULL; a contact with neither phone nor
+    plate belongs to nobody (``match`` none).
+
+    ``resolved``: contact_id, customer_id, match (phone, plate, new, none).  New
+    customers are numbered densely after the highest id, in order of arrival.
+
+    A contact depends only on earlier ones.  From a first guess, each round
+    turns the assignment into intervals of plate ownership, looks every contact
+    up as of its arrival and assigns anew, until nothing changes.  After k
+    rounds the first k contacts are right, so the fixed point is the sequential
+    result; the rounds needed are as many as matches hang on one another."""
+    blank = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
+    arrived = contacts.select("contact_id", blank("name"), blank("phone"), blank("vehicle_reg"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    known = customers.select("id", "name", blank("phone"), blank("vehicle_reg"))
+    by_phone = known.filter("phone IS NOT NULL").groupBy("phone").agg(F.min("id").alias("by_phone"))
+    rows = ordinal(arrived, [], [f"_o{i}" for i in range(len(order))], out="no").join(by_phone, "phone", "left")
+    rows = sinks.materialise(rows.select("no", "contact_id", "name", "phone", F.col("vehicle_reg").alias("plate"), "by_phone"), "arrivals")
+    highest = customers.agg(F.max("id")).first()[0] or 0
+
+    plates = rows.filter("plate IS NOT NULL").select("plate").distinct()
+    stood = sinks.materialise(known.select(F.col("id").alias("cust"), F.col("vehicle_reg").alias("plate")).join(plates, "plate", "left_semi"), "plates")
+    drivers = stood.groupBy("plate").agg(F.min("cust").alias("owner"))
+    # a new customer is known by the number of the contact that brought it, above all ids
+    guess = _assign(rows.join(drivers, "plate", "left").withColumn("creator", F.lit(None).cast("bigint")), highest)
+    state = sinks.materialise(guess, "assigned")
+    while True:
+        now = sinks.materialise(_look_up(rows, state, stood, highest), "assigned")
+        changed = now.alias("n").join(state.alias("s"), "no").filter("NOT (n.cust <=> s.cust) OR n.match <> s.match")
+        state, done = now, changed.isEmpty()
+        if done:
+            break
+
+    born = ordinal(state.filter("match = 'new'").select("no", F.col("cust").alias("raw")), [], ["no"], out="rank")
+    numbers = sinks.materialise(born.select("raw", (F.lit(highest) + F.col("rank")).alias("id")), "numbers")
+    final = sinks.materialise(state.join(rows, "no").join(numbers, F.col("cust") == F.col("raw"), "left")
+                              .select("no", "contact_id", F.coalesce("id", "cust").alias("customer_id"), "match", "name", "phone", "plate"), "resolved")
+
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("no")))
+    told = final.filter("customer_id IS NOT NULL").groupBy(F.col("customer_id").alias("id")).agg(
+        latest("name").alias("n_name"), latest("plate").alias("n_plate"), F.max(F.when(F.col("match") == "new", F.col("phone"))).alias("n_phone"),
+        F.max((F.col("match") == "new").cast("int")).alias("is_new"))
+    patched = customers.join(told, "id", "left").select(*[
+        F.coalesce("n_name", customers["name"]).alias("name") if c == "name" else
+        F.coalesce("n_plate", customers["vehicle_reg"]).alias("vehicle_reg") if c == "vehicle_reg" else customers[f"`{c}`"] for c in customers.columns])
+    new = told.filter("is_new = 1").select("id", F.col("n_name").alias("name"), F.col("n_phone").alias("phone"), F.col("n_plate").alias("vehicle_reg"))
+    return final.select("contact_id", "customer_id", "match"), patched.unionByName(new, allowMissingColumns=True)
+
+
+def _assign(rows: DataFrame, highest: int) -> DataFrame:
+    """``no, cust, match`` from each contact's ``by_phone`` (table), ``creator`` (new customer with its phone) and ``owner`` (of its plate)."""
+    made = F.col("creator").isNotNull() & (F.col("creator") < F.col("no"))
+    some = F.col("phone").isNotNull() | F.col("plate").isNotNull()
+    match = (F.when(F.col("by_phone").isNotNull() | made, F.lit("phone")).when(F.col("owner").isNotNull(), F.lit("plate"))
+             .when(some, F.lit("new")).otherwise(F.lit("none")))
+    cust = (F.when(F.col("by_phone").isNotNull(), F.col("by_phone")).when(made, F.lit(highest) + F.col("creator"))
+            .when(F.col("owner").isNotNull(), F.col("owner")).when(some, F.lit(highest) + F.col("no")))
+    return rows.select("no", cust.alias("cust"), match.alias("match"))
+
+
+def _look_up(rows: DataFrame, state: DataFrame, stood: DataFrame, highest: int) -> DataFrame:
+    """One round: who drives which plate when, if ``state`` holds, and the assignment that follows from it."""
+    placed = rows.join(state, "no")
+    creators = placed.filter("match = 'new' AND phone IS NOT NULL").groupBy("phone").agg(F.min("no").alias("creator"))
+    events = stood.select("cust", F.lit(0).cast("bigint").alias("no"), "plate").unionByName(
+        placed.filter("cust IS NOT NULL AND plate IS NOT NULL").select("cust", "no", "plate"))
+    until = F.lead("no").over(Window.partitionBy("cust").orderBy("no"))
+    spans = events.select(F.col("plate").alias("key"), F.col("no").alias("start"), until.alias("stop"), F.col("cust").alias("value"))
+    asked = rows.filter("by_phone IS NULL AND plate IS NOT NULL").select(F.col("plate").alias("key"), F.col("no").alias("at"))
+    owners = least_active(spans, asked).select(F.col("at").alias("no"), F.col("least").alias("owner"))
+    return _assign(rows.join(creators, "phone", "left").join(owners, "no", "left"), highest)
+
+
 def patch_matched_customers(customers: DataFrame, contacts: DataFrame, resolved: DataFrame,
                             order: list[str]) -> DataFrame:
     """m11 (second output): matched customers get name and plate patched (never the phone);

@@ -341,6 +341,17 @@ def q_m11p(spark, d):
     return M.patch_matched_customers(cu, co, M.resolve_customers(cu, co), ["seq", "contact_id"])
 
 
+# A replay contact by contact is too slow in SQL on whole tables; tests/test_customers.py replays it in memory.
+@register("m11_resolve_in_order")
+def q_m11_in_order(spark, d):
+    return M.resolve_in_order(B.customers(spark, d), B.contacts(spark, d), ["seq", "contact_id"])[0]
+
+
+@register("m11_customers_after")
+def q_m11_after(spark, d):
+    return M.resolve_in_order(B.customers(spark, d), B.contacts(spark, d), ["seq", "contact_id"])[1]
+
+
 @register("m12_customer_counters", W(["b_washes"], """
 SELECT customer_id, COUNT(*) AS visits_count, MAX(washed_at) AS last_visit FROM b_washes
 WHERE customer_id IS NOT NULL GROUP BY customer_id"""))

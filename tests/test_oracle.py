@@ -46,7 +46,7 @@ def duck():
 def test_every_query_has_an_oracle_or_is_listed():
     assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     q, o = set(registry.QUERIES), set(registry.ORACLE)
-    assert q - o == {"e2_ingest"}, f"queries without oracle: {sorted(q - o)}"
+    assert q - o == {"e2_ingest", "m11_resolve_in_order", "m11_customers_after"}, f"queries without oracle: {sorted(q - o)}"
 
 
 @pytest.mark.parametrize("key", KEYS)
