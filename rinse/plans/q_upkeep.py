@@ -8,11 +8,13 @@ from rinse.functions import expr as X
 from rinse.operators import draw as D
 from rinse.operators import maintenance as M
 from rinse.operators import rankings as K
+from rinse.operators import retract as RT
 from rinse.operators.commissions import book_commission
 from rinse.plans.bindings_sql import with_bindings as W
 from rinse.plans.q_ranking import ELIGIBLES_BY_MONTH_SQL, KEYWORD, MIN_WASHES
 from rinse.plans.registry import register
 from rinse.sources import bindings as B
+from rinse.sources.sinks import materialise
 from rinse.sources.tables import read_table
 
 SEED = "rinse"
@@ -352,6 +354,32 @@ def q_m11_after(spark, d):
     return M.resolve_in_order(B.customers(spark, d), B.contacts(spark, d), ["seq", "contact_id"])[1]
 
 
+@register("m12_counters_kept_up", W(["b_washes"], """
+, changed AS (SELECT CASE WHEN hour(washed_at) % 2 = 0 AND unit_price > 30000 THEN NULLIF(customer_id % 97, 0) ELSE customer_id END AS customer_id,
+                     CASE WHEN unit_price > 60000 THEN washed_at - INTERVAL 400 DAY ELSE washed_at END AS washed_at
+              FROM b_washes WHERE unit_price >= 2000)
+SELECT customer_id, COUNT(*) AS visits_count, MAX(washed_at) AS last_visit FROM changed WHERE customer_id IS NOT NULL GROUP BY customer_id"""))
+def q_m12_kept_up(spark, d):
+    """Counters of all sales, then three batches: the cheap sales deleted, some given to other customers, the dear ones put back in time."""
+    w = B.washes(spark, d).select("id", "customer_id", "washed_at", "unit_price")
+    given = F.expr("CASE WHEN hour(washed_at) % 2 = 0 AND unit_price > 30000 THEN nullif(customer_id % 97, 0) ELSE customer_id END")
+    back = F.expr("CASE WHEN unit_price > 60000 THEN washed_at - INTERVAL 400 DAY ELSE washed_at END")
+    kept = w.filter("unit_price >= 2000")
+    given_away = kept.withColumn("customer_id", given)
+    put_back = given_away.withColumn("washed_at", back)
+    # one change per sale; the fixture's sales have no unique id to compare tables by
+    change = lambda df, who, when: df.select(F.col("customer_id").alias("old_customer_id"), F.col("washed_at").alias("old_washed_at"),
+                                             who.alias("new_customer_id"), when.alias("new_washed_at"))
+    nobody, never = F.lit(None).cast("bigint"), F.lit(None).cast("timestamp_ntz")
+    batches = [(change(w.filter("unit_price < 2000"), nobody, never), kept),
+               (change(kept, given, F.col("washed_at")).filter("NOT old_customer_id <=> new_customer_id"), given_away),
+               (change(given_away, F.col("customer_id"), back).filter("old_washed_at <> new_washed_at"), put_back)]
+    state = materialise(RT.counters_state(w), "counters")
+    for changes, after in batches:
+        state = materialise(RT.apply_changes(state, changes, after), "counters")
+    return state.select("customer_id", "visits_count", "last_visit")
+
+
 @register("m12_customer_counters", W(["b_washes"], """
 SELECT customer_id, COUNT(*) AS visits_count, MAX(washed_at) AS last_visit FROM b_washes
 WHERE customer_id IS NOT NULL GROUP BY customer_id"""))
