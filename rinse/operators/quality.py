@@ -8,12 +8,17 @@ aggregate, duplicates and orphans from a grouped count and an anti join.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinse import config as C
 from rinse.functions import expr as X
 from rinse.operators.ordered import ordinal
+from rinse.sources.sinks import materialise
 
 
 def validation_errors(strict: bool = False, service="service_id", staff="staff_id",
@@ -73,6 +78,57 @@ def check_unique(df: DataFrame, keys: list[str], where: Column | None = None,
     return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+@dataclass(frozen=True)
+class UniqueIndex:
+    """A unique index: its name, the SQL expressions of its key and the rows it is for (a partial index)."""
+    name: str
+    key: tuple[str, ...]
+    where: str | None = None
+
+
+#: The unique indexes of the schema by table; composite, partial and folded ones among them.
+UNIQUE_INDEXES: dict[str, tuple[UniqueIndex, ...]] = {
+    "services": (UniqueIndex("services_name", ("name",)), UniqueIndex("services_name_folded", ("lower(name)",))),
+    "prices": (UniqueIndex("prices_service_car_type", ("service_id", "car_type_id")),),
+    "rates": (UniqueIndex("rates_role", ("role",)),),
+    "customers": (UniqueIndex("customers_phone", ("phone",), "phone IS NOT NULL"),),
+    "candidates": (UniqueIndex("candidates_day_customer_plate", ("draw_date", "customer_id", "vehicle_reg")),),
+    "winners": (UniqueIndex("winners_approved_day", ("draw_date",), "status = 'APPROVED'"),),
+    "washes": (UniqueIndex("washes_id", ("id",)),),
+}
+
+
+def index_clashes(df: DataFrame, indexes: Sequence[UniqueIndex]) -> DataFrame:
+    """q3 for all indexes of a table: ``index, key, n``, a row per key that more than one row holds.
+
+    ``key`` is the key as a JSON array.  Rows with a NULL key part never clash,
+    nor do rows outside a partial index.  The table is scanned once for a sketch
+    that counts 64-bit key hashes per index, summed per task first; only keys of
+    hashes that occur twice are built, compared in full and shuffled, in a
+    second scan that reads the hashes' few rows out.  Equal hashes of different
+    keys cost a row in that scan and nothing else."""
+    def entry(i: UniqueIndex, *more: Column) -> Column:
+        parts = [F.expr(k) for k in i.key]
+        held = reduce(Column.__and__, [p.isNotNull() for p in parts])
+        if i.where is not None:
+            held = held & F.expr(i.where)
+        return F.when(held, F.struct(F.lit(i.name).alias("index"), F.xxhash64(F.lit(i.name), *parts).alias("hash"), *[m(parts) for m in more]))
+
+    def expanded(*more) -> DataFrame:
+        return df.select(F.explode(F.array_compact(F.array(*[entry(i, *more) for i in indexes]))).alias("e")).select("e.*")
+
+    suspects = expanded().groupBy("index", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("index", "hash")
+    suspects = materialise(suspects, "suspects")
+    key = lambda parts: F.to_json(F.array(*[p.cast("string") for p in parts])).alias("key")
+    return (expanded(key).join(suspects, ["index", "hash"], "left_semi").groupBy("index", "key").agg(F.count(F.lit(1)).alias("n"))
+            .filter("n > 1"))
+
+
+def all_clashes(tables: dict[str, DataFrame], indexes: dict[str, Sequence[UniqueIndex]] = UNIQUE_INDEXES) -> DataFrame:
+    """``index_clashes`` of every table that has unique indexes."""
+    return reduce(DataFrame.unionByName, [index_clashes(tables[name], of) for name, of in indexes.items()])
+
+
 def check_refs(child: DataFrame, parent: DataFrame, fk: list[str], pk: list[str]) -> DataFrame:
     """q4: child rows whose (non-NULL) foreign key has no parent row."""
     p = parent.select(*[F.col(a).alias(b) for a, b in zip(pk, fk)]).distinct()

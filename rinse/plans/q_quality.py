@@ -45,6 +45,25 @@ def q_q3(spark, d):
     return Q.check_unique(B.services(spark, d), ["name"], casefold=True)
 
 
+def _clash_sql(index: str, table: str, key: list[str], where: str = "TRUE") -> str:
+    parts = ", ".join(f"CAST({k} AS VARCHAR)" for k in key)
+    held = " AND ".join(f"{k} IS NOT NULL" for k in key)
+    return (f"SELECT '{index}' AS index, CAST(to_json([{parts}]) AS VARCHAR) AS key, COUNT(*) AS n FROM {table} "
+            f"WHERE {held} AND {where} GROUP BY {', '.join(key)} HAVING COUNT(*) > 1")
+
+
+@register("q3_unique_indexes", W(["b_services", "b_prices", "b_rates", "b_customers", "b_candidates", "b_winners", "b_washes"], " UNION ALL ".join([
+    _clash_sql("services_name", "b_services", ["name"]), _clash_sql("services_name_folded", "b_services", ["lower(name)"]),
+    _clash_sql("prices_service_car_type", "b_prices", ["service_id", "car_type_id"]), _clash_sql("rates_role", "b_rates", ["role"]),
+    _clash_sql("customers_phone", "b_customers", ["phone"]),
+    _clash_sql("candidates_day_customer_plate", "b_candidates", ["draw_date", "customer_id", "vehicle_reg"]),
+    _clash_sql("winners_approved_day", "b_winners", ["draw_date"], "status = 'APPROVED'"), _clash_sql("washes_id", "b_washes", ["id"])])))
+def q_q3_all(spark, d):
+    tables = {"services": B.services, "prices": B.prices, "rates": B.rates, "customers": B.customers, "candidates": B.candidates,
+              "winners": B.winners, "washes": B.washes}
+    return Q.all_clashes({name: f(spark, d) for name, f in tables.items()})
+
+
 @register("q4_check_refs", W(["b_unpriced", "b_prices"], """
 SELECT u.* FROM b_unpriced u
 WHERE u.service_id IS NOT NULL AND u.car_type_id IS NOT NULL

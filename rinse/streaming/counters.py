@@ -5,9 +5,9 @@ aggregate (Spark keeps the running count and max in its state store).
 
 ``loyalty_stream``: the n-th-visit-of-the-month flag at arrival time.  Each
 (customer, month) key keeps one number, the visits seen so far, in a value
-state (``ttl_ms`` can let month keys expire; by default none does, so a sale
-that arrives late still counts every earlier one).  A
-micro-batch brings the key's new rows; they are ordered by (washed_at, id)
+state; with a watermark, an event-time timer drops it when the month is over
+(without one none expires, so a sale of any age still counts every earlier
+one).  A micro-batch brings the key's new rows; they are ordered by (washed_at, id)
 and numbered after the stored count.  Ordinals follow arrival, as in the
 reference, so a late sale takes the next ordinal and earlier ones are never
 renumbered.
@@ -15,6 +15,7 @@ renumbered.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,39 +41,96 @@ def counters_stream(stream: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("visits_count"), F.max("washed_at").alias("last_visit")))
 
 
+def counters_now(spark: SparkSession, ckpt: str, booked: DataFrame | None = None) -> DataFrame:
+    """st1: the counters as the stream's own state holds them after its last batch, read with the state reader.
+
+    ``booked``: sales from before the stream; their counters are added, so a
+    stream need not start at the first sale.  Nothing has to be logged beside
+    the state, and the read costs one row per customer."""
+    state = spark.read.format("statestore").load(ckpt)
+    count, last = (f"value.`{f.name}`" for f in state.schema["value"].dataType.fields)
+    now = state.selectExpr("key.customer_id", f"{count} AS visits_count", f"{last} AS last_visit")
+    if booked is not None:
+        now = now.unionByName(counters_stream(booked)).groupBy("customer_id").agg(
+            F.sum("visits_count").alias("visits_count"), F.max("last_visit").alias("last_visit"))
+    return now
+
+
+def _month_over_ms(month: dt.date) -> int:
+    """When a month is over in every time zone: a day after its end in UTC."""
+    end = dt.datetime(month.year + month.month // 12, month.month % 12 + 1, 2, tzinfo=dt.timezone.utc)
+    return int(end.timestamp() * 1000)
+
+
 class LoyaltyCounter(StatefulProcessor):
-    """Numbers a key's sales in arrival order, continuing from the stored count."""
+    """Numbers a key's sales in arrival order, continuing from the stored count.
 
-    def __init__(self, every_n: int = C.LOYALTY_EVERY_N, ttl_ms: int | None = None):
-        self.every_n, self.ttl_ms = every_n, ttl_ms
+    With ``expires``, a timer at the month's end drops the count once the
+    watermark has passed it: no sale of the month can come any more."""
+
+    def __init__(self, every_n: int = C.LOYALTY_EVERY_N, ttl_ms: int | None = None, expires: bool = False):
+        self.every_n, self.ttl_ms, self.expires = every_n, ttl_ms, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getValueState("seen", T.StructType([T.StructField("n", T.LongType())]), self.ttl_ms)
 
+    def _keep(self, key, n: int) -> None:
+        if self.expires and not self.seen.exists():
+            self.handle.registerTimer(_month_over_ms(key[1]))
+        self.seen.update((n,))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._keep(key, int(initialState["n"].sum()))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["washed_at", "id"], kind="mergesort")
+        if self.expires and _month_over_ms(key[1]) <= timerValues.getCurrentWatermarkInMs():
+            return      # later than the watermark allows: the count is gone
         start = self.seen.get()[0] if self.seen.exists() else 0
         ordinal = pd.Series(range(start + 1, start + 1 + len(batch)), index=batch.index, dtype="int64")
-        self.seen.update((int(start + len(batch)),))
+        self._keep(key, int(start + len(batch)))
         yield pd.DataFrame({"id": batch["id"].astype("int64"), "customer_id": batch["customer_id"].astype("int64"),
                             "month": batch["month"], "ordinal": ordinal,
                             "loyalty_hit": (ordinal % self.every_n) == 0})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def loyalty_stream(stream: DataFrame, every_n: int = C.LOYALTY_EVERY_N, ttl_ms: int | None = None) -> DataFrame:
+def loyalty_stream(stream: DataFrame, every_n: int = C.LOYALTY_EVERY_N, ttl_ms: int | None = None,
+                   lateness: str | None = None, booked: DataFrame | None = None) -> DataFrame:
     """st2: every sale of a known customer with its ordinal in the month and the loyalty flag.
 
-    With ``ttl_ms`` a month's count is dropped that long (processing time) after
-    its last sale, and a later sale of the month would start at 1 again.  Needs
-    the RocksDB state store (``rocksdb_session``)."""
-    s = (stream.filter(F.col("customer_id").isNotNull())
-         .select("id", "customer_id", "washed_at", F.trunc(F.to_date("washed_at"), "MM").alias("month")))
+    With ``lateness`` (such as "2 days") the state is bounded: a sale may come
+    that much after the latest one, and a month's counts are dropped once none
+    of its sales can come any more; later ones are left out.  With ``ttl_ms`` a
+    month's count is dropped that long (processing time) after its last sale
+    instead, and a later sale of the month would start at 1 again.
+
+    ``booked``: sales from before the stream (customer_id, washed_at), whose
+    counts the state starts from.  Needs the RocksDB state store
+    (``rocksdb_session``)."""
+    if ttl_ms and lateness:
+        raise ValueError("state expires by event time (lateness) or by processing time (ttl_ms), not by both")
+    month = F.trunc(F.to_date("washed_at"), "MM").alias("month")
+    s = stream.filter(F.col("customer_id").isNotNull())
+    cols = ["id", "customer_id", "washed_at", month]
+    if lateness:    # a watermark wants an instant: the wall-clock time in the session's zone
+        s = s.select(*cols, F.col("washed_at").cast("timestamp").alias("_event")).withWatermark("_event", lateness)
+    else:
+        s = s.select(*cols)
+    start = None
+    if booked is not None:
+        start = (booked.filter("customer_id IS NOT NULL").select("customer_id", month).groupBy("customer_id", "month")
+                 .agg(F.count(F.lit(1)).alias("n")).groupBy("customer_id", "month"))
     return s.groupBy("customer_id", "month").transformWithStateInPandas(
-        statefulProcessor=LoyaltyCounter(every_n, ttl_ms), outputStructType=LOYALTY_OUT,
-        outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+        statefulProcessor=LoyaltyCounter(every_n, ttl_ms, bool(lateness)), outputStructType=LOYALTY_OUT, outputMode="Append",
+        timeMode="EventTime" if lateness else "ProcessingTime" if ttl_ms else "None", initialState=start)
 
 
 def rocksdb_session(spark: SparkSession) -> SparkSession:

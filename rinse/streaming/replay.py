@@ -34,15 +34,18 @@ def stage_slices(df: DataFrame, ts_col: str, slices: int, name: str) -> str:
     return path
 
 
-def replay(df: DataFrame, ts_col: str, slices: int, name: str, mode: str, build: Callable[[DataFrame], DataFrame]) -> str:
-    """Feed ``df`` to the stream ``build`` makes, one time range per run; returns the folder holding the result."""
+def replay(df: DataFrame, ts_col: str, slices: int, name: str, mode: str, build: Callable[[DataFrame], DataFrame],
+           ckpt: str | None = None) -> str:
+    """Feed ``df`` to the stream ``build`` makes, one time range per run; returns the folder holding the result.
+
+    ``ckpt``: the stream's checkpoint folder, for a reader of its state."""
     spark = df.sparkSession
     staged = stage_slices(df, ts_col, slices, name)
-    source, out, ckpt = (shared_dir(spark, f"{name}-{x}") for x in ("source", "out", "ckpt"))
+    source, out, own_ckpt = (shared_dir(spark, f"{name}-{x}") for x in ("source", "out", "ckpt"))
     whole = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(staged)
     for k in range(slices):
         whole.filter(F.col("slice") == k).drop("slice").write.mode("append").parquet(source)
-        run_available(spark, build(spark.readStream.schema(df.schema).parquet(source)), mode, out, ckpt)
+        run_available(spark, build(spark.readStream.schema(df.schema).parquet(source)), mode, out, ckpt or own_ckpt)
     return out
 
 
@@ -53,12 +56,15 @@ def run_available(spark: SparkSession, stream_df: DataFrame, mode: str, out: str
     tagged with the batch id (``_epoch``); ``latest`` turns that change log
     into the current table.  A retried batch rewrites identical rows, so the
     log stays correct under replays.  ``complete`` rewrites the whole result
-    every batch (small results only); ``append`` uses the Parquet file sink."""
+    every batch (small results only); ``append`` uses the Parquet file sink;
+    ``state`` writes nothing, for results that are read from the state."""
     w = stream_df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "update":
         def log(batch: DataFrame, epoch: int) -> None:
             batch.withColumn("_epoch", F.lit(epoch).cast("bigint")).write.mode("append").parquet(out)
         q = w.outputMode("update").foreachBatch(log).start()
+    elif mode == "state":
+        q = w.outputMode("update").format("noop").start()
     elif mode == "complete":
         def write(batch: DataFrame, _epoch: int) -> None:
             batch.write.mode("overwrite").parquet(out)
