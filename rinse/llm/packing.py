@@ -62,6 +62,19 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=1)
+def own_library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def ids_of(path: str, text: str) -> list[int]:
+    """The ids of a whole text.  The faster library gives up on very long runs of white space; the tokenizer's own takes those texts."""
+    try:
+        return encoding(path).encode(text, allowed_special="all")
+    except ValueError:
+        return own_library(path).encode(text, add_special_tokens=False).ids
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens; only the first may be shorter than the rest."""
     if n <= capacity:
@@ -75,11 +88,11 @@ PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint
 
 def _pieces(path: str, capacity: int, end: int):
     def run(batches):
-        enc, part, seen = encoding(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = array("I", enc.encode(text, allowed_special="all"))
+                ids = array("I", ids_of(path, text))
                 ids.append(end)
                 raw = ids.tobytes()
                 for i, (start, n) in enumerate(cut(len(ids), capacity)):

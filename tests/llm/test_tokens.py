@@ -170,3 +170,9 @@ def test_plan_fills_nearly_all_sequences(spark):
     places = packing.plan(spark, counts)
     assert sum(n for _, _, n, _, _ in places) == 20_000
     assert max(s + n for _, _, n, _, s in places) <= 1.01 * sum(k * v for k, v in counts.items()) / 1024 + 1
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "^", " \t"])
+def test_packing_ids_of_very_long_runs(unit):
+    text = "hello " + unit * (2_000_000 // len(unit)) + "world"
+    assert packing.ids_of(BYTE, text) == Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
