@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-MOST_WORDS = 400_000
+MOST_WORDS = 50_000
 LONGEST_WORD = 48
 
 
