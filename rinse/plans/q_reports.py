@@ -44,29 +44,28 @@ def q_snk_snapshot(spark, d):
     return sinks.read_snapshot(spark, path, e.schema)
 
 
-_CORRECTED = "category = '1-URGENT' AND day >= DATE '1996-03-01' AND day < DATE '1996-05-01'"
+_CORRECTED = "category = '1-URGENT' AND month >= DATE '1996-03-01' AND month < DATE '1996-05-01'"
 
 
 @register("snk_batches", W(["b_expenses"], f"""
-, e AS (SELECT *, CAST(spent_at AS DATE) AS day FROM b_expenses),
+, e AS (SELECT *, CAST(date_trunc('month', spent_at) AS DATE) AS month FROM b_expenses),
   c AS (SELECT * REPLACE (CAST(amount * 2 AS DECIMAL(12,2)) AS amount) FROM e WHERE {_CORRECTED})
-SELECT * FROM e WHERE day NOT IN (SELECT day FROM c) UNION ALL SELECT * FROM c"""))
+SELECT * FROM e WHERE month NOT IN (SELECT month FROM c) UNION ALL SELECT * FROM c"""))
 def q_snk_batches(spark, d):
     """All expenses in four batches with retries, a write that broke off and a compaction, then two months of one category restated."""
-    from rinse.functions import expr as X
     from rinse.session import shared_dir
     path = shared_dir(spark, "expense-batches")
-    e = B.expenses(spark, d).withColumn("day", X.day("spent_at"))
+    e = B.expenses(spark, d).withColumn("month", F.trunc(F.to_date("spent_at"), "MM"))
     arrived = [e.filter(F.pmod(F.xxhash64("id"), F.lit(4)) == k) for k in range(4)]
     for k in (0, 1, 1):
-        batches.write_batch(arrived[k], path, k)
-    batches.stage(arrived[2], path, 2)                   # broke off before publishing
-    batches.write_batch(arrived[2], path, 2)
-    batches.compact(spark, path, e.schema)
+        batches.write_batch(arrived[k], path, k, "month")
+    batches.stage(arrived[2], path, 2, "month")                   # broke off before publishing
+    batches.write_batch(arrived[2], path, 2, "month")
+    batches.compact(spark, path, e.schema, "month")
     for k in (1, 3, 3):
-        batches.write_batch(arrived[k], path, k)
+        batches.write_batch(arrived[k], path, k, "month")
     corrected = e.filter(_CORRECTED).withColumn("amount", (F.col("amount") * 2).cast(e.schema["amount"].dataType))
-    batches.write_batch(corrected, path, 4, mode=batches.REPLACE)
+    batches.write_batch(corrected, path, 4, "month", mode=batches.REPLACE)
     return batches.read_batches(spark, path, e.schema)
 
 
