@@ -36,6 +36,8 @@ VALIDATION_MESSAGES = {
     "staff": "staff_id is required.",
     "car_type": "car_type is required.",
 }
+MONTH_PATTERN = r"^\d{4}-\d{2}$"
+DAY_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 MSG_NO_PRICE = "Price not configured for service & car type."
 # ---------------------------------------------------------------------------
 

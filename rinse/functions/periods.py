@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from rinse import config as C
 from rinse.config import as_date
 
-_MONTH = re.compile(r"^\d{4}-\d{2}$")
-_DAY = re.compile(r"^\d{4}-\d{2}-\d{2}$")
+_MONTH = re.compile(C.MONTH_PATTERN)
+_DAY = re.compile(C.DAY_PATTERN)
 ONE_DAY = dt.timedelta(days=1)
 
 

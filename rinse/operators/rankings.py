@@ -67,8 +67,9 @@ def top_vehicles_by_month(washes: DataFrame, customers: DataFrame, limit=5, salt
 
 
 def _eligible_counts(washes: DataFrame, customers: DataFrame, services: DataFrame,
-                     service_id=None, keyword=None, group_cols: list[str] | None = None) -> DataFrame:
-    """Per customer (NULL customers form one group): plate, phone, name maxima, count, last sale.
+                     service_id=None, keyword=None, group_cols: list[str] | None = None,
+                     drop_anonymous: bool = False) -> DataFrame:
+    """Per customer (NULL customers form one group, or none with ``drop_anonymous``): plate, phone, name maxima, count, last sale.
 
     plate per sale = COALESCE(UPPER(TRIM(sale plate)), UPPER(TRIM(customer plate))); its
     maximum over a customer's sales is the larger of the maximum sale plate and,
@@ -76,7 +77,8 @@ def _eligible_counts(washes: DataFrame, customers: DataFrame, services: DataFram
     """
     group_cols = group_cols or []
     svc = P.service_filter(services, service_id=service_id, keyword=keyword).select("id")
-    w = washes.join(svc, washes["service_id"] == svc["id"], "left_semi")
+    known = washes.filter(F.col("customer_id").isNotNull()) if drop_anonymous else washes
+    w = known.join(svc, known["service_id"] == svc["id"], "left_semi")
     per = w.groupBy("customer_id", *group_cols).agg(
         F.max(X.reg("vehicle_reg")).alias("_wreg"),
         (F.count(F.lit(1)) > F.count(X.reg("vehicle_reg"))).alias("_some_null"),
@@ -96,25 +98,27 @@ def eligible_order() -> list[Column]:
 
 def eligible_customers(washes: DataFrame, customers: DataFrame, services: DataFrame, date=None,
                        min_washes=C.ELIGIBLES_MIN_WASHES, limit=50, service_id=None, keyword=None,
-                       as_of=None) -> DataFrame:
-    """a15: customers with at least ``min_washes`` full-service sales in the month of ``date``."""
+                       as_of=None, drop_anonymous: bool = False) -> DataFrame:
+    """a15: customers with at least ``min_washes`` full-service sales in the month of ``date``.
+
+    Sales without a customer are one candidate together, as in the original; ``drop_anonymous`` leaves them out."""
     d, lo, hi = C.ELIGIBLES_LIMIT
     day = date if date and P._DAY.match(str(date)[:10]) else None
     lo_ts, hi_ts = P.month_bounds((str(day)[:7] if day else None), as_of)
     w = washes.filter(P.in_range("washed_at", lo_ts, hi_ts))
     mw = clamp(min_washes, C.ELIGIBLES_MIN_WASHES, -2**31, 2**31 - 1)
-    e = _eligible_counts(w, customers, services, service_id, keyword)
+    e = _eligible_counts(w, customers, services, service_id, keyword, drop_anonymous=drop_anonymous)
     return top_k(e.filter(F.col("wash_count") >= mw), eligible_order(), limit, d, lo, hi)
 
 
 def eligibles_by_month(washes: DataFrame, customers: DataFrame, services: DataFrame,
                        min_washes=C.ELIGIBLES_MIN_WASHES, limit=200, service_id=None, keyword=None,
-                       salts: int = 64) -> DataFrame:
+                       salts: int = 64, drop_anonymous: bool = False) -> DataFrame:
     """a15 for every month at once (input of the automatic draw): skew-safe top-k per month."""
     d, lo, hi = C.ELIGIBLES_LIMIT
     k = clamp(limit, d, lo, hi)
     e = _eligible_counts(washes.withColumn("month", X.month_start("washed_at")), customers, services,
-                         service_id, keyword, ["month"])
+                         service_id, keyword, ["month"], drop_anonymous)
     e = e.filter(F.col("wash_count") >= int(min_washes))
     return top_k_per_group(e, ["month"], eligible_order(), k,
                            F.coalesce(F.col("customer_id").cast("string"), F.lit("")), salts)

@@ -113,6 +113,36 @@ def q_j11b(spark, d):
     return J.catalog_flat(B.price_services(spark, d), B.prices(spark, d))
 
 
+# the nested forms, with one row per entry of the list, so that order and grouping show
+@register("j11_price_matrix_nested", W(["b_price_services", "b_price_car_types", "b_prices"], """
+, cell AS (SELECT s.id AS service_id, s.name AS service_name, t.id AS car_type_id, t.label AS car_type_label, t.sort_order,
+                  (SELECT max(price) FROM b_prices WHERE service_id = s.id AND car_type_id = t.id) AS listed
+           FROM b_price_services s, b_price_car_types t)
+SELECT service_id, service_name, count(*) OVER (PARTITION BY service_id, service_name) AS n_prices,
+       row_number() OVER (PARTITION BY service_id, service_name
+                          ORDER BY sort_order NULLS LAST, car_type_label NULLS FIRST, car_type_id) AS place,
+       car_type_id, car_type_label, CAST(COALESCE(listed, 0) AS DECIMAL(12,2)) AS price
+FROM cell"""))
+def q_j11n(spark, d):
+    nested = J.price_matrix_nested(B.price_services(spark, d), B.price_car_types(spark, d), B.prices(spark, d))
+    return _unnested(nested, ["service_id", "service_name"], ["car_type_id", "car_type_label", "price"])
+
+
+@register("j11b_catalog_nested", W(["b_price_services", "b_prices"], """
+SELECT s.id AS service_id, s.name, COALESCE(s.description, '') AS description, count(p.service_id) OVER (PARTITION BY s.id) AS n_prices,
+       CASE WHEN p.service_id IS NOT NULL THEN row_number() OVER (PARTITION BY s.id ORDER BY p.car_type_id) END AS place,
+       p.car_type_id, p.price
+FROM b_price_services s LEFT JOIN b_prices p ON p.service_id = s.id"""))
+def q_j11bn(spark, d):
+    return _unnested(J.catalog(B.price_services(spark, d), B.prices(spark, d)), ["service_id", "name", "description"], ["car_type_id", "price"])
+
+
+def _unnested(nested, keys, fields):
+    n = F.size("prices").cast("bigint").alias("n_prices")
+    return (nested.select(*keys, n, F.posexplode_outer("prices").alias("_i", "_p"))
+            .select(*keys, "n_prices", (F.col("_i") + 1).cast("bigint").alias("place"), *[F.col(f"_p.{f}").alias(f) for f in fields]))
+
+
 _J12 = """
 SELECT u.id, u.service_id, u.car_type_id, CAST(COALESCE(u.unit_price, p.price) AS DECIMAL(12,2)) AS unit_price,
        u.washed_at
@@ -134,10 +164,9 @@ def q_j12r(spark, d):
 
 
 @register("j13_series_lookup", W(["b_sales", "b_expenses"], f"""
-, ws AS (SELECT CAST(washed_at AS DATE) AS day, {_sum('profit_amount', 'profit')} FROM b_sales GROUP BY 1),
-  es AS (SELECT CAST(spent_at AS DATE) AS day, {_sum('amount', 'expenses')} FROM b_expenses GROUP BY 1)
-SELECT ws.day, ws.profit, CAST(COALESCE(es.expenses, 0) AS DECIMAL(22,2)) AS expenses
-FROM ws LEFT JOIN es ON ws.day = es.day"""))
+, sold AS (SELECT CAST(washed_at AS DATE) AS day, {_sum('profit_amount', 'profit')} FROM b_sales GROUP BY ALL)
+SELECT *, CAST(COALESCE((SELECT SUM(amount) FROM b_expenses WHERE CAST(spent_at AS DATE) = day), 0) AS DECIMAL(22,2)) AS expenses
+FROM sold"""))
 def q_j13(spark, d):
     from rinse.functions import expr as X
     from rinse.sources.schemas import TOTAL
@@ -146,28 +175,30 @@ def q_j13(spark, d):
     return J.left_series(ws, R.expense_daily(B.expenses(spark, d)))
 
 
-_STAFF_STATS = W(["b_staff", "b_sales"], f"""
-, st AS (SELECT s.id AS staff_id, COUNT(w.staff_id) AS washes,
-                COALESCE(SUM(w.unit_price * COALESCE(w.commission_pct, 30) * 0.01), 0) AS commission
-         FROM b_staff s LEFT JOIN b_sales w ON w.staff_id = s.id AND w.washed_at >= {AS_OF_SQL}
-         GROUP BY s.id)
-SELECT s.*, CAST(COALESCE(st.washes, 0) AS BIGINT) AS washes_today,
-       CAST(COALESCE(st.commission, 0) AS DECIMAL(24,6)) AS commission_today
-FROM b_staff s LEFT JOIN st ON st.staff_id = s.id""")
-
-
-@register("j14_staff_merge", _STAFF_STATS)
-def q_j14(spark, d):
-    w = P.rolling_filter(B.sales(spark, d), "washed_at", "month", AS_OF)
-    return CM.staff_stats(B.staff(spark, d), w)
-
-
-@register("a13_staff_stats", _STAFF_STATS)
+# what each sale of the period earned its staff member, and nothing earned once for everyone
+@register("a13_staff_stats", W(["b_staff", "b_sales"], f"""
+, earned AS (SELECT staff_id AS who, 1 AS sold, unit_price * 0.01 * COALESCE(commission_pct, 30) AS share
+             FROM b_sales WHERE washed_at >= {AS_OF_SQL}
+             UNION ALL SELECT id, 0, 0 FROM b_staff),
+  sums AS (SELECT who, SUM(sold) AS sold, SUM(share) AS share FROM earned GROUP BY who)
+SELECT b_staff.*, CAST(sold AS BIGINT) AS washes_today, CAST(share AS DECIMAL(24,6)) AS commission_today
+FROM sums JOIN b_staff ON id = who"""))
 def q_a13(spark, d):
     w = P.rolling_filter(B.sales(spark, d), "washed_at", "month", AS_OF)
     return CM.staff_stats(B.staff(spark, d), w).orderBy("name", "id")
 
 
+@register("j14_staff_merge", W(["b_staff", "b_sales"], """
+SELECT *, CAST((SELECT COUNT(*) FROM b_sales WHERE staff_id = b_staff.id AND is_free) AS BIGINT) AS washes_today,
+       CAST(COALESCE((SELECT SUM(commission_amount) FROM b_sales WHERE staff_id = b_staff.id AND is_free), 0) AS DECIMAL(24,6)) AS commission_today
+FROM b_staff"""))
+def q_j14(spark, d):
+    """Staff with the number and commission of their free sales; whoever had none gets 0."""
+    free = (B.sales(spark, d).filter("is_free AND staff_id IS NOT NULL").groupBy("staff_id")
+            .agg(F.count(F.lit(1)).alias("washes"), F.sum("commission_amount").alias("commission")))
+    return J.staff_with_stats(B.staff(spark, d), free)
+
+
 @register("j15_winner_match", W(["b_visits", "b_winners"], """
 , dw AS (SELECT draw_date, id AS winner_id, customer_id AS wc, customer_phone AS wp, vehicle_reg AS wr
          FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY draw_date ORDER BY id) AS rn

@@ -67,6 +67,15 @@ ELIGIBLES_BY_MONTH_SQL = _ELIG.format(kw=KEYWORD, month="month,", where="TRUE")
 """
 
 
+@register("a15_eligibles_named", W(["b_washes", "b_customers", "b_services"], _ELIG.format(
+    kw=KEYWORD, month="month,", where="customer_id IS NOT NULL") + f"""
+SELECT *, ROW_NUMBER() OVER (PARTITION BY month ORDER BY wash_count DESC, last_wash DESC, customer_id) AS rank
+FROM agg WHERE wash_count >= {MIN_WASHES} QUALIFY rank <= 200"""))
+def q_a15n(spark, d):
+    return K.eligibles_by_month(B.washes(spark, d), B.customers(spark, d), B.services(spark, d),
+                                min_washes=MIN_WASHES, limit=200, keyword=KEYWORD, drop_anonymous=True)
+
+
 @register("a15_eligibles_by_month", W(["b_washes", "b_customers", "b_services"],
                                       ELIGIBLES_BY_MONTH_SQL + "SELECT * FROM ranked WHERE rank <= 200"))
 def q_a15m(spark, d):

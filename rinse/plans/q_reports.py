@@ -254,23 +254,23 @@ def q_a10(spark, d):
     return R.day_over_day(B.sales(spark, d), B.expenses(spark, d), DAY)
 
 
-@register("a10_day_over_day_series", W(["b_sales", "b_expenses"], f"""
-, ws AS (SELECT CAST(washed_at AS DATE) AS day, COUNT(*) AS wash_count, {_sum('unit_price', 'revenue')},
-                {_sum('commission_amount', 'commission')}, {_sum('profit_amount', 'profit')} FROM b_sales GROUP BY 1),
-  es AS (SELECT CAST(spent_at AS DATE) AS day, {_sum('amount', 'expenses')} FROM b_expenses GROUP BY 1),
-  d AS (SELECT COALESCE(ws.day, es.day) AS day, CAST(COALESCE(ws.wash_count, 0) AS BIGINT) AS wash_count,
-               CAST(COALESCE(ws.revenue, 0) AS DECIMAL(22,2)) AS revenue, CAST(COALESCE(ws.commission, 0) AS DECIMAL(22,2)) AS commission,
-               CAST(COALESCE(ws.profit, 0) AS DECIMAL(22,2)) AS profit, CAST(COALESCE(es.expenses, 0) AS DECIMAL(22,2)) AS expenses,
-               CAST(COALESCE(ws.profit, 0) - COALESCE(es.expenses, 0) AS DECIMAL(22,2)) AS net_income
-        FROM ws FULL OUTER JOIN es ON ws.day = es.day)
-SELECT t.day, t.wash_count AS t_wash_count, t.revenue AS t_revenue, t.commission AS t_commission, t.profit AS t_profit,
-       t.expenses AS t_expenses, t.net_income AS t_net_income,
-       COALESCE(y.wash_count, 0) AS y_wash_count, COALESCE(y.revenue, 0) AS y_revenue, COALESCE(y.commission, 0) AS y_commission,
-       COALESCE(y.profit, 0) AS y_profit, COALESCE(y.expenses, 0) AS y_expenses, COALESCE(y.net_income, 0) AS y_net_income,
-       CASE WHEN CAST(COALESCE(y.net_income, 0) AS DOUBLE) <> 0 THEN
-            ROUND((CAST(t.net_income AS DOUBLE) - CAST(y.net_income AS DOUBLE)) / ABS(CAST(y.net_income AS DOUBLE)) * 100, 4)
-       END AS delta_pct
-FROM d t LEFT JOIN d y ON y.day = t.day - 1"""))
+# every movement counts as today's on its own day and as yesterday's on the next; days without a movement of their own fall out
+_TWO_DAYS = """
+, moved AS (SELECT CAST(washed_at AS DATE) AS d, 1 AS n, unit_price AS r, commission_amount AS c, profit_amount AS p, 0 AS x FROM b_sales
+            UNION ALL SELECT CAST(spent_at AS DATE), 0, 0, 0, 0, amount FROM b_expenses),
+  seen AS (SELECT d AS day, 't' AS side, n, r, c, p, x FROM moved
+           UNION ALL SELECT d + 1, 'y', n, r, c, p, x FROM moved),
+  both_days AS (SELECT day, {}
+                FROM seen GROUP BY day HAVING bool_or(side = 't'))
+SELECT *, CASE WHEN y_net_income <> 0
+          THEN ROUND((CAST(t_net_income AS DOUBLE) - CAST(y_net_income AS DOUBLE)) / CAST(abs(y_net_income) AS DOUBLE) * 100, 4) END AS delta_pct
+FROM both_days""".format(",\n                       ".join(
+    (f"CAST(COALESCE(SUM({v}) FILTER (side = '{k}'), 0) AS {t}) AS {k}_{name}")
+    for k in "ty" for v, name, t in (("n", "wash_count", "BIGINT"), *((v, name, "DECIMAL(22,2)") for v, name in (
+        ("r", "revenue"), ("c", "commission"), ("p", "profit"), ("x", "expenses"), ("p - x", "net_income"))))))
+
+
+@register("a10_day_over_day_series", W(["b_sales", "b_expenses"], _TWO_DAYS))
 def q_a10s(spark, d):
     return R.day_over_day_series(B.sales(spark, d), B.expenses(spark, d))
 
