@@ -9,9 +9,10 @@ is replaced by one space.  Three ever finer groupings decide that:
 
 Steps 1 and 2 work on a table of (id, length, prefix hash).  Step 3 hashes the
 text in the scan, so no text is ever shuffled: only ids, lengths and hashes
-move.  Every grouping is pre-aggregated per task, and the group table that the
-rows are joined back to has one row per group, so a group with a third of all
-rows only makes a skewed left side, which adaptive execution splits.
+move.  Every grouping is pre-aggregated per task.  The group table that the
+rows are joined back to is written first and has one row per group, so a group
+with a third of all rows only makes a skewed left side, which adaptive
+execution splits.
 """
 
 from __future__ import annotations
@@ -56,8 +57,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           .select("doc_id", "len", "prefix", F.lit(None).cast("string").alias("sha"))))
     full = durable(flagged.join(survivors, ["len", "prefix"], "left"))
 
-    groups = (full.filter("open").groupBy("len", "prefix", "sha")
-                  .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    # written, so that the join has a plain exchange on both sides, which adaptive execution can split
+    groups = durable(full.filter("open").groupBy("len", "prefix", "sha")
+                         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     grouped = full.filter("open").join(groups, ["len", "prefix", "sha"])
     single = full.filter("open IS NULL").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("bigint")})
     cols = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -70,7 +72,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are told apart by id and text: a row that shares only its id with a
     dropped one stays.  Of rows that repeat the smallest id one stays, and of a
-    group without ids one.
+    group without ids one.  Very long texts are hashed in the scan; only rows
+    whose id may be on the list of copies are shuffled.
     """
     copies = exact_dedup(docs, id_col, text_col, digest_all=True).filter("group_size > 1")
     return without_copies(docs, copies.select("doc_id", F.col("text_sha256").alias("digest"), "kept"), id_col, text_col,
