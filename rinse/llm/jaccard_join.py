@@ -274,7 +274,8 @@ def _members(postings: DataFrame, labels: DataFrame, sketches: DataFrame, r: int
     p = postings.join(labels, F.col("cls") == F.col("node")).drop("node")
     split = p.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
                                   F.min(F.struct(F.xxhash64("cls", F.lit(r)).alias("k"), "cls")).alias("rep")).filter("lo <> hi")
-    split = split.select("gram", F.col("rep.cls").alias("rep"))
+    # written, so that a long list meets it over a plain exchange, which adaptive execution can split
+    split = durable(split.select("gram", F.col("rep.cls").alias("rep")))
     return durable(p.join(split, "gram").join(sketches, "cls"))
 
 
@@ -291,8 +292,8 @@ def star_pairs(postings: DataFrame, labels: DataFrame, sketches: DataFrame, r: i
 def other_pairs(postings: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """All pairs that could still join two groups: members outside their list's main group, with all others."""
     p = _members(postings, labels, sketches, 0)
-    main = (p.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("gram")
-            .agg(F.max(F.struct("m", "label")).alias("top")).select("gram", F.col("top.label").alias("main")))
+    main = durable(p.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("gram")
+                   .agg(F.max(F.struct("m", "label")).alias("top")).select("gram", F.col("top.label").alias("main")))
     x = _side(p.join(main, "gram").filter("label <> main"), "x")
     return x.join(_side(p, "y"), "gram").filter(_can_link(percent)).select("xcls", "ycls")
 
