@@ -40,7 +40,7 @@ RULES: dict[str, tuple[str, str, str]] = {
     "distinct_words": ("n_distinct / nullif(n_words, 0)", "x > 0.3", "x < 0.12 AND n_words < 3000"),
 }
 
-MAX_ITERATIONS = 60
+MOST_ITERATIONS = 2_000  # beyond it EM is said to have failed
 TOLERANCE = 1e-5
 
 
@@ -128,8 +128,8 @@ class RuleModel:
         return right / (right + wrong)
 
 
-def fit_rules(votes: DataFrame, max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE) -> RuleModel:
-    """EM over all rows of ``votes``, started from the share of good votes."""
+def fit_rules(votes: DataFrame, most_iterations: int = MOST_ITERATIONS, tolerance: float = TOLERANCE) -> RuleModel:
+    """EM over all rows of ``votes`` to its tolerance, started from the share of good votes; raises if it never gets there."""
     names = list(RULES)
     cols = [f"v_{r}" for r in names]
     patterns = durable(votes.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
@@ -137,7 +137,7 @@ def fit_rules(votes: DataFrame, max_iterations: int = MAX_ITERATIONS, tolerance:
     bad = sum((F.when(F.col(c) == BAD, 1.0).otherwise(0.0) for c in cols), F.lit(0.0))
     p = (good + 1) / (good + 3 * bad + 2)  # one bad vote weighs like three good ones at the start
     model, before = None, None
-    for _ in range(max_iterations):
+    for _ in range(most_iterations):
         sums = [F.sum(F.col("n") * F.col("p")).alias("g"), F.sum(F.col("n") * (1 - F.col("p"))).alias("b")]
         for r, c in zip(names, cols):
             for v in (GOOD, BAD, ABSTAIN):
@@ -150,9 +150,9 @@ def fit_rules(votes: DataFrame, max_iterations: int = MAX_ITERATIONS, tolerance:
                 for v in (GOOD, BAD, ABSTAIN)} for r in names})
         now = [model.prior, *(math.exp(x) for t in model.logs.values() for pair in t.values() for x in pair)]
         if before and max(abs(x - y) for x, y in zip(now, before)) < tolerance:
-            break
+            return model
         before, p = now, model.posterior()
-    return model
+    raise RuntimeError(f"expectation-maximisation has not settled after {most_iterations} iterations")
 
 
 def judged(counts: DataFrame, threshold: float) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 from brute import rows_of
@@ -55,6 +58,34 @@ def test_quality_model_keeps_good_and_drops_bad(spark):
     assert not any(r["kept"] for r in got.values() if r["base_failed"])
 
 
+def votes_of(spark, n):
+    """Random votes of a good and a bad class; every rule right more often than wrong."""
+    rnd = random.Random(3)
+    rows = [tuple(rnd.choices([g, -g, 0], [5, 1, 2])[0] for _ in quality_rules.RULES) for g in (rnd.choice([1, 1, -1]) for _ in range(n))]
+    return rows, spark.createDataFrame(rows, ", ".join(f"v_{r} int" for r in quality_rules.RULES))
+
+
+def test_rule_model_equals_em_over_rows(spark):
+    rows, df = votes_of(spark, 500)
+    model = quality_rules.fit_rules(df)
+    v = np.array(rows)
+    p = ((v == 1).sum(1) + 1) / ((v == 1).sum(1) + 3 * (v == -1).sum(1) + 2)
+    for _ in range(400):  # far beyond the tolerance
+        g, b = p.sum(), (1 - p).sum()
+        prior = (g + 1) / (g + b + 2)
+        logs = {x: (np.log(((v == x) * p[:, None]).sum(0) + 1) - np.log(g + 3), np.log(((v == x) * (1 - p)[:, None]).sum(0) + 1) - np.log(b + 3))
+                for x in (1, -1, 0)}
+        odds = np.log(prior / (1 - prior)) + sum(((v == x) * (good - bad)).sum(1) for x, (good, bad) in logs.items())
+        p = 1 / (1 + np.exp(-odds))
+    got = [r["p"] for r in df.select("*", model.posterior().alias("p")).collect()]
+    assert abs(model.prior - prior) < 1e-3 and np.abs(np.array(got) - p).max() < 1e-2
+
+
+def test_rule_model_raises_when_it_does_not_settle(spark):
+    with pytest.raises(RuntimeError, match="not settled"):
+        quality_rules.fit_rules(votes_of(spark, 500)[1], most_iterations=2)
+
+
 def test_keep_good_returns_the_input_columns(odd):
     kept = quality_rules.keep_good(odd)
     assert kept.columns == odd.columns
@@ -89,8 +120,6 @@ def test_jaccard_join(docs):
 @pytest.mark.parametrize("star_rounds", [0, 2])
 def test_jaccard_join_on_one_large_group(spark, star_rounds):
     """A chain-like group whose members are linked to some only, beside texts that share a passage."""
-    import random
-
     rnd = random.Random(7)
     words = [f"w{i}" for i in range(400)]
     base = [rnd.choice(words) for _ in range(110)]
