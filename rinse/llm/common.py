@@ -34,7 +34,7 @@ def durable(df: DataFrame, name: str = "step", spark: SparkSession | None = None
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` only: a NULL text is empty, other columns cannot clash."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
 def bind(value: str, name: str, body: str) -> str:
@@ -47,27 +47,53 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+MAP_BITS = 32_768  # of one bitmap, fixed by Spark's bitmap functions
+MOST_MAPS = 4_096
+BITS_PER_KEY = 32
+
+
+def maybe_in(rows: DataFrame, col: str, keys: DataFrame, n_keys: int, flag: str) -> DataFrame:
+    """``rows`` with a boolean ``flag``: false only where ``rows[col]`` is surely not among ``keys[col]``.
+
+    The keys set bits of a hashed bitmap of ``BITS_PER_KEY`` bits a key and at
+    most ``MOST_MAPS`` pieces of 4 KB (16 MB), so it may be broadcast whatever
+    the data; with very many keys it only lets more rows pass as possible."""
+    maps = max(1, min(MOST_MAPS, -(-n_keys * BITS_PER_KEY // MAP_BITS)))
+    bit = F.pmod(F.xxhash64(F.col(col)), F.lit(maps * MAP_BITS)) + 1
+    pieces = (keys.select(bit.alias("_b")).groupBy(F.bitmap_bucket_number("_b").alias("_piece"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_map")))
+    at = F.bitmap_bit_position("_b")
+    byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return (rows.withColumn("_b", bit).withColumn("_piece", F.bitmap_bucket_number("_b"))
+            .join(F.broadcast(pieces), "_piece", "left").withColumn(flag, found).drop("_b", "_piece", "_map"))
+
+
 def without_copies(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """``docs`` with those rows of ``verdict (doc_id, digest, kept)`` that it keeps, once each, and all rows that are not in it.
 
     ``verdict`` has a row for each row that belongs to a group of several; a row
     is known by its id, NULL included, and the ``digest`` of its text.  Of rows
-    that repeat both, the one with the smallest text stays.
+    that repeat both, the one with the smallest text stays.  Column names of
+    ``docs`` may hold dots or equal those used here.
 
-    The keys that need action are written first, so the planner knows their
-    size: it broadcasts them if they are small, and joins by a shuffle if not."""
+    The keys that need action are written first; a bitmap of their ids tells
+    most rows that none concerns them.  Those stay where they are, only the
+    others are hashed and joined with the keys."""
     keys = durable(verdict.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
                    .filter("NOT kept OR n > 1"))
-    text = F.coalesce(docs[text_col], F.lit(""))
-    same = lambda k: docs[id_col].eqNullSafe(k["doc_id"]) & (digest(text) == k["digest"])
-    others = docs.join(keys, same(keys), "left_anti")
+    n_keys = keys.count()
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    flagged = maybe_in(rows, "doc_id", keys, n_keys, "maybe")
+    suspects = flagged.filter("maybe").withColumn("digest", digest(F.col("t")))
+    same = lambda k: suspects["doc_id"].eqNullSafe(k["doc_id"]) & (suspects["digest"] == k["digest"])
+    out = flagged.filter("NOT maybe").select("row").unionByName(suspects.join(keys, same(keys), "left_anti").select("row"))
     repeated = keys.filter("kept")
-    if repeated.isEmpty():
-        return others
-    first = (docs.join(repeated, same(repeated)).select(repeated["doc_id"].alias("i"), repeated["digest"].alias("d"), text.alias("t"),
-                                                       F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-             .groupBy("i", "d").agg(F.min_by("row", "t").alias("row")))
-    return others.unionByName(first.select("row.*"))
+    if not repeated.isEmpty():
+        out = out.unionByName(suspects.join(repeated, same(repeated), "left_semi")
+                              .groupBy("doc_id", "digest").agg(F.min_by("row", "t").alias("row")).select("row"))
+    return out.select("row.*")
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import brute
 import public_tokenizers as P
+import pytest
 from brute import rows_of
+from pyspark.sql import functions as F
 from test_tokens import COLS, check_packing
 
 import corpus_pipeline
-from rinse.llm import exact_dedup, jaccard_join, quality_rules
+from rinse.llm import common, exact_dedup, jaccard_join, quality_rules
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -58,3 +60,27 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     assert [r for r in got if not r[1] or r[1] == C] == sorted([(2, ""), (9, C), (None, "")], key=repr)
     rest = [r for r in got if r[1] and r[1] != C]
     assert len(rest) == 2 and rest[0][0] == 4 and rest[0][1] in (A, NEAR_A) and rest[1][0] is None and rest[1][1] in (B, B + " x")
+
+
+def test_stages_take_any_column_names(spark, odd):
+    names = ["a.b", "digest", "row", "kept", "_b", "_map", "maybe", "t", "n"]
+    wide = odd.select("doc_id", "text", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SMALL)
+        assert out.columns == wide.columns, name
+        plain = stage(spark, odd.select("doc_id", "text"), SMALL)
+        assert rows_of(out, "doc_id", "text") == rows_of(plain, "doc_id", "text"), name
+        assert all(tuple(r)[2:] == tuple(range(len(names))) for r in out.collect()), name
+
+
+@pytest.mark.parametrize("most_maps", [1, 4096])
+def test_the_bitmap_misses_no_key(spark, monkeypatch, most_maps):
+    monkeypatch.setattr(common, "MOST_MAPS", most_maps)
+    rows = spark.range(40_000).select(F.when(F.col("id") % 9 > 0, F.col("id")).alias("x"))
+    keys = rows.filter("x % 7 = 0 OR x IS NULL").distinct()
+    n = keys.count()
+    got = common.maybe_in(rows, "x", keys, n, "flag")
+    assert got.columns == ["x", "flag"] and got.count() == 40_000
+    assert got.filter("(x IS NULL OR x % 7 = 0) AND NOT flag").count() == 0
+    passed = got.filter("x % 7 > 0 AND flag").count()
+    assert passed < 2_500 if most_maps > 1 else passed < 10_000
