@@ -78,23 +78,33 @@ def without_copies(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: s
     ``docs`` may hold dots or equal those used here.
 
     The keys that need action are written first; a bitmap of their ids tells
-    most rows that none concerns them.  Those stay where they are, only the
-    others are hashed and joined with the keys."""
+    most rows that none concerns them.  Of the others only ids and digests are
+    compared with the keys, and a text moves only where its row may stay."""
     keys = durable(verdict.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
                    .filter("NOT kept OR n > 1"))
-    n_keys = keys.count()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"),
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    flagged = maybe_in(rows, "doc_id", keys, n_keys, "maybe")
-    suspects = flagged.filter("maybe").withColumn("digest", digest(F.col("t")))
-    same = lambda k: suspects["doc_id"].eqNullSafe(k["doc_id"]) & (suspects["digest"] == k["digest"])
-    out = flagged.filter("NOT maybe").select("row").unionByName(suspects.join(keys, same(keys), "left_anti").select("row"))
+    flagged = maybe_in(rows, "doc_id", keys, keys.count(), "maybe")
+    suspects = flagged.filter("maybe").drop("maybe")
+    known = suspects.select("doc_id", digest(F.col("t")).alias("digest"))
+    clear = durable(known.join(keys, _same(known, keys), "left_anti").distinct())
+    out = flagged.filter("NOT maybe").select("row").unionByName(_hits(suspects, clear, digest).select("row"))
     repeated = keys.filter("kept")
     if not repeated.isEmpty():
-        out = out.unionByName(suspects.join(repeated, same(repeated), "left_semi")
+        out = out.unionByName(_hits(suspects, repeated, digest)
                               .groupBy("doc_id", "digest").agg(F.min_by("row", "t").alias("row")).select("row"))
     return out.select("row.*")
 
 
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
+
+
+def _hits(rows: DataFrame, keys: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """``rows (doc_id, t, row)`` whose id and digest are among ``keys``."""
+    near = maybe_in(rows, "doc_id", keys, keys.count(), "near").filter("near").withColumn("digest", digest(F.col("t")))
+    return near.join(keys, _same(near, keys), "left_semi")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
