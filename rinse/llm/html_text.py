@@ -1,16 +1,21 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into flat text blocks at block-level tags.  A block is described
-by its number of words and its link density, the same of the blocks before and
-after it, whether it is a heading, and the zone of the page its markup puts it
-in.  A decision tree, trained on the small labelled table below, says which
-blocks are main text.  Every page is handled by itself inside a task.
+by its number of words and its link density, the same of the two blocks before
+and after it, whether it is a heading or a legal line, the section its tags put
+it in, and a hint from the names (class, id, role) around it.  A decision tree,
+trained on the labelled table below, says which blocks are main text.  Most
+labelled pages carry no telling names, and names inside an article are a hint
+that words and links can overrule.  Every page is handled by itself inside a
+task, in time linear in its length.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -31,24 +36,32 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
                    "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()) | DROPPED_TAGS
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: What elements and words of class and id names say about a zone.
+#: What elements and words of class and id names say about a section.
 MAIN_TAGS = frozenset(["article", "main"])
 ASIDE_TAGS = frozenset(["nav", "footer", "aside", "form", "dialog", "menu", "fieldset"])
 MAIN_WORDS = frozenset("article content main post entry story".split())
-ASIDE_WORDS = frozenset(
-    "ad ads advert advertisement adverts adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer foot header masthead topbar sidebar side rail widget widgets related recommended share sharing social notice notices alert cookie "
-    "cookies consent gdpr popup modal overlay newsletter subscribe signup login search form comment comments commentlist reply replies disqus "
-    "respond feedback pagination pager tags toc copyright legal disclaimer toolbar skip".split())
-COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus respond".split())
-#: Of ASIDE_WORDS those that also name the layout of what is around such a part; MAIN_WORDS lead out of these.
-LAYOUT_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar sidebar side rail widget widgets toc toolbar "
-                         "footer foot pagination pager share sharing social related".split())
+#: Names of adverts, notices and reader comments.
+STRONG_WORDS = frozenset(
+    "ad ads advert advertisement adverts adsense sponsor sponsored cookie cookies consent gdpr notice notices newsletter "
+    "comment comments commentlist disqus replies".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies".split())
+#: Names of parts around an article that may as well be part of its subject.
+WEAK_WORDS = frozenset(
+    "banner promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer foot header masthead topbar sidebar side rail widget widgets "
+    "related recommended share sharing social alert popup modal overlay subscribe signup login search form reply respond feedback pagination pager "
+    "tags toc copyright legal disclaimer toolbar skip".split())
+#: An article has headers of its own.
+HEADER_WORDS = frozenset("header head masthead".split())
+#: Last words of names that say nothing; the word before them does.
+TAILS = frozenset("area bar block body box container inner item left list outer right section slot text unit wrap wrapper".split())
 #: A name that starts or ends so tells a state (has-sidebar, comments-open), not what the element is.
 STATE_FIRST = frozenset("has no with without".split())
 STATE_LAST = frozenset("open opened closed count enabled disabled".split())
-#: Elements whose names say nothing about the zone being an aside or comments.
+#: Elements whose names say nothing about being an aside or comments.
 WHOLE_TAGS = frozenset(["html", "body", "article", "main"])
+#: Elements that hold one text; of their names only the strong ones count.
+TEXT_TAGS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption dt dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{HIDDEN})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>?"
@@ -56,9 +69,19 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN_ATTR = re.compile(r"""\shidden(?=[\s=/>]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
-#: LAYOUT is an aside that a layout word opened; text in DROPPED is none of the page.
-ASIDE, NEUTRAL, MAIN, COMMENT, LAYOUT, DROPPED = -1, 0, 1, -2, -3, -4
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "zone")
+_LEGAL = re.compile(r"^\s*(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
+
+#: Sections by tags and content names; text in DROPPED is none of the page.
+ASIDE, NEUTRAL, MAIN, DROPPED = -1, 0, 1, -9
+#: Hints by names.
+WEAK, STRONG, COMMENT = -1, -2, -3
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "words_before_2", "links_before_2",
+            "words_after_2", "links_after_2", "heading", "legal", "name", "section")
+
+
+class Zone(NamedTuple):
+    section: int
+    name: int
 
 
 class Block(NamedTuple):
@@ -66,7 +89,7 @@ class Block(NamedTuple):
     words: int
     linked: int
     heading: int
-    zone: int
+    zone: Zone
 
 
 def words_of(name: str) -> list[str]:
@@ -74,32 +97,47 @@ def words_of(name: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
 
 
-def zone_of(tag: str, attrs: str, around: int) -> int:
-    """Zone inside an element; an aside stays one unless an article starts in it, a comment always.
+def head_of(words: list[str]) -> str:
+    """What a compound name is about: its last word that is not in ``TAILS`` (the last if all are)."""
+    return next((w for w in reversed(words) if w not in TAILS), words[-1])
 
-    An aside that only layout words opened also ends where a name has one of ``MAIN_WORDS``."""
-    if around == DROPPED or tag in DROPPED_TAGS:
-        return DROPPED
-    if around == COMMENT:
-        return COMMENT
-    listed = [words_of(n) for m in _NAMES.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").split()]
-    names = frozenset(w for ws in listed for w in ws)
-    parts = frozenset() if tag in WHOLE_TAGS else frozenset(
-        w for ws in listed if ws and not (len(ws) > 1 and (ws[0] in STATE_FIRST or ws[-1] in STATE_LAST)) for w in ws)
-    if parts & COMMENT_WORDS:
+
+def hint_of(tag: str, listed: list[list[str]], inside: bool) -> int:
+    """What names say: inside an article only what they are about counts, outside every word does."""
+    if tag in WHOLE_TAGS:
+        return 0
+    kinds = [ws for ws in listed if not (len(ws) > 1 and (ws[0] in STATE_FIRST or ws[-1] in STATE_LAST))]
+    words = {head_of(ws) for ws in kinds} - HEADER_WORDS if inside else {w for ws in kinds for w in ws}
+    if words & COMMENT_WORDS:
         return COMMENT
-    if tag in ASIDE_TAGS or (tag == "header" and around != MAIN) or _HIDDEN_ATTR.search(attrs):
-        return ASIDE
-    if parts & ASIDE_WORDS:
-        return LAYOUT if parts & ASIDE_WORDS <= LAYOUT_WORDS and around != ASIDE else ASIDE
-    if tag in MAIN_TAGS or (names & MAIN_WORDS and around != ASIDE and tag != "body"):
-        return MAIN
-    return around
+    if words & STRONG_WORDS:
+        return STRONG
+    return WEAK if words & WEAK_WORDS and tag not in TEXT_TAGS else 0
+
+
+def zone_of(tag: str, attrs: str, around: Zone) -> Zone:
+    """Zone inside an element.  Comments stay comments; articles lead out of all else, content names out of weak hints."""
+    if around.section == DROPPED or tag in DROPPED_TAGS:
+        return Zone(DROPPED, around.name)
+    listed = [ws for m in _NAMES.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").split() if (ws := words_of(n))]
+    own = hint_of(tag, listed, around.section == MAIN)
+    hint = min(around.name, own)
+    if tag in ASIDE_TAGS or (tag == "header" and around.section != MAIN) or _HIDDEN_ATTR.search(attrs):
+        return Zone(ASIDE, hint)
+    if hint == COMMENT:
+        return Zone(around.section, hint)
+    if tag in MAIN_TAGS:
+        return Zone(MAIN, 0)
+    named = any(w in MAIN_WORDS for ws in listed for w in ws) and tag != "body" and tag not in TEXT_TAGS
+    if named and own == 0 and around.name >= WEAK and around.section != ASIDE:
+        return Zone(MAIN, 0)
+    return Zone(around.section, hint)
 
 
 def unended(tokens: list[re.Match]) -> frozenset[int]:
     """Places of the start tags of dropped elements that have no end tag before their parent's."""
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     out = set()
     for k, m in enumerate(tokens):
         if m["tag"] is None:
@@ -108,11 +146,14 @@ def unended(tokens: list[re.Match]) -> frozenset[int]:
         if not m["close"]:
             if tag not in VOID and not m["attrs"].endswith("/"):
                 stack.append((tag, k))
-            continue
-        place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-        if place is not None:
-            out.update(i for t, i in stack[place + 1:] if t in DROPPED_TAGS)
-            del stack[place:]
+                opened[tag] += 1
+        elif opened[tag]:
+            last = None
+            while last != tag:
+                last, i = stack.pop()
+                opened[last] -= 1
+                if last != tag and last in DROPPED_TAGS:
+                    out.add(i)
     out.update(i for t, i in stack if t in DROPPED_TAGS)
     return frozenset(out)
 
@@ -120,76 +161,90 @@ def unended(tokens: list[re.Match]) -> frozenset[int]:
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page in order, character references decoded, white space single."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, Zone]] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked: list[str] = []
-    state = {"heading": 0, "zone": NEUTRAL}
-    in_link = 0
+    outside = Zone(NEUTRAL, 0)
+    heading, zone = 0, outside
 
     def flush():
         words = " ".join(html.unescape("".join(text)).split())
         if words:
             n = len(words.split(" "))
-            out.append(Block(words, n, min(n, len(html.unescape(" ".join(linked)).split())), state["heading"], state["zone"] if state["zone"] >= ASIDE else ASIDE))
+            out.append(Block(words, n, min(n, len(html.unescape(" ".join(linked)).split())), heading, zone))
         text.clear()
         linked.clear()
 
     def add(s: str):
+        nonlocal heading
         if not text:
-            state["heading"] = int(any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _ in stack[-3:]))
+            heading = int(any(t in HEADINGS for t, _ in stack[-3:]))
         text.append(s)
-        if in_link:
+        if opened["a"]:
             linked.append(s)
 
+    def cut(depth: int):
+        while len(stack) > depth:
+            opened[stack.pop()[0]] -= 1
+
     at = 0
     tokens = list(_TOKEN.finditer(page))
     loose = unended(tokens) if any((m["tag"] or "").lower() in DROPPED_TAGS for m in tokens) else frozenset()
     ends: list[int] = []  # depths of the open dropped elements without an end tag
+    top = 0  # depth of the outermost open dropped element
     for k, m in enumerate(tokens):
-        dropped = bool(stack) and stack[-1][1] == DROPPED
+        dropped = bool(stack) and stack[-1][1].section == DROPPED
         if m.start() > at and not dropped:
             add(page[at:m.start()])
         at = m.end()
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
-        if dropped and ends and not m["close"] and tag in BLOCK_TAGS and all(z != DROPPED or i >= ends[0] for i, (_, z) in enumerate(stack)):
-            in_link -= sum(t == "a" for t, _ in stack[ends[0]:])
-            del stack[ends[0]:]
+        if dropped and ends and not m["close"] and tag in BLOCK_TAGS and top >= ends[0]:
+            cut(ends[0])
             ends.clear()
             dropped = False
         if tag not in INLINE and not dropped:
             flush()
         if m["close"]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if place is not None:
-                in_link -= sum(t == "a" for t, _ in stack[place:])
-                if dropped and stack[place][1] != DROPPED and tag not in INLINE:
+            if opened[tag]:
+                place = len(stack) - 1
+                while stack[place][0] != tag:
+                    place -= 1
+                if dropped and stack[place][1].section != DROPPED and tag not in INLINE:
                     flush()  # a parent's end tag ends what was dropped in it
-                del stack[place:]
-                ends = [d for d in ends if d < len(stack)]
+                cut(place)
+                while ends and ends[-1] >= len(stack):
+                    ends.pop()
         elif tag not in VOID and not m["attrs"].endswith("/"):
-            around = stack[-1][1] if stack else NEUTRAL
             if k in loose:
                 ends.append(len(stack))
-            stack.append((tag, zone_of(tag, m["attrs"], around)))
-            in_link += tag == "a"
-        zone = stack[-1][1] if stack else NEUTRAL
-        if zone not in (state["zone"], DROPPED):
+            here = zone_of(tag, m["attrs"], stack[-1][1] if stack else outside)
+            if here.section == DROPPED and not dropped:
+                top = len(stack)
+            stack.append((tag, here))
+            opened[tag] += 1
+        now = stack[-1][1] if stack else outside
+        if now != zone and now.section != DROPPED:
             flush()
-            state["zone"] = zone
-    if at < len(page) and not (stack and stack[-1][1] == DROPPED):
+            zone = now
+    if at < len(page) and not (stack and stack[-1][1].section == DROPPED):
         add(page[at:])
     flush()
     return out
 
 
 def features(bs: list[Block]) -> np.ndarray:
-    """One row of ``FEATURES`` per block; beyond the ends stand empty blocks."""
+    """One row of ``FEATURES`` per block; beyond the ends stand empty blocks.
+
+    On a page with an article, what stands in no section is half an aside."""
     own = np.array([(b.words, b.linked / b.words) for b in bs], float).reshape(-1, 2)
-    edge = np.zeros((1, 2))
-    rest = np.array([(b.heading, b.zone) for b in bs], float).reshape(-1, 2)
-    return np.hstack([own, np.vstack([edge, own[:-1]]) if len(bs) else own, np.vstack([own[1:], edge]) if len(bs) else own, rest])
+    wide = np.vstack([np.zeros((2, 2)), own, np.zeros((2, 2))])
+    n = len(bs)
+    beside = -0.5 if any(b.zone.section == MAIN for b in bs) else 0.0
+    rest = np.array([(b.heading, bool(_LEGAL.search(b.text)), max(b.zone.name, STRONG), b.zone.section or beside) for b in bs], float).reshape(-1, 4)
+    return np.hstack([own, wide[1:n + 1], wide[3:n + 3], wide[:n], wide[4:n + 4], rest])
 
 
 # ---- the labelled table: pages as lists of (markup of one block, is it main text) ----
@@ -224,32 +279,163 @@ LABELLED: list[list[tuple[str, int]]] = [
      ("<p><a href=#>A linked line</a></p>", 1), ("<pre>x = 1</pre></article>", 1), ("<div class=related><a href=#>More</a></div>", 0)],
 ]
 
-MAX_DEPTH = 6
+#: Pages of the labelled table made by ``labelled_page``, and the seed of the first.
+MADE_PAGES = 600
+MADE_SEED = 1
+STYLES = ("tags", "names", "tags", "names", "mixed", "bare", "bare", "bare", "bare", "bare")
+#: Element with the name that a part has in the two styles that tell.
+PARTS = {"top": ("header", "header"), "menu": ("nav", "menu"), "story": ("article", "content"), "side": ("aside", "sidebar"),
+         "foot": ("footer", "footer"), "comments": ("section class=comments", "comments"), "ad": ("div class=ad", "advert"),
+         "notice": ("div class=notice", "cookie-notice")}
+
+
+def labelled_page(seed: int, style: str | None = None) -> list[tuple[str, int]]:
+    """One page made by rule: menus, adverts, a story, side texts, comments and a footer of random lengths.
+
+    ``style`` says how parts are marked: by tags, by names, by tags but for the
+    story, or not at all ("bare"; such pages have no part that only a mark tells).
+    """
+    rng = random.Random(seed)
+    style = style or STYLES[seed % len(STYLES)]
+    rows: list[tuple[str, int]] = []
+
+    def words(low: int, high: int) -> str:
+        return " ".join("word" for _ in range(rng.randint(low, high)))
+
+    def link(low: int, high: int) -> str:
+        return f"<a href=#>{words(low, high)}</a>"
+
+    def wrap(part: str, made: list[tuple[str, int]]):
+        tag, name = PARTS[part]
+        marked = {"tags": tag, "names": f"div class={name}", "mixed": "div" if part == "story" else tag, "bare": "div"}[style]
+        if made:
+            made[0] = (f"<{marked}>" + made[0][0], made[0][1])
+            made[-1] = (made[-1][0] + f"</{marked.split()[0]}>", made[-1][1])
+            rows.extend(made)
+
+    def links(low: int, high: int) -> list[tuple[str, int]]:
+        return [(f"<li>{link(1, 4)}</li>", 0) for _ in range(rng.randint(low, high))]
+
+    def paragraph() -> str:
+        kind = rng.random()
+        if kind < 0.12:
+            return words(1, 4)
+        if kind < 0.3:
+            return words(5, 14)
+        return words(15, 90) + (f" {link(1, 4)} {words(4, 30)}" if rng.random() < 0.25 else "")
+
+    def story() -> list[tuple[str, int]]:
+        if style in ("tags", "names") and rng.random() < 0.6:  # a note of any length
+            made = [(f"<h1>{words(1, 8)}</h1>", 1)] if rng.random() < 0.4 else []
+            return made + [(f"<p>{link(2, 6) if rng.random() < 0.1 else words(1, 12)}</p>", 1) for _ in range(rng.randint(1, 4))]
+        made = [(f"<h1>{words(3, 14)}</h1>", 1)]
+        for i in range(rng.randint(2, 10)):
+            kind = rng.random()
+            if kind < 0.08 and i:
+                made += [(f"<h2>{words(2, 6)}</h2>", 1), (f"<p>{words(15, 60)}</p>", 1)]
+            elif kind < 0.16 and i:
+                made += [(f"<li>{words(2, 14)}</li>", 1) for _ in range(rng.randint(2, 5))]
+            elif kind < 0.2 and i:
+                made += [(f"<p>{words(12, 40)}</p>", 1), (f"<p>{link(2, 6)}</p>", 1), (f"<p>{words(12, 40)}</p>", 1)]
+            elif style != "bare" and kind < 0.26:
+                made.append((f"<div class={rng.choice(['alert', 'legal', 'search', 'social'])}>{words(12, 80)}</div>", 1))
+            elif style != "bare" and kind < 0.32:
+                made.append((f"<div class=ad>{words(2, 30)}</div>", 0))
+            elif style != "bare" and kind < 0.36:
+                made.append((f"<div class={rng.choice(['share', 'tags', 'related'])}>{link(1, 3)} {link(1, 3)}</div>", 0))
+            else:
+                made.append((f"<p>{paragraph()}</p>", 1))
+        made.append((f"<p>{words(15, 60) if style in ('bare', 'mixed') else paragraph()}</p>", 1))
+        return made + (links(4, 8) if rng.random() < 0.2 else [])
+
+    if style in ("tags", "names") and rng.random() < 0.5:  # a page with little beside its story
+        if rng.random() < 0.5:
+            wrap("menu", links(2, 6))
+        wrap("story", story())
+        if rng.random() < 0.4:
+            part = rng.choice(["side", "comments", "foot", "notice", "ad"])
+            wrap(part, [(f"<p>{words(1, 60)}</p>", 0) for _ in range(rng.randint(1, 2))])
+        return rows
+    if rng.random() < 0.5:
+        if style == "bare" and rng.random() < 0.4:
+            rows.append((f"<div>{words(1, 6)}</div>", 0))
+        wrap("top", [(f"<h1>{words(1, 4)}</h1>" if rng.random() < 0.5 else f"<div>{link(1, 4)}</div>", 0)])
+    if rng.random() < 0.7:
+        wrap("menu", links(4, 10) if rng.random() < 0.8 else [(f"<div>{link(1, 2)} | {link(1, 2)} | {link(1, 2)} | {link(1, 2)}</div>", 0)])
+    if style != "bare":
+        if rng.random() < 0.6:
+            wrap("ad", [(words(2, 40), 0)])
+        if rng.random() < 0.4:
+            wrap("notice", [(words(8, 50), 0)])
+        if style == "tags" and rng.random() < 0.4:
+            rows.append((f"<div>{words(3, 25)}</div>", 0))
+    wrap("story", story())
+    if style != "bare":
+        if rng.random() < 0.5:
+            wrap("comments", [(f"<p>{words(2, 60)}</p>", 0) for _ in range(rng.randint(1, 5))])
+        if rng.random() < 0.5:
+            wrap("side", [(f"<p>{words(3, 60)}</p>", 0) for _ in range(rng.randint(1, 4))] + links(0, 4))
+    elif rng.random() < 0.5:
+        wrap("side", links(4, 8))
+    foot = [(f"<p>&copy; {words(1, 12)}</p>" if rng.random() < 0.6 else f"<p>{words(0, 3)} All rights reserved. {words(1, 12)}</p>", 0)]
+    if style == "bare" and rng.random() < 0.4:
+        foot = [(f"<p>{words(1, 6)}</p>", 0) for _ in range(rng.randint(1, 3))]
+    if rng.random() < 0.6:
+        wrap("foot", (links(2, 5) if rng.random() < 0.6 else []) + foot)
+    return rows
+
+
+MAX_DEPTH = 12
+LEAF_ROWS = 3
+
+
+SECTIONS = (-0.75, -0.25, 0.5)
+
+
+def train(x: np.ndarray, y: np.ndarray):
+    """The decision tree.  It asks for the section first (between ``SECTIONS``), so that no block of an article
+    meets a bound learned on pages without marks; in each section words, links and hints decide by ``grow``."""
+    tree = None
+    section = FEATURES.index("section")
+    for low, high in zip((None, *SECTIONS), (*SECTIONS, None)):
+        inside = np.ones(len(y), bool)
+        if low is not None:
+            inside &= x[:, section] > low
+        if high is not None:
+            inside &= x[:, section] <= high
+        part = grow(x[inside], y[inside]) if inside.any() else 0
+        tree = part if low is None else (section, low, tree, part)
+    return tree
+
 
+def grow(x: np.ndarray, y: np.ndarray, depth: int = MAX_DEPTH):
+    """A binary decision tree by the Gini impurity: a label, or (feature, bound, tree up to it, tree above it).
 
-def train(x: np.ndarray, y: np.ndarray, depth: int = MAX_DEPTH):
-    """A binary decision tree by the Gini impurity: a label, or (feature, bound, tree up to it, tree above it)."""
-    share = y.mean()
+    Every leaf holds at least ``LEAF_ROWS`` rows of the table."""
+    share, n = y.mean(), len(y)
     if depth == 0 or share in (0.0, 1.0):
         return int(share >= 0.5)
     best = None
-    for f in range(x.shape[1] - 1, -1, -1):  # of equally good splits the zone comes first
-        values = np.unique(x[:, f])
-        for bound in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] <= bound
-            impurity = sum(s.sum() * y[s].mean() * (1 - y[s].mean()) for s in (low, ~low))
-            if best is None or impurity < best[0] - 1e-12:
-                best = (impurity, f, float(bound), low)
-    if best is None or best[0] >= len(y) * share * (1 - share) - 1e-12:
+    for f in range(x.shape[1] - 1, -1, -1):  # of equally good splits the last feature comes first
+        order = np.argsort(x[:, f], kind="stable")
+        v, hits = x[order, f], np.cumsum(y[order])
+        low = np.arange(1, n)
+        impurity = hits[:-1] * (1 - hits[:-1] / low) + (hits[-1] - hits[:-1]) * (1 - (hits[-1] - hits[:-1]) / (n - low))
+        impurity[(v[1:] == v[:-1]) | (low < LEAF_ROWS) | (n - low < LEAF_ROWS)] = np.inf
+        i = int(np.argmin(impurity)) if n > 1 else 0
+        if n > 1 and (best is None or impurity[i] < best[0] - 1e-12):
+            best = (impurity[i], f, float((v[i] + v[i + 1]) / 2))
+    if best is None or best[0] >= n * share * (1 - share) - 1e-12:
         return int(share >= 0.5)
-    _, f, bound, low = best
-    return f, bound, train(x[low], y[low], depth - 1), train(x[~low], y[~low], depth - 1)
+    _, f, bound = best
+    is_low = x[:, f] <= bound
+    return f, bound, grow(x[is_low], y[is_low], depth - 1), grow(x[~is_low], y[~is_low], depth - 1)
 
 
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of the labelled pages."""
+def labelled_table(pages: list[list[tuple[str, int]]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of labelled pages: the written ones above and ``MADE_PAGES`` made by rule."""
     xs, ys = [], []
-    for page in LABELLED:
+    for page in LABELLED + [labelled_page(MADE_SEED + i) for i in range(MADE_PAGES)] if pages is None else pages:
         x = features(blocks("".join(m for m, _ in page)))
         if len(x) != len(page):
             raise ValueError("a labelled page does not have one block per row")
@@ -276,7 +462,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``page_id, url, text, n_chars, n_blocks, n_main`` for every input row.
 
     A NULL or empty page has an empty text.  NULL or repeated ids keep their
-    rows; other columns are ignored; an empty table gives an empty result.
+    rows; other columns are ignored; an empty table gives an empty result.  A
+    very long page is read whole by one task, in time linear in its length.
     """
     tree = train(*labelled_table())
 

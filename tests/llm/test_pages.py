@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import brute
 import duckdb
 import numpy as np
@@ -69,10 +71,64 @@ def test_dropped_elements_end_like_others(inside, want):
     assert text(f"<article>{inside}</article>") == want
 
 
+def asked(tree):
+    return {html_text.FEATURES[tree[0]]} | asked(tree[2]) | asked(tree[3]) if isinstance(tree, tuple) else set()
+
+
+def test_tree_asks_words_and_links_of_block_and_neighbours():
+    assert {"words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "name", "section"} <= asked(TREE)
+
+
+@pytest.mark.parametrize("style", ["tags", "names", "mixed", "bare"])
+def test_held_out_pages(style):
+    x, y = html_text.labelled_table([html_text.labelled_page(10_000 + i, style) for i in range(150)])
+    assert np.mean([html_text.classify(TREE, r) == v for r, v in zip(x, y)]) > 0.97
+
+
+def test_held_out_bare_pages_have_no_marks():
+    pages = ["".join(m for m, _ in html_text.labelled_page(10_000 + i, "bare")) for i in range(150)]
+    assert not any(w in p for p in pages for w in ("class", "id=", "<article", "<main", "<nav", "<header", "<footer", "<aside", "<section"))
+
+
+@pytest.mark.parametrize("page", [
+    "<div class=content><div class='share-post'><p>X</p></div></div>", "<div class=content><section id='social-history'><p>X</p></section></div>",
+    "<div class=content><section class='legal-history'><p>X</p></section></div>", "<article><div class='entry-header'><h1>X</h1></div></article>",
+    "<article><p class=alert>X</p></article>", "<article><p class='search-results'>X</p></article>", "<main><div class=alert><p>X</p></div></main>",
+    "<nav><a href=#>One</a><p><a href=#>Two</a></nav><article><p>X</p></article>"])
+def test_listed_words_do_not_drop_article_text(page):
+    assert text(page.replace("X", _LONG)) == _LONG
+
+
+def test_every_plain_block_of_an_article_stays():
+    rng = np.random.default_rng(5)
+    at = {f: i for i, f in enumerate(html_text.FEATURES)}
+    for _ in range(5000):
+        row = np.zeros(len(at))
+        row[at["words"]], row[at["section"]], row[at["heading"]] = rng.choice([1, 3, 9, 40]), html_text.MAIN, rng.integers(2)
+        for side in ("before", "after"):
+            for k in ("", "_2"):
+                row[at[f"words_{side}{k}"]] = n = rng.choice([0, 1, 3, 9, 40])
+                row[at[f"links_{side}{k}"]] = rng.integers(2) if n else 0
+        assert html_text.classify(TREE, row) == 1
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "</b>" * 100_000, "<b></i>" * 100_000, "<svg>" * 1000 + "<g></p>" * 100_000,
+                                  "<object>" * 100_000 + "<p>x" * 100_000, "<svg><div>" * 100_000])
+def test_long_pages_take_linear_time(page):
+    start = time.process_time()
+    text(page)
+    assert time.process_time() - start < 10  # about a second; minutes if each tag walked the open elements
+
+
+def test_very_long_page():
+    assert text(f"<article>{'<p>one two</p>' * 200_000}</article>") == " ".join(["one two"] * 200_000)
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", "<article>é</article>", 0), (None, None, None, 1), (1, "u", "", 2)]
     got = rows_of(html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string, n_chars int")), "page_id", "url", "text", "n_chars")
     assert got == sorted([(1, "u", "é", 1), (None, None, "", 0), (1, "u", "", 0)], key=repr)
+    assert html_text.extract(spark.createDataFrame([], "page_id int, url string, html string")).collect() == []
 
 
 def test_extract_on_the_table(spark):
