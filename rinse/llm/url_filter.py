@@ -61,7 +61,8 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     the capture is blocked if that key is on the ``block`` list and not on the
     ``allow`` list.  A capture with a NULL url or day matches nothing.  Captures
     are told apart by a row number of their own, so repeated ids stay separate
-    rows; other columns are ignored.
+    rows; other columns are ignored.  A URL has a key for every path step, so the
+    keys of a very long one take memory by the square of its steps.  No captures give no rows; no entries match nothing.
     """
     cap = captures.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "fetch_day")
     host, path = url_parts(F.col("url"))
@@ -85,13 +86,17 @@ def captures_of(pages: DataFrame) -> DataFrame:
 
 
 def entries_of(pages: DataFrame) -> DataFrame:
-    """A list history from the pages table: pages name hosts, domains and prefixes on dated days."""
+    """A list history from the pages table: every page names a host, a domain or a prefix on a dated day.
+
+    A prefix takes its host and, by the page id, none to three path steps (as many as the path has
+    before its last slash).  A page without a URL or id names nothing."""
     host, path = url_parts(F.col("url"))
     p = pages.select("page_id", host.alias("host"), F.split(path, "/").alias("steps"))
     kind = F.pmod("page_id", F.lit(7))
-    key = (F.when(kind == 0, F.concat(F.lit("host:"), "host"))
-            .when(kind == 1, F.concat(F.lit("domain:"), F.regexp_replace("host", r"^[^.]*\.", "")))
-            .when(kind == 2, F.concat(F.lit("prefix:"), "host", F.lit("/"), F.coalesce(F.get("steps", F.lit(1)), F.lit("")), F.lit("/"))))
+    depth = F.greatest(F.least(F.pmod("page_id", F.lit(4)).cast("int") + 1, F.size("steps") - 1), F.lit(1))
+    key = (F.when(kind < 2, F.concat(F.lit("host:"), "host"))
+            .when(kind < 4, F.concat(F.lit("domain:"), F.regexp_replace("host", r"^[^.]*\.", "")))
+            .when(kind < 7, F.concat(F.lit("prefix:"), "host", F.array_join(F.slice("steps", F.lit(1), depth), "/"), F.lit("/"))))
     return (p.select(key.alias("key"), F.when(F.pmod("page_id", F.lit(5)) == 0, "allow").otherwise("block").alias("list"),
                      F.when(F.pmod("page_id", F.lit(3)) == 0, "remove").otherwise("add").alias("action"),
                      F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 11, F.lit(366)).cast("int")).alias("day"),
@@ -107,13 +112,14 @@ split AS (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
          DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetch_day FROM parts),
 history AS (
-  SELECT CASE page_id % 7 WHEN 0 THEN 'host:' || host
-              WHEN 1 THEN 'domain:' || regexp_replace(host, '^[^.]*\.', '')
-              WHEN 2 THEN 'prefix:' || host || '/' || coalesce(string_split(path, '/')[2], '') || '/' END AS key,
+  SELECT CASE WHEN page_id % 7 < 2 THEN 'host:' || host
+              WHEN page_id % 7 < 4 THEN 'domain:' || regexp_replace(host, '^[^.]*\.', '')
+              ELSE 'prefix:' || host || array_to_string(string_split(path, '/')
+                   [:greatest(least(page_id % 4 + 1, len(string_split(path, '/')) - 1), 1)], '/') || '/' END AS key,
          CASE WHEN page_id % 5 = 0 THEN 'allow' ELSE 'block' END AS list,
          CASE WHEN page_id % 3 = 0 THEN 'remove' ELSE 'add' END AS action,
          DATE '2024-01-01' + CAST((page_id * 11) % 366 AS INTEGER) AS day, page_id AS seq
-  FROM split WHERE page_id % 7 < 3),
+  FROM split),
 effective AS (
   SELECT h.* FROM history h WHERE NOT EXISTS (
     SELECT 1 FROM history o WHERE o.key = h.key AND o.list = h.list AND o.day = h.day AND o.seq > h.seq)),

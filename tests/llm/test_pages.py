@@ -205,6 +205,22 @@ def test_url_filter_intervals(spark):
                           (5, 0, None, False), (6, 0, None, False), (7, 0, None, False), (8, 0, None, False), (8, 0, None, False)], key=repr)
 
 
+def test_url_filter_every_page_names_an_entry(spark):
+    pages = spark.createDataFrame([(i, f"http://a{i}.b.org/x/y/z/w?q") for i in range(28)] + [(None, "http://c.org/"), (28, None), (32, "http://d.org")],
+                                  "page_id bigint, url string")
+    keys = {r["seq"]: r["key"] for r in url_filter.entries_of(pages).collect()}
+    assert sorted(keys) == [*range(28), 32]
+    assert keys[0] == "host:a0.b.org" and keys[2] == "domain:b.org" and keys[32] == "prefix:d.org/"
+    assert [keys[i] for i in (4, 5, 6, 11)] == ["prefix:a4.b.org/", "prefix:a5.b.org/x/", "prefix:a6.b.org/x/y/", "prefix:a11.b.org/x/y/z/"]
+
+
+def test_url_filter_empty_tables(spark):
+    caps = url_filter.captures_of(spark.createDataFrame([(1, "http://a.org/" + "x/" * 2000)], "page_id bigint, url string"))
+    entries = url_filter.entries_of(caps.limit(0))
+    assert url_filter.url_filter(caps.limit(0), entries).collect() == []
+    assert rows_of(url_filter.url_filter(caps, entries), "page_id", "n_active", "blocked") == [(1, 0, False)]
+
+
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_oracle(spark, key):
     con = duckdb.connect()
