@@ -4,6 +4,8 @@ The global n-gram order is cut into fragments, so that no task ever needs a
 whole set, and whatever is counted is counted per fragment and then summed:
 
 1. Texts with equal sets form a class; from here on a class stands for them.
+   Sets are equal when two 64-bit hashes of them are: a first hash that sets
+   with different second ones share names no class, the second does there.
 2. Every set is cut into fragments (ranges of hashed n-grams).  A fragment's
    task sees which of its n-grams occur in more than one class and gives each
    class its number of shared ones.  Summed over fragments, a class that shares
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinse.llm.common import durable, texts, without_copies
-from rinse.llm.shingles import set_key, shingle_set
+from rinse.llm.shingles import set_key, set_keys, shingle_set
 
 WIDTH = 4
 PERCENT = 85
@@ -44,20 +46,37 @@ STAR_LISTS = 4
 FRAGMENTS_PER_TASK = 1
 PAIR_FRAGMENTS = 2
 SKETCH_WORDS = 16
+KEY_BITS = 64
+MOST_TWINS = 100_000
 
 
-def _sets(width: int):
-    """Each text's other columns, ``n_shingles`` and ``cls``."""
+def _sets(width: int, bits: int):
+    """Each text's other columns, ``n_shingles`` and the two hashes ``cls`` and ``cls2``."""
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             names = [c for c in b.schema.names if c != "text"]
+            keys = [set_keys(s, bits) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in names), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], [*names, "n_shingles", "cls"])
+                 *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], [*names, "n_shingles", "cls", "cls2"])
     return run
 
 
+def set_classes(d: DataFrame, columns: str, width: int, bits: int) -> tuple[DataFrame, frozenset[int]]:
+    """The rows of ``d (columns, text)`` with ``n_shingles`` and ``cls`` for their text, and the first hashes that name no class.
+
+    At 2e10 different sets about ten first hashes are expected to be shared; more than ``MOST_TWINS`` raise."""
+    rows = durable(d.mapInArrow(_sets(width, bits), f"{columns}, n_shingles bigint, cls bigint, cls2 bigint"))
+    shared = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("cls2").alias("lo"), F.max("cls2").alias("hi")).filter("lo <> hi")
+    twins = frozenset(r["cls"] for r in shared.select("cls").limit(MOST_TWINS + 1).collect())
+    if len(twins) > MOST_TWINS:
+        raise ValueError("too many different sets share a first hash")
+    if twins:
+        rows = rows.withColumn("cls", F.when(F.col("cls").isin(list(twins)), F.col("cls2")).otherwise(F.col("cls")))
+    return rows.drop("cls2"), twins
+
+
 def packed(keys, sizes, sets, fragments: int, wide: bool):
     """One row per fragment: the classes in it, their sizes, counts and n-grams.
 
@@ -93,7 +112,7 @@ PACKED = "f int, cls binary, n binary, cnt binary, grams binary"
 GROUP_SHINGLES = 1_000_000
 
 
-def _pack(width: int, fragments: int):
+def _pack(width: int, fragments: int, twins: frozenset[int], bits: int):
     """N-grams of the texts, packed; of texts with equal sets each task packs one."""
     def run(batches):
         seen: set[int] = set()
@@ -101,7 +120,7 @@ def _pack(width: int, fragments: int):
         for b in batches:
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, width)
-                if len(s) and (key := set_key(s)) not in seen:
+                if len(s) and (key := set_key(s, twins, bits)) not in seen:
                     seen.add(key)
                     keys.append(key)
                     held.append(s)
@@ -158,14 +177,14 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(uniq), pa.array(np.bincount(inverse, cnt, len(uniq)).astype(np.int64))], names=["cls", "shared"])
 
 
-def _segments(width: int):
+def _segments(width: int, twins: frozenset[int], bits: int):
     """A survivor's set cut into the fragments of the pair count, in full width; its sketch goes with the first."""
     def run(batches):
         for b in batches:
             out = []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, width)
-                cls = set_key(s)
+                cls = set_key(s, twins, bits)
                 parity = (np.bincount((s % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
                 sketch = np.packbits(parity).view(np.int64).tolist()
                 cuts = np.searchsorted(s, np.array([(i << 64) // PAIR_FRAGMENTS for i in range(1, PAIR_FRAGMENTS)], np.uint64))
@@ -322,7 +341,7 @@ def connect(postings: DataFrame, segments: DataFrame, percent: int, star_rounds:
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
-                 star_rounds: int = STAR_ROUNDS) -> DataFrame:
+                 star_rounds: int = STAR_ROUNDS, key_bits: int = KEY_BITS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every input row.
 
     Two texts are linked when 100 x intersection >= ``percent`` x union of
@@ -330,18 +349,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty text, or one without words, has no shingles and stays by itself.  A
     row with a NULL id takes no part and gets a NULL component.  Rows that
     repeat an id keep their rows.  Other columns are ignored; an empty table
-    gives an empty result.
+    gives an empty result.  Ids are cast to bigint.  ``key_bits`` shortens the
+    first hash of a set, which changes no result.
     """
     d = texts(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = durable(d.mapInArrow(_sets(width), "doc_id bigint, n_shingles bigint, cls bigint"))
-    named = labelled(d.filter("doc_id IS NOT NULL"), sets.filter("doc_id IS NOT NULL"), width, percent, star_rounds)
+    sets, twins = set_classes(d, "doc_id bigint", width, key_bits)
+    named = labelled(d.filter("doc_id IS NOT NULL"), sets.filter("doc_id IS NOT NULL"), width, percent, star_rounds, twins, key_bits)
     lowest = named.groupBy("label").agg(F.min("first").alias("component"))
     of_class = named.join(lowest, "label").select("cls", "component")
     return (sets.join(of_class, "cls", "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
 
 
-def labelled(d: DataFrame, sets: DataFrame, width: int, percent: int, star_rounds: int) -> DataFrame:
+def labelled(d: DataFrame, sets: DataFrame, width: int, percent: int, star_rounds: int, twins: frozenset[int], bits: int = KEY_BITS) -> DataFrame:
     """``cls, first, n, label`` of the classes of ``d (doc_id, text)`` with their ``sets``: smallest id, set size, group formed by all links.
 
     Rows with a NULL id take part like all others; a class of such rows only has a NULL ``first``."""
@@ -349,14 +369,14 @@ def labelled(d: DataFrame, sets: DataFrame, width: int, percent: int, star_round
 
     # a multiple, so that each of these fragments lies within one fragment of the pair count
     fragments = PAIR_FRAGMENTS * max(1, -(-FRAGMENTS_PER_TASK * d.rdd.getNumPartitions() // PAIR_FRAGMENTS))
-    shared = (d.select("text").mapInArrow(_pack(width, fragments), PACKED)
+    shared = (d.select("text").mapInArrow(_pack(width, fragments, twins, bits), PACKED)
               .groupBy("f").applyInArrow(_shared(fragments), "b int, cls binary, cnt binary")
               .groupBy("b").applyInArrow(_summed, "cls bigint, shared bigint"))
     survivors = durable(classes.join(shared, "cls").filter(100 * F.col("shared") >= percent * F.col("n")).select("first"))
 
     # only ids travel to the texts
     segments = durable(d.join(survivors, d["doc_id"].eqNullSafe(survivors["first"]), "left_semi").select("text")
-                       .mapInArrow(_segments(width), "cls bigint, n bigint, f int, seg binary, sketch array<bigint>").dropDuplicates(["cls", "f"]))
+                       .mapInArrow(_segments(width, twins, bits), "cls bigint, n bigint, f int, seg binary, sketch array<bigint>").dropDuplicates(["cls", "f"]))
     postings = durable(segments.mapInArrow(_pack_segments(fragments), PACKED)
                        .groupBy("f").applyInArrow(_frequencies(fragments), "b int, cls binary, n binary, df binary, grams binary")
                        .groupBy("b").applyInArrow(_prefixes(percent), "gram bigint, cls bigint, n bigint, pos bigint, edge boolean"))
@@ -376,9 +396,8 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     digest = lambda text: F.sha2(text, 256)
     d = texts(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = durable(d.withColumn("digest", digest(F.col("text")))
-                   .mapInArrow(_sets(WIDTH), "doc_id bigint, digest string, n_shingles bigint, cls bigint"))
-    named = durable(labelled(d, sets, WIDTH, PERCENT, STAR_ROUNDS).select("cls", "label"))
+    sets, twins = set_classes(d.withColumn("digest", digest(F.col("text"))), "doc_id bigint, digest string", WIDTH, KEY_BITS)
+    named = durable(labelled(d, sets, WIDTH, PERCENT, STAR_ROUNDS, twins).select("cls", "label"))
     rows = sets.join(named, "cls").select("label", "doc_id", "digest")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
     groups = rows.groupBy("label").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("label", "best")

@@ -47,6 +47,13 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def set_key(s: np.ndarray) -> int:
-    """Signed 64-bit hash of a whole set."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), len(s)))))
+def set_keys(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two independent hashes of a whole set: a signed one of ``bits`` bits and a signed one of 64."""
+    both = (xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) >> (64 - bits), xxhash.xxh3_64_intdigest(s.tobytes(), ~len(s) & (2**64 - 1)))
+    return tuple(int(np.int64(np.uint64(h))) for h in both)
+
+
+def set_key(s: np.ndarray, twins: frozenset[int] = frozenset(), bits: int = 64) -> int:
+    """The class of a set: its first hash, or its second where the first is one of ``twins``, which different sets share."""
+    first, second = set_keys(s, bits)
+    return second if first in twins else first

@@ -112,9 +112,10 @@ def test_license_scan_keeps_every_row(spark):
     assert rows_of(license_scan.license_scan(df), "doc_id", "n_base") == sorted([(None, 1), (None, 1), (3, 0), (3, 0)], key=repr)
 
 
-def test_jaccard_join(docs):
+@pytest.mark.parametrize("key_bits", [5, 64])  # at 5 bits nearly every first hash is shared by different sets
+def test_jaccard_join(docs, key_bits):
     want = brute.jaccard_components(pairs(docs))
-    assert rows_of(jaccard_join.jaccard_join(docs), "doc_id", "n_shingles", "component_id") == sorted(((i, *v) for i, v in want.items()), key=repr)
+    assert rows_of(jaccard_join.jaccard_join(docs, key_bits=key_bits), "doc_id", "n_shingles", "component_id") == sorted(((i, *v) for i, v in want.items()), key=repr)
 
 
 @pytest.mark.parametrize("star_rounds", [0, 2])
