@@ -34,6 +34,17 @@ def q_src_typed_read(spark, d):
     return conform(B.washes(spark, d), WASHES)
 
 
+_EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+@register("src_file_fill", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", COUNT(*) AS n_rows, COUNT({c}) AS n_values FROM events" for c in _EVENT_COLUMNS))
+def q_src_file_fill(spark, d):
+    from rinse.sources.tables import DRIVER_SCHEMAS, file_fill
+    fill = file_fill(spark, f"{d.rstrip('/')}/events.parquet", DRIVER_SCHEMAS["events"])
+    return fill.groupBy("column").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_values").alias("n_values"))
+
+
 @register("snk_snapshot", W(["b_expenses"], "SELECT *, CAST(spent_at AS DATE) AS day FROM b_expenses"))
 def q_snk_snapshot(spark, d):
     from rinse.functions import expr as X
