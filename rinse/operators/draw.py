@@ -67,7 +67,11 @@ def approve(cands: DataFrame, winners: DataFrame, requests: DataFrame, as_of,
     return after, unknown.unionByName(blocked).unionByName(lost)
 
 
-def reschedule(cands: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: candidates and requests of one person that are replayed in one place
+REPLAY_MOST = 20_000
+
+
+def reschedule(cands: DataFrame, requests: DataFrame, replay_most: int = REPLAY_MOST) -> tuple[DataFrame, DataFrame]:
     """m8: move candidates to new dates, one request after the other.
 
     ``requests``: candidate_id, new_date, seq (ties: candidate_id, new_date).
@@ -76,12 +80,14 @@ def reschedule(cands: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFr
     moment*, so an earlier move of the batch may free a date or take it.
     Returns (candidates after, refused requests).
 
-    A request depends only on earlier ones of the same person.  All requests
-    are first taken as granted; each round recomputes every decision from the
-    dates the others then hold, until no decision changes.  After k rounds
-    the first k requests of each person are right, so the fixed point is the
-    sequential result.  It is reached after as many rounds as requests hang on
-    one another; persons whose decisions no longer change leave the loop."""
+    A request depends only on earlier ones of the same person.  Persons of at
+    most ``replay_most`` rows are replayed request by request (``_replayed``).
+    For larger ones all requests are first taken as granted; each round
+    recomputes every decision from the dates the others then hold, until no
+    decision changes.  After k rounds the first k requests of each person are
+    right, so the fixed point is the sequential result.  It is reached after as
+    many rounds as requests hang on one another; persons whose decisions no
+    longer change leave the loop."""
     person = ["_cust", "_rk"]
     known = cands.select(F.col("id").alias("candidate_id"), F.col("draw_date").alias("_from"),
                          F.coalesce(F.col("customer_id").cast("string"), F.lit("\u0000")).alias("_cust"),
@@ -91,26 +97,67 @@ def reschedule(cands: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFr
     blank = asked.filter(~given).select("candidate_id", "new_date", F.lit("candidate_id and new_date are required").alias("reason"))
     unknown = (asked.filter(given).join(known, "candidate_id", "left_anti")
                .select("candidate_id", "new_date", F.lit("candidate not found").alias("reason")))
-    valid = asked.filter(given).join(known, "candidate_id")
+    valid = materialise(asked.filter(given).join(known, "candidate_id").drop("_from"), "valid")
+    known = materialise(known.filter("candidate_id IS NOT NULL"), "known")
+    # an id that several persons bear ties them together
+    who = F.struct(*person)
+    tied = known.groupBy("candidate_id").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).filter("lo <> hi")
+    tied = known.join(tied, "candidate_id", "left_semi").select(*person)
+    large = (known.select(*person).unionAll(valid.select(*person)).groupBy(*person).agg(F.count(F.lit(1)).alias("n"))
+             .filter(F.col("n") > replay_most).select(*person))
+    large = materialise(large.unionAll(tied).distinct(), "large")
+    of = lambda df, how: df.join(large, person, how)
+
+    settled = [_replayed(of(known, "left_anti"), of(valid, "left_anti"), person)]
+    if not large.isEmpty():
+        settled += _settled_by_rounds(of(known, "left_semi"), of(valid, "left_semi"), person)
+    final = materialise(reduce(DataFrame.unionByName, settled), "decided")
+    refused = final.filter("NOT ok").select("candidate_id", "new_date", F.lit("same candidate already on the new date").alias("reason"))
+    last = final.filter("ok").groupBy(F.col("candidate_id").alias("_mid")).agg(F.max_by("new_date", "no").alias("_mdate"))
+    after = (cands.join(last, cands["id"] == last["_mid"], "left")
+             .withColumn("draw_date", F.coalesce(F.col("_mdate"), F.col("draw_date"))).drop("_mid", "_mdate"))
+    return after, blank.unionByName(unknown).unionByName(refused)
+
+
+def _replayed(held: DataFrame, valid: DataFrame, person: list[str]) -> DataFrame:
+    """``no, candidate_id, new_date, ok``: the requests of each person decided in order, on the list of the person's candidates and dates.
+
+    A fold over the sorted requests; candidates and dates stand in it by their
+    places in the person's lists, with the number of candidates on each date."""
+    asked = valid.groupBy(*person).agg(F.array_sort(F.collect_list(F.struct("seq", "candidate_id", "new_date"))).alias("_asked"))
+    lists = asked.join(held.groupBy(*person).agg(F.collect_list(F.struct("candidate_id", "_from")).alias("_held")), person)
+    lists = (lists.withColumn("_ids", F.col("_held.candidate_id"))
+             .withColumn("_days", F.array_distinct(F.array_compact(F.concat(F.col("_held._from"), F.col("_asked.new_date"))))))
+    lists = lists.selectExpr("_asked", "_days", "transform(_held, h -> CAST(array_position(_days, h._from) AS INT)) AS _at",
+                             "transform(_asked, a -> struct(CAST(array_position(_ids, a.candidate_id) AS INT) AS c, CAST(array_position(_days, a.new_date) AS INT) AS d)) AS _moves")
+    # places count from 1; a candidate without a date is on none
+    there = lists.selectExpr("_asked", "_moves", "_at", "transform(_days, (x, j) -> size(filter(_at, v -> v = j + 1))) AS _on")
+    ok = "s.on[m.d - 1] = CAST(coalesce(s.at[m.c - 1] = m.d, false) AS INT)"
+    fold = f"""aggregate(_moves, struct(_at AS at, _on AS on, CAST(array() AS array<boolean>) AS ok), (s, m) ->
+        CASE WHEN {ok}
+        THEN struct(transform(s.at, (v, j) -> CASE WHEN j + 1 = m.c THEN m.d ELSE v END) AS at,
+                    transform(s.on, (v, j) -> v + CAST(j + 1 = m.d AS INT) - CAST(coalesce(j + 1 = s.at[m.c - 1], false) AS INT)) AS on,
+                    concat(s.ok, array(true)) AS ok)
+        ELSE struct(s.at AS at, s.on AS on, concat(s.ok, array(false)) AS ok) END, s -> s.ok)"""
+    decided = there.selectExpr("_asked", f"{fold} AS _ok")
+    return decided.selectExpr("posexplode(_asked) AS (i, a)", "_ok").selectExpr("CAST(i AS BIGINT) AS no", "a.candidate_id", "a.new_date", "_ok[i] AS ok")
+
+
+def _settled_by_rounds(known: DataFrame, valid: DataFrame, person: list[str]) -> list[DataFrame]:
+    """The decisions of ``_replayed`` for persons of any size, found round by round."""
+    cols = ["no", "candidate_id", "new_date", "ok"]
     moves = materialise(ordinal(valid, [], ["seq", "candidate_id", "new_date"], out="no")
                         .select("no", "candidate_id", *person, "new_date", F.lit(True).alias("ok")), "moves")
     held = materialise(known.join(moves.select(*person).distinct(), person, "left_semi"), "held")
-
     settled: list[DataFrame] = []
     while True:
         judged = materialise(_judge_moves(held, moves, person), "judged")
         unsure = judged.filter("ok <> was_ok").select(*person).distinct()
-        settled.append(judged.join(unsure, person, "left_anti"))
+        settled.append(judged.join(unsure, person, "left_anti").select(*cols))
         moves = judged.join(unsure, person, "left_semi").drop("was_ok")
         if unsure.isEmpty():
-            break
+            return settled
         held = held.join(unsure, person, "left_semi")
-    final = reduce(DataFrame.unionByName, settled)
-    refused = final.filter("NOT ok").select("candidate_id", "new_date", F.lit("same candidate already on the new date").alias("reason"))
-    last = final.filter("ok").groupBy(F.col("candidate_id").alias("_mid")).agg(F.max_by("new_date", "no").alias("_mdate"))
-    after = (cands.join(last, cands["id"] == last["_mid"], "left")
-             .withColumn("draw_date", F.coalesce(F.col("_mdate"), F.col("draw_date"))).drop("_mid", "_mdate"))
-    return after, blank.unionByName(unknown).unionByName(refused)
 
 
 def _judge_moves(held: DataFrame, moves: DataFrame, person: list[str]) -> DataFrame:

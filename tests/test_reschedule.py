@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+from rinse.operators import draw
 from rinse.operators.draw import reschedule
 
 D0 = dt.date(2025, 3, 1)
@@ -60,3 +61,17 @@ def test_random_batches(spark, seed):
 def test_no_requests(spark):
     check(spark, [(1, D0, 1, "a")], [])
     check(spark, [], [(1, D0, 1)])
+
+
+def test_small_persons_need_no_rounds(spark, monkeypatch):
+    """Persons of few rows are replayed in one place; the rounds, left to larger ones, decide the same."""
+    rng = random.Random(5)
+    cands = [(i, day(rng.randrange(5)) if rng.random() < 0.9 else None, *rng.choice([(1, "a"), (1, "b"), (None, "")])) for i in range(30)]
+    cands += [(30, day(1), 2, "x"), (30, day(1), 2, "x"), (31, day(2), 2, "x"), (32, day(4), 2, "x"), (32, day(4), 3, "y"), (33, day(4), 3, "y")]
+    reqs = [(rng.randrange(35), day(rng.randrange(6)), rng.choice([s // 2, None])) for s in range(120)]
+    frames = spark.createDataFrame([(*c, "x") for c in cands], CANDS), spark.createDataFrame([(*r, "x") for r in reqs], REQS)
+    both = [sorted(map(repr, [*after.collect(), *refused.collect()])) for after, refused in
+            (draw.reschedule(*frames, replay_most=0), draw.reschedule(*frames, replay_most=40), draw.reschedule(*frames))]
+    assert both[0] == both[1] == both[2]
+    monkeypatch.setattr(draw, "_judge_moves", lambda *a: pytest.fail("a round for small persons"))
+    check(spark, [(i, day(i % 4), i // 8, "a") for i in range(40)], [(i, day((i * 7 + s) % 6), s * 40 + i) for i in range(40) for s in range(3)])
