@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinse.operators.ordered import top_k_per_group
+from rinse.sources.sinks import materialise
 
 KEEP = 8
 CHANGE_COLS = ["old_customer_id", "old_washed_at", "new_customer_id", "new_washed_at"]
@@ -50,8 +51,8 @@ def apply_changes(state: DataFrame, changes: DataFrame, washes: DataFrame, keep:
     moved = changes.select(F.explode(F.array(
         F.struct(F.col("old_customer_id").alias("customer_id"), F.col("old_washed_at").alias("at"), F.lit(-1).cast("bigint").alias("n")),
         F.struct(F.col("new_customer_id").alias("customer_id"), F.col("new_washed_at").alias("at"), F.lit(1).cast("bigint").alias("n")))).alias("c")).select("c.*")
-    delta = (moved.filter("customer_id IS NOT NULL AND at IS NOT NULL").groupBy("customer_id", "at").agg(F.sum("n").alias("n"))
-             .filter("n <> 0"))
+    delta = materialise(moved.filter("customer_id IS NOT NULL AND at IS NOT NULL").groupBy("customer_id", "at").agg(F.sum("n").alias("n"))
+                        .filter("n <> 0"), "delta")
     touched = delta.groupBy("customer_id").agg(F.sum("n").alias("more"))
     known = state.join(touched, "customer_id", "left_semi").withColumn("held", F.expr("aggregate(recent, 0L, (s, r) -> s + r.n)"))
     # visits before the oldest recent time are only counted, if there are any
@@ -65,13 +66,15 @@ def apply_changes(state: DataFrame, changes: DataFrame, washes: DataFrame, keep:
              .withColumn("n", F.when(F.col("n") < 0, broken).otherwise(F.col("n"))).filter("n > 0"))
     total = F.coalesce("visits_count", F.lit(0)) + F.col("more")
     wrong = (total < 0) | ((total == 0) & F.col("recent").isNotNull())
-    settled = (touched.join(floors, "customer_id", "left").join(_recent(times, keep), "customer_id", "left")
-               .select("customer_id", F.when(wrong, broken).otherwise(total).alias("visits_count"), "recent").filter("visits_count > 0"))
+    # written, so that a few such customers are known as few and the sales need not be shuffled for them
+    settled = materialise(touched.join(floors, "customer_id", "left").join(_recent(times, keep), "customer_id", "left")
+                          .select("customer_id", F.when(wrong, broken).otherwise(total).alias("visits_count"), "recent").filter("visits_count > 0"), "settled")
     # all recent visits gone, older ones left: read these customers' sales again
-    empty = settled.filter("recent IS NULL").select("customer_id")
-    again = _recent(_per_time(washes.filter("washed_at IS NOT NULL").join(empty, "customer_id", "left_semi")), keep)
-    refilled = settled.drop("recent").join(again, "customer_id")
-    changed = settled.filter("recent IS NOT NULL").unionByName(refilled)
+    empty = materialise(settled.filter("recent IS NULL").select("customer_id"), "empty")
+    changed = settled.filter("recent IS NOT NULL")
+    if not empty.isEmpty():
+        again = _recent(_per_time(washes.filter("washed_at IS NOT NULL").join(empty, "customer_id", "left_semi")), keep)
+        changed = changed.unionByName(settled.drop("recent").join(again, "customer_id"))
     return (state.join(touched, "customer_id", "left_anti").select(*_COLS)
             .unionByName(changed.select("customer_id", "visits_count", F.element_at("recent", 1)["at"].alias("last_visit"), "recent")))
 

@@ -361,7 +361,8 @@ def q_m11_after(spark, d):
 SELECT customer_id, COUNT(*) AS visits_count, MAX(washed_at) AS last_visit FROM changed WHERE customer_id IS NOT NULL GROUP BY customer_id"""))
 def q_m12_kept_up(spark, d):
     """Counters of all sales, then three batches: the cheap sales deleted, some given to other customers, the dear ones put back in time."""
-    w = B.washes(spark, d).select("id", "customer_id", "washed_at", "unit_price")
+    # read again for each batch, so joined once
+    w = materialise(B.washes(spark, d).select("customer_id", "washed_at", "unit_price"), "sales")
     given = F.expr("CASE WHEN hour(washed_at) % 2 = 0 AND unit_price > 30000 THEN nullif(customer_id % 97, 0) ELSE customer_id END")
     back = F.expr("CASE WHEN unit_price > 60000 THEN washed_at - INTERVAL 400 DAY ELSE washed_at END")
     kept = w.filter("unit_price >= 2000")

@@ -79,3 +79,22 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], DDL)
     state = retract.counters_state(none)
     assert counters(retract.apply_changes(state, retract.changes_between(none, none), none)) == []
+
+
+def test_sales_are_read_again_only_where_needed(spark):
+    """No customer has lost all recent visits, so the result's plan has no table of sales."""
+    before = spark.createDataFrame([(i, i % 4, T0 + dt.timedelta(hours=i)) for i in range(40)], DDL)
+    after = stored(spark, before.filter("id <> 39"))
+    state = stored(spark, retract.counters_state(before, 3))
+    now = retract.apply_changes(state, retract.changes_between(before, after), after, 3)
+    assert counters(now) == brute([tuple(r) for r in after.collect()])
+    folder = after.inputFiles()[0].rsplit("/", 1)[0]
+    assert not [f for f in now.inputFiles() if f.startswith(folder)]
+
+
+def test_m12_joins_the_sales_once(spark, monkeypatch):
+    from rinse.plans import q_upkeep as U
+    calls = []
+    monkeypatch.setattr(U, "materialise", lambda df, name, f=U.materialise: calls.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or f(df, name))
+    U.q_m12_kept_up(spark, "/root/testdata/sf0.001")
+    assert [name for name, plan in calls if "lineitem" in plan or "l_orderkey" in plan] == ["sales"]
