@@ -3,14 +3,15 @@
 ``counters_stream``: visits_count and last_visit per customer, a streaming
 aggregate (Spark keeps the running count and max in its state store).
 
-``loyalty_stream``: the n-th-visit-of-the-month flag at arrival time.  Each
-(customer, month) key keeps one number, the visits seen so far, in a value
-state; with a watermark, an event-time timer drops it when the month is over
-(without one none expires, so a sale of any age still counts every earlier
-one).  A micro-batch brings the key's new rows; they are ordered by (washed_at, id)
-and numbered after the stored count.  Ordinals follow arrival, as in the
-reference, so a late sale takes the next ordinal and earlier ones are never
-renumbered.
+``loyalty_stream``: the n-th-visit-of-the-month flag at arrival time.  Customers
+are dealt to buckets by hash, because a call per customer costs far more than
+the customer's rows.  Each (bucket, month) key keeps the visits seen so far of
+its customers in a value state; with a watermark, an event-time timer drops it
+when the month is over (without one none expires, so a sale of any age still
+counts every earlier one).  A micro-batch brings the key's new rows; those of a
+customer are ordered by (washed_at, id) and numbered after the stored count.
+Ordinals follow arrival, as in the reference, so a late sale takes the next
+ordinal and earlier ones are never renumbered.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,9 @@ from rinse import config as C
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: of customers, fixed for the life of a checkpoint
+BUCKETS = 512
+
 LOYALTY_OUT = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("customer_id", T.LongType()),
     T.StructField("month", T.DateType()), T.StructField("ordinal", T.LongType()),
@@ -63,9 +68,9 @@ def _month_over_ms(month: dt.date) -> int:
 
 
 class LoyaltyCounter(StatefulProcessor):
-    """Numbers a key's sales in arrival order, continuing from the stored count.
+    """Numbers the sales of each customer of a key in arrival order, continuing from the stored counts.
 
-    With ``expires``, a timer at the month's end drops the count once the
+    With ``expires``, a timer at the month's end drops the counts once the
     watermark has passed it: no sale of the month can come any more."""
 
     def __init__(self, every_n: int = C.LOYALTY_EVERY_N, ttl_ms: int | None = None, expires: bool = False):
@@ -73,24 +78,31 @@ class LoyaltyCounter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("n", T.LongType())]), self.ttl_ms)
+        longs = T.ArrayType(T.LongType())
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("customers", longs), T.StructField("n", longs)]), self.ttl_ms)
 
-    def _keep(self, key, n: int) -> None:
-        if self.expires and not self.seen.exists():
+    def _add(self, key, customers: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Add ``n`` to the counts of ``customers`` (each once); returns the counts before."""
+        held = self.seen.get() if self.seen.exists() else None
+        if held is None and self.expires:
             self.handle.registerTimer(_month_over_ms(key[1]))
-        self.seen.update((n,))
+        before = pd.Series(held[1], index=held[0], dtype="int64") if held else pd.Series(dtype="int64")
+        now = before.add(pd.Series(n, index=customers), fill_value=0)
+        self.seen.update((now.index.astype("int64").tolist(), now.astype("int64").tolist()))
+        return before.reindex(customers, fill_value=0).to_numpy()
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._keep(key, int(initialState["n"].sum()))
+        n = initialState.groupby("customer_id")["n"].sum()
+        self._add(key, n.index.to_numpy(), n.to_numpy())
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["washed_at", "id"], kind="mergesort")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["customer_id", "washed_at", "id"], kind="mergesort", ignore_index=True)
         if self.expires and _month_over_ms(key[1]) <= timerValues.getCurrentWatermarkInMs():
-            return      # later than the watermark allows: the count is gone
-        start = self.seen.get()[0] if self.seen.exists() else 0
-        ordinal = pd.Series(range(start + 1, start + 1 + len(batch)), index=batch.index, dtype="int64")
-        self._keep(key, int(start + len(batch)))
-        yield pd.DataFrame({"id": batch["id"].astype("int64"), "customer_id": batch["customer_id"].astype("int64"),
+            return      # later than the watermark allows: the counts are gone
+        who = batch["customer_id"].astype("int64")
+        customers, place, n = np.unique(who, return_inverse=True, return_counts=True)
+        ordinal = self._add(key, customers, n)[place] + who.groupby(who).cumcount() + 1
+        yield pd.DataFrame({"id": batch["id"].astype("int64"), "customer_id": who,
                             "month": batch["month"], "ordinal": ordinal,
                             "loyalty_hit": (ordinal % self.every_n) == 0})
 
@@ -119,16 +131,18 @@ def loyalty_stream(stream: DataFrame, every_n: int = C.LOYALTY_EVERY_N, ttl_ms:
         raise ValueError("state expires by event time (lateness) or by processing time (ttl_ms), not by both")
     month = F.trunc(F.to_date("washed_at"), "MM").alias("month")
     s = stream.filter(F.col("customer_id").isNotNull())
-    cols = ["id", "customer_id", "washed_at", month]
+    # a time to live holds for a whole value, so there each customer has one of its own
+    bucket = (F.col("customer_id") if ttl_ms else F.pmod(F.xxhash64("customer_id"), F.lit(BUCKETS))).cast("bigint").alias("bucket")
+    cols = [bucket, "id", "customer_id", "washed_at", month]
     if lateness:    # a watermark wants an instant: the wall-clock time in the session's zone
         s = s.select(*cols, F.col("washed_at").cast("timestamp").alias("_event")).withWatermark("_event", lateness)
     else:
         s = s.select(*cols)
     start = None
     if booked is not None:
-        start = (booked.filter("customer_id IS NOT NULL").select("customer_id", month).groupBy("customer_id", "month")
-                 .agg(F.count(F.lit(1)).alias("n")).groupBy("customer_id", "month"))
-    return s.groupBy("customer_id", "month").transformWithStateInPandas(
+        start = (booked.filter("customer_id IS NOT NULL").select(bucket, "customer_id", month).groupBy("bucket", "customer_id", "month")
+                 .agg(F.count(F.lit(1)).alias("n")).groupBy("bucket", "month"))
+    return s.groupBy("bucket", "month").transformWithStateInPandas(
         statefulProcessor=LoyaltyCounter(every_n, ttl_ms, bool(lateness)), outputStructType=LOYALTY_OUT, outputMode="Append",
         timeMode="EventTime" if lateness else "ProcessingTime" if ttl_ms else "None", initialState=start)
 

@@ -88,3 +88,17 @@ def test_counters_are_read_from_the_state(spark):
     cols = ["customer_id", "visits_count", "last_visit"]
     got = sorted(map(tuple, S.counters_now(spark, ckpt, B.washes(spark, SMALL).filter(old)).select(*cols).collect()))
     assert got == sorted(map(tuple, M.customer_counters(B.washes(spark, SMALL)).select(*cols).collect()))
+
+
+def test_customers_share_calls_and_state(spark, monkeypatch):
+    """Three hundred customers of one month: the state has a value per bucket, not one per customer, and every count is right."""
+    monkeypatch.setattr(S, "BUCKETS", 4)
+    batches = [[_sale(1000 * b + 3 * c + j, c, 2 * b + j) for c in range(300) for j in range(3 if c % 2 else b)] for b in range(3)]
+    booked = spark.createDataFrame([(c, dt.datetime(2023, 1, 1)) for c in range(0, 300, 5)], "customer_id bigint, washed_at timestamp_ntz")
+    got, held = _run(spark, batches, "5 days", booked)
+    seen, want = {c: 1 for c in range(0, 300, 5)}, {}
+    for rows in batches:
+        for i, c, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+            want[i] = seen[c] = seen.get(c, 0) + 1
+    assert got == want and max(held) <= 4
+
