@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinse.llm.common import durable, texts, without_copies
+from rinse.llm.common import durable, maybe_in, texts, without_copies
 from rinse.llm.shingles import set_key, set_keys, shingle_set
 
 WIDTH = 4
@@ -112,7 +112,7 @@ PACKED = "f int, cls binary, n binary, cnt binary, grams binary"
 GROUP_SHINGLES = 1_000_000
 
 
-def _pack(width: int, fragments: int, twins: frozenset[int], bits: int):
+def _pack(width: int, fragments: int, twins: frozenset[int] = frozenset(), bits: int = KEY_BITS):
     """N-grams of the texts, packed; of texts with equal sets each task packs one."""
     def run(batches):
         seen: set[int] = set()
@@ -241,26 +241,29 @@ def _overlaps(batches):
     for b in batches:
         part = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                 for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "size")), pa.array(part, pa.int64())],
-                                         ["a", "b", "size", "part"])
+        names = [c for c in b.schema.names if c not in ("x", "y")]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(part, pa.int64())], [*names, "part"])
 
 
 def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of ``pairs (a, b)``: partial overlaps per fragment, summed per pair."""
-    s = segments.select("cls", "n", "f", "seg")
+    """The linked ones of ``pairs (a, b, al, bl)``, classes and their labels: partial overlaps per fragment, summed per pair.
+
+    Few classes are in a late round's pairs, so a bitmap keeps the others' segments out of the joins."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    s = maybe_in(segments.select("cls", "n", "f", "seg"), "cls", named, 2 * pairs.count(), "maybe").filter("maybe").drop("maybe")
     left = pairs.join(s.withColumnsRenamed({"cls": "a", "n": "na", "seg": "x"}), "a")
     both = left.join(s.withColumnsRenamed({"cls": "b", "n": "nb", "seg": "y"}), ["b", "f"])
-    parts = both.select("a", "b", (F.col("na") + F.col("nb")).alias("size"), "x", "y") \
-                .mapInArrow(_overlaps, "a bigint, b bigint, size bigint, part bigint")
+    parts = both.select("a", "b", "al", "bl", (F.col("na") + F.col("nb")).alias("size"), "x", "y") \
+                .mapInArrow(_overlaps, "a bigint, b bigint, al bigint, bl bigint, size bigint, part bigint")
     # 100 * overlap >= percent * (size - overlap)
-    return (parts.groupBy("a", "b", "size").agg(F.sum("part").alias("overlap"))
-            .filter((100 + percent) * F.col("overlap") >= percent * F.col("size")).select("a", "b"))
+    return (parts.groupBy("a", "b", "al", "bl", "size").agg(F.sum("part").alias("overlap"))
+            .filter((100 + percent) * F.col("overlap") >= percent * F.col("size")).select("a", "b", "al", "bl"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, label``: the smallest node each one is connected with (labels spread, then jump)."""
+def components(edges: DataFrame) -> DataFrame:
+    """``node, label`` of the nodes in ``edges (a, b)``: the smallest node each one is connected with (labels spread, then jump)."""
     both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = durable(nodes.select("node", F.col("node").alias("label")))
+    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
     while True:
         near = (both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near")))
         step = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
@@ -303,9 +306,9 @@ def star_pairs(postings: DataFrame, labels: DataFrame, sketches: DataFrame, r: i
     p = _members(postings if r else postings.filter("edge"), labels, sketches, r)
     reps = _side(p.filter("cls = rep"), "y")
     tried = _side(p, "x").join(reps, "gram").filter(_can_link(percent))
-    key = F.struct(F.xxhash64("xcls", "ycls").alias("k"), "ycls")
-    best = tried.groupBy("xcls").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    return best.select("xcls", F.explode(F.array("lo.ycls", "hi.ycls")).alias("ycls"))
+    key = F.struct(F.xxhash64("xcls", "ycls").alias("k"), "ycls", "ylabel")
+    best = tried.groupBy("xcls", "xlabel").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    return best.select("xcls", "xlabel", F.explode(F.array("lo", "hi")).alias("y")).select("xcls", "xlabel", "y.ycls", "y.ylabel")
 
 
 def other_pairs(postings: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -314,7 +317,7 @@ def other_pairs(postings: DataFrame, labels: DataFrame, sketches: DataFrame, per
     main = durable(p.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("gram")
                    .agg(F.max(F.struct("m", "label")).alias("top")).select("gram", F.col("top.label").alias("main")))
     x = _side(p.join(main, "gram").filter("label <> main"), "x")
-    return x.join(_side(p, "y"), "gram").filter(_can_link(percent)).select("xcls", "ycls")
+    return x.join(_side(p, "y"), "gram").filter(_can_link(percent)).select("xcls", "xlabel", "ycls", "ylabel")
 
 
 def connect(postings: DataFrame, segments: DataFrame, percent: int, star_rounds: int) -> DataFrame:
@@ -325,16 +328,18 @@ def connect(postings: DataFrame, segments: DataFrame, percent: int, star_rounds:
     while not last:
         last = r >= star_rounds
         pairs = other_pairs(postings, labels, sketches, percent) if last else star_pairs(postings, labels, sketches, r, percent)
-        pairs = durable(pairs.select(F.least("xcls", "ycls").alias("a"), F.greatest("xcls", "ycls").alias("b")).distinct())
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(c + "l"))
-        edges = durable(verified(pairs, segments, percent).join(of("a"), "a").join(of("b"), "b")
-                        .select(F.col("al").alias("a"), F.col("bl").alias("b")).filter("a <> b").distinct())
+        up = lambda x, y: F.when(F.col("xcls") < F.col("ycls"), F.col(x)).otherwise(F.col(y))
+        pairs = durable(pairs.select(up("xcls", "ycls").alias("a"), up("ycls", "xcls").alias("b"), up("xlabel", "ylabel").alias("al"),
+                                     up("ylabel", "xlabel").alias("bl")).distinct())
         r += 1
-        if edges.isEmpty():
+        if pairs.isEmpty():
             star_rounds = 0  # stars join nothing more
             continue
-        touched = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        merged = components(touched, edges)
+        edges = durable(verified(pairs, segments, percent).select(F.col("al").alias("a"), F.col("bl").alias("b")).distinct())
+        if edges.isEmpty():
+            star_rounds = 0
+            continue
+        merged = components(edges)
         labels = durable(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
                          .select("node", F.coalesce("root", "label").alias("label")))
     return labels

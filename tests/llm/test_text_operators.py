@@ -153,6 +153,26 @@ def test_copies_are_packed_once_a_task(monkeypatch):
     assert sum(len(x) // 4 for x in out.column("grams").to_pylist()) == 3
 
 
+def test_only_segments_of_a_rounds_pairs_are_joined(spark, monkeypatch):
+    """A thousand classes, one pair: the joins get the segments of two classes (and few that share their bits)."""
+    seg = lambda v: np.arange(v, v + 20, dtype=np.uint64).tobytes()
+    segments = spark.createDataFrame([(i, 40, f, bytearray(seg(0 if i < 2 else 50 * i)), None) for i in range(1000) for f in range(2)],
+                                     "cls bigint, n bigint, f int, seg binary, sketch array<bigint>")
+    pairs = spark.createDataFrame([(0, 1, 10, 11)], "a bigint, b bigint, al bigint, bl bigint")
+    kept = []
+    real = jaccard_join.maybe_in
+    monkeypatch.setattr(jaccard_join, "maybe_in", lambda *a: kept.append(real(*a)) or kept[-1])
+    assert [tuple(r) for r in jaccard_join.verified(pairs, segments, 85).collect()] == [(0, 1, 10, 11)]
+    assert 4 <= kept[0].filter("maybe").count() < 40
+
+
+def test_components_of_paths_and_stars(spark):
+    path = [(i, i + 1) for i in range(20, 40)]
+    star = [(3, i) for i in range(50, 60)] + [(2, 55)]
+    got = rows_of(jaccard_join.components(spark.createDataFrame(path + star, "a bigint, b bigint")), "node", "label")
+    assert got == sorted([(i, 20) for i in range(20, 41)] + [(i, 2) for i in [2, 3, *range(50, 60)]], key=repr)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     for f in (exact_dedup.exact_dedup, quality_rules.quality_rules, license_scan.license_scan, jaccard_join.jaccard_join):
