@@ -48,21 +48,31 @@ PAIR_FRAGMENTS = 2
 SKETCH_WORDS = 16
 KEY_BITS = 64
 MOST_TWINS = 100_000
+SLICE = 256
 
 
 def _sets(width: int, bits: int):
     """Each text's other columns, ``n_shingles`` and the two hashes ``cls`` and ``cls2``."""
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             names = [c for c in b.schema.names if c != "text"]
-            keys = [set_keys(s, bits) if len(s) else (None, None) for s in sets]
+            sizes, keys = [], []
+            for t in some_at_a_time(b.column("text")):
+                s = shingle_set(t, width)
+                sizes.append(len(s))
+                keys.append(set_keys(s, bits) if len(s) else (None, None))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in names), pa.array([len(s) for s in sets], pa.int64()),
+                [*(b.column(c) for c in names), pa.array(sizes, pa.int64()),
                  *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], [*names, "n_shingles", "cls", "cls2"])
     return run
 
 
+def some_at_a_time(column: pa.Array):
+    """The values of ``column``, of which few are Python objects at once."""
+    for i in range(0, len(column), SLICE):
+        yield from column.slice(i, SLICE).to_pylist()
+
+
 def set_classes(d: DataFrame, columns: str, width: int, bits: int) -> tuple[DataFrame, frozenset[int]]:
     """The rows of ``d (columns, text)`` with ``n_shingles`` and ``cls`` for their text, and the first hashes that name no class.
 
@@ -85,18 +95,19 @@ def packed(keys, sizes, sets, fragments: int, wide: bool):
     """
     if not len(keys):
         return []
-    all_h = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(keys)), [len(s) for s in sets])
-    frag = ((all_h >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((owner, frag))
-    frag, owner, all_h = frag[order], owner[order], all_h[order]
+    h = np.concatenate(sets)
+    frag = h >> np.uint64(32)
+    frag *= np.uint64(fragments)
+    frag >>= np.uint64(32)
+    frag = frag.astype(np.min_scalar_type(fragments))
+    order = np.argsort(frag, kind="stable")  # within a fragment by owner, as they come
+    frag, h = frag[order], (h if wide else h.astype(np.uint32))[order]
+    owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(s) for s in sets])[order]
     keys, sizes = np.asarray(keys, np.int64), np.asarray(sizes, np.int64)
     out = []
     for f, a, b in zip(*runs(frag)):
         own, start, stop = runs(owner[a:b])
-        h = all_h[a:b]
-        out.append((int(f), keys[own].tobytes(), sizes[own].tobytes(), (stop - start).astype(np.int64).tobytes(),
-                    h.tobytes() if wide else h.astype(np.uint32).tobytes()))
+        out.append((int(f), keys[own].tobytes(), sizes[own].tobytes(), (stop - start).astype(np.int64).tobytes(), h[a:b].tobytes()))
     return out
 
 
@@ -109,70 +120,100 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 PACKED = "f int, cls binary, n binary, cnt binary, grams binary"
+RANKED = "b int, cls binary, n binary, cnt binary, df binary, grams binary"
 GROUP_SHINGLES = 1_000_000
 
 
+def _grouped(sets, fragments: int, wide: bool):
+    """Batches of packed rows for ``sets (class, size, n-grams)``, little more than ``GROUP_SHINGLES`` n-grams in each."""
+    keys, sizes, held, total = [], [], [], 0
+    for key, n, s in sets:
+        keys.append(key)
+        sizes.append(n)
+        held.append(s)
+        total += len(s)
+        if total > GROUP_SHINGLES:
+            yield _batch(packed(keys, sizes, held, fragments, wide))
+            keys, sizes, held, total = [], [], [], 0
+    yield _batch(packed(keys, sizes, held, fragments, wide))
+
+
 def _pack(width: int, fragments: int, twins: frozenset[int] = frozenset(), bits: int = KEY_BITS):
     """N-grams of the texts, packed; of texts with equal sets each task packs one."""
-    def run(batches):
+    def sets(batches):
         seen: set[int] = set()
-        keys, held, size = [], [], 0
         for b in batches:
-            for t in b.column("text").to_pylist():
+            for t in some_at_a_time(b.column("text")):
                 s = shingle_set(t, width)
                 if len(s) and (key := set_key(s, twins, bits)) not in seen:
                     seen.add(key)
-                    keys.append(key)
-                    held.append(s)
-                    size += len(s)
-                if size > GROUP_SHINGLES:
-                    yield _batch(packed(keys, [0] * len(held), held, fragments, False))
-                    keys, held, size = [], [], 0
-        yield _batch(packed(keys, [0] * len(held), held, fragments, False))
-    return run
+                    yield key, 0, s
+    return lambda batches: _grouped(sets(batches), fragments, False)
+
 
+def _batch(rows, schema: str = PACKED):
+    names = [c.split()[0] for c in schema.split(", ")]
+    cols = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names)
 
-def _batch(rows):
-    cols = list(zip(*rows)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]],
-                                      ["f", "cls", "n", "cnt", "grams"])
+
+def arrays(table: pa.Table, column: str, dtype=np.int64) -> list[np.ndarray]:
+    """The arrays in a binary column, not copied."""
+    return [np.frombuffer(v.as_buffer(), dtype) for v in table.column(column)]
 
 
 def unpack(table: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Owners (class, size), owner of each n-gram, n-grams; a class seen twice counts once."""
-    col = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    cls, n, cnt, grams = col("cls", np.int64), col("n", np.int64), col("cnt", np.int64), col("grams", dtype)
+    counts = arrays(table, "cnt")
+    cls, cnt, n = np.concatenate(arrays(table, "cls")), np.concatenate(counts), np.concatenate(arrays(table, "n"))
     uniq, first = np.unique(cls, return_index=True)
-    keep = np.zeros(len(cls), bool)
-    keep[first] = True
-    owner = np.repeat(np.searchsorted(uniq, cls), cnt)
-    return uniq, n[first], owner[np.repeat(keep, cnt)], grams[np.repeat(keep, cnt)]
+    kept = np.zeros(len(cls), np.int64)
+    kept[first] = cnt[first]
+    place, total = np.searchsorted(uniq, cls).astype(np.uint32), int(kept.sum())
+    owner, grams = np.repeat(place, kept), np.empty(total, dtype)
+    row, at = 0, 0
+    for c, g in zip(counts, arrays(table, "grams", dtype)):
+        k = kept[row:row + len(c)]
+        if (m := int(k.sum())) < len(g):
+            g = g[np.repeat(k > 0, c)]
+        grams[at:at + m] = g
+        row, at = row + len(c), at + m
+    return uniq, n[first], owner, grams
 
 
 def _frequent(grams: np.ndarray) -> np.ndarray:
     """How many owners have each n-gram (each has it once)."""
-    _, inverse, count = np.unique(grams, return_inverse=True, return_counts=True)
-    return count[inverse]
+    order = np.argsort(grams)
+    _, start, stop = runs(grams[order])
+    count = np.empty(len(grams), np.int32)
+    count[order] = np.repeat((stop - start).astype(np.int32), stop - start)
+    return count
 
 
 def _shared(buckets: int):
     """Per fragment: how many shared n-grams each class has, packed by class bucket."""
     def run(table: pa.Table) -> pa.Table:
         cls, _, owner, grams = unpack(table, np.uint32)
-        count = np.bincount(owner[_frequent(grams) > 1], minlength=len(cls))
+        # n-gram and owner side by side in 64 bits, sorted in place: a fragment may be most of a worker's memory
+        both = np.empty((len(grams), 2), "<u4")
+        both[:, 0], both[:, 1] = owner, grams
+        del owner, grams
+        both.view("<u8")[:, 0].sort()
+        same = both[1:, 1] == both[:-1, 1]
+        shared = np.zeros(len(both), bool)
+        shared[1:] = same
+        shared[:-1] |= same
+        count = np.bincount(both[shared, 0], minlength=len(cls))
         cls, count = cls[count > 0], count[count > 0]
         b = cls % buckets
         order = np.argsort(b, kind="stable")
         rows = [(int(v), cls[order][i:j].tobytes(), count[order][i:j].astype(np.int64).tobytes()) for v, i, j in zip(*runs(b[order]))]
-        cols = list(zip(*rows)) or [(), (), ()]
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())],
-                        names=["b", "cls", "cnt"])
+        return pa.Table.from_batches([_batch(rows, "b int, cls binary, cnt binary")])
     return run
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    cls = np.frombuffer(b"".join(table.column("cls").to_pylist()), np.int64)
-    cnt = np.frombuffer(b"".join(table.column("cnt").to_pylist()), np.int64)
+    cls, cnt = (np.concatenate(arrays(table, c)) for c in ("cls", "cnt"))
     uniq, inverse = np.unique(cls, return_inverse=True)
     return pa.table([pa.array(uniq), pa.array(np.bincount(inverse, cnt, len(uniq)).astype(np.int64))], names=["cls", "shared"])
 
@@ -181,27 +222,27 @@ def _segments(width: int, twins: frozenset[int], bits: int):
     """A survivor's set cut into the fragments of the pair count, in full width; its sketch goes with the first."""
     def run(batches):
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                s = shingle_set(t, width)
-                cls = set_key(s, twins, bits)
-                parity = (np.bincount((s % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
-                sketch = np.packbits(parity).view(np.int64).tolist()
-                cuts = np.searchsorted(s, np.array([(i << 64) // PAIR_FRAGMENTS for i in range(1, PAIR_FRAGMENTS)], np.uint64))
-                out += [(cls, len(s), f, part.tobytes(), None if f else sketch) for f, part in enumerate(np.split(s, cuts))]
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                                              pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))],
-                                             ["cls", "n", "f", "seg", "sketch"])
+            for i in range(0, b.num_rows, SLICE):
+                out = []
+                for t in b.column("text").slice(i, SLICE).to_pylist():
+                    s = shingle_set(t, width)
+                    cls = set_key(s, twins, bits)
+                    parity = (np.bincount((s % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+                    sketch = np.packbits(parity).view(np.int64).tolist()
+                    cuts = np.searchsorted(s, np.array([(i << 64) // PAIR_FRAGMENTS for i in range(1, PAIR_FRAGMENTS)], np.uint64))
+                    out += [(cls, len(s), f, part.tobytes(), None if f else sketch) for f, part in enumerate(np.split(s, cuts))]
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
+                                                  pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))],
+                                                 ["cls", "n", "f", "seg", "sketch"])
     return run
 
 
 def _pack_segments(fragments: int):
-    def run(batches):
+    def sets(batches):
         for b in batches:
-            segs = [np.frombuffer(x, np.uint64) for x in b.column("seg").to_pylist()]
-            yield _batch(packed(b.column("cls").to_pylist(), b.column("n").to_pylist(), segs, fragments, True))
-    return run
+            yield from zip(b.column("cls").to_pylist(), b.column("n").to_pylist(), arrays(b, "seg", np.uint64))
+    return lambda batches: _grouped(sets(batches), fragments, True)
 
 
 def _frequencies(buckets: int):
@@ -210,19 +251,20 @@ def _frequencies(buckets: int):
         cls, n, owner, grams = unpack(table, np.uint64)
         df = _frequent(grams)
         owner, grams, df = owner[df > 1], grams[df > 1], df[df > 1]
-        b = cls[owner] % buckets
-        order = np.argsort(b, kind="stable")
-        rows = [(int(v), *(x[order[i:j]].tobytes() for x in (cls[owner], n[owner], df.astype(np.int64), grams)))
-                for v, i, j in zip(*runs(b[order]))]
-        return pa.Table.from_batches([_batch(rows)]).rename_columns(["b", "cls", "n", "df", "grams"])
+        b = (cls % buckets)[owner]
+        order = np.lexsort((owner, b))
+        rows = []
+        for v, i, j in zip(*runs(b[order])):
+            of = order[i:j]
+            own, start, stop = runs(owner[of])
+            rows.append((int(v), cls[own].tobytes(), n[own].tobytes(), (stop - start).astype(np.int64).tobytes(), df[of].tobytes(), grams[of].tobytes()))
+        return pa.Table.from_batches([_batch(rows, RANKED)])
     return run
 
 
 def _prefixes(percent: int):
     """Postings of each class's prefix: n-grams by rising frequency, unshared ones first."""
-    def run(table: pa.Table) -> pa.Table:
-        col = lambda c, t=np.int64: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-        cls, n, df, grams = col("cls"), col("n"), col("df"), col("grams", np.uint64)
+    def postings(cls, n, df, grams):
         order = np.lexsort((grams, df, cls))
         cls, n, grams = cls[order], n[order], grams[order]
         _, start, stop = runs(cls)
@@ -234,13 +276,24 @@ def _prefixes(percent: int):
         ahead, behind = np.arange(len(cls)) - np.repeat(start, stop - start), np.repeat(stop, stop - start) - np.arange(len(cls))
         return pa.table([pa.array(grams.view(np.int64)), pa.array(cls), pa.array(n), pa.array(pos),
                          pa.array((ahead < STAR_LISTS) | (behind <= STAR_LISTS))], names=["gram", "cls", "n", "pos", "edge"])
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, n, cnt = (np.concatenate(arrays(table, c)) for c in ("cls", "n", "cnt"))
+        df, grams = np.concatenate(arrays(table, "df", np.int32)), np.concatenate(arrays(table, "grams", np.uint64))
+        uniq, place = np.unique(cls, return_inverse=True)
+        # whole classes, so many at a time that they have about GROUP_SHINGLES n-grams
+        part = (np.cumsum(np.bincount(place, cnt)) // GROUP_SHINGLES).astype(np.int64)[place]
+        out = []
+        for p in range(int(part.max(initial=0)) + 1):
+            here, of = part == p, np.repeat(part == p, cnt)
+            out.append(postings(np.repeat(cls[here], cnt[here]), np.repeat(n[here], cnt[here]), df[of], grams[of]))
+        return pa.concat_tables(out)
     return run
 
 
 def _overlaps(batches):
     for b in batches:
-        part = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+        part = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(arrays(b, "x", np.uint64), arrays(b, "y", np.uint64))]
         names = [c for c in b.schema.names if c not in ("x", "y")]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(part, pa.int64())], [*names, "part"])
 
@@ -383,7 +436,7 @@ def labelled(d: DataFrame, sets: DataFrame, width: int, percent: int, star_round
     segments = durable(d.join(survivors, d["doc_id"].eqNullSafe(survivors["first"]), "left_semi").select("text")
                        .mapInArrow(_segments(width, twins, bits), "cls bigint, n bigint, f int, seg binary, sketch array<bigint>").dropDuplicates(["cls", "f"]))
     postings = durable(segments.mapInArrow(_pack_segments(fragments), PACKED)
-                       .groupBy("f").applyInArrow(_frequencies(fragments), "b int, cls binary, n binary, df binary, grams binary")
+                       .groupBy("f").applyInArrow(_frequencies(fragments), RANKED)
                        .groupBy("b").applyInArrow(_prefixes(percent), "gram bigint, cls bigint, n bigint, pos bigint, edge boolean"))
 
     groups = connect(postings, segments, percent, star_rounds)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import collections
 import random
+import tracemalloc
 
 import brute
 import numpy as np
@@ -153,6 +155,68 @@ def test_copies_are_packed_once_a_task(monkeypatch):
     assert sum(len(x) // 4 for x in out.column("grams").to_pylist()) == 3
 
 
+def _peak(f, *args):
+    """What ``f`` returns and the most bytes it held beside its input."""
+    tracemalloc.start()
+    try:
+        return f(*args), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def _lists(table):
+    """class -> its values, of rows packed by class bucket."""
+    out = collections.defaultdict(int)
+    for c, k in zip(table.column("cls").to_pylist(), table.column("cnt").to_pylist()):
+        for x, v in zip(np.frombuffer(c, np.int64).tolist(), np.frombuffer(k, np.int64).tolist()):
+            out[x] += v
+    return dict(out)
+
+
+def test_fragments_are_counted_in_little_memory():
+    """Per n-gram of a fragment the counting holds little more than the n-gram beside its owner; a class that comes twice counts once."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**19, 600).astype(np.uint64)) for _ in range(600)]
+    keys = [int(k) for k in rng.integers(-2**62, 2**62, len(sets))]
+    rows = [r for a in range(0, 600, 100) for r in jaccard_join.packed(keys[a:a + 100], [0] * 100, sets[a:a + 100], 1, False)]
+    rows += jaccard_join.packed(keys[:7], [0] * 7, sets[:7], 1, False)
+    table = pa.Table.from_batches([jaccard_join._batch(rows)])
+    out, peak = _peak(jaccard_join._shared(5), table)
+    often = collections.Counter(x for s in sets for x in s.tolist())
+    want = {k: sum(often[x] > 1 for x in s.tolist()) for k, s in zip(keys, sets)}
+    assert _lists(out) == {k: v for k, v in want.items() if v}
+    assert peak < 30 * sum(map(len, sets))
+
+
+def test_prefixes_of_many_classes(monkeypatch):
+    """Classes taken a few at a time have the postings of a plain count, with less memory at once."""
+    monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", 500)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([rng.integers(0, 2**64, 20, np.uint64), rng.integers(0, 400, 80, np.uint64) << np.uint64(55)])) for _ in range(60)]
+    keys = [int(k) for k in rng.integers(-2**62, 2**62, len(sets))]
+    sizes = [len(s) for s in sets]
+    segments = pa.RecordBatch.from_pydict({"cls": keys, "n": sizes, "seg": [s.tobytes() for s in sets]})
+    batches = list(jaccard_join._pack_segments(4)(iter([segments])))
+    assert len(batches) > 5
+    packs = pa.Table.from_batches(batches)
+    of = lambda t, c, v: t.filter(pa.array([x == v for x in t.column(c).to_pylist()]))
+    ranked = pa.concat_tables([jaccard_join._frequencies(3)(of(packs, "f", f)) for f in range(4)])
+    got = [r for b in range(3) for r in jaccard_join._prefixes(85)(of(ranked, "b", b)).to_pylist()]
+    often = collections.Counter(x for s in sets for x in s.tolist())
+    want = []
+    for k, n, s in zip(keys, sizes, sets):
+        first = sorted((x for x in s.tolist() if often[x] > 1), key=lambda x: (often[x], x))
+        of_k = [(int(np.uint64(x).view(np.int64)), k, n, i + n - len(first)) for i, x in enumerate(first) if i + n - len(first) <= n - -(-n * 85 // 100)]
+        want += [(*r, i < 4 or i >= len(of_k) - 4) for i, r in enumerate(of_k)]
+    assert sorted(tuple(r.values()) for r in got) == sorted(want)
+
+
+def test_texts_are_turned_into_objects_a_few_at_a_time():
+    texts = pa.array([f"{i} " + "x" * 4_000 for i in range(2_000)])
+    n, peak = _peak(lambda: sum(1 for _ in jaccard_join.some_at_a_time(texts)))
+    assert n == 2_000 and peak < 3_000_000
+
+
 def test_only_segments_of_a_rounds_pairs_are_joined(spark, monkeypatch):
     """A thousand classes, one pair: the joins get the segments of two classes (and few that share their bits)."""
     seg = lambda v: np.arange(v, v + 20, dtype=np.uint64).tobytes()
