@@ -26,13 +26,17 @@ has one bit per hash value, the parity of its n-grams there, so two sketches
 differ in no more bits than the sets differ in n-grams.
 
 Narrow rows travel packed (many n-grams of one fragment in one row), and
-n-gram rows exist for the survivors' prefixes only.
+n-gram rows exist for the survivors' prefixes only.  There are more fragments
+the more input there is, in the end one for nearly every n-gram of a set, so
+what a packed row says of each set must be short: sets are known by numbers
+that follow each other within a row, and these are sent as steps.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +91,37 @@ def set_classes(d: DataFrame, columns: str, width: int, bits: int) -> tuple[Data
     return rows.drop("cls2"), twins
 
 
+WIDTHS = (np.uint8, np.uint16, np.uint32)
+
+
+def tight(x: np.ndarray) -> bytes:
+    """The 64-bit numbers ``x`` in one, two or four bytes each, whichever is shortest; larger ones follow whole."""
+    x = np.asarray(x, np.int64).view(np.uint64)
+    k = int(np.argmin([len(x) * t().itemsize + 8 * np.count_nonzero(x >= np.iinfo(t).max) for t in WIDTHS]))
+    most = np.uint64(np.iinfo(WIDTHS[k]).max)
+    return np.uint32(4 * len(x) + k).tobytes() + np.minimum(x, most).astype(WIDTHS[k]).tobytes() + x[x >= most].tobytes()
+
+
+def loose(b) -> np.ndarray:
+    """What ``tight`` made ``b`` of."""
+    n, k = divmod(int(np.frombuffer(b, np.uint32, 1)[0]), len(WIDTHS) + 1)
+    short = np.frombuffer(b, WIDTHS[k], n, 4)
+    x, large = short.astype(np.uint64), short == np.iinfo(WIDTHS[k]).max
+    if large.any():
+        x[large] = np.frombuffer(b, np.uint64, offset=4 + short.nbytes)
+    return x.view(np.int64)
+
+
+def tight_steps(x: np.ndarray) -> bytes:
+    """``x`` as its first number and the steps from each to the next (modulo 2 ** 64)."""
+    return np.asarray(x[:1], np.int64).tobytes() + tight(np.diff(x))
+
+
+def loose_steps(b) -> np.ndarray:
+    """What ``tight_steps`` made ``b`` of."""
+    return np.cumsum(np.concatenate([np.frombuffer(b, np.uint64, 1), loose(memoryview(b)[8:]).view(np.uint64)])).view(np.int64)
+
+
 def packed(keys, sizes, sets, fragments: int, wide: bool):
     """One row per fragment: the classes in it, their sizes, counts and n-grams.
 
@@ -107,7 +142,7 @@ def packed(keys, sizes, sets, fragments: int, wide: bool):
     out = []
     for f, a, b in zip(*runs(frag)):
         own, start, stop = runs(owner[a:b])
-        out.append((int(f), keys[own].tobytes(), sizes[own].tobytes(), (stop - start).astype(np.int64).tobytes(), h[a:b].tobytes()))
+        out.append((int(f), tight_steps(keys[own]), tight(sizes[own]), tight(stop - start), h[a:b].tobytes()))
     return out
 
 
@@ -121,21 +156,42 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 PACKED = "f int, cls binary, n binary, cnt binary, grams binary"
 RANKED = "b int, cls binary, n binary, cnt binary, df binary, grams binary"
+COUNTED = "b int, cls binary, cnt binary, named binary"
 GROUP_SHINGLES = 1_000_000
+NUMBER_BITS = 20
 
 
-def _grouped(sets, fragments: int, wide: bool):
-    """Batches of packed rows for ``sets (class, size, n-grams)``, little more than ``GROUP_SHINGLES`` n-grams in each."""
+def _grouped(sets, pack):
+    """``pack(classes, sizes, n-grams)`` of batches of ``sets (class, size, n-grams)``, little more than ``GROUP_SHINGLES`` n-grams in each."""
     keys, sizes, held, total = [], [], [], 0
     for key, n, s in sets:
         keys.append(key)
         sizes.append(n)
         held.append(s)
         total += len(s)
-        if total > GROUP_SHINGLES:
-            yield _batch(packed(keys, sizes, held, fragments, wide))
+        if total > GROUP_SHINGLES or len(keys) >> NUMBER_BITS:
+            yield _batch(pack(keys, sizes, held))
             keys, sizes, held, total = [], [], [], 0
-    yield _batch(packed(keys, sizes, held, fragments, wide))
+    yield _batch(pack(keys, sizes, held))
+
+
+def _bucket(numbers: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket in which the counts of numbered sets meet, one for a whole batch."""
+    return (numbers >> NUMBER_BITS) % buckets
+
+
+def numbered(keys, sizes, sets, fragments: int):
+    """``packed`` narrow rows by numbers in place of classes, and a row that names them, for the fragment -1 - bucket.
+
+    A batch's numbers start at a hash of its classes: were a lost task to pack
+    others when it is run again, no number would stand for two classes."""
+    if not keys:
+        return []
+    names = np.array(keys, np.int64)
+    base = xxhash.xxh3_64_intdigest(names.tobytes(), len(names)) >> NUMBER_BITS << NUMBER_BITS
+    numbers = (np.uint64(base) + np.arange(len(names), dtype=np.uint64)).view(np.int64)
+    return [(-1 - int(_bucket(numbers[0], fragments)), tight_steps(numbers), names.tobytes(), b"", b""),
+            *packed(numbers, sizes, sets, fragments, False)]
 
 
 def _pack(width: int, fragments: int, twins: frozenset[int] = frozenset(), bits: int = KEY_BITS):
@@ -148,7 +204,7 @@ def _pack(width: int, fragments: int, twins: frozenset[int] = frozenset(), bits:
                 if len(s) and (key := set_key(s, twins, bits)) not in seen:
                     seen.add(key)
                     yield key, 0, s
-    return lambda batches: _grouped(sets(batches), fragments, False)
+    return lambda batches: _grouped(sets(batches), lambda *batch: numbered(*batch, fragments))
 
 
 def _batch(rows, schema: str = PACKED):
@@ -162,14 +218,21 @@ def arrays(table: pa.Table, column: str, dtype=np.int64) -> list[np.ndarray]:
     return [np.frombuffer(v.as_buffer(), dtype) for v in table.column(column)]
 
 
+def decoded(table: pa.Table, column: str, how=loose) -> list[np.ndarray]:
+    """The arrays in a column written by ``tight``, or by ``tight_steps`` for ``how=loose_steps``."""
+    return [how(v.as_buffer()) for v in table.column(column)]
+
+
 def unpack(table: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Owners (class, size), owner of each n-gram, n-grams; a class seen twice counts once."""
-    counts = arrays(table, "cnt")
-    cls, cnt, n = np.concatenate(arrays(table, "cls")), np.concatenate(counts), np.concatenate(arrays(table, "n"))
+    counts = decoded(table, "cnt")
+    cls, cnt, n = np.concatenate(decoded(table, "cls", loose_steps)), np.concatenate(counts), np.concatenate(decoded(table, "n"))
     uniq, first = np.unique(cls, return_index=True)
     kept = np.zeros(len(cls), np.int64)
     kept[first] = cnt[first]
     place, total = np.searchsorted(uniq, cls).astype(np.uint32), int(kept.sum())
+    if (cnt != cnt[first][place]).any():
+        raise ValueError("different sets have the same number")
     owner, grams = np.repeat(place, kept), np.empty(total, dtype)
     row, at = 0, 0
     for c, g in zip(counts, arrays(table, "grams", dtype)):
@@ -205,44 +268,64 @@ def _shared(buckets: int):
         shared[:-1] |= same
         count = np.bincount(both[shared, 0], minlength=len(cls))
         cls, count = cls[count > 0], count[count > 0]
-        b = cls % buckets
+        b = _bucket(cls, buckets)
         order = np.argsort(b, kind="stable")
         rows = [(int(v), cls[order][i:j].tobytes(), count[order][i:j].astype(np.int64).tobytes()) for v, i, j in zip(*runs(b[order]))]
         return pa.Table.from_batches([_batch(rows, "b int, cls binary, cnt binary")])
     return run
 
 
+def _counts(buckets: int):
+    """Of one fragment: what ``_shared`` counts, in few bytes; of a fragment below 0 the names of numbers, for the bucket they belong to."""
+    def run(table: pa.Table) -> pa.Table:
+        f = table.column("f")[0].as_py()
+        if f < 0:
+            rows = [(-1 - f, no, b"", names) for no, names in zip(table.column("cls").to_pylist(), table.column("n").to_pylist())]
+        else:
+            out = _shared(buckets)(table)
+            rows = [(b, tight_steps(cls), tight(cnt), b"") for b, cls, cnt in zip(out.column("b").to_pylist(), arrays(out, "cls"), arrays(out, "cnt"))]
+        return pa.Table.from_batches([_batch(rows, COUNTED)])
+    return run
+
+
 def _summed(table: pa.Table) -> pa.Table:
-    cls, cnt = (np.concatenate(arrays(table, c)) for c in ("cls", "cnt"))
-    uniq, inverse = np.unique(cls, return_inverse=True)
+    """Per bucket: the shared n-grams of each class, by the names of the numbers counted."""
+    parts = list(zip(decoded(table, "cls", loose_steps), table.column("cnt").to_pylist(), arrays(table, "named")))
+    none = np.zeros(0, np.int64)
+    no, names = (np.concatenate([none, *x]) for x in ([n for n, _, k in parts if len(k)], [k for _, _, k in parts if len(k)]))
+    cls, cnt = (np.concatenate([none, *x]) for x in ([n for n, c, _ in parts if c], [loose(c) for _, c, _ in parts if c]))
+    no, first = np.unique(no, return_index=True)
+    if not np.isin(cls, no).all():
+        raise ValueError("counts of sets without a name")
+    uniq, inverse = np.unique(names[first][np.searchsorted(no, cls)], return_inverse=True)
     return pa.table([pa.array(uniq), pa.array(np.bincount(inverse, cnt, len(uniq)).astype(np.int64))], names=["cls", "shared"])
 
 
 def _segments(width: int, twins: frozenset[int], bits: int):
-    """A survivor's set cut into the fragments of the pair count, in full width; its sketch goes with the first."""
+    """A survivor's set cut into the fragments of the pair count, in full width, and its sketch."""
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 out = []
                 for t in b.column("text").slice(i, SLICE).to_pylist():
                     s = shingle_set(t, width)
-                    cls = set_key(s, twins, bits)
                     parity = (np.bincount((s % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
-                    sketch = np.packbits(parity).view(np.int64).tolist()
                     cuts = np.searchsorted(s, np.array([(i << 64) // PAIR_FRAGMENTS for i in range(1, PAIR_FRAGMENTS)], np.uint64))
-                    out += [(cls, len(s), f, part.tobytes(), None if f else sketch) for f, part in enumerate(np.split(s, cuts))]
+                    out.append((set_key(s, twins, bits), len(s), [part.tobytes() for part in np.split(s, cuts)],
+                                np.packbits(parity).view(np.int64).tolist()))
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                                                  pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))],
-                                                 ["cls", "n", "f", "seg", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+                                                  pa.array(cols[2], pa.list_(pa.binary())), pa.array(cols[3], pa.list_(pa.int64()))],
+                                                 ["name", "n", "segs", "sketch"])
     return run
 
 
 def _pack_segments(fragments: int):
+    """The segments ``seg`` of classes ``cls``, packed."""
     def sets(batches):
         for b in batches:
             yield from zip(b.column("cls").to_pylist(), b.column("n").to_pylist(), arrays(b, "seg", np.uint64))
-    return lambda batches: _grouped(sets(batches), fragments, True)
+    return lambda batches: _grouped(sets(batches), lambda *batch: packed(*batch, fragments, True))
 
 
 def _frequencies(buckets: int):
@@ -257,7 +340,7 @@ def _frequencies(buckets: int):
         for v, i, j in zip(*runs(b[order])):
             of = order[i:j]
             own, start, stop = runs(owner[of])
-            rows.append((int(v), cls[own].tobytes(), n[own].tobytes(), (stop - start).astype(np.int64).tobytes(), df[of].tobytes(), grams[of].tobytes()))
+            rows.append((int(v), tight_steps(cls[own]), tight(n[own]), tight(stop - start), tight(df[of]), grams[of].tobytes()))
         return pa.Table.from_batches([_batch(rows, RANKED)])
     return run
 
@@ -278,8 +361,9 @@ def _prefixes(percent: int):
                          pa.array((ahead < STAR_LISTS) | (behind <= STAR_LISTS))], names=["gram", "cls", "n", "pos", "edge"])
 
     def run(table: pa.Table) -> pa.Table:
-        cls, n, cnt = (np.concatenate(arrays(table, c)) for c in ("cls", "n", "cnt"))
-        df, grams = np.concatenate(arrays(table, "df", np.int32)), np.concatenate(arrays(table, "grams", np.uint64))
+        cls, n, cnt = np.concatenate(decoded(table, "cls", loose_steps)), np.concatenate(decoded(table, "n")), np.concatenate(decoded(table, "cnt"))
+        df = np.concatenate([x.astype(np.int32) for x in decoded(table, "df")])
+        grams = np.concatenate(arrays(table, "grams", np.uint64))
         uniq, place = np.unique(cls, return_inverse=True)
         # whole classes, so many at a time that they have about GROUP_SHINGLES n-grams
         part = (np.cumsum(np.bincount(place, cnt)) // GROUP_SHINGLES).astype(np.int64)[place]
@@ -329,58 +413,70 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _can_link(percent: int):
-    """Length, place and sketch filters on the members x and y of one n-gram's list; none drops a link."""
+    """Length and place filters on the members x and y of one n-gram's list; none drops a link."""
     both = F.col("xn") + F.col("yn")
     most = F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos"))
-    differ = sum((F.bit_count(F.col("xsketch")[i].bitwiseXOR(F.col("ysketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
     return ((F.col("xlabel") != F.col("ylabel")) & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
-            & ((100 + percent) * most >= percent * both) & ((100 + percent) * differ <= (100 - percent) * both))
+            & ((100 + percent) * most >= percent * both))
+
+
+def _alike(percent: int):
+    """The sketch filter on two classes x and y; it drops no link."""
+    differ = sum((F.bit_count(F.col("xsketch")[i].bitwiseXOR(F.col("ysketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("xn") + F.col("yn"))
+
 
+MEMBER = ("cls", "n", "pos", "label")
 
-MEMBER = ("cls", "n", "pos", "label", "sketch")
 
+def _side(p: DataFrame, name: str, *more: str) -> DataFrame:
+    return p.select("gram", *[F.col(c).alias(name + c) for c in (*MEMBER, *more)])
 
-def _side(p: DataFrame, name: str) -> DataFrame:
-    return p.select("gram", *[F.col(c).alias(name + c) for c in MEMBER])
 
+def members(postings: DataFrame, labels: DataFrame, r: int) -> DataFrame:
+    """The members of lists that hold several groups, each with its list's representative ``y``.
 
-def _members(postings: DataFrame, labels: DataFrame, sketches: DataFrame, r: int) -> DataFrame:
-    """The members of lists that hold several groups, each with its list's representative and its own sketch."""
+    Groups only grow, so a list that is in one group now stays out of all later rounds."""
     p = postings.join(labels, F.col("cls") == F.col("node")).drop("node")
     split = p.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                  F.min(F.struct(F.xxhash64("cls", F.lit(r)).alias("k"), "cls")).alias("rep")).filter("lo <> hi")
+                                  F.min(F.struct(F.xxhash64("cls", F.lit(r)).alias("k"), *MEMBER)).alias("rep")).filter("lo <> hi")
     # written, so that a long list meets it over a plain exchange, which adaptive execution can split
-    split = durable(split.select("gram", F.col("rep.cls").alias("rep")))
-    return durable(p.join(split, "gram").join(sketches, "cls"))
+    split = durable(split.select("gram", *[F.col(f"rep.{c}").alias("y" + c) for c in MEMBER]))
+    return durable(p.join(split, "gram"))
 
 
-def star_pairs(postings: DataFrame, labels: DataFrame, sketches: DataFrame, r: int, percent: int) -> DataFrame:
-    """Each class with at most two representatives of its lists it could be linked with."""
-    p = _members(postings if r else postings.filter("edge"), labels, sketches, r)
-    reps = _side(p.filter("cls = rep"), "y")
-    tried = _side(p, "x").join(reps, "gram").filter(_can_link(percent))
+def star_pairs(p: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Each of the ``members`` with at most two representatives of its lists it could be linked with."""
+    tried = (p.withColumnsRenamed({c: "x" + c for c in MEMBER}).filter(_can_link(percent))
+             .select("xcls", "xn", "xlabel", "ycls", "yn", "ylabel").distinct())
+    for name in "xy":  # of each pair once, not of each list
+        tried = tried.join(sketches.withColumnsRenamed({"cls": f"{name}cls", "sketch": f"{name}sketch"}), f"{name}cls")
     key = F.struct(F.xxhash64("xcls", "ycls").alias("k"), "ycls", "ylabel")
-    best = tried.groupBy("xcls", "xlabel").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    best = tried.filter(_alike(percent)).groupBy("xcls", "xlabel").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
     return best.select("xcls", "xlabel", F.explode(F.array("lo", "hi")).alias("y")).select("xcls", "xlabel", "y.ycls", "y.ylabel")
 
 
-def other_pairs(postings: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """All pairs that could still join two groups: members outside their list's main group, with all others."""
-    p = _members(postings, labels, sketches, 0)
+def other_pairs(p: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """All pairs of ``members`` that could still join two groups: those outside their list's main group, with all others."""
+    p = durable(p.select("gram", *MEMBER).join(sketches, "cls"))
     main = durable(p.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("gram")
                    .agg(F.max(F.struct("m", "label")).alias("top")).select("gram", F.col("top.label").alias("main")))
-    x = _side(p.join(main, "gram").filter("label <> main"), "x")
-    return x.join(_side(p, "y"), "gram").filter(_can_link(percent)).select("xcls", "xlabel", "ycls", "ylabel")
+    x = _side(p.join(main, "gram").filter("label <> main"), "x", "sketch")
+    # sketches are compared in the join: a long list has many pairs
+    return x.join(_side(p, "y", "sketch"), "gram").filter(_can_link(percent) & _alike(percent)).select("xcls", "xlabel", "ycls", "ylabel")
 
 
-def connect(postings: DataFrame, segments: DataFrame, percent: int, star_rounds: int) -> DataFrame:
+def connect(postings: DataFrame, segments: DataFrame, sketches: DataFrame, percent: int, star_rounds: int) -> DataFrame:
     """``node, label`` for the classes in ``postings``: groups formed by all links."""
     labels = durable(postings.select(F.col("cls").alias("node")).distinct().withColumn("label", F.col("node")))
-    sketches = segments.filter("f = 0").select("cls", "sketch")
     r, last = 0, False
     while not last:
         last = r >= star_rounds
-        pairs = other_pairs(postings, labels, sketches, percent) if last else star_pairs(postings, labels, sketches, r, percent)
+        some = r == 0 and not last  # the first round tries a few lists of each class
+        p = members(postings.filter("edge") if some else postings, labels, r)
+        if not some:
+            postings = p.select("gram", "cls", "n", "pos")
+        pairs = other_pairs(p, sketches, percent) if last else star_pairs(p, sketches, percent)
         up = lambda x, y: F.when(F.col("xcls") < F.col("ycls"), F.col(x)).otherwise(F.col(y))
         pairs = durable(pairs.select(up("xcls", "ycls").alias("a"), up("ycls", "xcls").alias("b"), up("xlabel", "ylabel").alias("al"),
                                      up("ylabel", "xlabel").alias("bl")).distinct())
@@ -420,27 +516,36 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def labelled(d: DataFrame, sets: DataFrame, width: int, percent: int, star_rounds: int, twins: frozenset[int], bits: int = KEY_BITS) -> DataFrame:
-    """``cls, first, n, label`` of the classes of ``d (doc_id, text)`` with their ``sets``: smallest id, set size, group formed by all links.
+    """``cls, first, n, rows, label`` of the classes of ``d (doc_id, text)`` with their ``sets``: smallest id, set size, rows, group formed by all links.
 
     Rows with a NULL id take part like all others; a class of such rows only has a NULL ``first``."""
-    classes = durable(sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")))
+    classes = durable(sets.filter("cls IS NOT NULL").groupBy("cls")
+                      .agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")))
 
     # a multiple, so that each of these fragments lies within one fragment of the pair count
     fragments = PAIR_FRAGMENTS * max(1, -(-FRAGMENTS_PER_TASK * d.rdd.getNumPartitions() // PAIR_FRAGMENTS))
-    shared = (d.select("text").mapInArrow(_pack(width, fragments, twins, bits), PACKED)
-              .groupBy("f").applyInArrow(_shared(fragments), "b int, cls binary, cnt binary")
-              .groupBy("b").applyInArrow(_summed, "cls bigint, shared bigint"))
+    # a copy of a set that gets through to another task only makes the set's n-grams look shared
+    firsts = maybe_in(d, "doc_id", classes.select(F.col("first").alias("doc_id")), classes.count(), "maybe").filter("maybe")
+    shared = (firsts.select("text").mapInArrow(_pack(width, fragments, twins, bits), PACKED)
+              .groupBy("f").applyInArrow(_counts(fragments), COUNTED)
+              .groupBy("b").applyInArrow(_summed, "cls bigint, shared bigint")
+              .groupBy("cls").agg(F.sum("shared").alias("shared")))
     survivors = durable(classes.join(shared, "cls").filter(100 * F.col("shared") >= percent * F.col("n")).select("first"))
 
-    # only ids travel to the texts
-    segments = durable(d.join(survivors, d["doc_id"].eqNullSafe(survivors["first"]), "left_semi").select("text")
-                       .mapInArrow(_segments(width, twins, bits), "cls bigint, n bigint, f int, seg binary, sketch array<bigint>").dropDuplicates(["cls", "f"]))
+    # only ids travel to the texts; from here on a number stands for the class it names
+    numbers = durable(d.join(survivors, d["doc_id"].eqNullSafe(survivors["first"]), "left_semi").select("text")
+                      .mapInArrow(_segments(width, twins, bits), "name bigint, n bigint, segs array<binary>, sketch array<bigint>")
+                      .dropDuplicates(["name"]).withColumn("cls", F.monotonically_increasing_id()))
+    segments = numbers.select("cls", "n", F.posexplode("segs").alias("f", "seg"))
     postings = durable(segments.mapInArrow(_pack_segments(fragments), PACKED)
                        .groupBy("f").applyInArrow(_frequencies(fragments), RANKED)
                        .groupBy("b").applyInArrow(_prefixes(percent), "gram bigint, cls bigint, n bigint, pos bigint, edge boolean"))
 
-    groups = connect(postings, segments, percent, star_rounds)
-    return classes.join(groups, F.col("cls") == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "cls"))
+    groups = connect(postings, segments, numbers.select("cls", "sketch"), percent, star_rounds)
+    for c in ("node", "label"):
+        groups = groups.join(numbers.select(F.col("cls").alias(c), F.col("name").alias(f"{c}_name")), c).drop(c)
+    return (classes.join(groups, F.col("cls") == F.col("node_name"), "left")
+            .select("cls", "first", "n", "rows", F.coalesce("label_name", "cls").alias("label")))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -455,8 +560,11 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     digest = lambda text: F.sha2(text, 256)
     d = texts(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets, twins = set_classes(d.withColumn("digest", digest(F.col("text"))), "doc_id bigint, digest string", WIDTH, KEY_BITS)
-    named = durable(labelled(d, sets, WIDTH, PERCENT, STAR_ROUNDS, twins).select("cls", "label"))
-    rows = sets.join(named, "cls").select("label", "doc_id", "digest")
+    named = durable(labelled(d, sets, WIDTH, PERCENT, STAR_ROUNDS, twins).select("cls", "label", "rows"))
+    # most rows are alone in their group: only the others' digests move
+    several = durable(named.groupBy("label").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("label"))
+    shared = durable(named.join(several, "label", "left_semi").select("cls", "label"))
+    rows = maybe_in(sets, "cls", shared, shared.count(), "maybe").filter("maybe").join(shared, "cls").select("label", "doc_id", "digest")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
-    groups = rows.groupBy("label").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("label", "best")
+    groups = rows.groupBy("label").agg(F.min(order).alias("best"))
     return without_copies(docs, rows.join(groups, "label").select("doc_id", "digest", (order == F.col("best")).alias("kept")), id_col, text_col, digest)

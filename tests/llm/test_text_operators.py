@@ -230,6 +230,98 @@ def test_only_segments_of_a_rounds_pairs_are_joined(spark, monkeypatch):
     assert 4 <= kept[0].filter("maybe").count() < 40
 
 
+def test_numbers_survive_the_short_form():
+    rng = np.random.default_rng(5)
+    whole = np.iinfo(np.int64)
+    for x in ([], [0], [254, 255, 256], [65_535, 0, 2**32 - 1, 2**32], [whole.min, -1, whole.max, 0], rng.integers(whole.min, whole.max, 300),
+              np.arange(900) + (7 << 33), np.concatenate([np.arange(300), np.arange(300) + (1 << 33)])):
+        x = np.array(x, np.int64)
+        assert np.array_equal(jaccard_join.loose(jaccard_join.tight(x)), x)
+        if len(x):
+            assert np.array_equal(jaccard_join.loose_steps(jaccard_join.tight_steps(x)), x)
+    assert len(jaccard_join.tight_steps(np.arange(900) + (7 << 33))) < 950
+
+
+def _bytes(batches):
+    return sum(len(v) for b in batches for c in b.schema.names if c not in ("f", "b") for v in b.column(c).to_pylist())
+
+
+def test_packed_rows_grow_with_the_ngrams_not_with_the_fragments():
+    """The more input, the more fragments; in the end a row has an n-gram of each set, which once took 24 bytes besides."""
+    rnd = random.Random(6)
+    texts = pa.RecordBatch.from_pydict({"text": [" ".join(str(rnd.random()) for _ in range(203)) for _ in range(300)]})
+    few, many = (_bytes(jaccard_join._pack(4, f)(iter([texts]))) / 60_000 for f in (4, 600))
+    assert few < 5 and many < 7
+    segments = pa.RecordBatch.from_pydict({"cls": [(3 << 33) + i for i in range(300)], "n": [200] * 300, "seg": [rnd.randbytes(1600) for _ in range(300)]})
+    packs = [pa.Table.from_batches(jaccard_join._pack_segments(f)(iter([segments]))) for f in (4, 600)]
+    few, many = (_bytes(p.to_batches()) / 60_000 for p in packs)
+    assert few < 9 and many < 12
+
+
+def _shared_of(sets, tasks, fragments):
+    """Shared n-grams of each class, by the packing of ``tasks``, each the places of its sets; and the packed rows."""
+    packs = pa.concat_tables(
+        pa.Table.from_batches(jaccard_join._grouped(((k, 0, sets[k]) for k in t), lambda *b: jaccard_join.numbered(*b, fragments))) for t in tasks)
+    groups = lambda t, c: [t.filter(pa.array([x == v for x in t.column(c).to_pylist()])) for v in sorted(set(t.column(c).to_pylist()))]
+    counted = pa.concat_tables(jaccard_join._counts(fragments)(g) for g in groups(packs, "f"))
+    out = collections.Counter()
+    for g in groups(counted, "b"):
+        for r in jaccard_join._summed(g).to_pylist():
+            out[r["cls"]] += r["shared"]
+    return dict(out), packs, counted
+
+
+def test_numbered_sets_are_counted_by_class(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", 700)
+    rng = np.random.default_rng(8)
+    sets = {int(k): np.unique(rng.integers(0, 900, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            for k in rng.integers(-2**62, 2**62, 90)}
+    keys = list(sets)
+    often = collections.Counter(x for s in sets.values() for x in s.tolist())
+    want = {k: sum(often[x] > 1 for x in s.tolist()) for k, s in sets.items()}
+    got, packs, counted = _shared_of(sets, [keys[:40], keys[40:]], 5)
+    assert got == want
+    # the same rows once more count once, a class that is packed twice in other company counts no less
+    assert _shared_of(sets, [keys[:40], keys[40:], keys[:40]], 5)[0] == want
+    again = _shared_of(sets, [keys, keys[50:60]], 5)[0]
+    assert all(again[k] >= v for k, v in want.items())
+    # names that are missing, or one number for different sets, are errors
+    with pytest.raises(ValueError, match="without a name"):
+        jaccard_join._summed(counted.filter(pa.array([not x for x in counted.column("named").to_pylist()])))
+    rows = [r for k in (7, 8) for r in jaccard_join.packed([1], [0], [np.arange(k, dtype=np.uint64)], 1, False)]
+    with pytest.raises(ValueError, match="same number"):
+        jaccard_join._shared(1)(pa.Table.from_batches([jaccard_join._batch(rows)]))
+
+
+def test_later_rounds_read_only_lists_that_were_in_several_groups(spark, monkeypatch):
+    """Two hundred pairs of near copies, of which one shares a passage with another: nearly all lists are settled in the first rounds."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(200):
+        words = [f"{i}-{rnd.randrange(10**6)}" for _ in range(60)]
+        passage = "all those who came early went home before the rain began".split() if i in (3, 4) else []
+        rows += [(2 * i, " ".join(words + passage)), (2 * i + 1, " ".join(words + passage + ["tail"]))]
+    read = []
+    real = jaccard_join.members
+    monkeypatch.setattr(jaccard_join, "members", lambda postings, labels, r: read.append(postings.count()) or real(postings, labels, r))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = rows_of(jaccard_join.jaccard_join(df), "doc_id", "component_id")
+    assert got == sorted(((i, i - i % 2) for i in range(400)), key=repr)
+    assert len(read) > 2 and read[1] > 1_000 and max(read[2:]) < 200
+
+
+def test_only_digests_of_rows_in_groups_move(spark, monkeypatch):
+    rows = [(i, " ".join(f"{i}w{j}" for j in range(30))) for i in range(500)]
+    rows += [(600, rows[7][1] + " tail"), (601, rows[8][1])]
+    seen = []
+    real = jaccard_join.maybe_in
+    monkeypatch.setattr(jaccard_join, "maybe_in", lambda d, *a: seen.append(("digest" in d.columns, real(d, *a))) or seen[-1][1])
+    out = jaccard_join.keep_one_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == [i for i in range(500)]
+    flagged = [d for digest, d in seen if digest]
+    assert len(flagged) == 1 and 4 <= flagged[0].filter("maybe").count() < 60
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(20, 40)]
     star = [(3, i) for i in range(50, 60)] + [(2, 55)]
