@@ -19,12 +19,18 @@ a smaller id.  The work is done per *pack*, a written row of some documents:
    first h symbols, and the boundaries that have not appeared by then mark
    common prefixes of h or more.  After ``window`` passes the intervals without
    a boundary are the repeated windows; no suffix is sorted again.
+   Only rows with ``window`` bytes of their string before them start: no others
+   can end a window, and these never meet a terminator.
 4. The smallest id of each interval goes back to the shards, which mark bytes.
 
 Packs, ranges and buckets have bounded sizes, and their number follows the
-input.  A string or anchor that many documents share is one entry per pack.  An
-anchor with more than ``HOT`` different strings (the edge of a passage that many
-documents quote) is cut into single windows, dealt by their own hash.
+input; a pack sends a row to each range and bucket, so the rows are many and
+short in large inputs.  They are therefore cut from whole arrays (``_column``)
+and read as whole arrays (``_flat``): Python does no work for each of them, and
+one sort makes the transforms for many buckets.  A string or anchor that many
+documents share is one entry per pack.  An anchor with more than ``HOT``
+different strings (the edge of a passage that many documents quote) is cut into
+single windows, dealt by their own hash.
 """
 
 from __future__ import annotations
@@ -43,11 +49,13 @@ from rinse.llm.common import durable, texts
 
 WINDOW = 50
 GRAM = 20
-PACK = 4 << 20           # bytes of text in a pack; a longer text is a pack of its own
+PACK = 8 << 20           # bytes of text in a pack; a longer text is a pack of its own
 BUFFER = 1 << 16         # bytes hashed at a time
-RANGE = 8 << 20          # bytes of text whose anchors one range compares
+RANGE = 16 << 20         # bytes of text whose anchors one range compares
 BUCKET = 16_000          # open strings that one bucket merges
 HOT = 20_000             # different strings of an anchor from which they are cut into windows
+SORTED = 1_000           # open strings of several buckets whose transforms are sorted at once
+SLICE = 1 << 16          # strings whose windows are compared at a time
 NO_ID = np.iinfo(np.int64).max
 NONE, SETTLED, HELD, OPEN, CUT = range(5)   # HELD: open, and this pack sends the string
 
@@ -101,6 +109,7 @@ class Pack:
         self.lens = np.frombuffer(row["lens"], np.int64)
         self.known = np.frombuffer(row["known"], bool)
         self.ends = np.cumsum(self.lens)
+        self.distinct, self.rank = np.unique(self.ids, return_inverse=True)
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, int(self.lens.sum()))), np.uint8)
 
     def strings(self, window: int) -> dict[str, np.ndarray]:
@@ -139,11 +148,11 @@ class Pack:
         return dict(zip(names, map(np.concatenate, zip(*found))))
 
     def entries(self, s: dict, ranges: int) -> tuple:
-        """Distinct (range, anchor, key) of the pack, in order: their range, anchor, key, smallest id, whether of several ids, and the entry of each string."""
+        """Distinct (range, anchor, key) of the pack, in order: their range, anchor, key, rank of the smallest and of the largest id, and the entry of each string."""
         rng = ((s["anchor"] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         code = (rng << np.uint64(32)) | (s["anchor"] & np.uint64(0xFFFFFFFF))
         order = np.lexsort((s["key"], code))
-        code, key, doc = code[order], s["key"][order], self.ids[s["doc"][order]]
+        code, key, doc = code[order], s["key"][order], self.rank[s["doc"][order]]
         new = np.concatenate([[True], (code[1:] != code[:-1]) | (key[1:] != key[:-1])]) if len(order) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         low = np.minimum.reduceat(doc, first) if len(first) else doc
@@ -196,30 +205,52 @@ def _anchors(window: int, ranges: int):
             pack = Pack(row)
             code, key, low, high, _ = pack.entries(pack.strings(window), ranges)
             of = (code >> np.uint64(32)).astype(np.int64)
-            cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else []
-            out = []
-            for a, b in zip(cut, [*cut[1:], len(of)]):
-                ids, at = np.unique(low[a:b], return_inverse=True)
-                at = 2 * at + (high[a:b] > low[a:b])   # the low bit: several documents of the pack hold it
-                out.append({"range": of[a], "pack": row["pack"], "code": (code[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                            "key": key[a:b].tobytes(), "low": at.astype(np.uint32).tobytes(), "ids": ids.tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            bounds = _bounds(of)
+            row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            # the ids of each row once; entries point to them
+            pairs, at = np.unique(row_of * len(pack.distinct) + low, return_inverse=True)
+            starts = np.searchsorted(pairs, np.arange(len(bounds)) * len(pack.distinct))
+            at = 2 * (at - starts[row_of]) + (high > low)   # the low bit: several documents of the pack hold it
+            n = len(bounds) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(of[bounds[:-1]], pa.int32()), pa.array(np.full(n, row["pack"]), pa.int64()), _column(code.astype(np.uint32), bounds),
+                                              _column(key, bounds), _column(at.astype(np.uint32), bounds), _column(pack.distinct[pairs % max(1, len(pack.distinct))], starts)], schema=schema)
     return run
 
 
-def _blobs(table: pa.Table, name: str, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
+def _bounds(groups: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    if not len(groups):
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)]])
+
+
+def _column(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column whose rows are ``values[bounds[k]:bounds[k + 1]]``."""
+    values, bounds = np.ascontiguousarray(values), np.asarray(bounds, np.int64) * values.itemsize
+    if bounds[-1] >= 1 << 31:
+        raise ValueError(f"{bounds[-1]} bytes for one binary column")
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(values)])
+
+
+def _flat(table: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a binary column end to end, and the row bounds."""
+    parts, sizes = [], [np.zeros(1, np.int64)]
+    for chunk in table.column(name).chunks:
+        wide = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+        at = np.frombuffer(chunk.buffers()[1], wide)[chunk.offset:chunk.offset + len(chunk) + 1].astype(np.int64) if len(chunk) else np.zeros(1, np.int64)
+        if at[-1] > at[0]:
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[at[0]:at[-1]])
+        sizes.append(np.diff(at))
+    whole = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    return whole.view(kind), np.cumsum(np.concatenate(sizes)) // np.dtype(kind).itemsize
 
 
 def _verdicts(hot: int, cut_into: int):
     """For each range: the status of every entry sent, and the smallest id of the settled ones."""
     def run(table: pa.Table) -> pa.Table:
-        codes, ids = _blobs(table, "code", np.uint32), _blobs(table, "ids", np.int64)
-        sizes = [len(c) for c in codes]
-        code, key = np.concatenate(codes), np.concatenate(_blobs(table, "key", np.uint64))
-        refs = _blobs(table, "low", np.uint32)
-        low = np.concatenate([i[r >> 1] for i, r in zip(ids, refs)])
-        several = np.concatenate([r & 1 for r in refs])
+        (code, bounds), (key, _), (refs, _), (ids, starts) = (_flat(table, c, k) for c, k in (("code", np.uint32), ("key", np.uint64), ("low", np.uint32), ("ids", np.int64)))
+        low = ids[(refs >> 1) + np.repeat(starts[:-1], np.diff(bounds))]
+        several = refs & 1
         order = np.lexsort((key, code))
         code, key, low, several = code[order], key[order], low[order], several[order]
         new = np.concatenate([[True], code[1:] != code[:-1]])
@@ -231,63 +262,78 @@ def _verdicts(hot: int, cut_into: int):
         status = np.where(~shared, NONE, np.where(strings == 1, SETTLED, np.where(strings > hot, CUT, OPEN))).astype(np.uint8)[group]
         out, best = np.empty(len(order), np.uint8), np.empty(len(order), np.int64)
         out[order], best[order] = np.where((status == OPEN) & string, HELD, status), least[group]
-        ends = np.cumsum(sizes)
-        work = (out == HELD) + (out == CUT) * np.int64(cut_into)
-        return pa.table({"pack": table.column("pack"), "range": table.column("range"),
-                         "n_open": [int(work[e - n:e].sum()) for e, n in zip(ends, sizes)],
-                         "status": pa.array([out[e - n:e].tobytes() for e, n in zip(ends, sizes)], pa.binary()),
-                         "least": pa.array([best[e - n:e][out[e - n:e] == SETTLED].tobytes() for e, n in zip(ends, sizes)], pa.binary())})
+        before = lambda x: np.concatenate([[0], np.cumsum(x)])[bounds]
+        work = before((out == HELD) + (out == CUT) * np.int64(cut_into))
+        return pa.table({"pack": table.column("pack"), "range": table.column("range"), "n_open": np.diff(work),
+                         "status": _column(out, bounds), "least": _column(best[out == SETTLED], before(out == SETTLED))})
     return run
 
 
-def transform(data: np.ndarray, pos: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_HEADS = np.array([0, *((1 << 64) - (1 << 8 * k) for k in range(7, -1, -1))], np.uint64)   # masks of the first 0, 1, 2 ... 8 bytes of a word
+
+
+def transform(data: np.ndarray, pos: np.ndarray, lens: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Burrows-Wheeler transform of the strings ``data[pos:pos + lens]`` and its rows that hold a terminator.
 
-    Terminators are smaller than every byte and ordered like their strings.
+    Terminators are smaller than every byte and ordered like their strings.  With ``part``, ascending numbers of the
+    strings below 2^24, the transforms of the parts stand end to end.
     """
     if not len(lens):
         return np.zeros(0, np.uint8), np.zeros(0, np.uint32)
-    longest = int(lens.max())
-    words = -(-longest // 8)
-    wide = np.zeros((len(pos), 8 * (words + 1) + longest), np.uint8)
-    cols = np.arange(longest)
-    inside = cols < lens[:, None]
-    wide[:, :longest][inside] = data[(pos[:, None] + cols)[inside]]
-    value = wide.astype(np.uint64)
-    for step in (1, 2, 4):   # eight bytes from each place on, as one number
-        further = np.zeros_like(value)
-        further[:, :-step] = value[:, step:]
-        value = (value << np.uint64(8 * step)) | further
-    string = np.repeat(np.arange(len(pos)), lens + 1)
-    place = np.arange(len(string)) - np.repeat(np.cumsum(lens + 1) - lens - 1, lens + 1)
-    # by the first eight bytes; what still ties by the next eight, and so on; in the end the shorter first, then by string
-    first = value[string, place]
+    sizes = lens + 1
+    ends = np.cumsum(sizes) - 1
+    begins, row, string = ends - lens, np.arange(ends[-1] + 1), np.repeat(np.arange(len(lens)), sizes)
+    rest = ends[string] - row
+    text = np.zeros(len(row) + 8, np.uint8)     # the strings, a terminator behind each
+    text[:len(row)] = data[np.minimum(row + (pos - begins)[string], len(data) - 1)]
+    text[ends] = 0
+    eight = np.ndarray(len(row) + 1, ">u8", text, strides=(1,))
+
+    def word(rows: np.ndarray, offset: int) -> np.ndarray:
+        """Eight bytes from there on, zeros behind the string's end, as one number."""
+        return eight[np.minimum(rows + offset, len(row))].astype(np.uint64) & _HEADS[np.clip(rest[rows] - offset, 0, 8)]
+
+    # by part and the first five bytes; what still ties by the next eight, and so on; in the end the shorter first, then by string
+    first = word(row, 0) >> np.uint64(24)
+    if part is not None:
+        first |= part.astype(np.uint64)[string] << np.uint64(40)
     order = np.argsort(first)
-    first = first[order]
-    new = np.concatenate([[True], first[1:] != first[:-1]])
-    for w in range(1, words + 1):
-        group = np.cumsum(new)
-        tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+    new = np.ones(len(row), bool)
+    new[1:] = first[order[1:]] != first[order[:-1]]
+    tied = np.arange(len(row))
+    for offset in (*range(5, int(lens.max()) + 1, 8), None):
+        keep = ~new | ~np.append(new[1:], True)
+        tied, new = tied[keep], new[keep]
         if not len(tied):
             break
-        rows, group = order[tied], group[tied]
-        if w < words:
-            keys = (value[string[rows], place[rows] + 8 * w],)
-        else:
-            keys = (string[rows], lens[string[rows]] - place[rows])
-        by = np.lexsort((*keys, group))
+        rows = order[tied]
+        keys = (string[rows], rest[rows]) if offset is None else (word(rows, offset),)
+        by = np.lexsort((*keys, np.cumsum(new)))
         order[tied] = rows[by]
-        if w < words:
-            new[tied[1:]] = new[tied[1:]] | (keys[0][by][1:] != keys[0][by][:-1])
-    string, place = string[order], place[order]
-    starts = place == 0
-    return np.where(starts, 0, wide[string, np.maximum(place, 1) - 1]).astype(np.uint8), np.flatnonzero(starts).astype(np.uint32)
+        if offset is not None:
+            new[1:] |= keys[0][by[1:]] != keys[0][by[:-1]]
+    starts = np.zeros(len(row), bool)
+    starts[begins] = True
+    starts = starts[order]
+    return np.where(starts, 0, text[order - 1]).astype(np.uint8), np.flatnonzero(starts).astype(np.uint32)
 
 
 SHARD_ARROW = pa.schema([("bucket", pa.int64()), ("pack", pa.int64()), *((c, pa.binary()) for c in ("settled", "name", "held", "lens", "bwt", "starts", "low", "high", "string", "doc", "pos"))])
 SHARD_SCHEMA = "bucket bigint, pack bigint, settled binary, name binary, held binary, lens binary, bwt binary, starts binary, low binary, high binary, string binary, doc binary, pos binary"
 
 
+def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of consecutive items of up to ``SORTED`` in all, or of one."""
+    a, total = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > a and total + size > SORTED:
+            yield a, k
+            a, total = k, 0
+        total += size
+    if len(sizes):
+        yield a, len(sizes)
+
+
 def _shards(window: int, ranges: int, buckets: int):
     """Per pack: the spans that settled strings remove (bucket -1), and per bucket the transform of its open strings with their places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +348,7 @@ def _shards(window: int, ranges: int, buckets: int):
             state = status[entry]
             gone = (state == SETTLED) & (least[entry] < pack.ids[s["doc"]])
             spans = np.stack([s["pos"][gone], s["pos"][gone] + s["count"][gone] + window - 1], 1)
-            out = [{"bucket": -1, "pack": row["pack"], "settled": merged(spans, pack.ends).astype(np.int64).tobytes()}]
+            yield pa.RecordBatch.from_pylist([{"bucket": -1, "pack": row["pack"], "settled": merged(spans, pack.ends).astype(np.int64).tobytes()}], schema=SHARD_ARROW)
 
             is_open = np.flatnonzero((state == OPEN) | (state == HELD))
             cut = np.flatnonzero(state == CUT)
@@ -320,51 +366,78 @@ def _shards(window: int, ranges: int, buckets: int):
             held = np.concatenate([state[is_open] == HELD, np.ones(len(own), bool)])
             order = np.lexsort((name, bucket))
             bucket, name, held, pos, doc, lens = (x[order] for x in (bucket, name, held, pos, doc, lens))
-            bounds = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-            for a, b in zip(bounds, [*bounds[1:], len(bucket)]):
-                new = np.concatenate([[True], name[a + 1:b] != name[a:b - 1]])
-                first, of = np.flatnonzero(new), np.cumsum(new) - 1
-                ids, sent = pack.ids[doc[a:b]], a + first[held[a:b][first]]
-                bwt, starts = transform(pack.data, pos[sent], lens[sent])
-                out.append({"bucket": int(bucket[a]), "pack": row["pack"], "name": name[a:b][first].tobytes(), "held": held[a:b][first].tobytes(),
-                            "lens": lens[sent].astype(np.uint8).tobytes(), "bwt": bwt.tobytes(), "starts": starts.tobytes(), "low": np.minimum.reduceat(ids, first).tobytes(), "high": np.maximum.reduceat(ids, first).tobytes(),
-                            "string": of.astype(np.uint32).tobytes(), "doc": doc[a:b].astype(np.uint32).tobytes(), "pos": pos[a:b].astype(np.int64).tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=SHARD_ARROW)
+            # distinct strings (names), those this pack sends, and where the buckets begin in each
+            bounds = _bounds(bucket)
+            number = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            new = np.ones(len(bucket), bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (name[1:] != name[:-1])
+            first = np.flatnonzero(new)
+            of = np.cumsum(new) - 1
+            names = np.searchsorted(first, bounds)
+            sent = first[held[first]]
+            sends = np.searchsorted(sent, bounds)
+            ids = pack.ids[doc]
+            for a, b in _chunks(np.diff(sends)):
+                occurrences, strings, sending = (slice(x[a], x[b]) for x in (bounds, names, sends))
+                go, begins = sent[sending], first[strings]
+                bwt, starts = transform(pack.data, pos[go], lens[go], number[go] - a)
+                rows = np.concatenate([[0], np.cumsum(lens[go] + 1)])[sends[a:b + 1] - sends[a]]
+                low, high = (f.reduceat(ids[occurrences], begins - bounds[a]) for f in (np.minimum, np.maximum))
+                at = {"name": (name[begins], names), "held": (held[begins], names), "low": (low, names), "high": (high, names), "lens": (lens[go].astype(np.uint8), sends),
+                      "string": ((of - names[number])[occurrences].astype(np.uint32), bounds), "doc": (doc[occurrences].astype(np.uint32), bounds), "pos": (pos[occurrences].astype(np.int64), bounds)}
+                columns = {c: _column(x, edges[a:b + 1] - edges[a]) for c, (x, edges) in at.items()}
+                columns["bwt"] = _column(bwt, rows)
+                columns["starts"] = _column((starts - rows[number[go] - a]).astype(np.uint32), sends[a:b + 1] - sends[a])
+                columns |= {"bucket": pa.array(bucket[bounds[a:b]], pa.int64()), "pack": pa.array(np.full(b - a, row["pack"]), pa.int64()), "settled": pa.nulls(b - a, pa.binary())}
+                yield pa.RecordBatch.from_arrays([columns[c] for c in SHARD_ARROW.names], schema=SHARD_ARROW)
     return run
 
 
 def merge(bwts: list[np.ndarray], starts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(rows, bound, link, ends)`` of the merged transforms.
+    """``(rows, bound, string, place)`` of the merged transforms.
 
     ``rows`` lists, in order, those of the shards' rows (numbered end to end) whose first ``depth`` symbols others share;
     ``bound`` marks the first row of each interval of equal symbols.  A row alone in its block stays alone, and so does
-    the row it leads to, so blocks that have come down to one row leave the refinement.  ``link`` leads each row to that
-    of the suffix one byte longer; ``ends`` are the rows of the bare terminators, string by string.
+    the row it leads to, so blocks that have come down to one row leave the refinement; so do, from the start, rows with
+    fewer than ``depth`` bytes of their string before them.  ``string`` and ``place`` tell where each of all rows stands.
     """
-    base = np.cumsum([0, *map(len, bwts)])
+    sizes = np.array([len(x) for x in bwts])
+    base = np.cumsum(sizes) - sizes
     symbol = np.concatenate(bwts)
-    terminator = np.zeros(base[-1], bool)
-    link = np.empty(base[-1], np.int32)
-    ends = []
-    for b, bwt, s in zip(base, bwts, starts):
-        terminator[b + s] = True
-        others = np.flatnonzero(~terminator[b:b + len(bwt)])
-        link[b + others[np.argsort(bwt[others], kind="stable")]] = b + len(s) + np.arange(len(others))
-        ends.append(b + np.arange(len(s)))
-    ends = np.concatenate(ends).astype(np.int32)
-    rows, bound = np.arange(base[-1], dtype=np.int32), np.zeros(base[-1], bool)
+    n_starts = np.array([len(x) for x in starts])
+    terminator, bare = np.zeros(len(symbol), bool), np.zeros(len(symbol), bool)
+    terminator[np.concatenate(starts).astype(np.int64) + np.repeat(base, n_starts)] = True
+    bare[np.arange(n_starts.sum()) + np.repeat(base - (np.cumsum(n_starts) - n_starts), n_starts)] = True
+    # within a shard, rows in order of their symbols lead to its rows in order
+    others = np.flatnonzero(~terminator)
+    others = others[np.argsort(symbol[others], kind="stable")]
+    shard = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) < 1 << 16 else np.int64), sizes)
+    others = others[np.argsort(shard[others], kind="stable")]
+    link = np.empty(len(symbol), np.int64)
+    link[others] = np.flatnonzero(~bare)
+    # walk each string from its end
+    string, place = np.empty(len(symbol), np.int32), np.empty(len(symbol), np.int16)
+    at, who, length = np.flatnonzero(bare), np.arange(n_starts.sum()), np.zeros(n_starts.sum(), np.int16)
+    step = 0
+    while len(who):
+        string[at], place[at] = who, step
+        done = terminator[at]
+        length[who[done]] = step
+        at, who = link[at[~done]], who[~done]
+        step += 1
+    place = length[string] - place
+    rows = np.flatnonzero(place >= depth)
+    bound = np.zeros(len(rows), bool)
     for _ in range(depth):
-        inner = np.flatnonzero(~terminator[rows])      # terminators differ from one another
-        sym = symbol[rows[inner]]
+        sym = symbol[rows]
         by = np.argsort(sym, kind="stable")
-        inner, sym = inner[by], sym[by]
-        block = np.cumsum(bound, dtype=np.int32)[inner]
-        bound = np.ones(len(inner), bool)
+        sym, block = sym[by], np.cumsum(bound, dtype=np.int32)[by]
+        bound = np.ones(len(rows), bool)
         bound[1:] = (sym[1:] != sym[:-1]) | (block[1:] != block[:-1])
         shared = ~bound
         shared[:-1] |= ~bound[1:]
-        rows, bound = link[rows[inner[shared]]], bound[shared]
-    return rows, bound, link, ends
+        rows, bound = link[rows[by[shared]]], bound[shared]
+    return rows, bound, string, place
 
 
 ANSWER_SCHEMA = "pack bigint, bucket bigint, at binary, first binary, last binary, least binary"
@@ -373,11 +446,11 @@ ANSWER_SCHEMA = "pack bigint, bucket bigint, at binary, first binary, last binar
 def _merged_bucket(window: int):
     """For each shard of a bucket: string, first and last window and smallest id of every stretch that a document of the shard must lose."""
     def run(table: pa.Table) -> pa.Table:
-        names, helds = _blobs(table, "name", np.uint64), _blobs(table, "held", bool)
-        name, held = np.concatenate(names), np.concatenate(helds)
-        low, high = np.concatenate(_blobs(table, "low", np.int64)), np.concatenate(_blobs(table, "high", np.int64))
-        length = np.concatenate(_blobs(table, "lens", np.uint8)).astype(np.int64)
-        rows, bound, link, ends = merge(_blobs(table, "bwt", np.uint8), _blobs(table, "starts", np.uint32), window)
+        name, edges = _flat(table, "name", np.uint64)
+        held, low, high = (_flat(table, c, k)[0] for c, k in (("held", bool), ("low", np.int64), ("high", np.int64)))
+        length = _flat(table, "lens", np.uint8)[0].astype(np.int64)
+        bwts, starts = ([x[a:b] for a, b in zip(at, at[1:])] for x, at in (_flat(table, "bwt", np.uint8), _flat(table, "starts", np.uint32)))
+        rows, bound, string, place = merge(bwts, starts, window)
         # what packs say of the same string: its smallest id, and which of the merged strings it is
         known, which = np.unique(name, return_inverse=True)
         least_of = np.full(len(known), NO_ID)
@@ -385,39 +458,30 @@ def _merged_bucket(window: int):
         merged_as = np.empty(len(known), np.int64)
         merged_as[which[held]] = np.arange(len(length))
         own = least_of[which[held]]
-        # walk each string from its end: where each window of it stands
         width = int(length.max()) - window + 1
-        string, place = np.full(len(link), -1, np.int32), np.zeros(len(link), np.int16)
-        at, who = ends, np.arange(len(ends), dtype=np.int32)
-        for step in range(1, int(length.max()) + 1):
-            going = length[who] >= step
-            who, at = who[going], link[at[going]]
-            if step >= window:
-                string[at], place[at] = who, length[who] - step
         least = np.full((len(length), width), NO_ID)
         for k in range(width):
             least[length >= window + k, k] = own[length >= window + k]
         if len(rows):
             string, place = string[rows], place[rows]
             first = np.flatnonzero(bound)
-            smallest = np.minimum.reduceat(np.where(string >= 0, own[string], NO_ID), first)[np.cumsum(bound) - 1]
-            seen = string >= 0
-            least[string[seen], place[seen]] = smallest[seen]
-        table_of = least[merged_as[which]]
-        lose = table_of < high[:, None]
-        same = np.zeros_like(lose)
-        same[:, 1:] = lose[:, 1:] & lose[:, :-1] & (table_of[:, 1:] == table_of[:, :-1])
-        who, begin = np.nonzero(lose & ~same)
-        last = np.zeros_like(same)
-        last[:, :-1] = same[:, 1:]
-        stop = np.nonzero(lose & ~last)[1]
-        value = table_of[who, begin]
-        edges = np.cumsum([0, *map(len, names)])
+            smallest = np.minimum.reduceat(own[string], first)[np.cumsum(bound) - 1]
+            least[string, place] = smallest
+        stretches = []
+        for a in range(0, len(name), SLICE):
+            table_of = least[merged_as[which[a:a + SLICE]]]
+            lose = table_of < high[a:a + SLICE, None]
+            same = np.zeros_like(lose)
+            same[:, 1:] = lose[:, 1:] & lose[:, :-1] & (table_of[:, 1:] == table_of[:, :-1])
+            who, begin = np.nonzero(lose & ~same)
+            last = np.zeros_like(same)
+            last[:, :-1] = same[:, 1:]
+            stretches.append((a + who, begin, np.nonzero(lose & ~last)[1], table_of[who, begin]))
+        who, begin, stop, value = map(np.concatenate, zip(*stretches))
         cut = np.searchsorted(who, edges)
-        pick = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
         local = who - np.repeat(edges[:-1], np.diff(cut))
-        return pa.table({"pack": table.column("pack"), "bucket": table.column("bucket"), "at": pick(local, np.uint32),
-                         "first": pick(begin, np.uint8), "last": pick(stop, np.uint8), "least": pick(value, np.int64)})
+        return pa.table({"pack": table.column("pack"), "bucket": table.column("bucket"), "at": _column(local.astype(np.uint32), cut),
+                         "first": _column(begin.astype(np.uint8), cut), "last": _column(stop.astype(np.uint8), cut), "least": _column(value, cut)})
     return run
 
 
@@ -441,10 +505,14 @@ def _results(window: int):
         for row in _rows(batches):
             pack = Pack(row)
             spans = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in row["settled"]]
-            for a in row["answers"]:
-                string, doc, pos = (np.frombuffer(a[c], k) for c, k in (("string", np.uint32), ("doc", np.uint32), ("pos", np.int64)))
-                at, least = np.frombuffer(a["at"], np.uint32), np.frombuffer(a["least"], np.int64)
-                begin, stop = (np.frombuffer(a[c], np.uint8).astype(np.int64) for c in ("first", "last"))
+            if answers := row["answers"]:
+                joined = lambda c, kind: np.frombuffer(b"".join([a[c] for a in answers]), kind)
+                string, doc, pos = joined("string", np.uint32).astype(np.int64), joined("doc", np.uint32), joined("pos", np.int64)
+                at, least = joined("at", np.uint32).astype(np.int64), joined("least", np.int64)
+                begin, stop = (joined(c, np.uint8).astype(np.int64) for c in ("first", "last"))
+                bucket = np.arange(len(answers)) << 32      # strings are numbered bucket by bucket
+                string += np.repeat(bucket, [len(a["string"]) // 4 for a in answers])
+                at += np.repeat(bucket, [len(a["at"]) // 4 for a in answers])
                 lo, hi = np.searchsorted(at, string, "left"), np.searchsorted(at, string, "right")
                 who = np.repeat(np.arange(len(string)), hi - lo)
                 k = np.arange(len(who)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[who]

@@ -7,7 +7,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from rinse.llm import repeat_bytes as rb
 
@@ -93,3 +95,54 @@ def test_transform_and_merge():
         assert [b for b in bound] == [not k or x != heads[k - 1] for k, x in enumerate(heads)]
         whole = Counter(x[:depth] for x in suffixes)
         assert sorted(heads) == sorted(x[:depth] for x in suffixes if whole[x[:depth]] > 1 and 0 not in x[:depth])
+
+
+def _pack_row(texts):
+    body = b"".join(texts)
+    whole = lambda x, kind: np.array(x, kind).tobytes()
+    return {"pack": 5, "n_bytes": len(body), "ids": whole(range(len(texts)), np.int64), "known": whole([True] * len(texts), bool),
+            "lens": whole(list(map(len, texts)), np.int64), "body": zstandard.ZstdCompressor().compress(body)}
+
+
+def _open_pack(ranges):
+    """A pack of documents that share passages with changes, with what its ranges of anchors find."""
+    rng = random.Random(3)
+    passage = bytes(rng.choice(b"abcdefgh ") for _ in range(9000))
+    texts = [passage, bytes(b if k % 65 else 88 for k, b in enumerate(passage)), bytes(b if k % 71 else 89 for k, b in enumerate(passage))]
+    row = _pack_row(texts)
+    sent, = rb._anchors(50, ranges)(iter([pa.RecordBatch.from_pylist([row])]))
+    groups = [rb._verdicts(rb.HOT, 16)(pa.Table.from_batches([sent.slice(k, 1)])) for k in range(sent.num_rows)]
+    return row | {"verdicts": [{c: t[c][0].as_py() for c in ("range", "status", "least")} for t in groups]}
+
+
+def test_many_buckets_take_few_sorts(monkeypatch):
+    """The work of a pack does not grow with the buckets that its strings are dealt to; each bucket has the transform of its own strings."""
+    row = _open_pack(7)
+    calls, real = [], rb.transform
+    monkeypatch.setattr(rb, "transform", lambda *a: calls.append(1) or real(*a))
+    for buckets in (1, 5, 4000):
+        calls.clear()
+        out = [r for b in rb._shards(50, 7, buckets)(iter([pa.RecordBatch.from_pylist([row])])) for r in b.to_pylist() if r["bucket"] >= 0]
+        sent = sum(len(r["lens"]) for r in out)
+        assert sent > 300 and len(out) > min(buckets, 300) // 2
+        assert len(calls) <= 1 + sent // 100
+        pack = rb.Pack(row)
+        for r in out:
+            held = np.frombuffer(r["held"], bool)
+            string, pos = np.frombuffer(r["string"], np.uint32), np.frombuffer(r["pos"], np.int64)
+            first = np.array([pos[string == k][0] for k in np.flatnonzero(held)], np.int64)
+            bwt, starts = real(pack.data, first, np.frombuffer(r["lens"], np.uint8).astype(np.int64))
+            assert (bwt.tobytes(), starts.tobytes()) == (r["bwt"], r["starts"])
+
+
+def test_binary_columns():
+    """Rows cut from whole arrays are read as whole arrays, whatever the chunks."""
+    values, bounds = np.arange(20, dtype=np.int64), np.array([0, 3, 3, 11, 20])
+    column = rb._column(values, bounds)
+    assert [x.as_py() for x in column] == [values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+    for cut in range(5):
+        table = pa.table({"x": pa.chunked_array([column[:cut], column[cut:]])})
+        got_values, got_bounds = rb._flat(table, "x", np.int64)
+        assert got_values.tolist() == values.tolist() and got_bounds.tolist() == bounds.tolist()
+    assert [x.tolist() for x in rb._flat(pa.table({"x": column[1:3]}), "x", np.int64)] == [list(range(3, 11)), [0, 0, 8]]
+    assert rb._column(values[:0], np.zeros(1, int)).to_pylist() == []
